@@ -31,8 +31,16 @@ def _stop_flag(lang: Column, lemma: Column) -> Column:
 
 
 def _pos(lang: Column, lemma: Column) -> Column:
-    lex = F.create_map(*[F.lit(x) for kv in L.lexicon_items() for x in kv])
-    looked_up = F.try_element_at(lex, F.concat(lang, F.lit("|"), lemma))
+    # One hashed IN-set per POS tag: a few O(1) probes, all inside codegen
+    # (a literal map lookup is a linear scan per row).
+    key = F.concat(lang, F.lit("|"), lemma)
+    by_pos: dict[str, list[str]] = {}
+    for k, p in L.lexicon_items():
+        by_pos.setdefault(p, []).append(k)
+    looked_up = None
+    for p, keys in by_pos.items():
+        looked_up = (F.when(key.isin(keys), F.lit(p)) if looked_up is None
+                     else looked_up.when(key.isin(keys), F.lit(p)))
     rule = None
     for suffix, pos in L.SUFFIX_RULES:
         cond = lemma.endswith(suffix) & (F.length(lemma) >= len(suffix) + 2)
@@ -41,7 +49,7 @@ def _pos(lang: Column, lemma: Column) -> Column:
     return F.coalesce(looked_up, rule)
 
 
-def by_document(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def by_document(docs: DataFrame, id_col: str = "doc_id", n_partitions: int | None = None) -> DataFrame:
     """Hash-partition documents by id once, before tokenising.
 
     Shuffling the raw text is cheaper than shuffling the word table, and
@@ -49,8 +57,14 @@ def by_document(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     delimiter merge, compound chains) then finds its input already clustered
     by ``doc_id`` and plans no exchange. ``doc_id`` is unique, so the
     partitioning cannot be skewed.
+
+    The partition count is explicit (``spark.sql.shuffle.partitions`` unless
+    given): text is small in bytes but heavy in CPU, and AQE would otherwise
+    coalesce it into a handful of partitions by size.
     """
-    return docs.repartition(F.col(id_col))
+    if n_partitions is None:
+        n_partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.repartition(n_partitions, F.col(id_col))
 
 
 def tokenize_docs(
@@ -78,29 +92,31 @@ def tokenize_docs(
         "doc_id", "lang", *keep_cols, "sent_id",
         F.regexp_extract_all(F.col("sent"), F.lit(f"({L.WORD_PATTERN})"), 1).alias("ws"),
     )
-    # Pair every word with its successor by array index: no window, no shuffle.
+    # Every word attribute is computed inside array lambdas, once per word,
+    # before exploding: the successor comes by array index (no window, no
+    # shuffle) and later filters only read plain struct fields.
     ws = F.col("ws")
-    paired = F.transform(ws, lambda w, i: F.struct(w.alias("text"), F.try_element_at(ws, i + 2).alias("next")))
+    lang = F.col("lang")
+    step1 = F.transform(ws, lambda w, i: F.struct(
+        w.alias("text"), F.lower(w).alias("lemma"), is_capitalised(w).alias("cap"),
+        is_capitalised(F.try_element_at(ws, i + 2)).alias("next_cap"), i.alias("i"),
+    ))
+    step2 = F.transform(step1, lambda x: F.struct(
+        x["text"].alias("text"),
+        x["lemma"].alias("lemma"),
+        _stop_flag(lang, x["lemma"]).alias("is_stop"),
+        _pos(lang, x["lemma"]).alias("pos"),
+        F.when(x["cap"] & x["next_cap"], F.lit(L.COMPOUND_DEP)).otherwise(F.lit(L.OTHER_DEP)).alias("dep"),
+        F.when(x["cap"] & (x["i"] > 0), F.lit(L.ENTITY_TYPE)).alias("ent_type"),
+    ))
     words = arr.select(
         "doc_id", "lang", *keep_cols, "sent_id",
-        F.posexplode(paired).alias("word_id", "w"),
+        F.posexplode(step2).alias("word_id", "w"),
     )
-    text = F.col("w.text")
-    lemma = F.lower(text)
-    cap = is_capitalised(text)
     return words.select(
-        "doc_id",
-        "sent_id",
-        "word_id",
-        text.alias("text"),
-        lemma.alias("lemma"),
-        _stop_flag(F.col("lang"), lemma).alias("is_stop"),
-        _pos(F.col("lang"), lemma).alias("pos"),
-        F.when(cap & is_capitalised(F.col("w.next")), F.lit(L.COMPOUND_DEP))
-        .otherwise(F.lit(L.OTHER_DEP)).alias("dep"),
-        F.when(cap & (F.col("word_id") > 0), F.lit(L.ENTITY_TYPE)).alias("ent_type"),
-        "lang",
-        *keep_cols,
+        "doc_id", "sent_id", "word_id",
+        *[F.col(f"w.{c}").alias(c) for c in ("text", "lemma", "is_stop", "pos", "dep", "ent_type")],
+        "lang", *keep_cols,
     )
 
 

@@ -58,33 +58,35 @@ def pad_empty_sentences(words: DataFrame) -> DataFrame:
     """Filter to content words; a sentence left empty keeps one placeholder
     word (text/lemma "", NOUN, stop word, word_id -1).
 
-    One aggregation per sentence decides which sentences are empty; the
-    relevant words themselves are not shuffled.
+    Single pass: a window per sentence (unordered frame) tells whether any
+    word survives; the first word of an empty sentence turns into the
+    placeholder. Input clustered by ``doc_id`` (the tokeniser's output)
+    satisfies the window's distribution, so no exchange is planned.
     """
     rel = relevant_predicate(F.col("lemma"), F.col("pos"), F.col("is_stop"), F.col("ent_type"))
     base = ["doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type"]
     # Document-level columns carried by the tokeniser (e.g. lang, a label).
     carry = [c for c in words.columns if c not in base and c != "vector"]
-    flagged = words.withColumn("_rel", rel)
-    kept = flagged.filter("_rel").drop("_rel")
-    empty = (
-        flagged.groupBy("doc_id", "sent_id")
-        .agg(F.max(F.col("_rel").cast("int")).alias("_any"), *[F.first(c).alias(c) for c in carry])
-        .filter(F.col("_any") == 0)
+    w = Window.partitionBy("doc_id", "sent_id")
+    flagged = (
+        words.withColumn("_rel", rel)
+        .withColumn("_any", F.max(F.col("_rel").cast("int")).over(w))
+        .withColumn("_first", F.col("word_id") == F.min("word_id").over(w))
     )
-    placeholder = empty.select(
+    kept = flagged.filter(F.col("_rel") | ((F.col("_any") == 0) & F.col("_first")))
+    keep = F.col("_rel")
+    return kept.select(
         "doc_id",
         "sent_id",
-        F.lit(-1).alias("word_id"),
-        F.lit("").alias("text"),
-        F.lit("").alias("lemma"),
-        F.lit(True).alias("is_stop"),
-        F.lit("NOUN").alias("pos"),
-        F.lit(None).cast("string").alias("dep"),
-        F.lit(None).cast("string").alias("ent_type"),
+        F.when(keep, F.col("word_id")).otherwise(F.lit(-1)).alias("word_id"),
+        F.when(keep, F.col("text")).otherwise(F.lit("")).alias("text"),
+        F.when(keep, F.col("lemma")).otherwise(F.lit("")).alias("lemma"),
+        F.when(keep, F.col("is_stop")).otherwise(F.lit(True)).alias("is_stop"),
+        F.when(keep, F.col("pos")).otherwise(F.lit("NOUN")).alias("pos"),
+        F.when(keep, F.col("dep")).alias("dep"),
+        F.when(keep, F.col("ent_type")).alias("ent_type"),
         *carry,
     )
-    return kept.select(*placeholder.columns).unionByName(placeholder)
 
 
 # ---------------------------------------------------------------------------

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
 from sparkvox.functions.vectors import round6
 from sparkvox.operators import normalize as N
 from sparkvox.operators import tokens as TK
+from sparkvox.operators import network as NW
 from sparkvox.operators import wordstats as WS
 from sparkvox.plans import oracle as O
 
@@ -217,3 +218,208 @@ def q_label_vectors(spark, d):
 def q_top_words_by_label(spark, d):
     top = WS.top_words_by_label(tfidf(spark, d), N_TOP_PER_LABEL)
     return top.select("label", "lemma", round6("weight").alias("weight"), "rank")
+
+
+# --- delimiter pair --------------------------------------------------------
+
+def merged_docs(spark: SparkSession, d: str) -> DataFrame:
+    return WS.merge_by_delimiter(padded(spark, d), table(spark, d, "documents"))
+
+
+MERGED_SQL = """merged AS (
+  SELECT d.doc_id, coalesce(string_agg(p.lemma, chr(29) ORDER BY p.sent_id, p.word_id), '') || chr(29) AS merged
+  FROM documents d LEFT JOIN padded p USING (doc_id) GROUP BY d.doc_id
+)"""
+
+
+@register(
+    "merge_by_delimiter",
+    O.with_(*O.words_base(), O.cte_relevant(), MERGED_SQL) + "SELECT doc_id, merged FROM merged",
+)
+def q_merge_by_delimiter(spark, d):
+    return merged_docs(spark, d)
+
+
+@register(
+    "split_by_delimiter",
+    O.with_(*O.words_base(), O.cte_relevant(), MERGED_SQL)
+    + """SELECT doc_id, CAST(t.o - 1 AS INTEGER) AS token_id, t.lemma
+FROM merged, unnest(regexp_extract_all(merged, '([^' || chr(29) || ']+?)' || chr(29), 1)) WITH ORDINALITY AS t(lemma, o)""",
+)
+def q_split_by_delimiter(spark, d):
+    return WS.split_merged(merged_docs(spark, d))
+
+
+# --- wide table, frequencies for given words ---------------------------------
+
+
+@register(
+    "doc_term_wide",
+    O.with_(*O.stats_base(), O.cte_top("top", N_WORDS_WIDE))
+    + """, grid AS (
+  SELECT d.doc_id, t.lemma, CAST(x.doc_id IS NOT NULL AS INTEGER) AS v
+  FROM documents d CROSS JOIN top t LEFT JOIN dterm x ON x.doc_id = d.doc_id AND x.lemma = t.lemma
+)
+SELECT * FROM (PIVOT grid ON lemma USING max(v) GROUP BY doc_id)""",
+)
+def q_doc_term_wide(spark, d):
+    vocab = WS.frequent_words(dfreq(spark, d), N_WORDS_WIDE)
+    return WS.doc_term_wide(padded(spark, d), table(spark, d, "documents"), vocab, max_columns=N_WORDS_WIDE)
+
+
+@register(
+    "word_frequencies_for",
+    O.with_(*O.stats_base(), O.cte_top("top", N_WORDS_WIDE))
+    + """SELECT CAST(row_number() OVER (ORDER BY df DESC, lemma) AS INTEGER) AS position, lemma,
+  CAST(df AS BIGINT) AS freq FROM top""",
+)
+def q_word_frequencies_for(spark, d):
+    df_ = dfreq(spark, d)
+    # The words asked for: the top words, listed alphabetically (input order).
+    wanted = WS.frequent_words(df_, N_WORDS_WIDE).select(
+        F.row_number().over(Window.orderBy("lemma")).alias("pos"), "lemma"
+    )
+    return WS.word_frequencies_for(df_, wanted, order="desc")
+
+
+# --- co-occurrence -------------------------------------------------------------
+
+CO_N_WORDS = L.MAX_VOCAB_SIZE
+
+
+def co_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return WS.frequent_words(dfreq(spark, d), CO_N_WORDS)
+
+
+def co_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return NW.sentence_pairs(padded(spark, d), co_vocab(spark, d), CO_N_WORDS)
+
+
+def co_sql() -> list[str]:
+    return [
+        *O.stats_base(),
+        O.cte_top("vocab", CO_N_WORDS),
+        """sw AS (SELECT DISTINCT doc_id, sent_id, lemma FROM padded WHERE lemma IN (SELECT lemma FROM vocab)),
+und AS (
+  SELECT l.lemma AS lemma1, r.lemma AS lemma2, count(*) AS n
+  FROM sw l JOIN sw r ON l.doc_id = r.doc_id AND l.sent_id = r.sent_id AND l.lemma < r.lemma
+  GROUP BY 1, 2
+)""",
+        f"""edges AS (
+  SELECT lemma1, lemma2, n, n / max(n) OVER () AS weight FROM (
+    SELECT * FROM und ORDER BY n DESC, lemma1, lemma2 LIMIT {L.N_EDGE})
+  WHERE n >= {float(L.MIN_CO_OCCURRENCE)!r} * (SELECT n FROM ndocs)
+)""",
+    ]
+
+
+@register(
+    "co_occurrence",
+    O.with_(*co_sql()) + "SELECT lemma1, lemma2, n FROM und UNION ALL SELECT lemma2, lemma1, n FROM und",
+)
+def q_co_occurrence(spark, d):
+    return NW.co_occurrence(padded(spark, d), co_vocab(spark, d), CO_N_WORDS)
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return NW.co_occurrence_edges(co_pairs(spark, d), table(spark, d, "documents"), L.N_EDGE, L.MIN_CO_OCCURRENCE)
+
+
+@register(
+    "co_occurrence_edges",
+    O.with_(*co_sql())
+    + "SELECT lemma1, lemma2, n, round(weight, 6) AS weight, round(weight * 12, 6) AS width FROM edges",
+)
+def q_co_occurrence_edges(spark, d):
+    e = edges(spark, d)
+    return e.select("lemma1", "lemma2", "n", round6("weight").alias("weight"), round6("width").alias("width"))
+
+
+def pos_color_sql(col: str) -> str:
+    whens = " ".join(f"WHEN {col} = {O.q(k)} THEN {O.q(v)}" for k, v in L.POS_COLORS.items())
+    return f"CASE {whens} ELSE {O.q(L.OTHER_POS_COLOR)} END"
+
+
+@register(
+    "co_occurrence_nodes",
+    O.with_(*co_sql())
+    + f""", pv AS (
+  SELECT lemma, arg_min(pos, (-n, pos)) AS pos FROM (
+    SELECT lemma, pos, count(*) AS n FROM words GROUP BY lemma, pos) GROUP BY lemma
+),
+mx AS (SELECT max(df) AS m FROM vocab)
+SELECT v.lemma, round(v.df / (SELECT m FROM mx), 6) AS size,
+  round(v.df / (SELECT m FROM mx) * {L.NODE_SIZE_SCALE}, 6) AS display_size, {pos_color_sql('pv.pos')} AS color
+FROM vocab v LEFT JOIN pv USING (lemma)
+WHERE v.lemma IN (SELECT lemma1 FROM edges UNION SELECT lemma2 FROM edges)
+UNION ALL
+SELECT {O.q(L.EMPTY_NETWORK_LABEL)}, NULL, NULL, {O.q(L.EMPTY_NETWORK_COLOR)} WHERE NOT EXISTS (SELECT 1 FROM edges)""",
+)
+def q_co_occurrence_nodes(spark, d):
+    n = NW.co_occurrence_nodes(edges(spark, d), co_vocab(spark, d), WS.word_pos_majority(words(spark, d)))
+    return n.select("lemma", round6("size").alias("size"), round6("display_size").alias("display_size"), "color")
+
+
+# --- compare selected vs overall ---------------------------------------------
+
+
+@register(
+    "compare_frequencies",
+    O.with_(*O.stats_base(), O.cte_top("vocab", N_WORDS_TFIDF))
+    + """, sel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+agg AS (
+  SELECT t.lemma, count(*) AS overall, CAST(count(s.doc_id) AS BIGINT) AS selected
+  FROM dterm t LEFT JOIN sel s USING (doc_id)
+  WHERE t.lemma IN (SELECT lemma FROM vocab) GROUP BY t.lemma
+)
+SELECT lemma, overall, selected,
+  CAST(row_number() OVER (ORDER BY selected DESC, overall DESC, lemma) AS INTEGER) AS rank FROM agg""",
+)
+def q_compare_frequencies(spark, d):
+    vocab = WS.frequent_words(dfreq(spark, d), N_WORDS_TFIDF)
+    selected = table(spark, d, "labels").filter(F.col("quality") == 1).select("doc_id")
+    agg = WS.compare_frequencies(padded(spark, d), selected, vocab, N_WORDS_TFIDF)
+    # At most N_WORDS_TFIDF rows: a global rank is cheap here.
+    w = Window.orderBy(F.desc("selected"), F.desc("overall"), F.asc("lemma"))
+    return agg.withColumn("rank", F.row_number().over(w))
+
+
+# --- compounds ---------------------------------------------------------------
+
+SEG_SQL = """p1 AS (
+  SELECT *, coalesce(lag(dep) OVER (PARTITION BY doc_id, sent_id ORDER BY word_id) = 'compound', false) AS prevc
+  FROM words
+),
+seg AS (
+  SELECT *, sum(CASE WHEN prevc THEN 0 ELSE 1 END)
+    OVER (PARTITION BY doc_id, sent_id ORDER BY word_id ROWS UNBOUNDED PRECEDING) AS chain
+  FROM p1
+)"""
+
+
+@register(
+    "merge_compounds",
+    O.with_(*O.words_base(), SEG_SQL)
+    + """SELECT doc_id, sent_id, CAST(min(word_id) AS INTEGER) AS word_id,
+  string_agg(text, ' ' ORDER BY word_id) AS text, string_agg(lemma, ' ' ORDER BY word_id) AS lemma,
+  CASE WHEN arg_min(dep, word_id) = 'compound' THEN false ELSE arg_min(is_stop, word_id) END AS is_stop,
+  arg_max(pos, word_id) AS pos, arg_max_null(ent_type, word_id) AS ent_type, CAST(count(*) AS INTEGER) AS n_tokens
+FROM seg GROUP BY doc_id, sent_id, chain""",
+)
+def q_merge_compounds(spark, d):
+    return TK.merge_compounds(words(spark, d), mode="merged")
+
+
+@register(
+    "merge_compounds_overlapping",
+    O.with_(*O.words_base(), SEG_SQL)
+    + """SELECT a.doc_id, a.sent_id, a.word_id,
+  string_agg(b.text, ' ' ORDER BY b.word_id) AS text, string_agg(b.lemma, ' ' ORDER BY b.word_id) AS lemma,
+  CASE WHEN a.dep = 'compound' THEN false ELSE a.is_stop END AS is_stop,
+  arg_max(b.pos, b.word_id) AS pos, arg_max_null(b.ent_type, b.word_id) AS ent_type,
+  CAST(count(*) AS INTEGER) AS n_tokens
+FROM seg a JOIN seg b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.chain = b.chain AND b.word_id >= a.word_id
+GROUP BY a.doc_id, a.sent_id, a.word_id, a.dep, a.is_stop""",
+)
+def q_merge_compounds_overlapping(spark, d):
+    return TK.merge_compounds(words(spark, d), mode="overlapping")
