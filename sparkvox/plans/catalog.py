@@ -16,7 +16,11 @@ from sparkvox.functions import lexicon as L
 from sparkvox.functions.vectors import round6
 from sparkvox.operators import normalize as N
 from sparkvox.operators import tokens as TK
+from sparkvox.functions import vectors as V
+from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
+from sparkvox.operators import vectors as VC
+from sparkvox.session import scratch_path
 from sparkvox.operators import wordstats as WS
 from sparkvox.plans import oracle as O
 
@@ -423,3 +427,199 @@ GROUP BY a.doc_id, a.sent_id, a.word_id, a.dep, a.is_stop""",
 )
 def q_merge_compounds_overlapping(spark, d):
     return TK.merge_compounds(words(spark, d), mode="overlapping")
+
+
+# ---------------------------------------------------------------------------
+# D. vectors (embeddings table: vec_id, embedding FLOAT[64], label)
+# ---------------------------------------------------------------------------
+
+def emb(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def emb_dim(spark: SparkSession, d: str) -> int:
+    return int(emb(spark, d).select(F.max(F.size("embedding"))).first()[0])
+
+
+def long_vec(df: DataFrame, id_col: str, vec_col: str, id_name: str = "id") -> DataFrame:
+    return df.select(F.col(id_col).alias(id_name), F.posexplode(vec_col).alias("dim", "value")).select(
+        id_name, "dim", round6(F.col("value").cast("double")).alias("value")
+    )
+
+
+UNNEST_EMB = """e AS (
+  SELECT vec_id, label, CAST(u.o - 1 AS INTEGER) AS dim, CAST(u.x AS DOUBLE) AS x
+  FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, o)
+)"""
+
+
+@register(
+    "subtoken_pool",
+    O.with_(UNNEST_EMB)
+    + """, pooled AS (SELECT vec_id // 2 AS word_id, dim, avg(x) AS v FROM e GROUP BY 1, 2),
+width AS (SELECT max(len(embedding)) AS w FROM embeddings),
+dims AS (SELECT CAST(range AS INTEGER) AS dim FROM range((SELECT w FROM width)))
+SELECT d.doc_id AS word_id, dims.dim, round(coalesce(p.v, 0.0), 6) AS value
+FROM documents d CROSS JOIN dims LEFT JOIN pooled p ON p.word_id = d.doc_id AND p.dim = dims.dim""",
+)
+def q_subtoken_pool(spark, d):
+    # Every embeddings row is a sub-token of word vec_id div 2; words are the
+    # document ids, so most words have no sub-token and get the zero vector.
+    sub = emb(spark, d).select(F.expr("vec_id div 2").alias("word_id"), F.col("embedding").alias("vector"))
+    wordset = table(spark, d, "documents").select(F.col("doc_id").alias("word_id"))
+    pooled = VC.subtoken_pool(wordset, sub, emb_dim(spark, d))
+    return long_vec(pooled, "word_id", "vector", "word_id")
+
+
+@register(
+    "pool_vectors",
+    O.with_(UNNEST_EMB)
+    + """, s AS (SELECT vec_id // 50 AS doc_id, vec_id // 10 AS sent_id, dim, avg(x) AS x FROM e GROUP BY 1, 2, 3)
+SELECT doc_id, dim, round(avg(x), 6) AS value FROM s GROUP BY doc_id, dim""",
+)
+def q_pool_vectors(spark, d):
+    w = emb(spark, d).select(
+        F.expr("vec_id div 50").alias("doc_id"), F.expr("vec_id div 10").alias("sent_id"),
+        F.col("embedding").alias("vector"),
+    )
+    return long_vec(VC.pool_vectors(w), "doc_id", "vector", "doc_id")
+
+
+PROJ_K = 8
+
+
+@register(
+    "random_projection",
+    O.with_(UNNEST_EMB)
+    + f""", j AS (SELECT CAST(range AS INTEGER) AS j FROM range({PROJ_K}))
+SELECT e.vec_id AS id, j.j AS dim,
+  round(sum(e.x * (1 - 2 * (((e.dim * 37 + j.j * 101 + ((e.dim * j.j) % 13)) % 11) % 2))) / sqrt({PROJ_K}), 6) AS value
+FROM e CROSS JOIN j GROUP BY e.vec_id, j.j""",
+)
+def q_random_projection(spark, d):
+    p = VC.random_projection(emb(spark, d), "embedding", PROJ_K, method="sign", out_col="proj")
+    return long_vec(p, "vec_id", "proj")
+
+
+@register("random_projection_gaussian")
+def q_random_projection_gaussian(spark, d):
+    p = VC.random_projection(emb(spark, d), "embedding", PROJ_K, method="gaussian",
+                             dim=emb_dim(spark, d), seed=0, out_col="proj")
+    return long_vec(p, "vec_id", "proj")
+
+
+EMBED_DIM = 64
+
+
+@register(
+    "embed_docs",
+    O.with_(*O.words_base(), O.cte_relevant())
+    + f""", c AS (
+  SELECT doc_id, CAST((('0x' || substr(md5(lemma), 1, 8))::BIGINT) % {EMBED_DIM} AS INTEGER) AS dim, count(*) AS n
+  FROM padded WHERE lemma <> '' GROUP BY 1, 2
+)
+SELECT doc_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM c""",
+)
+def q_embed_docs(spark, d):
+    e = VC.hashed_embedding(padded(spark, d), EMBED_DIM)
+    return e.select("doc_id", "dim", round6("value").alias("value"))
+
+
+@register(
+    "cosine_similarity",
+    """WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT x.vec_id, round(list_dot_product(x.v, y.v)
+  / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))), 6) AS cosine
+FROM a x JOIN a y ON y.vec_id = x.vec_id + 1""",
+)
+def q_cosine_similarity(spark, d):
+    e = emb(spark, d)
+    left = e.select(F.col("vec_id"), F.col("embedding").alias("l_vec"))
+    right = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("r_vec"))
+    return left.join(right, "vec_id").select("vec_id", round6(V.cosine(F.col("l_vec"), F.col("r_vec"))).alias("cosine"))
+
+
+SIM_K = 5
+
+CENTROIDS_SQL = """nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS nn FROM e GROUP BY vec_id),
+u AS (SELECT e.vec_id, e.label, e.dim, e.x / nrm.nn AS x FROM e JOIN nrm USING (vec_id)),
+c AS (SELECT label AS c_label, dim, avg(x) AS cx FROM u GROUP BY label, dim)"""
+
+
+@register(
+    "similar_docs",
+    O.with_(UNNEST_EMB, CENTROIDS_SQL)
+    + f""", tm AS (SELECT label AS target_id, dim, avg(x) AS tx FROM e GROUP BY label, dim),
+dots AS (
+  SELECT tm.target_id, e.vec_id AS id, sum(tm.tx * e.x) AS dp FROM tm JOIN e USING (dim) GROUP BY 1, 2
+),
+tn AS (SELECT target_id, sqrt(sum(tx * tx)) AS n FROM tm GROUP BY target_id),
+s AS (
+  SELECT dots.target_id, dots.id, dp / (tn.n * nrm.nn) AS score
+  FROM dots JOIN tn USING (target_id) JOIN nrm ON nrm.vec_id = dots.id
+)
+SELECT CAST(target_id AS BIGINT) AS target_id, id, round(score, 6) AS score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
+WHERE rank <= {SIM_K}""",
+)
+def q_similar_docs(spark, d):
+    # Targets: the mean vector of every label (a handful of rows derived
+    # from the table); corpus: every vector.
+    e = emb(spark, d)
+    targets = VC.mean_vectors(e.select(F.col("label").cast("long").alias("vec_id"), "embedding"), "vec_id", "embedding")
+    top = VC.similar_docs(e, targets, SIM_K, exclude_self=False)
+    return top.select("target_id", "id", round6("score").alias("score"), "rank")
+
+
+# ---------------------------------------------------------------------------
+# F. document map and clusters
+# ---------------------------------------------------------------------------
+
+
+@register(
+    "l2_normalize",
+    O.with_(UNNEST_EMB, CENTROIDS_SQL) + "SELECT vec_id, dim, round(x, 6) AS value FROM u",
+)
+def q_l2_normalize(spark, d):
+    n = DM.l2_normalize(emb(spark, d), "embedding")
+    return long_vec(n, "vec_id", "embedding", "vec_id")
+
+
+@register("kmeans_all_k")
+def q_kmeans_all_k(spark, d):
+    return DM.kmeans_all_k(emb(spark, d), max_cluster=L.MAX_CLUSTER)
+
+
+def label_centroids(spark: SparkSession, d: str) -> DataFrame:
+    n = DM.l2_normalize(emb(spark, d), "embedding")
+    return VC.mean_vectors(n, "label", "embedding").withColumnRenamed("embedding", "vector")
+
+
+@register(
+    "nearest_centroid",
+    O.with_(UNNEST_EMB, CENTROIDS_SQL)
+    + """, dist AS (
+  SELECT u.vec_id, c.c_label, sum((u.x - c.cx) * (u.x - c.cx)) AS d2 FROM u JOIN c USING (dim) GROUP BY 1, 2
+)
+SELECT vec_id, arg_min(c_label, (d2, c_label)) AS label FROM dist GROUP BY vec_id""",
+)
+def q_nearest_centroid(spark, d):
+    n = DM.l2_normalize(emb(spark, d), "embedding")
+    return DM.nearest_centroid(n, label_centroids(spark, d))
+
+
+K_SHOWN = 7
+
+
+@register("labels_for_k")
+def q_labels_for_k(spark, d):
+    # The k sweep is stored once, partitioned by k; reading one k prunes to
+    # a single directory (PartitionFilters on the scan).
+    path = scratch_path(spark, "clusters")
+    DM.kmeans_all_k(emb(spark, d)).write.partitionBy("k").parquet(path)
+    return DM.labels_for_k(spark.read.parquet(path), K_SHOWN)
+
+
+@register("document_map_2d")
+def q_document_map_2d(spark, d):
+    return DM.document_map_2d(emb(spark, d))
