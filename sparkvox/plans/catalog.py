@@ -17,6 +17,7 @@ from sparkvox.functions.vectors import round6
 from sparkvox.operators import normalize as N
 from sparkvox.operators import tokens as TK
 from sparkvox.functions import vectors as V
+from sparkvox.operators import charts as CH
 from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
 from sparkvox.operators import vectors as VC
@@ -163,15 +164,20 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
     return WS.tfidf_by_label(padded(spark, d), vocab, label_col="lang", vocab_bound=N_WORDS_TFIDF)
 
 
-def tfidf_sql() -> list[str]:
+LANG_LABELS = "dl AS (SELECT doc_id, lang AS label FROM documents)"
+CLUSTER_LABELS = "dl AS (SELECT vec_id AS doc_id, label FROM embeddings)"
+
+
+def tfidf_sql(doc_labels: str = LANG_LABELS) -> list[str]:
     return [
         *O.stats_base(),
         O.cte_top("vocab", N_WORDS_TFIDF),
+        doc_labels,
         """tfc AS (
-  SELECT p.lang AS label, p.lemma, count(*) AS tf FROM (
-    SELECT w.*, d.lang FROM padded w JOIN documents d USING (doc_id)) p
-  WHERE p.lemma IN (SELECT lemma FROM vocab) AND p.lang IS NOT NULL
-  GROUP BY p.lang, p.lemma
+  SELECT p.label, p.lemma, count(*) AS tf FROM (
+    SELECT w.*, dl.label FROM padded w JOIN dl USING (doc_id)) p
+  WHERE p.lemma IN (SELECT lemma FROM vocab) AND p.label IS NOT NULL
+  GROUP BY p.label, p.lemma
 ),
 nl AS (SELECT count(DISTINCT label) AS n FROM tfc),
 lf AS (SELECT lemma, count(*) AS lf FROM tfc GROUP BY lemma),
@@ -623,3 +629,253 @@ def q_labels_for_k(spark, d):
 @register("document_map_2d")
 def q_document_map_2d(spark, d):
     return DM.document_map_2d(emb(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# G. chart-ready tables
+#    points: documents with a vector; x, y = embedding[0], embedding[1];
+#    label = embeddings.label; display names 0→"a", 1→"", 2→"2".
+# ---------------------------------------------------------------------------
+
+GROUP_NAMES = [(0, "a"), (1, ""), (2, "2")]
+TAPPED_LABEL = 3
+N_CLOUD_WORDS = 20
+
+
+def points(spark: SparkSession, d: str) -> DataFrame:
+    e = emb(spark, d).select(
+        F.col("vec_id").alias("doc_id"),
+        F.col("embedding")[0].cast("double").alias("x"),
+        F.col("embedding")[1].cast("double").alias("y"),
+        "label",
+    )
+    return e.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def names_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GROUP_NAMES, "label int, name string")
+
+
+def display_names(spark: SparkSession, d: str) -> DataFrame:
+    return CH.group_display_names(points(spark, d).select("label").distinct(), names_df(spark))
+
+
+def colors(spark: SparkSession, d: str) -> DataFrame:
+    return CH.label_colors(points(spark, d).select("label").distinct())
+
+
+def chart_rows(spark: SparkSession, d: str) -> DataFrame:
+    return CH.scatter_table(points(spark, d), display_names(spark, d), colors(spark, d))
+
+
+def palette_sql(n: str, label: str) -> str:
+    p10 = "[" + ", ".join(O.q(c) for c in L.PALETTE_10) + "]"
+    p20 = "[" + ", ".join(O.q(c) for c in L.PALETTE_20) + "]"
+    return f"CASE WHEN {n} <= 10 THEN {p10}[{label} + 1] ELSE {p20}[{label} + 1] END"
+
+
+G_SQL = [
+    """pts AS (
+  SELECT e.vec_id AS doc_id, CAST(e.embedding[1] AS DOUBLE) AS x, CAST(e.embedding[2] AS DOUBLE) AS y, e.label, d.text
+  FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
+)""",
+    "names(label, name) AS (VALUES " + ", ".join(f"({k}, {O.q(v)})" for k, v in GROUP_NAMES) + ")",
+    """labs AS (SELECT DISTINCT label FROM pts),
+disp AS (
+  SELECT l.label, CAST(l.label AS VARCHAR) || ':' || coalesce(n.name, '') AS label_wamei
+  FROM labs l LEFT JOIN (SELECT * FROM names WHERE name <> '' AND name <> CAST(label AS VARCHAR)) n USING (label)
+)""",
+    f"cols AS (SELECT label, {palette_sql('(SELECT count(*) FROM labs)', 'label')} AS color FROM labs)",
+    """rowsg AS (
+  SELECT p.doc_id, p.x, p.y, p.text, p.label, c.color, n.label_wamei
+  FROM pts p LEFT JOIN disp n USING (label) LEFT JOIN cols c USING (label)
+)""",
+    """agg AS (SELECT label, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pts GROUP BY label),
+sh AS (SELECT *, n / sum(n) OVER () AS share FROM agg),
+posn AS (
+  SELECT label,
+    (mx - min(mx) OVER ()) / (max(mx) OVER () - min(mx) OVER ()) AS x,
+    (my - min(my) OVER ()) / (max(my) OVER () - min(my) OVER ()) AS y,
+    share / max(share) OVER () AS size
+  FROM sh
+)""",
+]
+
+
+@register("cluster_positions", O.with_(*G_SQL) + """SELECT label, round(x, 6) AS x, round(y, 6) AS y,
+  round(size, 6) AS size FROM posn""")
+def q_cluster_positions(spark, d):
+    p = CH.cluster_positions(points(spark, d))
+    return p.select("label", *[round6(c).alias(c) for c in ("x", "y", "size")])
+
+
+@register("group_display_names", O.with_(*G_SQL) + "SELECT label, label_wamei FROM disp")
+def q_group_display_names(spark, d):
+    return display_names(spark, d)
+
+
+@register("label_colors", O.with_(*G_SQL) + "SELECT label, color FROM cols")
+def q_label_colors(spark, d):
+    return colors(spark, d)
+
+
+@register("scatter_table", O.with_(*G_SQL) + """SELECT doc_id, round(x, 6) AS x, round(y, 6) AS y, text, label,
+  color, label_wamei FROM rowsg""")
+def q_scatter_table(spark, d):
+    t = chart_rows(spark, d)
+    return t.select("doc_id", round6("x").alias("x"), round6("y").alias("y"), "text", "label", "color", "label_wamei")
+
+
+@register("axis_ranges", O.with_(*G_SQL) + """SELECT round(min(x) - 0.1, 6) AS x_start, round(max(x) + 0.1, 6) AS x_end,
+  round(min(y) - 0.1, 6) AS y_start, round(max(y) + 0.1, 6) AS y_end FROM pts""")
+def q_axis_ranges(spark, d):
+    a = CH.axis_ranges(points(spark, d))
+    return a.select(*[round6(c).alias(c) for c in a.columns])
+
+
+@register("label_texts", O.with_(*G_SQL) + "SELECT label, doc_id, text FROM pts")
+def q_label_texts(spark, d):
+    return CH.label_texts(points(spark, d))
+
+
+@register("document_table", O.with_(*G_SQL) + "SELECT CAST(label AS VARCHAR) AS label, label_wamei, text FROM rowsg")
+def q_document_table(spark, d):
+    return CH.document_table(chart_rows(spark, d))
+
+
+SELECT_SQL = """SELECT CAST(s.doc_id AS BIGINT) AS position, s.doc_id, CAST(r.label AS VARCHAR) AS label,
+  r.label_wamei, r.text FROM sel s JOIN rowsg r USING (doc_id)"""
+PH_SQL = (
+    f"SELECT NULL::BIGINT, NULL::BIGINT, {O.q(L.EMPTY_TABLE_LABEL)}, {O.q(L.EMPTY_TABLE_LABEL)}, "
+    f"{O.q(L.EMPTY_TABLE_TEXT)} FROM range({L.N_EMPTY_ROWS}) WHERE NOT EXISTS (SELECT 1 FROM picked)"
+)
+
+
+@register(
+    "select_by_index",
+    O.with_(*G_SQL, "sel AS (SELECT doc_id FROM labels WHERE toxic = 1)", f"picked AS ({SELECT_SQL})")
+    + "SELECT * FROM picked UNION ALL " + PH_SQL,
+)
+def q_select_by_index(spark, d):
+    # Selected: documents flagged toxic, in document order.
+    sel = table(spark, d, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("position"), "doc_id")
+    return CH.select_by_index(chart_rows(spark, d), sel)
+
+
+@register(
+    "select_by_label",
+    O.with_(*G_SQL, f"""picked AS (SELECT CAST(doc_id AS BIGINT) AS position, doc_id, CAST(label AS VARCHAR) AS label,
+  label_wamei, text FROM rowsg WHERE label = {TAPPED_LABEL})""")
+    + "SELECT * FROM picked UNION ALL " + PH_SQL,
+)
+def q_select_by_label(spark, d):
+    return CH.select_by_label(chart_rows(spark, d), TAPPED_LABEL)
+
+
+# --- word clouds: TF-IDF by cluster label → layout lines → canvas -----------
+
+def cluster_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    vocab = WS.frequent_words(dfreq(spark, d), N_WORDS_TFIDF)
+    doc_labels = emb(spark, d).select(F.col("vec_id").alias("doc_id"), "label")
+    return WS.tfidf_by_label(padded(spark, d), vocab, label_col="label", doc_labels=doc_labels,
+                             vocab_bound=N_WORDS_TFIDF)
+
+
+SVG_HEADER = '<svg xmlns="http://www.w3.org/2000/svg" width="900" height="900">'
+
+
+def layout_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered lines per group, written as text files partitioned by label
+    (one directory per word cloud) and read back as a text source."""
+    top = WS.top_words_by_label(cluster_tfidf(spark, d), N_CLOUD_WORDS)
+    r, lab = F.col("rank"), F.col("label")
+    line = F.format_string(
+        '<text transform="translate(%d,%d)%s" font-size="%d" style="fill:rgb(%d, %d, %d)">%s</text>',
+        F.lit(50) + F.pmod(r * 137, F.lit(800)), F.lit(50) + F.pmod(r * 71, F.lit(800)),
+        F.when(r % 4 == 0, F.lit(" rotate(-90)")).otherwise(F.lit("")),
+        F.lit(8) + F.lit(4) * (F.lit(21) - r),
+        F.pmod(r * 50, F.lit(256)), F.pmod(lab * 25, F.lit(256)), F.pmod(r * 13 + lab * 7, F.lit(256)),
+        F.col("lemma"),
+    )
+    body = top.select("label", line.alias("value"))
+    header = top.select("label").distinct().select("label", F.lit(SVG_HEADER).alias("value"))
+    path = scratch_path(spark, "layout")
+    body.unionByName(header).write.partitionBy("label").text(path)
+    return spark.read.text(path)
+
+
+def cloud_sql() -> list[str]:
+    pat = O.q(CH.LAYOUT_PATTERN)
+
+    def g(i):
+        return f"regexp_extract(value, {pat}, {i})"
+
+    return [
+        *tfidf_sql(CLUSTER_LABELS),
+        f"""topw AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY weight DESC, lemma) AS rank FROM tfidf)
+  WHERE rank <= {N_CLOUD_WORDS}
+),
+lines AS (
+  SELECT label, '<text transform="translate(' || (50 + (rank * 137) % 800) || ',' || (50 + (rank * 71) % 800) || ')'
+    || CASE WHEN rank % 4 = 0 THEN ' rotate(-90)' ELSE '' END || '" font-size="' || (8 + 4 * (21 - rank))
+    || '" style="fill:rgb(' || ((rank * 50) % 256) || ', ' || ((label * 25) % 256) || ', '
+    || ((rank * 13 + label * 7) % 256) || ')">' || lemma || '</text>' AS value FROM topw
+  UNION ALL SELECT DISTINCT label, {O.q(SVG_HEADER)} FROM topw
+),
+parsed AS (
+  SELECT label, CAST({g(1)} AS INTEGER) AS x, CAST({g(2)} AS INTEGER) AS y, CAST({g(5)} AS INTEGER) AS font_size,
+    CAST({g(6)} AS INTEGER) AS red, CAST({g(7)} AS INTEGER) AS green, CAST({g(8)} AS INTEGER) AS blue,
+    {g(9)} AS text, CASE WHEN {g(4)} = '' THEN 0 ELSE CAST({g(4)} AS INTEGER) END AS angle
+  FROM lines WHERE regexp_matches(value, {pat})
+),
+parsedc AS (SELECT *, printf('#%02x%02x%02x', red, green, blue) AS color FROM parsed),
+maxfont AS (SELECT max(font_size) AS m FROM parsed)""",
+        *G_SQL,
+        f"""canvas AS (
+  SELECT label,
+    (x - 0.5) * {L.CANVAS_WIDTH - 2 * L.CANVAS_MARGIN} * {L.CANVAS_SPREAD} + {(L.CANVAS_WIDTH - 2 * L.CANVAS_MARGIN) / 2} AS cx,
+    (y - 0.5) * {L.CANVAS_HEIGHT - 2 * L.CANVAS_MARGIN} * {L.CANVAS_SPREAD} + {(L.CANVAS_HEIGHT - 2 * L.CANVAS_MARGIN) / 2} AS cy,
+    {L.CANVAS_HEIGHT} * (size * {L.CANVAS_WIDTH} * {L.CLOUD_SIZE_FACTOR} / (SELECT m FROM maxfont)) / 2 AS radius
+  FROM posn
+)""",
+    ]
+
+
+@register(
+    "parse_layout_lines",
+    O.with_(*cloud_sql()) + "SELECT label, x, y, font_size, red, green, blue, text, angle, color FROM parsedc",
+)
+def q_parse_layout_lines(spark, d):
+    return CH.parse_layout_lines(layout_lines(spark, d))
+
+
+@register(
+    "place_words_on_canvas",
+    O.with_(*cloud_sql())
+    + f"""SELECT w.label, round((w.x - {L.CLOUD_OFFSET}) * (c.radius / {L.CLOUD_DIAMETER / 2}) + c.cx, 6) AS x,
+  round((({L.CLOUD_CANVAS} - w.y) - {L.CLOUD_OFFSET}) * (c.radius / {L.CLOUD_DIAMETER / 2}) + c.cy, 6) AS y,
+  w.text, round(w.angle / 180 * pi() * -1, 6) AS angle, w.color,
+  printf('%.1fpx', w.font_size * ((c.radius / {L.CLOUD_DIAMETER / 2}) * {L.FONT_SCALE})) AS font_size
+FROM parsedc w JOIN canvas c USING (label)""",
+)
+def q_place_words_on_canvas(spark, d):
+    words_ = CH.parse_layout_lines(layout_lines(spark, d))
+    max_font = words_.select(F.max("font_size")).scalar()
+    placed = CH.place_words_on_canvas(words_, CH.cluster_positions(points(spark, d)), max_font)
+    return placed.select("label", round6("x").alias("x"), round6("y").alias("y"), "text",
+                         round6("angle").alias("angle"), "color", "font_size")
+
+
+@register(
+    "cluster_bubbles",
+    O.with_(*cloud_sql())
+    + f"""SELECT c.label, round(c.cx, 6) AS x, round(c.cy, 6) AS y, round(c.radius * 2 * {L.BUBBLE_SCALE}, 6) AS diameter,
+  k.color, n.label_wamei FROM canvas c LEFT JOIN disp n USING (label) LEFT JOIN cols k USING (label)""",
+)
+def q_cluster_bubbles(spark, d):
+    words_ = CH.parse_layout_lines(layout_lines(spark, d))
+    max_font = words_.select(F.max("font_size")).scalar()
+    b = CH.cluster_bubbles(CH.cluster_positions(points(spark, d)), display_names(spark, d), colors(spark, d), max_font)
+    return b.select("label", round6("x").alias("x"), round6("y").alias("y"), round6("diameter").alias("diameter"),
+                    "color", "label_wamei")
