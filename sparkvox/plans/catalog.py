@@ -22,6 +22,7 @@ from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
 from sparkvox.operators import vectors as VC
 from sparkvox.session import scratch_path
+from sparkvox.streaming import monitor as MON
 from sparkvox.operators import wordstats as WS
 from sparkvox.plans import oracle as O
 
@@ -879,3 +880,134 @@ def q_cluster_bubbles(spark, d):
     b = CH.cluster_bubbles(CH.cluster_positions(points(spark, d)), display_names(spark, d), colors(spark, d), max_font)
     return b.select("label", round6("x").alias("x"), round6("y").alias("y"), round6("diameter").alias("diameter"),
                     "color", "label_wamei")
+
+
+# ---------------------------------------------------------------------------
+# H. worker status over the events feed (worker = user_id; now = max(ts))
+# ---------------------------------------------------------------------------
+
+def status_ev(spark: SparkSession, d: str) -> DataFrame:
+    return MON.status_events(table(spark, d, "events"))
+
+
+def now_col(spark: SparkSession, d: str):
+    return table(spark, d, "events").select(F.max("ts")).scalar()
+
+
+def stale(spark: SparkSession, d: str) -> DataFrame:
+    latest = MON.worker_latest_status(status_ev(spark, d))
+    return MON.worker_stale_status(latest, now_col(spark, d))
+
+
+STATUS_CASE = "CASE event_type " + " ".join(
+    f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in MON.EVENT_STATUS.items()) + " ELSE 'not initiated' END"
+H_SQL = [
+    f"ev AS (SELECT user_id AS worker, ts, {STATUS_CASE} AS status, props AS message, event_id, event_type FROM events)",
+    """latest AS (
+  SELECT worker, arg_max_null(status, (ts, event_id)) AS last_status, arg_max_null(message, (ts, event_id)) AS message,
+    min(ts) AS created_at, max(ts) AS updated_at FROM ev GROUP BY worker
+)""",
+    f"""stale AS (
+  SELECT *, CASE WHEN (epoch_us((SELECT max(ts) FROM events)) - epoch_us(updated_at)) / 1e6 > {L.STALE_AFTER_SECONDS}
+      AND last_status NOT IN {O.in_list(L.FINAL_STATUSES)} THEN {O.q(L.STALE_STATUS)} ELSE last_status END AS status
+  FROM latest
+)""",
+]
+
+
+@register("worker_latest_status", O.with_(*H_SQL) + "SELECT worker, last_status, message, created_at, updated_at FROM latest")
+def q_worker_latest_status(spark, d):
+    return MON.worker_latest_status(status_ev(spark, d))
+
+
+@register("worker_stale_status", O.with_(*H_SQL) + "SELECT worker, last_status, updated_at, status FROM stale")
+def q_worker_stale_status(spark, d):
+    return stale(spark, d).select("worker", "last_status", "updated_at", "status")
+
+
+@register(
+    "status_info_age",
+    O.with_(*H_SQL)
+    + f"""SELECT event_id, coalesce((epoch_us((SELECT max(ts) FROM events))
+    - epoch_us(try_strptime(CASE WHEN event_type = 'error' THEN message ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END,
+                            '%Y-%m-%d %H:%M:%S'))) / 1e6 > {L.INFO_TTL_SECONDS}, true) AS is_old
+FROM ev""",
+)
+def q_status_info_age(spark, d):
+    # The fetched copy's time: the event time as text; error events carry
+    # their payload instead, which does not parse.
+    ev = table(spark, d, "events").select(
+        "event_id",
+        F.when(F.col("event_type") == "error", F.col("props"))
+        .otherwise(F.date_format("ts", L.TIME_FORMAT)).alias("fetched_at"),
+    )
+    return MON.status_info_age(ev, now_col(spark, d)).select("event_id", "is_old")
+
+
+@register(
+    "running_workers",
+    O.with_(*H_SQL)
+    + f"""SELECT CAST(count(*) FILTER (WHERE status IN ('ready', 'running')) AS BIGINT) AS n_running,
+  count(*) FILTER (WHERE status IN ('ready', 'running')) < {L.MAX_N_WORKERS} AS can_start FROM stale""",
+)
+def q_running_workers(spark, d):
+    return MON.running_workers(stale(spark, d))
+
+
+@register(
+    "pulse_gaps",
+    O.with_(*H_SQL)
+    + """SELECT worker, event_id, ts, CAST(row_number() OVER w - 1 AS INTEGER) AS pulse_no,
+  round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 6) AS gap_seconds
+FROM ev WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id)""",
+)
+def q_pulse_gaps(spark, d):
+    g = MON.pulse_gaps(status_ev(spark, d))
+    return g.withColumn("gap_seconds", round6("gap_seconds"))
+
+
+@register(
+    "worker_board",
+    O.with_(*H_SQL)
+    + f"""SELECT CAST(worker AS VARCHAR) AS name, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at, last_status,
+  CASE WHEN status IN ('ready', 'running') THEN {O.q(L.ALIVE_SYMBOL)} ELSE {O.q(L.NOT_ALIVE_SYMBOL)} END AS is_alive,
+  last_status = 'error at app' AS cancel FROM stale""",
+)
+def q_worker_board(spark, d):
+    # Workers whose last event failed are marked for cancelling.
+    return MON.worker_board(stale(spark, d), F.col("last_status") == "error at app")
+
+
+@register(
+    "worker_latest_status_stream",
+    O.with_(*H_SQL) + "SELECT worker, last_status, message, created_at, updated_at FROM latest",
+)
+def q_worker_latest_status_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return MON.worker_latest_status_stream(spark, f"{d}/events.parquet", schema)
+
+
+SESSION_GAP_H = 6
+WATERMARK_DELAY_H = 1
+
+
+@register(
+    "pulse_sessions_stream",
+    O.with_(*H_SQL)
+    + f""", g AS (
+  SELECT worker, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL {SESSION_GAP_H} HOUR
+    THEN 1 ELSE 0 END AS brk
+  FROM ev WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id)
+),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY worker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+sess AS (
+  SELECT worker, min(ts) AS session_start, max(ts) + INTERVAL {SESSION_GAP_H} HOUR AS session_end, count(*) AS n_pulses
+  FROM s GROUP BY worker, sid
+)
+SELECT worker, session_start, session_end, n_pulses FROM sess
+WHERE session_end <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL {WATERMARK_DELAY_H} HOUR""",
+)
+def q_pulse_sessions_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return MON.pulse_sessions_stream(spark, f"{d}/events.parquet", schema,
+                                     gap=f"{SESSION_GAP_H} hours", delay=f"{WATERMARK_DELAY_H} hour")
