@@ -18,6 +18,9 @@ from sparkvox.operators import normalize as N
 from sparkvox.operators import tokens as TK
 from sparkvox.functions import vectors as V
 from sparkvox.operators import charts as CH
+from sparkvox.operators import columns as COL
+from sparkvox.operators import hierarchy as HI
+from sparkvox.sources import corpus_io as IO
 from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
 from sparkvox.operators import vectors as VC
@@ -1011,3 +1014,218 @@ def q_pulse_sessions_stream(spark, d):
     schema = table(spark, d, "events").schema
     return MON.pulse_sessions_stream(spark, f"{d}/events.parquet", schema,
                                      gap=f"{SESSION_GAP_H} hours", delay=f"{WATERMARK_DELAY_H} hour")
+
+
+# ---------------------------------------------------------------------------
+# I. hierarchies: region → nation → customer as one adjacency table
+# ---------------------------------------------------------------------------
+
+def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "region").select(
+        F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("label"),
+        F.col("r_regionkey").cast("long").alias("key"), F.lit(False).alias("checked"), F.lit(False).alias("disabled"),
+    )
+    n = table(spark, d, "nation").select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"),
+        F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.col("n_name").alias("label"),
+        F.col("n_nationkey").cast("long").alias("key"), F.lit(False).alias("checked"), F.lit(False).alias("disabled"),
+    )
+    c = table(spark, d, "customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
+        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent_id"), F.col("c_name").alias("label"),
+        F.col("c_custkey").cast("long").alias("key"),
+        F.coalesce(F.col("c_acctbal") < 0, F.lit(False)).alias("checked"),
+        F.coalesce(F.col("c_mktsegment") == "AUTOMOBILE", F.lit(False)).alias("disabled"),
+    )
+    return r.unionByName(n).unionByName(c)
+
+
+def walk(spark: SparkSession, d: str) -> DataFrame:
+    return HI.tree_walk(tree_nodes(spark, d))
+
+
+TREE_SQL = """WITH RECURSIVE nodes AS (
+  SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS parent_id, r_name AS label, CAST(r_regionkey AS BIGINT) AS key,
+    false AS checked, false AS disabled FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, CAST(n_nationkey AS BIGINT), false, false FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name, CAST(c_custkey AS BIGINT),
+    coalesce(c_acctbal < 0, false), coalesce(c_mktsegment = 'AUTOMOBILE', false) FROM customer
+),
+walk AS (
+  SELECT id, label AS path, 0 AS depth, lpad(CAST(key AS VARCHAR), 19, '0') AS preorder_key, checked, disabled,
+    [id] AS lineage, checked AS own_checked
+  FROM nodes WHERE parent_id IS NULL
+  UNION ALL
+  SELECT n.id, w.path || '/' || n.label, w.depth + 1, w.preorder_key || '.' || lpad(CAST(n.key AS VARCHAR), 19, '0'),
+    w.checked OR n.checked, w.disabled OR n.disabled, list_append(w.lineage, n.id), n.checked
+  FROM walk w JOIN nodes n ON n.parent_id = w.id
+),
+opened AS (SELECT DISTINCT unnest(lineage) AS id FROM walk WHERE own_checked)
+"""
+
+
+@register("tree_paths", TREE_SQL + "SELECT id, path, depth, preorder_key FROM walk")
+def q_tree_paths(spark, d):
+    return HI.tree_paths(walk(spark, d))
+
+
+@register("tree_inherit_flags", TREE_SQL + "SELECT id, checked, disabled FROM walk")
+def q_tree_inherit_flags(spark, d):
+    return HI.tree_inherit_flags(walk(spark, d))
+
+
+@register(
+    "tree_open_nodes",
+    TREE_SQL + """SELECT w.id, w.preorder_key, w.checked, (w.checked OR o.id IS NOT NULL) AS open
+FROM walk w LEFT JOIN opened o USING (id)""",
+)
+def q_tree_open_nodes(spark, d):
+    return HI.tree_open_nodes(walk(spark, d))
+
+
+@register(
+    "tree_leaves",
+    TREE_SQL + """, parents AS (SELECT DISTINCT parent_id AS id FROM nodes WHERE parent_id IS NOT NULL)
+SELECT w.id, p.id IS NULL AS is_leaf, CASE WHEN p.id IS NULL THEN 'table' ELSE 'folder' END AS icon,
+  CASE WHEN p.id IS NULL AND w.checked THEN string_split(w.path, '/')[-1] END AS selected_leaf
+FROM walk w LEFT JOIN parents p USING (id)""",
+)
+def q_tree_leaves(spark, d):
+    return HI.tree_leaves(walk(spark, d), tree_nodes(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# C. auxiliary columns
+# ---------------------------------------------------------------------------
+
+AUX_COLS = ["lang", "source", "n_chars"]
+AUX_ROLES = {"lang": {"is_label"}, "source": {"is_train_data"}, "n_chars": {"is_generated"}}
+
+
+@register(
+    "unique_column_names",
+    "SELECT doc_id, text, lang AS lang_02, source, lang AS lang_04, n_chars FROM documents",
+)
+def q_unique_column_names(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source", F.col("lang"), "n_chars")
+    return COL.with_unique_columns(docs)
+
+
+@register(
+    "column_roles",
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        "(" + ", ".join([O.q(c)] + [str(r in AUX_ROLES.get(c, set())).lower() for r in COL.ROLES]) + ")"
+        for c in AUX_COLS
+    )
+    + ") AS t(column_name, " + ", ".join(COL.ROLES) + ") JOIN ("
+    + " UNION ALL ".join(f"SELECT {O.q(c)} AS column_name, count({c}) AS n_values FROM documents" for c in AUX_COLS)
+    + ") USING (column_name)",
+)
+def q_column_roles(spark, d):
+    docs = COL.column_roles(table(spark, d, "documents"), AUX_ROLES)
+    return COL.column_info(docs, AUX_COLS)
+
+
+@register("aux_select", f"SELECT {len(AUX_COLS)} AS n_columns, count(*) AS n_rows FROM documents")
+def q_aux_select(spark, d):
+    return COL.aux_shape(table(spark, d, "documents"), AUX_COLS)
+
+
+# ---------------------------------------------------------------------------
+# A. sources and sinks
+# ---------------------------------------------------------------------------
+
+DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
+DOC_SQL = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+
+
+@register("read_corpus_csv", DOC_SQL)
+def q_read_corpus_csv(spark, d):
+    # Round trip: documents written as CSV (quoted, multi-line), read back
+    # with the explicit schema.
+    docs = table(spark, d, "documents").select(*DOC_COLS)
+    path = scratch_path(spark, "corpus_csv")
+    IO.write_corpus_csv(docs, path)
+    return IO.read_corpus_csv(spark, path, schema=docs.schema)
+
+
+@register(
+    "corpus_from_dataframe",
+    """SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def q_corpus_from_dataframe(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return IO.corpus_from_dataframe(df, text_col="text", id_col="doc_id")
+
+
+def dump_corpus(spark: SparkSession, d: str) -> str:
+    path = scratch_path(spark, "corpus_dump")
+    corpus = IO.corpus_from_dataframe(table(spark, d, "documents"), "text", "doc_id")
+    parts = {
+        "docs": corpus,
+        "words": words(spark, d).drop("lang"),
+        "doc_vectors": emb(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")),
+        "aux_info": COL.column_info(COL.column_roles(corpus, AUX_ROLES), AUX_COLS),
+    }
+    IO.corpus_dump(parts, path)
+    return path
+
+
+@register(
+    "corpus_dump",
+    O.with_(*O.words_base())
+    + """SELECT 'docs' AS part, count(*) AS n_rows FROM documents
+UNION ALL SELECT 'words', count(*) FROM words
+UNION ALL SELECT 'doc_vectors', count(*) FROM embeddings
+UNION ALL SELECT 'aux_info', 3
+UNION ALL SELECT 'meta', 1""",
+)
+def q_corpus_dump(spark, d):
+    loaded = IO.corpus_load(spark, dump_corpus(spark, d))
+    meta = spark.range(1).select(F.lit("meta").alias("part"), F.lit(1).cast("long").alias("n_rows"))
+    counts = [df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n_rows")) for name, df in loaded.items()]
+    out = meta
+    for c in counts:
+        out = out.unionByName(c)
+    return out
+
+
+@register("corpus_load", DOC_SQL)
+def q_corpus_load(spark, d):
+    return IO.corpus_load(spark, dump_corpus(spark, d))["docs"].select(*DOC_COLS)
+
+
+@register("analysis_persist", O.with_(*O.stats_base()) + "SELECT lemma, df FROM dfreq")
+def q_analysis_persist(spark, d):
+    return IO.persist_result(dfreq(spark, d), scratch_path(spark, "doc_frequency"))
+
+
+@register(
+    "docs_to_word_table",
+    O.with_(*O.words_base())
+    + """SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS INTEGER) AS sent_id,
+  word_id, text, lemma, is_stop, pos, dep, ent_type FROM words""",
+)
+def q_docs_to_word_table(spark, d):
+    # The nested form has no sentence ids: flattening numbers the sentences
+    # that hold words densely, in document order.
+    nested = IO.word_table_to_docs(words(spark, d))
+    return IO.docs_to_word_table(nested).select(*WORD_COLS.split(", "))
+
+
+@register(
+    "word_table_to_docs",
+    O.with_(*O.words_base())
+    + """SELECT doc_id, CAST(count(DISTINCT sent_id) AS INTEGER) AS n_sentences, CAST(count(*) AS INTEGER) AS n_words,
+  string_agg(text, '' ORDER BY sent_id, word_id) AS text FROM words GROUP BY doc_id""",
+)
+def q_word_table_to_docs(spark, d):
+    nested = IO.word_table_to_docs(words(spark, d))
+    return nested.select(
+        "doc_id", F.size("sentences").alias("n_sentences"),
+        F.aggregate(F.transform("sentences", lambda s: F.size(s)), F.lit(0), lambda a, b: a + b).alias("n_words"),
+        "text",
+    )
