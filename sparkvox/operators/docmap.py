@@ -8,6 +8,8 @@ parameters; they are applied as literal SQL expressions.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
@@ -28,7 +30,8 @@ def l2_normalize(df: DataFrame, vec_col: str = "embedding", out_col: str | None
 
 
 def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                 max_cluster: int = L.MAX_CLUSTER, seed: int = L.KMEANS_SEED) -> DataFrame:
+                 max_cluster: int = L.MAX_CLUSTER, seed: int = L.KMEANS_SEED,
+                 parallelism: int = 4) -> DataFrame:
     """k-means for every k in 2..max_cluster on unit vectors, long output
     ``(id, k, label)``. The unit vectors are persisted once and reused by
     every fit (Spark's k-means|| initialisation, fixed seed)."""
@@ -37,9 +40,17 @@ def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     feats = l2_normalize(df.select(id_col, vec_col), vec_col).select(
         id_col, array_to_vector(vec_col).alias("features")
     ).persist()
+    # The fits are independent Spark jobs: submit them from a few driver
+    # threads so small fits share the executors (as CrossValidator's
+    # ``parallelism`` does).
+    def fit(k: int):
+        return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(feats)
+
+    ks = list(range(2, max_cluster + 1))
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(ks))) as pool:
+        models = list(pool.map(fit, ks))
     out = None
-    for k in range(2, max_cluster + 1):
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(feats)
+    for k, model in zip(ks, models):
         part = model.transform(feats).select(id_col, F.lit(k).alias("k"), F.col("label").cast("int"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -47,9 +58,9 @@ def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
 def centroid_expr(vec: F.Column, centroids: np.ndarray) -> F.Column:
     """Index of the closest centroid (squared Euclidean), lowest index on
-    ties — one expression over literal centroid arrays."""
-    dists = [V.squared_distance(vec, F.array(*[F.lit(float(x)) for x in c])) for c in centroids]
-    arr = F.array(*dists)
+    ties — one expression over a literal centroid matrix."""
+    mat = F.lit([[float(x) for x in c] for c in centroids])
+    arr = F.transform(mat, lambda c: V.squared_distance(vec, c))
     return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
 
 
@@ -58,14 +69,14 @@ def nearest_centroid(df: DataFrame, centroids: DataFrame, id_col: str = "vec_id"
     """Assign every row to its closest centroid. ``centroids(label, vector)``
     is small by construction (k rows); its size is checked before it is
     read and inlined into the expression."""
-    n = centroids.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"{n} centroids exceed MAX_CENTROIDS={MAX_CENTROIDS}")
-    rows = sorted(centroids.select("label", "vector").collect(), key=lambda r: r[0])
+    rows = centroids.select("label", "vector").limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than MAX_CENTROIDS={MAX_CENTROIDS} centroids")
+    rows = sorted(rows, key=lambda r: r[0])
     labels = [r[0] for r in rows]
     mat = np.array([r[1] for r in rows], dtype=np.float64)
     idx = centroid_expr(F.col(vec_col), mat)
-    return df.select(id_col, F.element_at(F.array(*[F.lit(x) for x in labels]), idx + 1).alias("label"))
+    return df.select(id_col, F.element_at(F.lit(labels), idx + 1).alias("label"))
 
 
 def labels_for_k(clusters: DataFrame, k: int) -> DataFrame:

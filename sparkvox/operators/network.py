@@ -42,7 +42,11 @@ def sentence_pairs(words: DataFrame, vocab: DataFrame, vocab_bound: int | None)
 
 def co_occurrence(words: DataFrame, vocab: DataFrame, vocab_bound: int | None = None) -> DataFrame:
     """Symmetric co-occurrence (both orders, zero diagonal left out)."""
-    und = sentence_pairs(words, vocab, vocab_bound)
+    return mirror_pairs(sentence_pairs(words, vocab, vocab_bound))
+
+
+def mirror_pairs(und: DataFrame) -> DataFrame:
+    """Undirected pair counts → both orders, by one explode (no join)."""
     both = F.array(
         F.struct(F.col("lemma1").alias("a"), F.col("lemma2").alias("b"), "n"),
         F.struct(F.col("lemma2").alias("a"), F.col("lemma1").alias("b"), "n"),
@@ -82,6 +86,8 @@ def co_occurrence_nodes(edges: DataFrame, vocab: DataFrame, pos_vote: DataFrame)
     display size 30 x size, colour by the word's majority POS. When no edge
     is kept, a single placeholder node carries the message."""
     max_df = vocab.select(F.max("df")).scalar()
+    # At most n_edge rows, read twice (nodes and the empty check): keep it.
+    edges = edges.persist()
     on_edge = edges.select(F.explode(F.array("lemma1", "lemma2")).alias("lemma")).distinct()
     color = F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in L.POS_COLORS.items() for x in kv]), F.col("pos")),

@@ -224,7 +224,8 @@ def tfidf_by_label(
             .groupBy(label_col, "lemma")
             .agg(F.sum("n").alias("tf"))
         )
-    counts = counts.filter(F.col(label_col).isNotNull())
+    # label x word counts: bounded by labels x vocabulary, read three times.
+    counts = counts.filter(F.col(label_col).isNotNull()).persist()
     n_labels = counts.select(F.count_distinct(F.col(label_col))).scalar()
     lf = counts.groupBy("lemma").agg(F.count(F.lit(1)).alias("lf"))
     weighted = counts.join(lf, "lemma").withColumn(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,16 +59,31 @@ def clean_docs(spark: SparkSession, d: str) -> DataFrame:
     return N.normalize_text(TK.by_document(docs))
 
 
+# The word table of a corpus is built once and kept (MEMORY_AND_DISK: it
+# spills instead of failing, and lost blocks are recomputed from lineage),
+# like the tokenised documents the analyses share. Every later query plan
+# reads it instead of tokenising the texts again.
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _SHARED:
+        _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _SHARED[key]
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
-    return TK.tokenize_docs(clean_docs(spark, d))
+    return shared(spark, d, "words", lambda: TK.tokenize_docs(clean_docs(spark, d)))
 
 
 def padded(spark: SparkSession, d: str) -> DataFrame:
-    return WS.pad_empty_sentences(words(spark, d))
+    return shared(spark, d, "padded", lambda: WS.pad_empty_sentences(words(spark, d)))
 
 
 def dfreq(spark: SparkSession, d: str) -> DataFrame:
-    return WS.doc_frequency(padded(spark, d), table(spark, d, "documents"))
+    # Bounded by max_vocab_size rows; the vocabulary of every analysis.
+    return shared(spark, d, "dfreq", lambda: WS.doc_frequency(padded(spark, d), table(spark, d, "documents")))
 
 
 N_WORDS_WIDE = 20
@@ -306,7 +322,9 @@ def co_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return NW.sentence_pairs(padded(spark, d), co_vocab(spark, d), CO_N_WORDS)
+    # Undirected pair counts (bounded by vocabulary^2 / 2), shared by the
+    # co-occurrence table, its edges and its nodes.
+    return shared(spark, d, "co_pairs", lambda: NW.sentence_pairs(padded(spark, d), co_vocab(spark, d), CO_N_WORDS))
 
 
 def co_sql() -> list[str]:
@@ -332,7 +350,7 @@ und AS (
     O.with_(*co_sql()) + "SELECT lemma1, lemma2, n FROM und UNION ALL SELECT lemma2, lemma1, n FROM und",
 )
 def q_co_occurrence(spark, d):
-    return NW.co_occurrence(padded(spark, d), co_vocab(spark, d), CO_N_WORDS)
+    return NW.mirror_pairs(co_pairs(spark, d))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
