@@ -75,14 +75,47 @@ def running_workers(status: DataFrame, max_n_workers: int = L.MAX_N_WORKERS) ->
     return status.agg(n.alias("n_running")).withColumn("can_start", F.col("n_running") < max_n_workers)
 
 
-def pulse_gaps(ev: DataFrame) -> DataFrame:
+def pulse_gaps(ev: DataFrame, n_slices: int | None = None) -> DataFrame:
     """Pulses per worker numbered from 0 in time order, with the gap in
-    seconds since the previous pulse (NULL for the first)."""
-    w = Window.partitionBy("worker").orderBy("ts", "event_id")
-    return ev.select(
+    seconds since the previous pulse (NULL for the first).
+
+    Skew-safe: a per-worker window would put a worker holding a large share
+    of all pulses into one task. Instead the rows are range-partitioned on
+    (worker, ts, event_id), so a hot worker spans many slices, and the slice
+    layout is pinned by a reliable checkpoint (a re-run task sees the same
+    slices). Rows are numbered within each (slice, worker); a small
+    per-(slice, worker) summary — one row per slice a worker touches — gives
+    each slice the number of earlier pulses of that worker and the time of
+    the last one.
+    """
+    spark = ev.sparkSession
+    n = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (
+        ev.select("worker", "event_id", "ts")
+        .repartitionByRange(n, "worker", "ts", "event_id")
+        .withColumn("slice", F.spark_partition_id())
+        .checkpoint()
+    )
+    local_w = Window.partitionBy("slice", "worker").orderBy("ts", "event_id")
+    local = ranged.select(
+        "slice", "worker", "event_id", "ts",
+        (F.row_number().over(local_w) - 1).alias("local_no"),
+        F.lag("ts").over(local_w).alias("local_prev"),
+    )
+    per_slice = ranged.groupBy("slice", "worker").agg(
+        F.count(F.lit(1)).alias("cnt"), F.max_by("ts", F.struct("ts", "event_id")).alias("last_ts")
+    )
+    across = Window.partitionBy("worker").orderBy("slice")  # rows: slices one worker spans
+    offsets = per_slice.select(
+        "slice", "worker",
+        F.coalesce(F.sum("cnt").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        F.lag("last_ts").over(across).alias("prev_slice_last"),
+    )
+    j = local.join(offsets, ["slice", "worker"])
+    return j.select(
         "worker", "event_id", "ts",
-        (F.row_number().over(w) - 1).alias("pulse_no"),
-        seconds_between(F.lag("ts").over(w), F.col("ts")).alias("gap_seconds"),
+        (F.col("before") + F.col("local_no")).cast("int").alias("pulse_no"),
+        seconds_between(F.coalesce("local_prev", "prev_slice_last"), F.col("ts")).alias("gap_seconds"),
     )
 
 

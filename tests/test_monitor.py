@@ -43,3 +43,14 @@ def test_latest_and_gaps_order(spark):
     assert (r.last_status, r.message, r.created_at) == ("done", "m3", T0)
     gaps = [(g.event_id, g.pulse_no, g.gap_seconds) for g in MON.pulse_gaps(ev).orderBy("pulse_no").collect()]
     assert gaps == [(1, 0, None), (2, 1, 5.0), (3, 2, 0.0)]
+
+
+def test_pulse_gaps_hot_worker_across_slices(spark):
+    # One worker holds most pulses; numbering must continue across slices.
+    rows = [(1, T0 + dt.timedelta(seconds=i), "running", "m", i) for i in range(300)]
+    rows += [(2, T0 + dt.timedelta(seconds=2 * i), "running", "m", 1000 + i) for i in range(5)]
+    ev = spark.createDataFrame(rows, "worker long, ts timestamp_ntz, status string, message string, event_id long")
+    got = {r.event_id: (r.pulse_no, r.gap_seconds) for r in MON.pulse_gaps(ev, n_slices=7).collect()}
+    assert got[0] == (0, None) and got[299] == (299, 1.0)
+    assert all(got[i] == (i, 1.0) for i in range(1, 300))
+    assert got[1000] == (0, None) and got[1004] == (4, 2.0)
