@@ -31,6 +31,13 @@ STRIP_CLASS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same whitespace set as explicit characters (for btrim).
+STRIP_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Delimiter joining lemmas of a document (group separator, 0x1D).
 DELIMITER = "\u001d"
 

@@ -31,6 +31,9 @@ def _stop_flag(lang: Column, lemma: Column) -> Column:
 
 
 def _pos(lang: Column, lemma: Column) -> Column:
+    """Lexicon (lang|lemma) → else ordered suffix rules → NUM for digits →
+    NOUN. The suffix checks come first in evaluation only as a cheap
+    length/endswith pair; the lexicon wins by coalesce."""
     # One hashed IN-set per POS tag: a few O(1) probes, all inside codegen
     # (a literal map lookup is a linear scan per row).
     key = F.concat(lang, F.lit("|"), lemma)
