@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
+from sparkvox.session import ensure_checkpoint_dir
 
 KEY_WIDTH = 19          # digits of a non-negative BIGINT
 CHECKPOINT_EVERY = 8    # levels between lineage cuts
@@ -44,6 +45,7 @@ def tree_walk(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         F.col("parent_id").alias("p_id"), F.col("id").alias("c_id"), F.col("key").alias("c_key"),
         F.col("label").alias("c_label"), F.col("checked").alias("c_checked"), F.col("disabled").alias("c_disabled"),
     ).filter(F.col("p_id").isNotNull())
+    ensure_checkpoint_dir(nodes.sparkSession)
     levels = [level]
     depth = 0
     while depth < max_depth:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
-from sparkvox.session import scratch_path
+from sparkvox.session import ensure_checkpoint_dir, scratch_path
 
 # Status per event type of the driver's ``events`` table.
 EVENT_STATUS = {"signup": "ready", "view": "running", "click": "running",
@@ -89,6 +89,7 @@ def pulse_gaps(ev: DataFrame, n_slices: int | None = None) -> DataFrame:
     the last one.
     """
     spark = ev.sparkSession
+    ensure_checkpoint_dir(spark)
     n = n_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         ev.select("worker", "event_id", "ts")
