@@ -31,7 +31,7 @@ def l2_normalize(df: DataFrame, vec_col: str = "embedding", out_col: str | None
 
 def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                  max_cluster: int = L.MAX_CLUSTER, seed: int = L.KMEANS_SEED,
-                 parallelism: int = 4) -> DataFrame:
+                 parallelism: int = 8) -> DataFrame:
     """k-means for every k in 2..max_cluster on unit vectors, long output
     ``(id, k, label)``. The unit vectors are persisted once and reused by
     every fit (Spark's k-means|| initialisation, fixed seed)."""

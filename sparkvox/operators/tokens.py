@@ -162,9 +162,17 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
     w = Window.partitionBy("doc_id", "sent_id").orderBy("word_id")
     prev_compound = F.coalesce(F.lag(F.col("dep") == L.COMPOUND_DEP).over(w), F.lit(False))
     has_vec = "vector" in words.columns
-    seg = words.withColumn(
-        "chain", F.sum(F.when(prev_compound, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    seg = words.withColumn("_prev_c", prev_compound).withColumn(
+        "chain", F.sum(F.when(F.col("_prev_c"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
+    # Most words are chains of one (not compound, not after a compound):
+    # they pass straight through; only real chains are grouped.
+    single = ~F.col("_prev_c") & (F.coalesce(F.col("dep"), F.lit("")) != L.COMPOUND_DEP)
+    singles = seg.filter(single).select(
+        "doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "ent_type",
+        F.lit(1).alias("n_tokens"), *(["vector"] if "vector" in words.columns else []),
+    )
+    seg = seg.filter(~single)
     fields = [F.col("word_id"), F.col("text"), F.col("lemma"), F.col("is_stop"), F.col("pos"),
               F.col("ent_type"), F.col("dep")]
     if has_vec:
@@ -204,4 +212,4 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
             "doc_id", "sent_id",
             F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda s: span(s))).alias("m"),
         )
-    return out.select("doc_id", "sent_id", "m.*")
+    return out.select("doc_id", "sent_id", "m.*").unionByName(singles)
