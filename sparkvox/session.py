@@ -28,6 +28,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Local runs trade memory for speed when building cached tables;
+        # cluster sessions keep Spark's compressed default.
+        .config("spark.sql.inMemoryColumnarStorage.compressed", "false")
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
