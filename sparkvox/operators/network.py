@@ -6,8 +6,8 @@ Plan, written so that the pair work stays bounded:
 2. one row per (doc, sentence, word): duplicates within a sentence count once;
 3. self-join on (doc_id, sent_id) with ``l.lemma < r.lemma``: each unordered
    pair is produced once per sentence. Rows per key are distinct vocabulary
-   words, so a key never holds more than the vocabulary size, and AQE's skew
-   join splits an oversized key;
+   words (at most the vocabulary size); sentences above a threshold are
+   split into B x B blocks so no single task owns a hot sentence;
 4. partial + final count per pair (map-side combine before the shuffle);
 5. mirror to both orders with an ``explode`` (no second join).
 """
@@ -21,23 +21,49 @@ from sparkvox.functions import lexicon as L
 from sparkvox.operators.wordstats import maybe_broadcast
 
 
-def sentence_pairs(words: DataFrame, vocab: DataFrame, vocab_bound: int | None) -> DataFrame:
-    """Undirected pair counts (lemma1 < lemma2, n = sentences with both)."""
+# Sentences with more distinct vocabulary words than this are split into
+# blocks for the pair join (their pair count grows with the square).
+HEAVY_SENTENCE_WORDS = 1000
+N_BLOCKS = 8
+
+
+def sentence_pairs(words: DataFrame, vocab: DataFrame, vocab_bound: int | None,
+                   heavy_threshold: int = HEAVY_SENTENCE_WORDS, n_blocks: int = N_BLOCKS) -> DataFrame:
+    """Undirected pair counts (lemma1 < lemma2, n = sentences with both).
+
+    Ordinary sentences self-join on (doc_id, sent_id). A sentence holding
+    more than ``heavy_threshold`` distinct vocabulary words is split: every
+    word gets a block ``hash(lemma) mod B``; a left word is copied to the B
+    cells (its block, *), a right word to the B cells (*, its block), and
+    the join runs per (sentence, cell). Each pair meets in exactly one cell,
+    so one hot sentence spreads over B^2 tasks instead of one.
+    """
     sw = (
         words.join(maybe_broadcast(vocab.select("lemma"), vocab_bound), "lemma", "left_semi")
         .select("doc_id", "sent_id", "lemma")
         .distinct()
     )
-    l, r = sw.alias("l"), sw.alias("r")
-    pairs = l.join(
-        r,
-        (F.col("l.doc_id") == F.col("r.doc_id"))
-        & (F.col("l.sent_id") == F.col("r.sent_id"))
-        & (F.col("l.lemma") < F.col("r.lemma")),
+    per_sent = Window.partitionBy("doc_id", "sent_id")  # clustered by doc_id already
+    sw = sw.withColumn("_m", F.count(F.lit(1)).over(per_sent))
+    light = sw.filter(F.col("_m") <= heavy_threshold)
+    heavy = sw.filter(F.col("_m") > heavy_threshold).withColumn(
+        "_b", F.pmod(F.xxhash64("lemma"), F.lit(n_blocks)).cast("int")
     )
-    return pairs.groupBy(F.col("l.lemma").alias("lemma1"), F.col("r.lemma").alias("lemma2")).agg(
-        F.count(F.lit(1)).alias("n")
+    blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    hl = heavy.select("doc_id", "sent_id", "lemma", F.col("_b").alias("cl"), F.explode(blocks).alias("cr"))
+    hr = heavy.select("doc_id", "sent_id", "lemma", F.explode(blocks).alias("cl"), F.col("_b").alias("cr"))
+
+    def pairs_of(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        a, b = a.alias("l"), b.alias("r")
+        cond = F.col("l.lemma") < F.col("r.lemma")
+        for k in keys:
+            cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+        return a.join(b, cond).select(F.col("l.lemma").alias("lemma1"), F.col("r.lemma").alias("lemma2"))
+
+    pairs = pairs_of(light, light, ["doc_id", "sent_id"]).unionByName(
+        pairs_of(hl, hr, ["doc_id", "sent_id", "cl", "cr"])
     )
+    return pairs.groupBy("lemma1", "lemma2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def co_occurrence(words: DataFrame, vocab: DataFrame, vocab_bound: int | None = None) -> DataFrame:

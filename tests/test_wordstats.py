@@ -117,3 +117,19 @@ def test_tfidf_by_label(spark):
         for k, v in vec.items():
             assert got[(lab, k)] == pytest.approx(v / norm)
     assert not any(k[0] == "C" for k in got)
+
+
+def test_heavy_sentence_blocks_match_plain_join(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for s in range(6):
+        n = 40 if s == 0 else rnd.randint(2, 6)     # sentence 0 is "heavy"
+        for i, lem in enumerate(rnd.sample([f"w{k}" for k in range(60)], n)):
+            rows.append(w(1, s, i, lem))
+    words = spark.createDataFrame(rows, WORD)
+    vocab = spark.createDataFrame([(f"w{k}", 1) for k in range(60)], "lemma string, df long")
+    plain = sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, 100, heavy_threshold=10_000).collect())
+    split = sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, 100, heavy_threshold=10, n_blocks=3).collect())
+    assert plain == split and len(plain) > 780
