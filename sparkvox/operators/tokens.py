@@ -93,7 +93,9 @@ def tokenize_docs(
     )
     arr = sents.select(
         "doc_id", "lang", *keep_cols, "sent_id",
-        F.regexp_extract_all(F.col("sent"), F.lit(f"({L.WORD_PATTERN})"), 1).alias("ws"),
+        # Maximal runs of letters/marks/digits: split on the complement and
+        # drop the empty ends (same words as regexp_extract_all, cheaper).
+        F.array_remove(F.split(F.col("sent"), f"[^{L.WORD_PATTERN[1:-2]}]+", -1), "").alias("ws"),
     )
     # Every word attribute is computed inside array lambdas, once per word,
     # before exploding: the successor comes by array index (no window, no
