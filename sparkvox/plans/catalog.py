@@ -1247,3 +1247,12 @@ def q_word_table_to_docs(spark, d):
         F.aggregate(F.transform("sentences", lambda s: F.size(s)), F.lit(0), lambda a, b: a + b).alias("n_words"),
         "text",
     )
+
+
+@register(
+    "worker_stale_status_stream",
+    O.with_(*H_SQL) + f"SELECT worker, last_status, updated_at, status FROM stale WHERE status = {O.q(L.STALE_STATUS)}",
+)
+def q_worker_stale_status_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return MON.worker_stale_status_stream(spark, f"{d}/events.parquet", schema)

@@ -203,3 +203,68 @@ def pulse_sessions_stream(spark: SparkSession, source_path: str, schema, gap: st
         "pulse_sessions_stream",
     )
     return spark.read.schema("worker long, session_start timestamp_ntz, session_end timestamp_ntz, n_pulses long").parquet(out)
+
+
+def worker_stale_status_stream(spark: SparkSession, source_path: str, schema,
+                               ttl: float = L.STALE_AFTER_SECONDS, delay: str = "0 seconds") -> DataFrame:
+    """Stale workers detected by a custom stateful stream: per worker the
+    state keeps the latest (status, time, event id) and an event-time
+    timeout at ``updated_at + ttl``. When the watermark passes it without a
+    newer event, the worker is emitted as ``error at worker`` — unless its
+    last status is final. State per worker is bounded (one small tuple) and
+    is removed once the worker is reported."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    out = scratch_path(spark, "stale_workers")
+    ckpt = scratch_path(spark, "stale_workers_ckpt")
+    ev = (
+        status_events(_file_stream(spark, source_path, schema))
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+        .withColumn("ts_us", F.unix_micros("ts"))
+        .withWatermark("ts", delay)
+        .select("worker", "ts", "ts_us", "event_id", "status")
+    )
+    ttl_ms = int(ttl * 1000)
+    finals = set(L.FINAL_STATUSES)
+
+    def track(key, pdfs, state):
+        import pandas as pd
+
+        cols = ["worker", "last_status", "updated_us", "status"]
+        if state.hasTimedOut:
+            status, ts_us, _eid = state.get
+            state.remove()
+            if status not in finals:
+                yield pd.DataFrame([[key[0], status, ts_us, L.STALE_STATUS]], columns=cols)
+            return
+        best = tuple(state.get) if state.exists else None  # (status, ts_us, event_id)
+        for pdf in pdfs:
+            if pdf.empty:
+                continue
+            top = pdf.sort_values(["ts_us", "event_id"]).iloc[-1]
+            cand = (str(top["status"]), int(top["ts_us"]), int(top["event_id"]))
+            if best is None or (cand[1], cand[2]) > (best[1], best[2]):
+                best = cand
+        if best is not None:
+            state.update(best)
+            state.setTimeoutTimestamp(best[1] // 1000 + ttl_ms)
+        yield pd.DataFrame(columns=cols)
+
+    stale = ev.groupBy("worker").applyInPandasWithState(
+        track,
+        "worker long, last_status string, updated_us long, status string",
+        "status string, ts_us long, event_id long",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    _run_available_now(
+        stale.writeStream.outputMode("append").format("parquet")
+        .option("path", out).option("checkpointLocation", ckpt),
+        "worker_stale_status_stream",
+    )
+    res = spark.read.schema("worker long, last_status string, updated_us long, status string").parquet(out)
+    return res.select(
+        "worker", "last_status",
+        F.timestamp_micros("updated_us").cast("timestamp_ntz").alias("updated_at"),
+        "status",
+    )
