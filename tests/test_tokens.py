@@ -58,3 +58,31 @@ def test_compound_span_is_not_stop(spark):
     rows = [(1, 0, 0, "The", "the", True, "DET", "compound", None), (1, 0, 1, "Big", "big", False, "ADJ", "dep", None)]
     out = merge_compounds(spark.createDataFrame(rows, WORD)).first()
     assert out.text == "The Big" and out.is_stop is False and out.pos == "ADJ"
+
+
+def test_plugin_tokenizer_and_embedder(spark):
+    import numpy as np
+    import pandas as pd
+
+    from sparkvox.operators.tokens import tokenize_with
+    from sparkvox.operators.vectors import embed_docs
+
+    docs = spark.createDataFrame([(1, "a bb ccc"), (2, "dd")], "doc_id long, text string")
+
+    def tok(pdf):
+        rows = [(int(r.doc_id), 0, i, t, t.lower(), False, "NOUN", "dep", None)
+                for r in pdf.itertuples() for i, t in enumerate(r.text.split())]
+        return pd.DataFrame(rows, columns=WORD.replace(" long", "").replace(" int", "").replace(" string", "")
+                            .replace(" boolean", "").split(", "))
+
+    words = tokenize_with(docs, tok, WORD)
+    assert sorted((r.doc_id, r.word_id, r.text) for r in words.collect()) == [
+        (1, 0, "a"), (1, 1, "bb"), (1, 2, "ccc"), (2, 0, "dd")]
+
+    def make():
+        def predict(texts):
+            return np.array([[len(t), t.count("c")] for t in texts], dtype=np.float32)
+        return predict
+
+    got = {r.doc_id: r.embedding for r in embed_docs(docs, make, 2).collect()}
+    assert got == {1: [8.0, 3.0], 2: [2.0, 0.0]}
