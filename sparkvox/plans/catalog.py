@@ -7,6 +7,7 @@ them) in full. Doubles that are value-compared are rounded to 6 places.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark import StorageLevel
@@ -67,18 +68,38 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Small shared results (bounded aggregates): persisted."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _SHARED:
         _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
     return _SHARED[key]
 
 
+def shared_table(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Large shared tables (words): written once as a table bucketed by
+    doc_id under the shared checkpoint folder and read back. Reads keep the
+    doc_id co-location (no exchange for per-document work), prune columns,
+    cut lineage, and survive executor loss. Needs the session catalog to be
+    the in-memory one (no metastore); otherwise the table is persisted."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _SHARED:
+        if spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "in-memory":
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            tname = f"sparkvox_{name}_{uuid.uuid4().hex[:12]}"
+            (build().write.bucketBy(n, "doc_id").option("path", scratch_path(spark, name))
+             .format("parquet").saveAsTable(tname))
+            _SHARED[key] = spark.table(tname)
+        else:
+            _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _SHARED[key]
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
-    return shared(spark, d, "words", lambda: TK.tokenize_docs(clean_docs(spark, d)))
+    return shared_table(spark, d, "words", lambda: TK.tokenize_docs(clean_docs(spark, d)))
 
 
 def padded(spark: SparkSession, d: str) -> DataFrame:
-    return shared(spark, d, "padded", lambda: WS.pad_empty_sentences(words(spark, d)))
+    return shared_table(spark, d, "padded", lambda: WS.pad_empty_sentences(words(spark, d)))
 
 
 def dfreq(spark: SparkSession, d: str) -> DataFrame:
