@@ -6,8 +6,9 @@ The flat word table is the working contract of every later operator::
           pos, dep, ent_type [, lang, <kept doc columns>])
 
 The built-in tokeniser is a rule tokeniser written only with Spark SQL
-functions: each document row is split and exploded in place, so it is a
-narrow transformation with no shuffle. It stands in for a language model;
+functions: each document row is split and exploded in place, and the POS
+lexicon (a fixed table of about a hundred rows) is a broadcast hash join,
+so tokenising plans no shuffle. It stands in for a language model;
 a model tokeniser can be plugged in through ``tokenize_with`` (mapInPandas),
 and every later operator only needs the table above.
 """
@@ -26,30 +27,14 @@ from sparkvox.functions.text import is_capitalised
 WORD_COLUMNS = ["doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type"]
 
 
-def _stop_flag(lang: Column, lemma: Column) -> Column:
-    return F.coalesce(F.concat(lang, F.lit("|"), lemma).isin(L.stop_keys()), F.lit(False))
-
-
-def _pos(lang: Column, lemma: Column) -> Column:
-    """Lexicon (lang|lemma) → else ordered suffix rules → NUM for digits →
-    NOUN. The suffix checks come first in evaluation only as a cheap
-    length/endswith pair; the lexicon wins by coalesce."""
-    # One hashed IN-set per POS tag: a few O(1) probes, all inside codegen
-    # (a literal map lookup is a linear scan per row).
-    key = F.concat(lang, F.lit("|"), lemma)
-    by_pos: dict[str, list[str]] = {}
-    for k, p in L.lexicon_items():
-        by_pos.setdefault(p, []).append(k)
-    looked_up = None
-    for p, keys in by_pos.items():
-        looked_up = (F.when(key.isin(keys), F.lit(p)) if looked_up is None
-                     else looked_up.when(key.isin(keys), F.lit(p)))
+def _suffix_pos(lemma: Column) -> Column:
+    """POS of a word missing from the lexicon: the first matching suffix
+    rule, else NUM for digits only, else NOUN."""
     rule = None
     for suffix, pos in L.SUFFIX_RULES:
         cond = lemma.endswith(suffix) & (F.length(lemma) >= len(suffix) + 2)
         rule = F.when(cond, F.lit(pos)) if rule is None else rule.when(cond, F.lit(pos))
-    rule = rule.when(lemma.rlike(L.DIGITS_ONLY), F.lit(L.NUM_POS)).otherwise(F.lit(L.DEFAULT_POS))
-    return F.coalesce(looked_up, rule)
+    return rule.when(lemma.rlike(L.DIGITS_ONLY), F.lit(L.NUM_POS)).otherwise(F.lit(L.DEFAULT_POS))
 
 
 def by_document(docs: DataFrame, id_col: str = "doc_id", n_partitions: int | None = None) -> DataFrame:
@@ -97,30 +82,28 @@ def tokenize_docs(
         # drop the empty ends (same words as regexp_extract_all, cheaper).
         F.array_remove(F.split(F.col("sent"), f"[^{L.WORD_PATTERN[1:-2]}]+", -1), "").alias("ws"),
     )
-    # Every word attribute is computed inside array lambdas, once per word,
-    # before exploding: the successor comes by array index (no window, no
-    # shuffle) and later filters only read plain struct fields.
+    # Per word, inside one array lambda (once per word, before exploding):
+    # text, lemma, capitalisation, and the successor's capitalisation by
+    # array index — no window, no shuffle.
     ws = F.col("ws")
-    lang = F.col("lang")
-    step1 = F.transform(ws, lambda w, i: F.struct(
+    paired = F.transform(ws, lambda w, i: F.struct(
         w.alias("text"), F.lower(w).alias("lemma"), is_capitalised(w).alias("cap"),
-        is_capitalised(F.try_element_at(ws, i + 2)).alias("next_cap"), i.alias("i"),
+        is_capitalised(F.try_element_at(ws, i + 2)).alias("next_cap"),
     ))
-    step2 = F.transform(step1, lambda x: F.struct(
-        x["text"].alias("text"),
-        x["lemma"].alias("lemma"),
-        _stop_flag(lang, x["lemma"]).alias("is_stop"),
-        _pos(lang, x["lemma"]).alias("pos"),
-        F.when(x["cap"] & x["next_cap"], F.lit(L.COMPOUND_DEP)).otherwise(F.lit(L.OTHER_DEP)).alias("dep"),
-        F.when(x["cap"] & (x["i"] > 0), F.lit(L.ENTITY_TYPE)).alias("ent_type"),
-    ))
-    words = arr.select(
-        "doc_id", "lang", *keep_cols, "sent_id",
-        F.posexplode(step2).alias("word_id", "w"),
+    words = arr.select("doc_id", "lang", *keep_cols, "sent_id", F.posexplode(paired).alias("word_id", "w"))
+    words = words.select("doc_id", "lang", *keep_cols, "sent_id", "word_id", "w.*").withColumn(
+        "_key", F.concat(F.col("lang"), F.lit("|"), F.col("lemma"))
     )
+    # The lexicon is a fixed table of about a hundred rows: a broadcast hash
+    # join looks every word up once (and keeps the doc_id partitioning).
+    lexicon = words.sparkSession.createDataFrame(L.lexicon_items(), "_key string, _lex_pos string")
+    words = words.join(F.broadcast(lexicon), "_key", "left")
     return words.select(
-        "doc_id", "sent_id", "word_id",
-        *[F.col(f"w.{c}").alias(c) for c in ("text", "lemma", "is_stop", "pos", "dep", "ent_type")],
+        "doc_id", "sent_id", "word_id", "text", "lemma",
+        F.coalesce(F.col("_key").isin(L.stop_keys()), F.lit(False)).alias("is_stop"),
+        F.coalesce(F.col("_lex_pos"), _suffix_pos(F.col("lemma"))).alias("pos"),
+        F.when(F.col("cap") & F.col("next_cap"), F.lit(L.COMPOUND_DEP)).otherwise(F.lit(L.OTHER_DEP)).alias("dep"),
+        F.when(F.col("cap") & (F.col("word_id") > 0), F.lit(L.ENTITY_TYPE)).alias("ent_type"),
         "lang", *keep_cols,
     )
 
