@@ -52,3 +52,23 @@ def test_sign_projection_matches_numpy(spark):
     got = VC.random_projection(df, "v", 2, method="sign").first().v
     r = np.array([[1 - 2 * (((i * 37 + j * 101 + (i * j) % 13) % 11) % 2) for j in range(2)] for i in range(3)])
     assert got == pytest.approx(list(np.array([1.0, 2.0, 3.0]) @ r / np.sqrt(2)))
+
+
+def test_kmeans_and_map_invariants(spark):
+    import numpy as np
+
+    from sparkvox.operators.docmap import document_map_2d, kmeans_all_k
+
+    emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    n = emb.count()
+    km = kmeans_all_k(emb, max_cluster=4)
+    rows = km.collect()
+    assert len(rows) == n * 3
+    for r in rows:
+        assert 0 <= r.label < r.k
+    with pytest.raises(ValueError):
+        kmeans_all_k(emb, max_cluster=1)
+    xy = np.array([(r.x, r.y) for r in document_map_2d(emb).collect()])
+    assert xy.shape == (n, 2)
+    c = np.corrcoef(xy[:, 0], xy[:, 1])[0, 1]
+    assert abs(c) < 1e-6  # principal axes are uncorrelated

@@ -133,3 +133,10 @@ def test_heavy_sentence_blocks_match_plain_join(spark):
     plain = sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, 100, heavy_threshold=10_000).collect())
     split = sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, 100, heavy_threshold=10, n_blocks=3).collect())
     assert plain == split and len(plain) > 780
+
+
+def test_pos_vote_tie_breaks_alphabetically(spark):
+    rows = [w(1, 0, 0, "run", "VERB"), w(1, 0, 1, "run", "NOUN"), w(1, 0, 2, "go", "VERB"),
+            w(1, 0, 3, "go", "VERB"), w(1, 0, 4, "go", "NOUN")]
+    got = {r.lemma: r.pos for r in WS.word_pos_majority(spark.createDataFrame(rows, WORD)).collect()}
+    assert got == {"run": "NOUN", "go": "VERB"}
