@@ -37,9 +37,10 @@ def main() -> None:
         "",
         f"Generated by `python tests/plan_report.py` on {sf} (8 shuffle partitions). Counts are from the",
         "plan before execution; AQE can still coalesce partitions, switch joins to broadcast and split",
-        "skewed partitions at run time. Shared corpus tables (words, padded words, vocabulary, pair",
-        "counts) are persisted: their own plans are printed nested in the formatted plan and their",
-        "exchanges are included in the counts, although a query reads them from memory once built.",
+        "skewed partitions at run time. The word tables (`words-…`, `padded-…`) are read from tables",
+        "bucketed by doc_id, so per-document work after them needs no exchange. Small shared results",
+        "(vocabulary, pair counts) are persisted; their own plans are printed nested in the formatted",
+        "plan and their exchanges are included in the counts, although a query reads them from memory.",
         "",
         "| Query | Exchanges | Broadcasts | Python stages | Parquet scans (ReadSchema) |",
         "|---|---|---|---|---|",
