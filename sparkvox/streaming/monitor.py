@@ -137,13 +137,16 @@ def worker_board(status: DataFrame, cancel: Column) -> DataFrame:
 # Structured Streaming forms
 # ---------------------------------------------------------------------------
 
-def _file_stream(spark: SparkSession, source_path: str, schema) -> DataFrame:
+def _file_stream(spark: SparkSession, source_path: str, schema, max_files: int | None = None) -> DataFrame:
     """Parquet file stream; ``source_path`` is a folder, or a file whose
-    folder is watched with a name filter."""
+    folder is watched with a name filter. ``max_files`` caps files per
+    micro-batch (files are taken oldest first)."""
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(source_path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if not fs.getFileStatus(jpath).isDirectory():
         return reader.option("pathGlobFilter", jpath.getName()).parquet(jpath.getParent().toString())
     return reader.parquet(source_path)
@@ -176,14 +179,15 @@ def worker_latest_status_stream(spark: SparkSession, source_path: str, schema) -
 
 
 def pulse_sessions_stream(spark: SparkSession, source_path: str, schema, gap: str = "6 hours",
-                          delay: str = "1 hour") -> DataFrame:
+                          delay: str = "1 hour", max_files_per_batch: int | None = None) -> DataFrame:
     """Runs of uninterrupted pulses per worker as session windows: a gap of
     ``gap`` ends a run; events later than the watermark (max event time
-    minus ``delay``) are dropped. Append mode writes each closed session
-    once to a Parquet sink."""
+    minus ``delay``) are dropped — Spark filters late rows with the
+    watermark of the previous micro-batch. Append mode writes each closed
+    session once to a Parquet sink."""
     out = scratch_path(spark, "pulse_sessions")
     ckpt = scratch_path(spark, "pulse_sessions_ckpt")
-    ev = status_events(_file_stream(spark, source_path, schema)).withColumn(
+    ev = status_events(_file_stream(spark, source_path, schema, max_files_per_batch)).withColumn(
         "ts", F.col("ts").cast("timestamp")
     )
     sessions = (

@@ -54,3 +54,34 @@ def test_pulse_gaps_hot_worker_across_slices(spark):
     assert got[0] == (0, None) and got[299] == (299, 1.0)
     assert all(got[i] == (i, 1.0) for i in range(1, 300))
     assert got[1000] == (0, None) and got[1004] == (4, 2.0)
+
+
+def test_stream_drops_late_pulses(spark, tmp_path):
+    import os
+    import time
+
+    import pandas as pd
+
+    src = tmp_path / "events"
+    os.makedirs(src)
+    H = dt.timedelta(hours=1)
+
+    def write(name, rows):
+        pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+        pdf["ts"] = pdf["ts"].astype("datetime64[us]")
+        pdf.to_parquet(src / name, index=False)
+
+    # batch 0: a run at T0..T0+1h and a pulse at T0+10h (watermark -> T0+9h);
+    # batch 1: a pulse at T0+20h (Spark filters late rows with the previous
+    # batch's watermark, so it takes one more batch to apply); batch 2: a
+    # late pulse at T0+2h, behind the watermark — dropped.
+    write("a.parquet", [(1, T0, 1, "view", 0.0, "{}"), (2, T0 + H, 1, "view", 0.0, "{}"),
+                        (3, T0 + 10 * H, 1, "view", 0.0, "{}")])
+    time.sleep(1.1)
+    write("b.parquet", [(5, T0 + 20 * H, 1, "view", 0.0, "{}")])
+    time.sleep(1.1)
+    write("c.parquet", [(4, T0 + 2 * H, 1, "view", 0.0, "{}")])
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    out = MON.pulse_sessions_stream(spark, str(src), schema, gap="6 hours", delay="1 hour", max_files_per_batch=1)
+    got = sorted((r.session_start, r.session_end, r.n_pulses) for r in out.collect())
+    assert got == [(T0, T0 + 7 * H, 2), (T0 + 10 * H, T0 + 16 * H, 1)]
