@@ -33,10 +33,9 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
 
 def word_pos_majority(words: DataFrame) -> DataFrame:
     """lemma → most frequent POS over all (unfiltered) words; ties → the
-    alphabetically first POS. Two aggregations, no window."""
-    counts = words.groupBy("lemma", "pos").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("lemma").agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("pos"))).alias("b"))
-    return best.select("lemma", F.col("b.pos").alias("pos"))
+    alphabetically first POS. One aggregation: ``mode`` keeps a count per
+    POS tag (a handful per word) and is partially aggregated per task."""
+    return words.groupBy("lemma").agg(F.mode("pos", deterministic=True).alias("pos"))
 
 
 def relevant_predicate(lemma: Column, pos: Column, is_stop: Column, ent_type: Column) -> Column:
