@@ -86,3 +86,12 @@ def test_plugin_tokenizer_and_embedder(spark):
 
     got = {r.doc_id: r.embedding for r in embed_docs(docs, make, 2).collect()}
     assert got == {1: [8.0, 3.0], 2: [2.0, 0.0]}
+
+
+def test_merge_compounds_averages_vectors(spark):
+    rows = [(1, 0, 0, "New", "new", False, "ADJ", "compound", None, [1.0, 3.0]),
+            (1, 0, 1, "York", "york", False, "PROPN", "dep", "PROPER", [3.0, 5.0]),
+            (1, 0, 2, "now", "now", False, "ADV", "dep", None, [0.0, 1.0])]
+    words = spark.createDataFrame(rows, WORD + ", vector array<double>")
+    got = {r.word_id: (r.text, r.vector) for r in merge_compounds(words).collect()}
+    assert got == {0: ("New York", [2.0, 4.0]), 2: ("now", [0.0, 1.0])}
