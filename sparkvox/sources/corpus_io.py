@@ -18,9 +18,13 @@ PARTS = ("docs", "words", "word_vectors", "doc_vectors", "aux_info", "text_info"
 
 def read_corpus_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV with a header and quoted multi-line text ("" escapes a quote).
-    Pass ``schema`` at scale; without it the types are inferred (one extra
-    pass over the data)."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    A quoted empty field is an empty string, an unquoted empty field is
+    NULL. Pass ``schema`` at scale; without it the types are inferred (one
+    extra pass over the data)."""
+    reader = (
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        .option("nullValue", "\u0000")  # a value that never occurs: only unquoted empties are NULL
+    )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
@@ -33,12 +37,16 @@ def corpus_from_dataframe(df: DataFrame, text_col: str, id_col: str | None = Non
     """One text column becomes ``text``; every other column is an auxiliary
     column (names made unique). Without ``id_col`` a unique (not dense)
     ``doc_id`` is generated."""
-    aux = [c for c in df.columns if c not in (text_col, id_col)]
-    new_aux = unique_column_names(aux)
+    names = list(df.columns)
+    aux_idx = [i for i, c in enumerate(names) if c not in (text_col, id_col)]
+    new_aux = unique_column_names([names[i] for i in aux_idx])
+    for i, n in zip(aux_idx, new_aux):
+        names[i] = n
+    df = df.toDF(*names)  # positional rename: duplicates are resolvable after it
     doc_id = F.col(id_col) if id_col else F.monotonically_increasing_id()
     return df.select(
         doc_id.alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        *[F.col(f"`{a}`").alias(n) for a, n in zip(aux, new_aux)],
+        *[F.col(f"`{n}`") for n in new_aux],
     )
 
 
