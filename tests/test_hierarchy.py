@@ -33,3 +33,13 @@ def test_tree(spark):
     leaves = {r.id: r for r in HI.tree_leaves(walk, n).collect()}
     assert leaves["child2"].is_leaf and leaves["child2"].icon == "table" and leaves["child4"].icon == "folder"
     assert {r.selected_leaf for r in leaves.values() if r.selected_leaf} == {"child1-1-1", "child1-1-2", "child3-1", "child4-1-1"}
+
+
+def test_deep_chain_crosses_checkpoints(spark):
+    depth = 12  # lineage is cut every 8 levels
+    rows = [(f"n{i}", None if i == 0 else f"n{i - 1}", f"n{i}", i, i == 3, False) for i in range(depth)]
+    n = spark.createDataFrame(rows, "id string, parent_id string, label string, key long, checked boolean, disabled boolean")
+    walk = HI.tree_walk(n)
+    got = {r.id: (r.depth, r.checked) for r in walk.collect()}
+    assert len(got) == depth and got["n11"] == (11, True) and got["n2"] == (2, False)
+    assert HI.tree_paths(walk).filter("id = 'n11'").first().path == "/".join(f"n{i}" for i in range(depth))

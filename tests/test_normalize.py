@@ -60,3 +60,18 @@ def test_unique_column_names():
     assert unique_column_names(["a", "A"], case_sensitive=True) == ["a", "A"]
     with pytest.raises(ValueError):
         unique_column_names(["a", "a", "a_00"])
+
+
+def test_roles_and_wide_cap(spark):
+    from sparkvox.operators import columns as COL
+    from sparkvox.operators import wordstats as WS
+
+    df = spark.createDataFrame([(1, "x", "2024-01-01")], "doc_id long, a string, d string")
+    tagged = COL.column_roles(df, {"d": {"is_date"}, "a": {"is_label", "is_train_data"}})
+    assert COL.columns_with_role(tagged, "is_date") == ["d"]
+    assert COL.columns_with_role(tagged, "is_train_data") == ["a"]
+    with pytest.raises(ValueError):
+        COL.column_roles(df, {"a": {"is_bogus"}})
+    vocab = spark.createDataFrame([("u",), ("v",)], "lemma string")
+    with pytest.raises(ValueError):
+        WS.doc_term_wide(df.select("doc_id", F.lit("u").alias("lemma")), df, vocab, max_columns=1)

@@ -72,3 +72,14 @@ def test_kmeans_and_map_invariants(spark):
     assert xy.shape == (n, 2)
     c = np.corrcoef(xy[:, 0], xy[:, 1])[0, 1]
     assert abs(c) < 1e-6  # principal axes are uncorrelated
+
+
+def test_similar_docs_in_target_chunks(spark, monkeypatch):
+    corpus = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 0.9])], "vec_id long, embedding array<double>"
+    )
+    whole = sorted(tuple(r) for r in VC.similar_docs(corpus, corpus, 1).collect())
+    monkeypatch.setattr(VC, "TARGET_CHUNK", 1)
+    chunked = sorted(tuple(r) for r in VC.similar_docs(corpus, corpus, 1).collect())
+    assert whole == chunked and len(whole) == 4
+    assert {(t, i) for t, i, _s, _r in whole} == {(1, 2), (2, 1), (3, 4), (4, 3)}
