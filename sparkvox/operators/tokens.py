@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
 from sparkvox.functions.text import is_capitalised
+from sparkvox.session import ship_package
 
 WORD_COLUMNS = ["doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type"]
 
@@ -119,6 +120,8 @@ def tokenize_with(
     ``(doc_id, text)`` to word rows matching ``schema``. Runs once per Arrow
     batch on the executors (load the model lazily inside ``tokenizer``)."""
 
+    ship_package(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield tokenizer(pdf)

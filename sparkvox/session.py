@@ -57,3 +57,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "sparkvox", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparkvox`` importable in executor Python workers (needed by the
+    pandas UDFs and mapInPandas/applyInPandasWithState functions): the
+    package's .py files are zipped once per application and added with
+    ``SparkContext.addPyFile``, which ships them with every task."""
+    import zipfile
+
+    import sparkvox
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(sparkvox.__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="sparkvox-pkg-"), "sparkvox.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
-from sparkvox.session import ensure_checkpoint_dir, scratch_path
+from sparkvox.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 # Status per event type of the driver's ``events`` table.
 EVENT_STATUS = {"signup": "ready", "view": "running", "click": "running",
@@ -219,6 +219,7 @@ def worker_stale_status_stream(spark: SparkSession, source_path: str, schema,
     is removed once the worker is reported."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    ship_package(spark)
     out = scratch_path(spark, "stale_workers")
     ckpt = scratch_path(spark, "stale_workers_ckpt")
     ev = (
