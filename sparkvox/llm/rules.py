@@ -168,9 +168,11 @@ def pruned(rule: Rule, rows: list[dict]) -> Rule:
     return best
 
 
-def learned_list(rows: list[dict], *, min_precision: float = 0.95, min_support: int = 5, max_rules: int = 12) -> list[Rule]:
-    """Rules for bad rows, in the order they were found. Rows: the FEATURES,
-    ``bad`` and ``held`` (1 for rows used to prune only)."""
+def learned_list(rows: list[dict], *, min_precision: float = 0.95, min_held: float = 0.9,
+                 min_support: int = 5, max_rules: int = 12) -> list[Rule]:
+    """Rules for bad rows, in the order they were found, each with the given
+    precision on all rows and on those held back. Rows: the FEATURES, ``bad``
+    and ``held`` (true for rows used to prune only)."""
     if not any(r["bad"] for r in rows) or all(r["bad"] for r in rows):
         return []
     cuts = {}
@@ -187,7 +189,7 @@ def learned_list(rows: list[dict], *, min_precision: float = 0.95, min_support:
         rule = pruned(rule, prune)
         p, n = counts_of(rule, rows)
         hp, hn = counts_of(rule, prune)
-        if p < min_support or p / (p + n) < min_precision or (hp + hn and hp / (hp + hn) < min_precision):
+        if p < min_support or p / (p + n) < min_precision or (hp + hn and hp / (hp + hn) < min_held):
             break
         rules.append(rule)
         rows = [r for r in rows if not covers(rule, r)]
