@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkvox.llm import hashing
-from sparkvox.llm.common import filled, written
+from sparkvox.llm.common import filled, unused, words, written
 from sparkvox.llm.components import components
 from sparkvox.session import ship_package
 
@@ -144,25 +144,55 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.mapInArrow(_signed, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """``(a, b)``: each member of a bucket with the bucket's centre. In:
+#: Bands that a pair must share to be worth comparing on full sets: 12.7 are expected at similarity 0.75.
+LEAST_BANDS = 2
+
+
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """``(key, node, grid)``: the buckets of each document, 2 per band. In:
     ``node, n, bands`` of one document per class."""
     size = F.log(F.col("n").cast("double")) / math.log(CLASS_WIDTH)
     keyed = reps.select("node", "n", F.posexplode("bands").alias("band", "value")).select(
         "node", "n", "band", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
     cell = F.floor(size + F.col("grid") / 2)
-    # A grid has its own order of the nodes, so a document meets different centres.
-    masked = F.col("node").bitwiseXOR(F.when(F.col("grid") == 0, F.lit(0x2545F4914F6CDD1D)).otherwise(F.lit(0x5851F42D4C957F2D)))
-    members = keyed.select(F.xxhash64("band", "value", "grid", cell).alias("key"), masked.alias("o"), "grid", "n")
-    centres = written(members.groupBy("key").agg(F.min(F.struct("o", "n")).alias("c"), F.count("*").alias("m"))
-                      .where("m > 1").select("key", F.col("c.o").alias("co"), F.col("c.n").alias("cn")), "near_centres")
-    pairs = members.join(centres, "key").where("o <> co").where(
-        100 * F.least("n", "cn") >= 75 * F.greatest("n", "cn"))
+    return keyed.select(F.xxhash64("band", "value", "grid", cell).alias("key"), "node", "grid")
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """``(a, b)``: each member of a bucket with the bucket's centre, the least
+    in an order of its grid, so that few different pairs come out. A bucket's
+    rows need not meet in one task: only its centre goes to all."""
     mask = F.when(F.col("grid") == 0, F.lit(0x2545F4914F6CDD1D)).otherwise(F.lit(0x5851F42D4C957F2D))
+    masked = members.select("key", F.col("node").bitwiseXOR(mask).alias("o"), "grid")
+    centres = written(masked.groupBy("key").agg(F.min("o").alias("co"), F.count("*").alias("m"))
+                      .where("m > 1").select("key", "co"), "near_centres")
+    pairs = masked.join(centres, "key").where("o <> co")
     x, y = F.col("o").bitwiseXOR(mask), F.col("co").bitwiseXOR(mask)
     return pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
 
+def cross_pairs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: members with their bucket's centre where the two are not
+    connected yet. Each bucket and turn has an order of its own, so a document
+    that its first centres were not similar to meets many others."""
+    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    order = F.xxhash64("node", "key", F.lit(turn))
+    centres = written(
+        placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "root")).alias("c"),
+                                  F.min("root").alias("r"), F.max("root").alias("s"))
+        .where("r <> s").select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("other")), "near_centres")
+    pairs = placed.join(centres, "key").where("root <> other")
+    return pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs close enough in size that share LEAST_BANDS bands at least."""
+    left = pairs.join(reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ba")), "a")
+    both = left.join(reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("bb")), "b")
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return both.where(near & (F.size(F.array_intersect("ba", "bb")) >= LEAST_BANDS)).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough. Sets move once per pair, never all sets of a group to one place."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
@@ -172,6 +202,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b")
 
 
+def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``(node, root)`` of the classes that links connect with others. Stars
+    come first; then turns of cross_pairs, until one finds no new link."""
+    pairs = written(star_pairs(bucket_members(reps)), "near_pairs")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
+    some = written(reps.join(nodes, "node"), "near_some")
+
+    needed = written(signed.select(F.col("rid").alias("node"), F.col("id").alias("_id"), F.col("th").alias("_th"))
+                     .join(nodes, "node"), "near_needed")
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).withColumn(
+        "_h", F.unhex(F.md5(filled(F.col("_t")).cast("binary"))))
+    texts = texts.join(needed, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    # Repeated rows match one node together; one of them is enough.
+    texts = texts.select("node", "_t").dropDuplicates(["node"])
+    sets = written(texts.mapInArrow(_sets, "node bigint, found array<bigint>"), "near_sets")
+
+    found = written(confirmed(likely(pairs, some, percent), sets, percent), "near_links")
+    roots, turn = written(components(found, "a", "b"), "near_roots"), 0
+    while True:
+        turn += 1
+        more = cross_pairs(bucket_members(some), roots, turn)
+        more = written(confirmed(likely(more, some, percent), sets, percent), "near_links")
+        if more.isEmpty():
+            return roots
+        # The roots so far are links as good as any: stars of what is connected.
+        found = more.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = written(components(found, "a", "b"), "near_roots")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the
     least id that links reach), ``kept`` (the id is that), ``stays`` (as kept,
@@ -185,20 +244,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     and bands are made for that."""
     signed = written(signatures(docs, id_col, text_col), "near_signed")
     classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("rid").alias("node")), "near_classes")
-    reps = signed.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
-    pairs = written(candidates(reps.select(F.col("rid").alias("node"), "n", "bands")), "near_pairs")
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    needed = written(signed.select("rid", "id", "th").join(needed, "rid"), "near_needed").toDF("node", "_id", "_th")
-    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).withColumn(
-        "_h", F.unhex(F.md5(filled(F.col("_t")).cast("binary"))))
-    texts = texts.join(needed, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    # Repeated rows match one node together; one of them is enough.
-    texts = texts.select("node", "_t").dropDuplicates(["node"])
-    sets = written(texts.mapInArrow(_sets, "node bigint, found array<bigint>"), "near_sets")
-    links = confirmed(pairs, sets, percent)
-    roots = written(components(links, "a", "b"), "near_roots")
-
+    reps = written(signed.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
+                   .select(F.col("rid").alias("node"), "n", "bands"), "near_reps")
+    roots = links(docs, signed, reps, id_col, text_col, percent)
     placed = signed.select("rid", "id", "th", "n", "digest").join(classes, "digest", "left").join(roots, "node", "left")
     placed = written(placed.select("rid", "id", "th", "n", F.coalesce("root", "node", "rid").alias("root")), "near_placed")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")
@@ -208,3 +256,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least.id").alias("component_id"),
         F.col("id").eqNullSafe(F.col("least.id")).alias("kept"), (F.col("rid") == F.col("least.rid")).alias("stays"),
         F.lower(F.hex("th")).alias("text_md5"))
+
+
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each component, with all their
+    columns; texts without words all stay, repeated rows of them too."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
+    i, th, n, copies = unused(docs, "_id", "_th", "_n", "_copies")
+    found = written(found.select(F.col(id_col).alias(i), F.unhex("text_md5").alias(th), F.col("n_shingles").alias(n), "stays"),
+                    "near_found")
+    stay = found.where(F.col("stays") & (F.col(n) > 0)).select(i, th)
+    # Rows without words are no one's duplicates: their texts' hashes are not looked up.
+    own = docs.withColumn(f"{th}k", F.unhex(F.md5(filled(F.col(text_col)).cast("binary"))))
+    wordless = F.size(words(F.col(text_col))) == 0
+    kept = own.where(~wordless).join(stay, own[id_col].eqNullSafe(stay[i]) & (own[f"{th}k"] == stay[th]))
+    twice = found.where(F.col(n) > 0).groupBy(i, th).agg(F.count("*").alias(copies)).where(F.col(copies) > 1)
+    if not twice.isEmpty():  # equal rows match together; one of them stays
+        kept = kept.dropDuplicates([i, th])
+    return kept.select(*docs.columns).unionByName(docs.where(wordless))

@@ -398,6 +398,17 @@ def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
 
 
+def _model(found, frequent: np.ndarray, seed: int) -> Model:
+    """The model before any sampling: every word has one table in each of its contexts."""
+    customers, kinds = _array(found, "context", 0, CONTEXTS), _array(found, "context", 0, CONTEXTS, "y")
+    often, often_kinds = _array(found, "often", 0, len(frequent)), _array(found, "often", 0, len(frequent), "y")
+    words, once, twice, ones, twos = _array(found, "sum", 0, 5)
+    model = Model(frequent, customers, often, int(customers.sum()), int(words + (often > 0).sum()),
+                  _discount(ones, twos), _discount(once + (often_kinds == 1).sum(), twice + (often_kinds == 2).sum()), seed)
+    model.totals = [Totals(kinds, kinds.sum(), model.vocabulary, often_kinds, np.minimum(often_kinds, 1))]
+    return model
+
+
 def score_documents(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col: str = "text",
                     seed: int = 11) -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``n_tokens``, ``n_known``
@@ -418,16 +429,13 @@ def score_documents(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id"
     groups = max(16, math.ceil(size / GROUP_BYTES))
     frequent = _frequent_words(texts, groups)
     blocks = texts.mapInArrow(_dealt(frequent, groups), "g int, block binary")
-    held = written(blocks.repartition(groups, "g").groupBy("g").applyInArrow(_grouped, "g int, dishes binary, places binary"), "lm_groups")
+    # Group g is partition g: no two groups share a task.
+    held = blocks.repartitionById(groups, F.col("g")).groupBy("g").applyInArrow(
+        _grouped, "g int, dishes binary, places binary")
+    held = written(held, "lm_groups")
     seats = held.select("g", "dishes")
 
-    found = _collected(seats.mapInArrow(_counted(frequent), _STATS))
-    customers, kinds = _array(found, "context", 0, CONTEXTS), _array(found, "context", 0, CONTEXTS, "y")
-    often, often_kinds = _array(found, "often", 0, len(frequent)), _array(found, "often", 0, len(frequent), "y")
-    words, once, twice, ones, twos = _array(found, "sum", 0, 5)
-    model = Model(frequent, customers, often, int(customers.sum()), int(words + (often > 0).sum()),
-                  _discount(ones, twos), _discount(once + (often_kinds == 1).sum(), twice + (often_kinds == 2).sum()), seed)
-    model.totals = [Totals(kinds, kinds.sum(), model.vocabulary, often_kinds, np.minimum(often_kinds, 1))]
+    model = _model(_collected(seats.mapInArrow(_counted(frequent), _STATS)), frequent, seed)
     rng = np.random.Generator(np.random.Philox(key=[seed, 1 << 40]))
     first = _collected(seats.mapInArrow(_seated(model, False), _STATS))
     model.totals.append(_totals(model, first, 0, rng))
