@@ -31,7 +31,7 @@ from sparkvox.session import ship_package
 
 MAGIC = b"DAC1"
 #: Tokens of a shard, about (one document is never split).
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 #: Bits between two entries of a rank directory.
 RANK_STEP = 512
 
@@ -49,15 +49,16 @@ def level_widths(counts_by_length: np.ndarray) -> list[int]:
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").tobytes() + b"\0" * 4  # four bytes can be read anywhere
+    """The low ``width`` bits of each value, one after another."""
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :(width + 7) // 8], axis=1, bitorder="little")
+    return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def encode_shard(docs: list[np.ndarray], ids: list[int | None]) -> bytes:
     """A shard: header, document ids, their starts, then each level's chunks, bitmap and directory."""
     tokens = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
-    lengths = np.maximum(1, np.ceil(np.log2(tokens.astype(np.float64) + 1))).astype(np.int64)
-    widths = level_widths(np.bincount(lengths, minlength=2))
+    lengths = np.searchsorted(1 << np.arange(33, dtype=np.int64), tokens, "right")  # bits of each id
+    widths = level_widths(np.bincount(np.maximum(lengths, 1), minlength=2))
     starts = np.cumsum([0, *map(len, docs)]).astype("<u8")
     known = np.array([i is not None for i in ids], np.uint8)
     numbers = np.array([i or 0 for i in ids], "<i8")
@@ -121,12 +122,11 @@ class Shard:
             n = len(places)
             if not n:
                 break
-            bit = (first + np.arange(n, dtype=np.int64)) * width
-            at = bit >> 3
-            word = (chunks[at].astype(np.uint64) | chunks[at + 1].astype(np.uint64) << np.uint64(8)
-                    | chunks[at + 2].astype(np.uint64) << np.uint64(16) | chunks[at + 3].astype(np.uint64) << np.uint64(24))
-            value = (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
-            out[places] |= (value << np.uint64(shift)).astype(np.uint32)
+            bit = first * width
+            bits = np.unpackbits(chunks[bit >> 3:(bit + n * width + 7) >> 3], bitorder="little")[bit & 7:(bit & 7) + n * width]
+            value = np.zeros((n, 4), np.uint8)
+            value[:, :(width + 7) // 8] = np.packbits(bits.reshape(n, width), axis=1, bitorder="little")
+            out[places] |= value.view("<u4")[:, 0] << np.uint32(shift)
             if k == len(self.widths) - 1:
                 break
             bits = np.unpackbits(bitmap[first // 8:(first + n + 7) // 8], bitorder="little")[first % 8:first % 8 + n]

@@ -1,11 +1,17 @@
 """Token ids of Arrow text batches with a public tokenizer file.
 
 A tokenizer that splits at white space gives a text the ids of its words one
-after another, so each worker encodes a word when it first meets it and
-remembers the ids. Texts are worked through in groups of a few megabytes."""
+after another, so a worker encodes a word when it first meets it and remembers
+the ids. If the tokenizer also lower-cases, words are lower-cased before they
+are looked up; if it splits punctuation from letters, a word and the same word
+before a comma share what is remembered. Texts are worked through in groups of
+a few megabytes."""
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +19,11 @@ import pyarrow as pa
 
 from sparkvox.llm import hashing
 
-#: Words that a worker remembers at once; then it forgets all and goes on.
-CACHE_WORDS = 400_000
+#: Words and word stems that a worker remembers at once; then it forgets them and goes on.
+CACHE_WORDS, CACHE_STEMS = 600_000, 800_000
+#: A stem that ends in a letter or digit, and the punctuation behind it. No
+#: apostrophe: tokenizers treat what follows one in ways of their own.
+_TRAIL = re.compile(rb"(.*[0-9A-Za-z])([.,!?;:%&$#*|]+)")
 
 
 class WordEncoder:
@@ -22,35 +31,62 @@ class WordEncoder:
     ordinary text."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._lowers = self._pieces("AbZ x") == self._pieces("abz x") and self._tokenizer.normalizer is not None \
+            and self._tokenizer.normalizer.normalize_str("AZ") == "az"
+        self._splits = self._tokenizer.pre_tokenizer is not None and all(
+            self._pieces(f"ab7{p}") == [*self._pieces("ab7"), p] for p in (".", ",", "!?", ";:", "%&$#*|"))
+        self._number: dict[bytes, int] = {}
+        self._stems: dict[bytes, bytes] = {}  # ids as 32-bit numbers
         self._forget()
 
+    def _pieces(self, text: str) -> list[str]:
+        t = self._tokenizer
+        text = t.normalizer.normalize_str(text) if t.normalizer else text
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)] if t.pre_tokenizer else [text]
+
     def _forget(self) -> None:
-        self._number: dict[bytes, int] = {}
+        self._number.clear()
         self._ids = np.zeros(1 << 16, np.uint32)
         self._ends = np.zeros(1 << 14, np.int64)  # of the ids of word k: _ends[k] to _ends[k + 1]
 
     def _learn(self, new: list[bytes]) -> None:
+        """Remembers words: as stem and punctuation where the tokenizer splits there."""
+        parts = []
+        for w in new:
+            m = _TRAIL.fullmatch(w) if self._splits else None
+            parts.append(m.groups() if m else (w,))
+        if len(self._stems) > CACHE_STEMS:
+            self._stems.clear()
+        stems = self._stems
+        unknown = list({p for ps in parts for p in ps if p not in stems})
+        for s in range(0, len(unknown), 10_000):  # encodings are large objects
+            some = unknown[s:s + 10_000]
+            for w, e in zip(some, self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                stems[w] = array("I", e.ids).tobytes()
+        found = [stems[ps[0]] if len(ps) == 1 else stems[ps[0]] + stems[ps[1]] for ps in parts]
         known = len(self._number)
-        found = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
         need = known + len(new) + 1
         if need > len(self._ends):
             self._ends = np.concatenate([self._ends, np.zeros(need, np.int64)])
-        ends = self._ends[known] + np.cumsum([len(x) for x in found])
+        ends = self._ends[known] + np.cumsum([len(x) // 4 for x in found])
         self._ends[known + 1:need] = ends
         if ends[-1] > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros(int(ends[-1]), np.uint32)])
-        self._ids[self._ends[known]:ends[-1]] = [i for x in found for i in x]
+        self._ids[self._ends[known]:ends[-1]] = np.frombuffer(b"".join(found), np.uint32)
         self._number.update(zip(new, range(known, known + len(new)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each row that ``offsets`` bound, in order."""
         raw = data.data
         for i, j in hashing.row_groups(offsets, 4 << 20):
-            texts = [bytes(raw[offsets[r]:offsets[r + 1]]).split() for r in range(i, j)]
+            texts = [bytes(raw[offsets[r]:offsets[r + 1]]) for r in range(i, j)]
+            # ASCII letters only: what the tokenizer does to others it does later.
+            texts = [(t.lower() if self._lowers else t).split() for t in texts]
             if len(self._number) > CACHE_WORDS:
                 self._forget()
             new = list(set().union(*texts).difference(self._number))
