@@ -149,40 +149,60 @@ LEAST_BANDS = 2
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """``(key, node, grid)``: the buckets of each document, 2 per band. In:
+    """``(key, node)``: the buckets of each document, 2 per band. In:
     ``node, n, bands`` of one document per class."""
     size = F.log(F.col("n").cast("double")) / math.log(CLASS_WIDTH)
     keyed = reps.select("node", "n", F.posexplode("bands").alias("band", "value")).select(
         "node", "n", "band", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
     cell = F.floor(size + F.col("grid") / 2)
-    return keyed.select(F.xxhash64("band", "value", "grid", cell).alias("key"), "node", "grid")
+    return keyed.select(F.xxhash64("band", "value", "grid", cell).alias("key"), "node")
+
+
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """``(key, node, m)`` of the buckets with m > 1 members. Counted per task
+    first and joined back, so that a hot bucket need not meet in one task."""
+    members = bucket_members(reps)
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near_buckets")
+    return written(members.join(sizes, "key"), "near_members")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """``(a, b)``: each member of a bucket with the bucket's centre, the least
-    in an order of its grid, so that few different pairs come out. A bucket's
-    rows need not meet in one task: only its centre goes to all."""
-    mask = F.when(F.col("grid") == 0, F.lit(0x2545F4914F6CDD1D)).otherwise(F.lit(0x5851F42D4C957F2D))
-    masked = members.select("key", F.col("node").bitwiseXOR(mask).alias("o"), "grid")
-    centres = written(masked.groupBy("key").agg(F.min("o").alias("co"), F.count("*").alias("m"))
-                      .where("m > 1").select("key", "co"), "near_centres")
-    pairs = masked.join(centres, "key").where("o <> co")
-    x, y = F.col("o").bitwiseXOR(mask), F.col("co").bitwiseXOR(mask)
-    return pairs.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-
-
-def cross_pairs(members: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: members with their bucket's centre where the two are not
-    connected yet. Each bucket and turn has an order of its own, so a document
-    that its first centres were not similar to meets many others."""
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    order = F.xxhash64("node", "key", F.lit(turn))
-    centres = written(
-        placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "root")).alias("c"),
-                                  F.min("root").alias("r"), F.max("root").alias("s"))
-        .where("r <> s").select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("other")), "near_centres")
-    pairs = placed.join(centres, "key").where("root <> other")
-    return pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+    """``(a, b)``: each member of a bucket with the bucket's centre, the member
+    that meets most others in all its buckets together. The text that a group
+    was copied from is that, as its copies agree with it more than with each
+    other; so one centre serves a group and few different pairs come out."""
+    met = written(members.groupBy("node").agg(F.sum(F.col("m") - 1).alias("met")), "near_met")
+    centres = (members.join(met, "node").groupBy("key")
+               .agg(F.max(F.struct("met", F.xxhash64("node").alias("o"), "node")).alias("c")))
+    centres = written(centres.select("key", F.col("c.node").alias("centre")), "near_centres")
+    return _pairs(members.join(centres, "key").where("node <> centre"))
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
+
+
+def open_pairs(members: DataFrame, close: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: documents of ``close`` pairs that are not connected, with
+    another centre of each of their buckets, if they are not connected with it.
+
+    A document that is similar to a neighbour of z has a similarity of 0.5 to z
+    at least, as distances 1 - J obey the triangle inequality; so where no
+    such close pair is open, no neighbour needs to be met."""
+    def rooted(df: DataFrame, c: str) -> DataFrame:
+        named = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        return df.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+
+    open_ = rooted(rooted(close, "a"), "b").where("ra <> rb")
+    nodes = open_.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")),
+                                           F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x"))
+    nodes = written(nodes.select("x.*").distinct(), "near_open")
+    asking = written(members.select("key", "node").join(nodes, "node"), "near_asking")
+    order = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node")
+    centres = (members.join(asking.select("key").distinct(), "key", "left_semi")
+               .groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("centre")))
+    met = rooted(asking.join(centres, "key").where("node <> centre"), "centre").where("root <> rcentre")
+    return _pairs(met)
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -193,24 +213,26 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.where(near & (F.size(F.array_intersect("ba", "bb")) >= LEAST_BANDS)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough. Sets move once per pair, never all sets of a group to one place."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, linked)`` of pairs with half of their shingles in common at
+    least. Sets move once per pair, never all sets of a group to one place."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
-    shared = F.size(F.array_intersect("fa", "fb"))
-    return both.select("a", "b", shared.alias("s"), (F.size("fa") + F.size("fb")).alias("t")).where(
-        100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b")
+    counts = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).alias("s"), (F.size("fa") + F.size("fb")).alias("t"))
+    union = F.col("t") - F.col("s")
+    return counts.where(100 * F.col("s") >= 50 * union).select("a", "b", (100 * F.col("s") >= percent * union).alias("linked"))
 
 
 def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """``(node, root)`` of the classes that links connect with others. Stars
-    come first; then turns of cross_pairs, until one finds no new link."""
-    pairs = written(star_pairs(bucket_members(reps)), "near_pairs")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
+    come first; then turns of open_pairs, until one finds no new link."""
+    members = shared_buckets(reps)
+    nodes = members.select("node").distinct()
     some = written(reps.join(nodes, "node"), "near_some")
+    pairs = likely(star_pairs(members), some, percent)
 
     needed = written(signed.select(F.col("rid").alias("node"), F.col("id").alias("_id"), F.col("th").alias("_th"))
-                     .join(nodes, "node"), "near_needed")
+                     .join(some.select("node"), "node"), "near_needed")
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).withColumn(
         "_h", F.unhex(F.md5(filled(F.col("_t")).cast("binary"))))
     texts = texts.join(needed, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
@@ -218,17 +240,18 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text
     texts = texts.select("node", "_t").dropDuplicates(["node"])
     sets = written(texts.mapInArrow(_sets, "node bigint, found array<bigint>"), "near_sets")
 
-    found = written(confirmed(likely(pairs, some, percent), sets, percent), "near_links")
-    roots, turn = written(components(found, "a", "b"), "near_roots"), 0
+    close = written(compared(pairs, sets, percent), "near_close")
+    roots, turn = written(components(close.where("linked"), "a", "b"), "near_roots"), 0
     while True:
         turn += 1
-        more = cross_pairs(bucket_members(some), roots, turn)
-        more = written(confirmed(likely(more, some, percent), sets, percent), "near_links")
-        if more.isEmpty():
+        pairs = likely(open_pairs(members, close.where("not linked"), roots, turn), some, percent)
+        more = written(compared(pairs, sets, percent), "near_close")
+        if more.where("linked").isEmpty():
             return roots
+        close = close.unionByName(more)
         # The roots so far are links as good as any: stars of what is connected.
-        found = more.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = written(components(found, "a", "b"), "near_roots")
+        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(components(more.where("linked").select("a", "b").unionByName(stars), "a", "b"), "near_roots")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
