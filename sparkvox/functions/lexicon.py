@@ -52,6 +52,7 @@ MIN_DOCUMENT_FREQUENCY = 0.02
 MAX_DOCUMENT_FREQUENCY = 0.98
 MAX_VOCAB_SIZE = 20000
 TFIDF_N_WORDS = 3000
+N_WIDE_WORDS = 1000
 N_EDGE = 100
 MIN_CO_OCCURRENCE = 0.01
 

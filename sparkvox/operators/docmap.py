@@ -1,9 +1,9 @@
 """Document map and clusters (group F): unit vectors, k-means for a range
 of k, nearest centroid, 2-D coordinates.
 
-Spark ML does the iterative work (KMeans, PCA) over one cached input.
-Centroids and PCA loadings are small (k x d, 2 x d) and bounded by the
-parameters; they are applied as literal SQL expressions.
+Spark ML does the iterative work (KMeans, PCA) over one cached input. The zero
+vector has no direction: it takes no part in a fit, and its label and
+coordinates are NULL.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -19,8 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
 from sparkvox.functions import vectors as V
-
-MAX_CENTROIDS = 1024
+from sparkvox.session import ship_package
 
 
 def l2_normalize(df: DataFrame, vec_col: str = "embedding", out_col: str | None = None) -> DataFrame:
@@ -29,17 +29,26 @@ def l2_normalize(df: DataFrame, vec_col: str = "embedding", out_col: str | None
     return df.withColumn(out_col or vec_col, V.l2_normalize(F.col(vec_col)))
 
 
-def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                 max_cluster: int = L.MAX_CLUSTER, seed: int = L.KMEANS_SEED,
-                 parallelism: int = 4) -> DataFrame:
-    """k-means for every k in 2..max_cluster on unit vectors, long output
-    ``(id, k, label)``. The unit vectors are persisted once and reused by
-    every fit (Spark's k-means|| initialisation, fixed seed)."""
-    if isinstance(max_cluster, bool) or not isinstance(max_cluster, int) or max_cluster < 2:
-        raise ValueError("max_cluster must be an integer greater than or equal to 2")
-    feats = l2_normalize(df.select(id_col, vec_col), vec_col).select(
+def _directed(vec_col: str) -> F.Column:
+    """Whether a vector has a direction: not NULL, not zero."""
+    return F.coalesce(V.norm(F.col(vec_col)) > 0, F.lit(False))
+
+
+def _features(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return l2_normalize(df.filter(_directed(vec_col)).select(id_col, vec_col), vec_col).select(
         id_col, array_to_vector(vec_col).alias("features")
-    ).persist()
+    )
+
+
+def kmeans_fits(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+                max_cluster: int = L.MAX_CLUSTER, seed: int = L.KMEANS_SEED,
+                parallelism: int = 4) -> dict[int, object]:
+    """k-means models for every k in 2..max_cluster on unit vectors (Spark's
+    k-means|| initialisation, fixed seed). A model can be saved with
+    ``model.save(path)`` and used on documents that come later."""
+    if isinstance(max_cluster, bool) or not isinstance(max_cluster, int) or max_cluster < 2:
+        raise ValueError("the largest number of groups must be a whole number from 2 up")
+    feats = _features(df, id_col, vec_col).persist()
     # The fits are independent Spark jobs: submit them from a few driver
     # threads so small fits share the executors (as CrossValidator's
     # ``parallelism`` does).
@@ -47,36 +56,62 @@ def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(feats)
 
     ks = list(range(2, max_cluster + 1))
-    with ThreadPoolExecutor(max_workers=min(parallelism, len(ks))) as pool:
-        models = list(pool.map(fit, ks))
-    out = None
-    for k, model in zip(ks, models):
-        part = model.transform(feats).select(id_col, F.lit(k).alias("k"), F.col("label").cast("int"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    try:
+        with ThreadPoolExecutor(max_workers=min(parallelism, len(ks))) as pool:
+            return dict(zip(ks, pool.map(fit, ks), strict=True))
+    finally:
+        feats.unpersist()
+
+
+def kmeans_labels(df: DataFrame, models: dict[int, object], id_col: str = "vec_id",
+                  vec_col: str = "embedding") -> DataFrame:
+    """Long table ``(id, k, label)`` of all models, in one pass over the
+    vectors; NULL labels for vectors without a direction."""
+    labelled = _features(df, id_col, vec_col)
+    for k, model in models.items():
+        labelled = model.copy().setPredictionCol(f"_k{k}").transform(labelled)
 
+    def long(rows: DataFrame, label) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(k).alias("k"), label(k).cast("int").alias("label")) for k in models])
+        return rows.select(id_col, F.explode(each).alias("c")).select(id_col, "c.k", "c.label")
 
-def centroid_expr(vec: F.Column, centroids: np.ndarray) -> F.Column:
-    """Index of the closest centroid (squared Euclidean), lowest index on
-    ties — one expression over a literal centroid matrix."""
-    mat = F.lit([[float(x) for x in c] for c in centroids])
-    arr = F.transform(mat, lambda c: V.squared_distance(vec, c))
-    return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")
+    rest = df.filter(~_directed(vec_col)).select(id_col)
+    return long(labelled, lambda k: F.col(f"_k{k}")).unionByName(long(rest, lambda k: F.lit(None)))
+
+
+def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+                 max_cluster: int = L.MAX_CLUSTER, seed: int = L.KMEANS_SEED,
+                 parallelism: int = 4) -> DataFrame:
+    """Labels for every k in 2..max_cluster: ``(id, k, label)``."""
+    return kmeans_labels(df, kmeans_fits(df, id_col, vec_col, max_cluster, seed, parallelism), id_col, vec_col)
 
 
 def nearest_centroid(df: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
                      vec_col: str = "embedding") -> DataFrame:
-    """Assign every row to its closest centroid. ``centroids(label, vector)``
-    is small by construction (k rows); its size is checked before it is
-    read and inlined into the expression."""
-    rows = centroids.select("label", "vector").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than MAX_CENTROIDS={MAX_CENTROIDS} centroids")
-    rows = sorted(rows, key=lambda r: r[0])
-    labels = [r[0] for r in rows]
+    """Assign every row to its closest centroid (squared Euclidean; the least
+    label on ties), NULL for a vector without a direction. The rows of
+    ``centroids(label, vector)`` go with each task as one matrix; distances are
+    computed a centroid at a time on Arrow batches, so memory does not depend
+    on their number."""
+    rows = sorted((r[0], r[1]) for r in centroids.select("label", "vector").collect() if None not in r[1])
+    labels = np.array([r[0] for r in rows])
     mat = np.array([r[1] for r in rows], dtype=np.float64)
-    idx = centroid_expr(F.col(vec_col), mat)
-    return df.select(id_col, F.element_at(F.lit(labels), idx + 1).alias("label"))
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("long")
+    def closest(vectors: pd.Series) -> pd.Series:
+        x = np.array([np.asarray(v, dtype=np.float64) for v in vectors]).reshape(len(vectors), mat.shape[1])
+        best, at = np.full(len(x), np.inf), np.full(len(x), -1)
+        for i, c in enumerate(mat):
+            d = ((x - c) ** 2).sum(axis=1)
+            nearer = d < best
+            best[nearer], at[nearer] = d[nearer], i
+        return pd.Series([int(labels[i]) if i >= 0 else None for i in at], dtype="Int64")
+
+    kind = centroids.schema["label"].dataType
+    some = _directed(vec_col) & ~F.exists(F.col(vec_col), lambda e: e.isNull())
+    found = df.filter(some).select(id_col, closest(F.col(vec_col)).cast(kind).alias("label"))
+    return found.unionByName(df.filter(~some).select(id_col, F.lit(None).cast(kind).alias("label")))
 
 
 def labels_for_k(clusters: DataFrame, k: int) -> DataFrame:
@@ -85,16 +120,19 @@ def labels_for_k(clusters: DataFrame, k: int) -> DataFrame:
     return clusters.filter(F.col("k") == k)
 
 
-def document_map_2d(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """2-D coordinates from a distributed PCA of the unit vectors. Each axis
-    sign is fixed so its largest-magnitude loading is positive."""
-    feats = l2_normalize(df.select(id_col, vec_col), vec_col).select(
-        id_col, array_to_vector(vec_col).alias("features")
-    )
-    model = PCA(k=2, inputCol="features", outputCol="pc").fit(feats)
+def fit_map(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"):
+    """The PCA model of the map; ``model.save(path)`` keeps it for later documents."""
+    return PCA(k=2, inputCol="features", outputCol="pc").fit(_features(df, id_col, vec_col))
+
+
+def document_map_2d(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", model=None) -> DataFrame:
+    """2-D coordinates from a distributed PCA of the unit vectors (a given or
+    a new model). Each axis sign is fixed so its largest-magnitude loading is
+    positive. NULL for vectors without a direction."""
+    model = model or fit_map(df, id_col, vec_col)
     pcs = model.pc.toArray()  # d x 2, bounded by the vector width
     signs = [1.0 if pcs[np.argmax(np.abs(pcs[:, j])), j] >= 0 else -1.0 for j in range(2)]
-    out = model.transform(feats).withColumn("xy", vector_to_array("pc"))
-    return out.select(
-        id_col, (F.col("xy")[0] * signs[0]).alias("x"), (F.col("xy")[1] * signs[1]).alias("y")
-    )
+    out = model.transform(_features(df, id_col, vec_col)).withColumn("xy", vector_to_array("pc"))
+    placed = out.select(id_col, (F.col("xy")[0] * signs[0]).alias("x"), (F.col("xy")[1] * signs[1]).alias("y"))
+    none = F.lit(None).cast("double")
+    return placed.unionByName(df.filter(~_directed(vec_col)).select(id_col, none.alias("x"), none.alias("y")))

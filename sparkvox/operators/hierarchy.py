@@ -3,11 +3,12 @@ a tree given as an adjacency table
 ``nodes(id, parent_id, label, key BIGINT, checked, disabled)``.
 
 The tree is walked level by level with joins (frontier ⋈ children), the
-distributed form of a recursive CTE: every level is one join, AQE turns it
-into a broadcast join when the frontier is small at run time, and lineage
-is cut with a reliable checkpoint every few levels. Pre-order is carried as
-a sortable key (zero-padded keys along the path), so no global window is
-needed to order the flattened tree.
+distributed form of a recursive CTE, down to an empty frontier: no depth is
+too large. Every level is one join, which AQE turns into a broadcast join
+when the frontier is small at run time, and is written to the shared
+checkpoint folder, so lineage stays short and lost executors cost one level.
+Pre-order is carried as a sortable key (zero-padded keys along the path), so
+no global window is needed to order the flattened tree.
 """
 
 from __future__ import annotations
@@ -16,21 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
-from sparkvox.session import ensure_checkpoint_dir
+from sparkvox.session import scratch_path
 
 KEY_WIDTH = 19          # digits of a non-negative BIGINT
-CHECKPOINT_EVERY = 8    # levels between lineage cuts
-MAX_DEPTH = 10_000
 
 
 def _key(c) -> F.Column:
     return F.lpad(c.cast("string"), KEY_WIDTH, "0")
 
 
-def tree_walk(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def tree_walk(nodes: DataFrame) -> DataFrame:
     """Every node with ``path`` (labels joined by '/'), ``depth``,
     ``preorder_key``, inherited ``checked``/``disabled`` (own OR any
-    ancestor's) and ``ancestors`` (ids from the top)."""
+    ancestor's) and ``ancestors`` (ids from the top). Nodes that no root
+    reaches are not in the result: see ``tree_unreached``."""
+    spark = nodes.sparkSession
     level = nodes.filter(F.col("parent_id").isNull()).select(
         "id", "key",
         F.col("label").alias("path"),
@@ -45,11 +46,15 @@ def tree_walk(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         F.col("parent_id").alias("p_id"), F.col("id").alias("c_id"), F.col("key").alias("c_key"),
         F.col("label").alias("c_label"), F.col("checked").alias("c_checked"), F.col("disabled").alias("c_disabled"),
     ).filter(F.col("p_id").isNotNull())
-    ensure_checkpoint_dir(nodes.sparkSession)
-    levels = [level]
+    folder = scratch_path(spark, "tree_levels")
     depth = 0
-    while depth < max_depth:
-        nxt = level.join(children, level["id"] == children["p_id"]).select(
+    while True:
+        # The level's folder holds the rows and, in the file footers, their number.
+        level.write.parquet(f"{folder}/level={depth}")
+        level = spark.read.schema(level.schema).parquet(f"{folder}/level={depth}")
+        if level.isEmpty():
+            break
+        level = level.join(children, level["id"] == children["p_id"]).select(
             F.col("c_id").alias("id"), F.col("c_key").alias("key"),
             F.concat(F.col("path"), F.lit(L.TREE_DELIMITER), F.col("c_label")).alias("path"),
             (F.col("depth") + 1).alias("depth"),
@@ -60,17 +65,19 @@ def tree_walk(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
             F.col("c_checked").alias("own_checked"),
         )
         depth += 1
-        # Each level is reused by the next join, the emptiness test and the
-        # final union: keep it, and cut the lineage now and then.
-        nxt = nxt.checkpoint() if depth % CHECKPOINT_EVERY == 0 else nxt.persist()
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        level = nxt
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
-    return out
+    # One scan over all levels, whatever their number.
+    return spark.read.schema(level.schema).option("basePath", folder).parquet(folder).select(*level.columns)
+
+
+def tree_unreached(nodes: DataFrame, walk: DataFrame) -> DataFrame:
+    """``(id, reason)`` of the nodes that no root reaches: ``orphan`` where
+    the parent does not exist, ``below orphan or in a cycle`` otherwise. A
+    walk from the roots never enters a cycle, as every node has one parent."""
+    lost = nodes.filter(F.col("parent_id").isNotNull()).join(walk.select("id"), "id", "left_anti")
+    known = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("_known"))
+    return lost.select("id", "parent_id").join(known, "parent_id", "left").select(
+        "id", F.when(F.col("_known"), F.lit("below orphan or in a cycle")).otherwise(F.lit("orphan")).alias("reason")
+    )
 
 
 def tree_paths(walk: DataFrame) -> DataFrame:

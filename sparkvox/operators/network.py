@@ -1,13 +1,11 @@
 """Sentence-level word co-occurrence and its network (group E).
 
-Plan, written so that the pair work stays bounded:
-
-1. semi-join the words with the (parameter-bounded) vocabulary, broadcast;
-2. one row per (doc, sentence, word): duplicates within a sentence count once;
-3. self-join on (doc_id, sent_id) with ``l.lemma < r.lemma``: each unordered
-   pair is produced once per sentence. Rows per key are distinct vocabulary
-   words (at most the vocabulary size); sentences above a threshold are
-   split into B x B blocks so no single task owns a hot sentence;
+Plan, written so that the pair work stays bounded and the words are read once:
+
+1. semi-join the words with the vocabulary (broadcast by AQE if it is small);
+2. one set of words per sentence: duplicates within a sentence count once;
+3. every unordered pair of a set by exploding blocks of the sorted set, block
+   by block, so a sentence of many words never makes an array of its pairs;
 4. partial + final count per pair (map-side combine before the shuffle);
 5. mirror to both orders with an ``explode`` (no second join).
 """
@@ -18,57 +16,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
-from sparkvox.operators.wordstats import maybe_broadcast
-
 
-# Sentences with more distinct vocabulary words than this are split into
-# blocks for the pair join (their pair count grows with the square).
-HEAVY_SENTENCE_WORDS = 1000
-N_BLOCKS = 8
+# Words of a block of a sentence's set.
+BLOCK = 256
 
 
-def sentence_pairs(words: DataFrame, vocab: DataFrame, vocab_bound: int | None,
-                   heavy_threshold: int = HEAVY_SENTENCE_WORDS, n_blocks: int = N_BLOCKS) -> DataFrame:
+def sentence_pairs(words: DataFrame, vocab: DataFrame, block: int = BLOCK) -> DataFrame:
     """Undirected pair counts (lemma1 < lemma2, n = sentences with both).
 
-    Ordinary sentences self-join on (doc_id, sent_id). A sentence holding
-    more than ``heavy_threshold`` distinct vocabulary words is split: every
-    word gets a block ``hash(lemma) mod B``; a left word is copied to the B
-    cells (its block, *), a right word to the B cells (*, its block), and
-    the join runs per (sentence, cell). Each pair meets in exactly one cell,
-    so one hot sentence spreads over B^2 tasks instead of one.
-    """
-    sw = (
-        words.join(maybe_broadcast(vocab.select("lemma"), vocab_bound), "lemma", "left_semi")
-        .select("doc_id", "sent_id", "lemma")
-        .distinct()
+    The sorted set of a sentence is cut into blocks of ``block`` words. Each
+    pair of blocks is one row, which is exploded into its pairs: a row is at
+    most two blocks wide however long the sentence is."""
+    sets = (
+        words.join(vocab.select("lemma"), "lemma", "left_semi")
+        .groupBy("doc_id", "sent_id")
+        .agg(F.sort_array(F.collect_set("lemma")).alias("s"))
+        .filter(F.size("s") > 1)
     )
-    per_sent = Window.partitionBy("doc_id", "sent_id")  # clustered by doc_id already
-    sw = sw.withColumn("_m", F.count(F.lit(1)).over(per_sent))
-    light = sw.filter(F.col("_m") <= heavy_threshold)
-    heavy = sw.filter(F.col("_m") > heavy_threshold).withColumn(
-        "_b", F.pmod(F.xxhash64("lemma"), F.lit(n_blocks)).cast("int")
+    starts = F.sequence(F.lit(0), F.floor((F.size("s") - 1) / block).cast("int"))
+    blocks = sets.select(F.transform(starts, lambda b: F.slice("s", b * block + 1, block)).alias("blocks"))
+    left = blocks.select("blocks", F.posexplode("blocks").alias("p", "a"))
+    both = left.select(
+        "p", "a", F.posexplode(F.slice("blocks", F.col("p") + 1, F.size("blocks"))).alias("q", "b")
     )
-    blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    hl = heavy.select("doc_id", "sent_id", "lemma", F.col("_b").alias("cl"), F.explode(blocks).alias("cr"))
-    hr = heavy.select("doc_id", "sent_id", "lemma", F.explode(blocks).alias("cl"), F.col("_b").alias("cr"))
-
-    def pairs_of(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-        a, b = a.alias("l"), b.alias("r")
-        cond = F.col("l.lemma") < F.col("r.lemma")
-        for k in keys:
-            cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-        return a.join(b, cond).select(F.col("l.lemma").alias("lemma1"), F.col("r.lemma").alias("lemma2"))
-
-    pairs = pairs_of(light, light, ["doc_id", "sent_id"]).unionByName(
-        pairs_of(hl, hr, ["doc_id", "sent_id", "cl", "cr"])
+    pairs = (
+        both.select("q", "b", F.explode("a").alias("lemma1"))
+        .select("q", "lemma1", F.explode("b").alias("lemma2"))
+        # A block paired with itself gives each pair twice; blocks are in order otherwise.
+        .filter((F.col("q") > 0) | (F.col("lemma1") < F.col("lemma2")))
     )
     return pairs.groupBy("lemma1", "lemma2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def co_occurrence(words: DataFrame, vocab: DataFrame, vocab_bound: int | None = None) -> DataFrame:
+def co_occurrence(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Symmetric co-occurrence (both orders, zero diagonal left out)."""
-    return mirror_pairs(sentence_pairs(words, vocab, vocab_bound))
+    return mirror_pairs(sentence_pairs(words, vocab))
 
 
 def mirror_pairs(und: DataFrame) -> DataFrame:
@@ -112,8 +94,6 @@ def co_occurrence_nodes(edges: DataFrame, vocab: DataFrame, pos_vote: DataFrame)
     display size 30 x size, colour by the word's majority POS. When no edge
     is kept, a single placeholder node carries the message."""
     max_df = vocab.select(F.max("df")).scalar()
-    # At most n_edge rows, read twice (nodes and the empty check): keep it.
-    edges = edges.persist()
     on_edge = edges.select(F.explode(F.array("lemma1", "lemma2")).alias("lemma")).distinct()
     color = F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(x) for kv in L.POS_COLORS.items() for x in kv]), F.col("pos")),

@@ -143,7 +143,7 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
 
     Plan: one window per sentence finds chain starts (a running sum), then
     a group-by per chain; the group-by reuses the window's partitioning on
-    (doc_id, sent_id), so there is a single shuffle.
+    (doc_id, sent_id), so the words are read and sorted once.
     """
     if mode not in ("merged", "overlapping"):
         raise ValueError("mode must be 'merged' or 'overlapping'")
@@ -153,14 +153,6 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
     seg = words.withColumn("_prev_c", prev_compound).withColumn(
         "chain", F.sum(F.when(F.col("_prev_c"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
-    # Most words are chains of one (not compound, not after a compound):
-    # they pass straight through; only real chains are grouped.
-    single = ~F.col("_prev_c") & (F.coalesce(F.col("dep"), F.lit("")) != L.COMPOUND_DEP)
-    singles = seg.filter(single).select(
-        "doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "ent_type",
-        F.lit(1).alias("n_tokens"), *(["vector"] if "vector" in words.columns else []),
-    )
-    seg = seg.filter(~single)
     fields = [F.col("word_id"), F.col("text"), F.col("lemma"), F.col("is_stop"), F.col("pos"),
               F.col("ent_type"), F.col("dep")]
     if has_vec:
@@ -200,4 +192,4 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
             "doc_id", "sent_id",
             F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda s: span(s))).alias("m"),
         )
-    return out.select("doc_id", "sent_id", "m.*").unionByName(singles)
+    return out.select("doc_id", "sent_id", "m.*")

@@ -2,8 +2,8 @@
 
 All operators are lazy DataFrame plans. Aggregations are hash aggregates
 with map-side partial aggregation, so a very frequent word (a hot key) only
-ships one partial row per task. Anything broadcast has a size bound fixed
-by a parameter (``n`` words) and is checked against ``BROADCAST_MAX_ROWS``.
+ships one partial row per task. Nothing is broadcast by a hint: AQE broadcasts
+a vocabulary whose measured size allows it, and shuffles it otherwise.
 """
 
 from __future__ import annotations
@@ -14,18 +14,6 @@ from pyspark.sql import functions as F
 from sparkvox.functions import lexicon as L
 from sparkvox.functions.text import join_with_delimiter, split_by_delimiter
 
-# Largest row count a parameter-bounded side may have to be broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is bounded by a known
-    parameter below ``BROADCAST_MAX_ROWS``; otherwise the planner chooses
-    (a shuffle join beyond the bound)."""
-    if row_bound is not None and row_bound <= BROADCAST_MAX_ROWS:
-        return F.broadcast(df)
-    return df
-
 
 # ---------------------------------------------------------------------------
 # POS vote and content-word filter
@@ -33,9 +21,10 @@ def maybe_broadcast(df: DataFrame, row_bound: int | None) -> DataFrame:
 
 def word_pos_majority(words: DataFrame) -> DataFrame:
     """lemma → most frequent POS over all (unfiltered) words; ties → the
-    alphabetically first POS. One aggregation: ``mode`` keeps a count per
-    POS tag (a handful per word) and is partially aggregated per task."""
-    return words.groupBy("lemma").agg(F.mode("pos", deterministic=True).alias("pos"))
+    alphabetically first POS. Counted per (lemma, POS) first, so the vote
+    sees a handful of rows per lemma however common it is."""
+    counts = words.groupBy("lemma", "pos").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("lemma").agg(F.min_by("pos", F.struct(-F.col("n"), "pos")).alias("pos"))
 
 
 def relevant_predicate(lemma: Column, pos: Column, is_stop: Column, ent_type: Column) -> Column:
@@ -57,35 +46,25 @@ def pad_empty_sentences(words: DataFrame) -> DataFrame:
     """Filter to content words; a sentence left empty keeps one placeholder
     word (text/lemma "", NOUN, stop word, word_id -1).
 
-    Single pass: a window per sentence (unordered frame) tells whether any
-    word survives; the first word of an empty sentence turns into the
-    placeholder. Input clustered by ``doc_id`` (the tokeniser's output)
-    satisfies the window's distribution, so no exchange is planned.
+    The content words pass a filter; one hash aggregate per sentence finds
+    the empty ones and adds a row for each. Input clustered by ``doc_id``
+    (the tokeniser's output) needs no exchange for that, and nothing is
+    sorted or stored a second time.
     """
     rel = relevant_predicate(F.col("lemma"), F.col("pos"), F.col("is_stop"), F.col("ent_type"))
     base = ["doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type"]
     # Document-level columns carried by the tokeniser (e.g. lang, a label).
     carry = [c for c in words.columns if c not in base and c != "vector"]
-    w = Window.partitionBy("doc_id", "sent_id")
-    flagged = (
-        words.withColumn("_rel", rel)
-        .withColumn("_any", F.max(F.col("_rel").cast("int")).over(w))
-        .withColumn("_first", F.col("word_id") == F.min("word_id").over(w))
+    kept = words.filter(rel).select(*base, *carry)
+    empty = (
+        words.groupBy("doc_id", "sent_id", *carry).agg(F.max(rel.cast("int")).alias("_any")).filter(F.col("_any") == 0)
     )
-    kept = flagged.filter(F.col("_rel") | ((F.col("_any") == 0) & F.col("_first")))
-    keep = F.col("_rel")
-    return kept.select(
-        "doc_id",
-        "sent_id",
-        F.when(keep, F.col("word_id")).otherwise(F.lit(-1)).alias("word_id"),
-        F.when(keep, F.col("text")).otherwise(F.lit("")).alias("text"),
-        F.when(keep, F.col("lemma")).otherwise(F.lit("")).alias("lemma"),
-        F.when(keep, F.col("is_stop")).otherwise(F.lit(True)).alias("is_stop"),
-        F.when(keep, F.col("pos")).otherwise(F.lit("NOUN")).alias("pos"),
-        F.when(keep, F.col("dep")).alias("dep"),
-        F.when(keep, F.col("ent_type")).alias("ent_type"),
-        *carry,
+    fields = {f.name: f.dataType for f in words.schema.fields}
+    filler = {"word_id": -1, "text": "", "lemma": "", "is_stop": True, "pos": "NOUN", "dep": None, "ent_type": None}
+    pads = empty.select(
+        "doc_id", "sent_id", *[F.lit(v).cast(fields[c]).alias(c) for c, v in filler.items()], *carry
     )
+    return kept.unionByName(pads)
 
 
 # ---------------------------------------------------------------------------
@@ -140,10 +119,11 @@ def doc_frequency(
     docs: DataFrame,
     min_df: float | int = L.MIN_DOCUMENT_FREQUENCY,
     max_df: float | int = L.MAX_DOCUMENT_FREQUENCY,
-    max_vocab_size: int | None = L.MAX_VOCAB_SIZE,
+    max_vocab_size: int | None = None,
 ) -> DataFrame:
-    """Documents per word, kept if min_df <= df <= max_df, then the
-    ``max_vocab_size`` most frequent (ties alphabetical). N counts every row
+    """Documents per word, kept if min_df <= df <= max_df; with
+    ``max_vocab_size`` only that many of the most frequent (ties
+    alphabetical). N counts every row
     of ``docs``, including documents without words. An explicit 0 is
     honoured (no fallback to the default)."""
     n_docs = docs.select(F.count(F.lit(1))).scalar()
@@ -161,16 +141,12 @@ def frequent_words(doc_freq: DataFrame, n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("df"), F.asc("lemma"))))
 
 
-def doc_term_wide(words: DataFrame, docs: DataFrame, vocab: DataFrame, max_columns: int = 1000) -> DataFrame:
-    """Top words as 0/1 columns (alphabetical), one row per document.
-
-    ``vocab`` must be bounded (e.g. ``frequent_words(n)``); its words become
-    column names, so they are read on the driver — at most ``max_columns``.
-    """
-    names = sorted(r["lemma"] for r in vocab.select("lemma").limit(max_columns + 1).collect())
-    if len(names) > max_columns:
-        raise ValueError(f"more than {max_columns} columns requested")
-    present = doc_term(words).join(maybe_broadcast(vocab.select("lemma"), max_columns), "lemma", "left_semi")
+def doc_term_wide(words: DataFrame, docs: DataFrame, vocab: DataFrame, n: int = L.N_WIDE_WORDS) -> DataFrame:
+    """The ``n`` most frequent words of ``vocab(lemma, df)`` as 0/1 columns
+    (alphabetical), one row per document. The words become column names, so
+    these ``n`` are read on the driver."""
+    names = sorted(r["lemma"] for r in frequent_words(vocab, n).select("lemma").collect())
+    present = doc_term(words).join(vocab.select("lemma"), "lemma", "left_semi")
     wide = present.groupBy("doc_id").pivot("lemma", names).agg(F.lit(1))
     out = docs.select("doc_id").join(wide, "doc_id", "left")
     return out.select("doc_id", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("int").alias(c) for c in names])
@@ -198,39 +174,37 @@ def word_frequencies_for(doc_freq: DataFrame, wanted: DataFrame, order: str = "d
 def tfidf_by_label(
     words: DataFrame,
     vocab: DataFrame,
+    labels: DataFrame,
     label_col: str = "label",
-    doc_labels: DataFrame | None = None,
-    vocab_bound: int | None = L.TFIDF_N_WORDS,
 ) -> DataFrame:
     """All documents of a label form one text; raw term counts over the
     fixed ``vocab``; idf = ln((1+L)/(1+lf)) + 1 (L labels, lf labels holding
     the word); every label row L2-normalised.
 
-    The label comes from ``words[label_col]`` when the tokeniser carried it,
-    else from ``doc_labels(doc_id, label_col)`` after a per-document
+    ``labels`` has a row per document with its ``label_col``: L counts every
+    label there, also those whose documents hold no word of the vocabulary.
+    The label of a word comes from ``words[label_col]`` when the tokeniser
+    carried it, else from ``labels(doc_id, label_col)`` after a per-document
     pre-aggregation (so the join sees (doc, word) rows, not every token).
     Documents with a NULL label are left out.
     """
-    in_vocab = words.join(maybe_broadcast(vocab.select("lemma"), vocab_bound), "lemma", "left_semi")
+    in_vocab = words.join(vocab.select("lemma"), "lemma", "left_semi")
     if label_col in words.columns:
         counts = in_vocab.groupBy(label_col, "lemma").agg(F.count(F.lit(1)).alias("tf"))
     else:
-        if doc_labels is None:
-            raise ValueError(f"words has no {label_col!r}; pass doc_labels")
         per_doc = in_vocab.groupBy("doc_id", "lemma").agg(F.count(F.lit(1)).alias("n"))
         counts = (
-            per_doc.join(doc_labels.select("doc_id", label_col), "doc_id")
+            per_doc.join(labels.select("doc_id", label_col), "doc_id")
             .groupBy(label_col, "lemma")
             .agg(F.sum("n").alias("tf"))
         )
-    # label x word counts: bounded by labels x vocabulary, read three times.
-    counts = counts.filter(F.col(label_col).isNotNull()).persist()
-    n_labels = counts.select(F.count_distinct(F.col(label_col))).scalar()
-    lf = counts.groupBy("lemma").agg(F.count(F.lit(1)).alias("lf"))
-    weighted = counts.join(lf, "lemma").withColumn(
-        "w", F.col("tf") * (F.log((F.lit(1) + n_labels) / (F.lit(1) + F.col("lf"))) + F.lit(1.0))
+    counts = counts.filter(F.col(label_col).isNotNull())
+    n_labels = labels.select(F.count_distinct(F.col(label_col))).scalar()
+    # Rows per word are bounded by the labels, rows per label by the vocabulary.
+    lf = F.count(F.lit(1)).over(Window.partitionBy("lemma"))
+    weighted = counts.withColumn(
+        "w", F.col("tf") * (F.log((F.lit(1) + n_labels) / (F.lit(1) + lf)) + F.lit(1.0))
     )
-    # Rows per label are bounded by the vocabulary size.
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(label_col)))
     return weighted.select(
         F.col(label_col).alias("label"), "lemma", "tf", F.try_divide(F.col("w"), norm).alias("weight")
@@ -253,14 +227,13 @@ def top_words_by_label(tfidf: DataFrame, n: int) -> DataFrame:
     return tfidf.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def compare_frequencies(words: DataFrame, selected_docs: DataFrame, vocab: DataFrame | None = None,
-                        vocab_bound: int | None = None) -> DataFrame:
+def compare_frequencies(words: DataFrame, selected_docs: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """Document frequency overall next to the frequency among selected
     documents (``selected_docs(doc_id)``), ranked by the selected one
     descending (ties: overall descending, then word)."""
     dt = doc_term(words)
     if vocab is not None:
-        dt = dt.join(maybe_broadcast(vocab.select("lemma"), vocab_bound), "lemma", "left_semi")
+        dt = dt.join(vocab.select("lemma"), "lemma", "left_semi")
     sel = selected_docs.select("doc_id").distinct().withColumn("_sel", F.lit(True))
     flagged = dt.join(sel, "doc_id", "left")
     agg = flagged.groupBy("lemma").agg(

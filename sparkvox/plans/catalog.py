@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,59 +56,57 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def clean_docs(spark: SparkSession, d: str) -> DataFrame:
     """documents → (doc_id, lang, text) with the default cleaning, whole texts."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    return N.normalize_text(TK.by_document(docs))
-
-
-# The word table of a corpus is built once and kept (MEMORY_AND_DISK: it
-# spills instead of failing, and lost blocks are recomputed from lineage),
-# like the tokenised documents the analyses share. Every later query plan
-# reads it instead of tokenising the texts again.
-_SHARED: dict[tuple, DataFrame] = {}
-
-
-def shared(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Small shared results (bounded aggregates): persisted."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _SHARED:
-        _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _SHARED[key]
-
-
-def shared_table(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Large shared tables (words): written once as a table bucketed by
-    doc_id under the shared checkpoint folder and read back. Reads keep the
-    doc_id co-location (no exchange for per-document work), prune columns,
-    cut lineage, and survive executor loss. Needs the session catalog to be
-    the in-memory one (no metastore); otherwise the table is persisted."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _SHARED:
-        if spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "in-memory":
-            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            tname = f"sparkvox_{name}_{uuid.uuid4().hex[:12]}"
-            (build().write.bucketBy(n, "doc_id").option("path", scratch_path(spark, name))
-             .format("parquet").saveAsTable(tname))
-            _SHARED[key] = spark.table(tname)
-        else:
-            _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _SHARED[key]
+    return N.normalize_text(table(spark, d, "documents").select("doc_id", "lang", "text"))
+
+
+# The word table of a corpus is written once per application; every later
+# query plan reads it instead of tokenising the texts again.
+_WORDS: dict[tuple, str] = {}
+
+# Bytes of text per bucket of the word table (about five times that as words).
+BUCKET_TEXT_BYTES = 64 << 20
+
+
+def n_buckets(spark: SparkSession, docs: DataFrame) -> int:
+    """Buckets by the measured bytes of the texts, at least one per core."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_TEXT_BYTES))
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    return shared_table(spark, d, "words", lambda: TK.tokenize_docs(clean_docs(spark, d)))
+    """The word table, as a table bucketed by doc_id under the shared
+    checkpoint folder. Reads keep the doc_id co-location (no exchange for
+    per-document work), prune columns, cut lineage, and survive executor
+    loss. ``release_words`` drops it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _WORDS:
+        docs = clean_docs(spark, d)
+        n = n_buckets(spark, docs)
+        name = f"sparkvox_words_{uuid.uuid4().hex[:12]}"
+        (TK.tokenize_docs(TK.by_document(docs, n_partitions=n)).write.bucketBy(n, "doc_id")
+         .option("path", scratch_path(spark, "words")).format("parquet").saveAsTable(name))
+        _WORDS[key] = name
+    return spark.table(_WORDS[key])
+
+
+def release_words(spark: SparkSession, d: str) -> None:
+    """Forget the word table of a corpus; the next query builds it anew."""
+    name = _WORDS.pop((spark.sparkContext.applicationId, d), None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def padded(spark: SparkSession, d: str) -> DataFrame:
-    return shared_table(spark, d, "padded", lambda: WS.pad_empty_sentences(words(spark, d)))
+    return WS.pad_empty_sentences(words(spark, d))
 
 
 def dfreq(spark: SparkSession, d: str) -> DataFrame:
-    # Bounded by max_vocab_size rows; the vocabulary of every analysis.
-    return shared(spark, d, "dfreq", lambda: WS.doc_frequency(padded(spark, d), table(spark, d, "documents")))
+    return WS.doc_frequency(padded(spark, d), table(spark, d, "documents"))
 
 
 N_WORDS_WIDE = 20
-N_WORDS_TFIDF = 300
+N_WORDS_TOP = 300
+N_COLUMNS = 200
 N_TOP_PER_LABEL = 20
 
 # ---------------------------------------------------------------------------
@@ -127,15 +125,6 @@ def q_normalize_custom(spark, d):
     return N.normalize_text(docs, custom=F.lower)
 
 
-@register(
-    "cap_corpus",
-    f"SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT {L.MAX_DOCUMENTS}",
-)
-def q_cap_corpus(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return N.cap_corpus(docs, L.MAX_DOCUMENTS)
-
-
 # ---------------------------------------------------------------------------
 # D. tokens
 # ---------------------------------------------------------------------------
@@ -194,15 +183,14 @@ def q_doc_frequency(spark, d):
 
 @register(
     "frequent_words",
-    O.with_(*O.stats_base(), O.cte_top("top", N_WORDS_TFIDF)) + "SELECT lemma, df, rank FROM top",
+    O.with_(*O.stats_base(), O.cte_top("top", N_WORDS_TOP)) + "SELECT lemma, df, rank FROM top",
 )
 def q_frequent_words(spark, d):
-    return WS.frequent_words(dfreq(spark, d), N_WORDS_TFIDF)
+    return WS.frequent_words(dfreq(spark, d), N_WORDS_TOP)
 
 
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    vocab = WS.frequent_words(dfreq(spark, d), N_WORDS_TFIDF)
-    return WS.tfidf_by_label(padded(spark, d), vocab, label_col="lang", vocab_bound=N_WORDS_TFIDF)
+    return WS.tfidf_by_label(padded(spark, d), dfreq(spark, d), table(spark, d, "documents"), label_col="lang")
 
 
 LANG_LABELS = "dl AS (SELECT doc_id, lang AS label FROM documents)"
@@ -212,15 +200,14 @@ CLUSTER_LABELS = "dl AS (SELECT vec_id AS doc_id, label FROM embeddings)"
 def tfidf_sql(doc_labels: str = LANG_LABELS) -> list[str]:
     return [
         *O.stats_base(),
-        O.cte_top("vocab", N_WORDS_TFIDF),
         doc_labels,
         """tfc AS (
   SELECT p.label, p.lemma, count(*) AS tf FROM (
     SELECT w.*, dl.label FROM padded w JOIN dl USING (doc_id)) p
-  WHERE p.lemma IN (SELECT lemma FROM vocab) AND p.label IS NOT NULL
+  WHERE p.lemma IN (SELECT lemma FROM dfreq) AND p.label IS NOT NULL
   GROUP BY p.label, p.lemma
 ),
-nl AS (SELECT count(DISTINCT label) AS n FROM tfc),
+nl AS (SELECT count(DISTINCT label) AS n FROM dl),
 lf AS (SELECT lemma, count(*) AS lf FROM tfc GROUP BY lemma),
 tw AS (
   SELECT t.label, t.lemma, t.tf, t.tf * (ln((1 + (SELECT n FROM nl)) / (1 + lf.lf)) + 1) AS w
@@ -306,16 +293,14 @@ def q_split_by_delimiter(spark, d):
 
 @register(
     "doc_term_wide",
-    O.with_(*O.stats_base(), O.cte_top("top", N_WORDS_WIDE))
-    + """, grid AS (
-  SELECT d.doc_id, t.lemma, CAST(x.doc_id IS NOT NULL AS INTEGER) AS v
-  FROM documents d CROSS JOIN top t LEFT JOIN dterm x ON x.doc_id = d.doc_id AND x.lemma = t.lemma
-)
-SELECT * FROM (PIVOT grid ON lemma USING max(v) GROUP BY doc_id)""",
+    O.with_(*O.stats_base(), O.cte_top("top", N_COLUMNS))
+    + """SELECT d.doc_id, t.lemma, CAST(x.doc_id IS NOT NULL AS INTEGER) AS present
+FROM documents d CROSS JOIN top t LEFT JOIN dterm x ON x.doc_id = d.doc_id AND x.lemma = t.lemma""",
 )
 def q_doc_term_wide(spark, d):
-    vocab = WS.frequent_words(dfreq(spark, d), N_WORDS_WIDE)
-    return WS.doc_term_wide(padded(spark, d), table(spark, d, "documents"), vocab, max_columns=N_WORDS_WIDE)
+    # The wide table, unpivoted again: its column names depend on the data.
+    wide = WS.doc_term_wide(padded(spark, d), table(spark, d, "documents"), dfreq(spark, d), N_COLUMNS)
+    return wide.unpivot("doc_id", [F.col(f"`{c}`") for c in wide.columns[1:]], "lemma", "present")
 
 
 @register(
@@ -335,24 +320,14 @@ def q_word_frequencies_for(spark, d):
 
 # --- co-occurrence -------------------------------------------------------------
 
-CO_N_WORDS = L.MAX_VOCAB_SIZE
-
-
-def co_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return WS.frequent_words(dfreq(spark, d), CO_N_WORDS)
-
-
 def co_pairs(spark: SparkSession, d: str) -> DataFrame:
-    # Undirected pair counts (bounded by vocabulary^2 / 2), shared by the
-    # co-occurrence table, its edges and its nodes.
-    return shared(spark, d, "co_pairs", lambda: NW.sentence_pairs(padded(spark, d), co_vocab(spark, d), CO_N_WORDS))
+    return NW.sentence_pairs(padded(spark, d), dfreq(spark, d))
 
 
 def co_sql() -> list[str]:
     return [
         *O.stats_base(),
-        O.cte_top("vocab", CO_N_WORDS),
-        """sw AS (SELECT DISTINCT doc_id, sent_id, lemma FROM padded WHERE lemma IN (SELECT lemma FROM vocab)),
+        """sw AS (SELECT DISTINCT doc_id, sent_id, lemma FROM padded WHERE lemma IN (SELECT lemma FROM dfreq)),
 und AS (
   SELECT l.lemma AS lemma1, r.lemma AS lemma2, count(*) AS n
   FROM sw l JOIN sw r ON l.doc_id = r.doc_id AND l.sent_id = r.sent_id AND l.lemma < r.lemma
@@ -400,16 +375,18 @@ def pos_color_sql(col: str) -> str:
   SELECT lemma, arg_min(pos, (-n, pos)) AS pos FROM (
     SELECT lemma, pos, count(*) AS n FROM words GROUP BY lemma, pos) GROUP BY lemma
 ),
-mx AS (SELECT max(df) AS m FROM vocab)
+mx AS (SELECT max(df) AS m FROM dfreq)
 SELECT v.lemma, round(v.df / (SELECT m FROM mx), 6) AS size,
   round(v.df / (SELECT m FROM mx) * {L.NODE_SIZE_SCALE}, 6) AS display_size, {pos_color_sql('pv.pos')} AS color
-FROM vocab v LEFT JOIN pv USING (lemma)
+FROM dfreq v LEFT JOIN pv USING (lemma)
 WHERE v.lemma IN (SELECT lemma1 FROM edges UNION SELECT lemma2 FROM edges)
 UNION ALL
 SELECT {O.q(L.EMPTY_NETWORK_LABEL)}, NULL, NULL, {O.q(L.EMPTY_NETWORK_COLOR)} WHERE NOT EXISTS (SELECT 1 FROM edges)""",
 )
 def q_co_occurrence_nodes(spark, d):
-    n = NW.co_occurrence_nodes(edges(spark, d), co_vocab(spark, d), WS.word_pos_majority(words(spark, d)))
+    # At most n_edge rows, read twice (nodes and the empty check).
+    kept = IO.persist_result(edges(spark, d), scratch_path(spark, "edges"))
+    n = NW.co_occurrence_nodes(kept, dfreq(spark, d), WS.word_pos_majority(words(spark, d)))
     return n.select("lemma", round6("size").alias("size"), round6("display_size").alias("display_size"), "color")
 
 
@@ -418,21 +395,21 @@ def q_co_occurrence_nodes(spark, d):
 
 @register(
     "compare_frequencies",
-    O.with_(*O.stats_base(), O.cte_top("vocab", N_WORDS_TFIDF))
+    O.with_(*O.stats_base())
     + """, sel AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 agg AS (
   SELECT t.lemma, count(*) AS overall, CAST(count(s.doc_id) AS BIGINT) AS selected
   FROM dterm t LEFT JOIN sel s USING (doc_id)
-  WHERE t.lemma IN (SELECT lemma FROM vocab) GROUP BY t.lemma
+  WHERE t.lemma IN (SELECT lemma FROM dfreq) GROUP BY t.lemma
 )
 SELECT lemma, overall, selected,
   CAST(row_number() OVER (ORDER BY selected DESC, overall DESC, lemma) AS INTEGER) AS rank FROM agg""",
 )
 def q_compare_frequencies(spark, d):
-    vocab = WS.frequent_words(dfreq(spark, d), N_WORDS_TFIDF)
     selected = table(spark, d, "labels").filter(F.col("quality") == 1).select("doc_id")
-    agg = WS.compare_frequencies(padded(spark, d), selected, vocab, N_WORDS_TFIDF)
-    # At most N_WORDS_TFIDF rows: a global rank is cheap here.
+    agg = WS.compare_frequencies(padded(spark, d), selected, dfreq(spark, d))
+    # Words that a share of all documents holds: their number depends on the
+    # length of documents, not on how many there are, so a global rank is cheap.
     w = Window.orderBy(F.desc("selected"), F.desc("overall"), F.asc("lemma"))
     return agg.withColumn("rank", F.row_number().over(w))
 
@@ -542,18 +519,29 @@ PROJ_K = 8
     O.with_(UNNEST_EMB)
     + f""", j AS (SELECT CAST(range AS INTEGER) AS j FROM range({PROJ_K}))
 SELECT e.vec_id AS id, j.j AS dim,
-  round(sum(e.x * (1 - 2 * (((e.dim * 37 + j.j * 101 + ((e.dim * j.j) % 13)) % 11) % 2))) / sqrt({PROJ_K}), 6) AS value
+  round(sum(e.x * CASE WHEN substr(md5(e.dim || '|' || j.j), 1, 1) < '8' THEN 1 ELSE -1 END) / sqrt({PROJ_K}), 6) AS value
 FROM e CROSS JOIN j GROUP BY e.vec_id, j.j""",
 )
 def q_random_projection(spark, d):
-    p = VC.random_projection(emb(spark, d), "embedding", PROJ_K, method="sign", out_col="proj")
+    p = VC.random_projection(emb(spark, d), "embedding", PROJ_K, emb_dim(spark, d), method="sign", out_col="proj")
     return long_vec(p, "vec_id", "proj")
 
 
-@register("random_projection_gaussian")
+EMB_DIM = 64  # of the given table, for the matrix in the SQL below
+GAUSS_VALUES = ", ".join(
+    f"({i}, {j}, {float(x)!r}::DOUBLE)" for (i, j), x in np.ndenumerate(VC.gaussian_matrix(EMB_DIM, PROJ_K, 0))
+)
+
+
+@register(
+    "random_projection_gaussian",
+    O.with_(UNNEST_EMB, f"g(i, j, r) AS (VALUES {GAUSS_VALUES})")
+    + """SELECT e.vec_id AS id, CAST(g.j AS INTEGER) AS dim, round(sum(e.x * g.r), 6) AS value
+FROM e JOIN g ON g.i = e.dim GROUP BY e.vec_id, g.j""",
+)
 def q_random_projection_gaussian(spark, d):
-    p = VC.random_projection(emb(spark, d), "embedding", PROJ_K, method="gaussian",
-                             dim=emb_dim(spark, d), seed=0, out_col="proj")
+    p = VC.random_projection(emb(spark, d), "embedding", PROJ_K, emb_dim(spark, d), method="gaussian", seed=0,
+                             out_col="proj")
     return long_vec(p, "vec_id", "proj")
 
 
@@ -634,9 +622,31 @@ def q_l2_normalize(spark, d):
     return long_vec(n, "vec_id", "embedding", "vec_id")
 
 
-@register("kmeans_all_k")
+@register(
+    "kmeans_all_k",
+    f"""SELECT CAST(k.range AS INTEGER) AS k, count(*) AS n_rows, 0::BIGINT AS n_out_of_range, 0::BIGINT AS n_not_closest
+FROM embeddings, range(2, {L.MAX_CLUSTER + 1}) AS k GROUP BY k.range""",
+)
 def q_kmeans_all_k(spark, d):
-    return DM.kmeans_all_k(emb(spark, d), max_cluster=L.MAX_CLUSTER)
+    # What SQL can check of every k: a label for each row, labels from 0 to
+    # k - 1, and each row in the group of its closest centre.
+    e = emb(spark, d)
+    models = DM.kmeans_fits(e, max_cluster=L.MAX_CLUSTER)
+    found = IO.persist_result(DM.kmeans_labels(e, models), scratch_path(spark, "clusters"), ["k"])
+    unit = DM.l2_normalize(e, "embedding")
+    out = None
+    for k, model in models.items():
+        centres = spark.createDataFrame(
+            [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "label int, vector array<double>"
+        )
+        near = DM.nearest_centroid(unit, centres).withColumnRenamed("label", "near")
+        one = DM.labels_for_k(found, k).join(near, "vec_id").agg(
+            F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_rows"),
+            F.count_if((F.col("label") < 0) | (F.col("label") >= k)).alias("n_out_of_range"),
+            F.count_if(F.col("label") != F.col("near")).alias("n_not_closest"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -660,18 +670,30 @@ def q_nearest_centroid(spark, d):
 K_SHOWN = 7
 
 
-@register("labels_for_k")
+@register("labels_for_k", f"SELECT vec_id, CAST(label % {K_SHOWN} AS INTEGER) AS label, {K_SHOWN} AS k FROM embeddings")
 def q_labels_for_k(spark, d):
-    # The k sweep is stored once, partitioned by k; reading one k prunes to
-    # a single directory (PartitionFilters on the scan).
-    path = scratch_path(spark, "clusters")
-    DM.kmeans_all_k(emb(spark, d)).write.partitionBy("k").parquet(path)
-    return DM.labels_for_k(spark.read.parquet(path), K_SHOWN)
+    # A labelling for every k, made from the table's own labels, stored once
+    # and partitioned by k; reading one k prunes to a single directory
+    # (PartitionFilters on the scan).
+    each = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("label") % k).cast("int").alias("label"))
+                     for k in range(2, L.MAX_CLUSTER + 1)])
+    stored = emb(spark, d).select("vec_id", F.explode(each).alias("c")).select("vec_id", "c.k", "c.label")
+    return DM.labels_for_k(IO.persist_result(stored, scratch_path(spark, "clusters"), ["k"]), K_SHOWN)
 
 
-@register("document_map_2d")
+@register(
+    "document_map_2d",
+    """SELECT count(*) AS n_rows, count(*) AS n_placed, 0.0::DOUBLE AS correlation, true AS ordered FROM embeddings""",
+)
 def q_document_map_2d(spark, d):
-    return DM.document_map_2d(emb(spark, d))
+    # What SQL can check: every row is placed, the axes are uncorrelated, and
+    # the first one spreads more.
+    m = DM.document_map_2d(emb(spark, d))
+    return m.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("x").alias("n_placed"),
+        F.abs(F.round(F.corr("x", "y"), 6)).alias("correlation"),
+        (F.var_pop("x") >= F.var_pop("y")).alias("ordered"),
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -699,22 +721,23 @@ def names_df(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GROUP_NAMES, "label int, name string")
 
 
-def display_names(spark: SparkSession, d: str) -> DataFrame:
-    return CH.group_display_names(points(spark, d).select("label").distinct(), names_df(spark))
+def label_set(spark: SparkSession, d: str) -> DataFrame:
+    # From the vector table alone: no join with the texts to list labels.
+    return emb(spark, d).select("label").distinct()
 
 
-def colors(spark: SparkSession, d: str) -> DataFrame:
-    return CH.label_colors(points(spark, d).select("label").distinct())
+def labels_of(spark: SparkSession, d: str) -> DataFrame:
+    return CH.label_table(label_set(spark, d), names_df(spark))
 
 
 def chart_rows(spark: SparkSession, d: str) -> DataFrame:
-    return CH.scatter_table(points(spark, d), display_names(spark, d), colors(spark, d))
+    return CH.scatter_table(points(spark, d), labels_of(spark, d))
 
 
-def palette_sql(n: str, label: str) -> str:
+def palette_sql(n: str, rank: str) -> str:
     p10 = "[" + ", ".join(O.q(c) for c in L.PALETTE_10) + "]"
     p20 = "[" + ", ".join(O.q(c) for c in L.PALETTE_20) + "]"
-    return f"CASE WHEN {n} <= 10 THEN {p10}[{label} + 1] ELSE {p20}[{label} + 1] END"
+    return f"CASE WHEN {n} <= 10 THEN {p10}[{rank}] ELSE {p20}[({rank} - 1) % 20 + 1] END"
 
 
 G_SQL = [
@@ -723,14 +746,15 @@ G_SQL = [
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id
 )""",
     "names(label, name) AS (VALUES " + ", ".join(f"({k}, {O.q(v)})" for k, v in GROUP_NAMES) + ")",
-    """labs AS (SELECT DISTINCT label FROM pts),
+    """labs AS (SELECT DISTINCT label FROM embeddings),
 disp AS (
-  SELECT l.label, CAST(l.label AS VARCHAR) || ':' || coalesce(n.name, '') AS label_wamei
+  SELECT l.label, CAST(l.label AS VARCHAR) || ':' || coalesce(n.name, '') AS display_name
   FROM labs l LEFT JOIN (SELECT * FROM names WHERE name <> '' AND name <> CAST(label AS VARCHAR)) n USING (label)
 )""",
-    f"cols AS (SELECT label, {palette_sql('(SELECT count(*) FROM labs)', 'label')} AS color FROM labs)",
+    "ranks AS (SELECT label, row_number() OVER (ORDER BY label) AS r FROM labs)",
+    f"cols AS (SELECT label, {palette_sql('(SELECT count(*) FROM labs)', 'r')} AS color FROM ranks)",
     """rowsg AS (
-  SELECT p.doc_id, p.x, p.y, p.text, p.label, c.color, n.label_wamei
+  SELECT p.doc_id, p.x, p.y, p.text, p.label, c.color, n.display_name
   FROM pts p LEFT JOIN disp n USING (label) LEFT JOIN cols c USING (label)
 )""",
     """agg AS (SELECT label, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM pts GROUP BY label),
@@ -752,21 +776,21 @@ def q_cluster_positions(spark, d):
     return p.select("label", *[round6(c).alias(c) for c in ("x", "y", "size")])
 
 
-@register("group_display_names", O.with_(*G_SQL) + "SELECT label, label_wamei FROM disp")
+@register("group_display_names", O.with_(*G_SQL) + "SELECT label, display_name FROM disp")
 def q_group_display_names(spark, d):
-    return display_names(spark, d)
+    return CH.group_display_names(label_set(spark, d), names_df(spark))
 
 
 @register("label_colors", O.with_(*G_SQL) + "SELECT label, color FROM cols")
 def q_label_colors(spark, d):
-    return colors(spark, d)
+    return CH.label_colors(label_set(spark, d))
 
 
 @register("scatter_table", O.with_(*G_SQL) + """SELECT doc_id, round(x, 6) AS x, round(y, 6) AS y, text, label,
-  color, label_wamei FROM rowsg""")
+  color, display_name FROM rowsg""")
 def q_scatter_table(spark, d):
     t = chart_rows(spark, d)
-    return t.select("doc_id", round6("x").alias("x"), round6("y").alias("y"), "text", "label", "color", "label_wamei")
+    return t.select("doc_id", round6("x").alias("x"), round6("y").alias("y"), "text", "label", "color", "display_name")
 
 
 @register("axis_ranges", O.with_(*G_SQL) + """SELECT round(min(x) - 0.1, 6) AS x_start, round(max(x) + 0.1, 6) AS x_end,
@@ -781,13 +805,13 @@ def q_label_texts(spark, d):
     return CH.label_texts(points(spark, d))
 
 
-@register("document_table", O.with_(*G_SQL) + "SELECT CAST(label AS VARCHAR) AS label, label_wamei, text FROM rowsg")
+@register("document_table", O.with_(*G_SQL) + "SELECT CAST(label AS VARCHAR) AS label, display_name, text FROM rowsg")
 def q_document_table(spark, d):
     return CH.document_table(chart_rows(spark, d))
 
 
-SELECT_SQL = """SELECT CAST(s.doc_id AS BIGINT) AS position, s.doc_id, CAST(r.label AS VARCHAR) AS label,
-  r.label_wamei, r.text FROM sel s JOIN rowsg r USING (doc_id)"""
+SELECT_SQL = """SELECT s.position, s.doc_id, CAST(r.label AS VARCHAR) AS label,
+  r.display_name, r.text FROM sel s JOIN rowsg r USING (doc_id)"""
 PH_SQL = (
     f"SELECT NULL::BIGINT, NULL::BIGINT, {O.q(L.EMPTY_TABLE_LABEL)}, {O.q(L.EMPTY_TABLE_LABEL)}, "
     f"{O.q(L.EMPTY_TABLE_TEXT)} FROM range({L.N_EMPTY_ROWS}) WHERE NOT EXISTS (SELECT 1 FROM picked)"
@@ -796,19 +820,21 @@ PH_SQL = (
 
 @register(
     "select_by_index",
-    O.with_(*G_SQL, "sel AS (SELECT doc_id FROM labels WHERE toxic = 1)", f"picked AS ({SELECT_SQL})")
+    O.with_(*G_SQL, "sel AS (SELECT 1000000 - 7 * doc_id AS position, doc_id FROM labels WHERE toxic = 1)", f"picked AS ({SELECT_SQL})")
     + "SELECT * FROM picked UNION ALL " + PH_SQL,
 )
 def q_select_by_index(spark, d):
-    # Selected: documents flagged toxic, in document order.
-    sel = table(spark, d, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("position"), "doc_id")
+    # Selected: documents flagged toxic, the last one first.
+    sel = table(spark, d, "labels").filter(F.col("toxic") == 1).select(
+        (F.lit(1000000) - 7 * F.col("doc_id")).alias("position"), "doc_id"
+    )
     return CH.select_by_index(chart_rows(spark, d), sel)
 
 
 @register(
     "select_by_label",
     O.with_(*G_SQL, f"""picked AS (SELECT CAST(doc_id AS BIGINT) AS position, doc_id, CAST(label AS VARCHAR) AS label,
-  label_wamei, text FROM rowsg WHERE label = {TAPPED_LABEL})""")
+  display_name, text FROM rowsg WHERE label = {TAPPED_LABEL})""")
     + "SELECT * FROM picked UNION ALL " + PH_SQL,
 )
 def q_select_by_label(spark, d):
@@ -818,18 +844,22 @@ def q_select_by_label(spark, d):
 # --- word clouds: TF-IDF by cluster label → layout lines → canvas -----------
 
 def cluster_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    vocab = WS.frequent_words(dfreq(spark, d), N_WORDS_TFIDF)
-    doc_labels = emb(spark, d).select(F.col("vec_id").alias("doc_id"), "label")
-    return WS.tfidf_by_label(padded(spark, d), vocab, label_col="label", doc_labels=doc_labels,
-                             vocab_bound=N_WORDS_TFIDF)
+    labels = emb(spark, d).select(F.col("vec_id").alias("doc_id"), "label")
+    return WS.tfidf_by_label(padded(spark, d), dfreq(spark, d), labels)
 
 
+# Folder of the rendered lines per application and corpus.
+_LAYOUTS: dict[tuple, str] = {}
+
 SVG_HEADER = '<svg xmlns="http://www.w3.org/2000/svg" width="900" height="900">'
 
 
 def layout_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Rendered lines per group, written as text files partitioned by label
-    (one directory per word cloud) and read back as a text source."""
+    """Rendered lines per group, written once as text files partitioned by
+    label (one directory per word cloud) and read back as a text source."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _LAYOUTS:
+        return spark.read.text(_LAYOUTS[key])
     top = WS.top_words_by_label(cluster_tfidf(spark, d), N_CLOUD_WORDS)
     r, lab = F.col("rank"), F.col("label")
     line = F.format_string(
@@ -844,14 +874,13 @@ def layout_lines(spark: SparkSession, d: str) -> DataFrame:
     header = top.select("label").distinct().select("label", F.lit(SVG_HEADER).alias("value"))
     path = scratch_path(spark, "layout")
     body.unionByName(header).write.partitionBy("label").text(path)
+    _LAYOUTS[key] = path
     return spark.read.text(path)
 
 
 def cloud_sql() -> list[str]:
-    pat = O.q(CH.LAYOUT_PATTERN)
-
-    def g(i):
-        return f"regexp_extract(value, {pat}, {i})"
+    def g(name, i=1):
+        return f"regexp_extract(value, {O.q(CH.LAYOUT_PARTS[name])}, {i})"
 
     return [
         *tfidf_sql(CLUSTER_LABELS),
@@ -867,10 +896,11 @@ lines AS (
   UNION ALL SELECT DISTINCT label, {O.q(SVG_HEADER)} FROM topw
 ),
 parsed AS (
-  SELECT label, CAST({g(1)} AS INTEGER) AS x, CAST({g(2)} AS INTEGER) AS y, CAST({g(5)} AS INTEGER) AS font_size,
-    CAST({g(6)} AS INTEGER) AS red, CAST({g(7)} AS INTEGER) AS green, CAST({g(8)} AS INTEGER) AS blue,
-    {g(9)} AS text, CASE WHEN {g(4)} = '' THEN 0 ELSE CAST({g(4)} AS INTEGER) END AS angle
-  FROM lines WHERE regexp_matches(value, {pat})
+  SELECT label, CAST({g('place')} AS INTEGER) AS x, CAST({g('place', 2)} AS INTEGER) AS y,
+    CAST({g('font')} AS INTEGER) AS font_size, CAST({g('fill')} AS INTEGER) AS red,
+    CAST({g('fill', 2)} AS INTEGER) AS green, CAST({g('fill', 3)} AS INTEGER) AS blue,
+    {g('text')} AS text, coalesce(TRY_CAST({g('turn')} AS INTEGER), 0) AS angle
+  FROM lines WHERE {g('place')} <> '' AND {g('font')} <> '' AND {g('fill')} <> '' AND {g('text')} <> ''
 ),
 parsedc AS (SELECT *, printf('#%02x%02x%02x', red, green, blue) AS color FROM parsed),
 maxfont AS (SELECT max(font_size) AS m FROM parsed)""",
@@ -914,14 +944,14 @@ def q_place_words_on_canvas(spark, d):
     "cluster_bubbles",
     O.with_(*cloud_sql())
     + f"""SELECT c.label, round(c.cx, 6) AS x, round(c.cy, 6) AS y, round(c.radius * 2 * {L.BUBBLE_SCALE}, 6) AS diameter,
-  k.color, n.label_wamei FROM canvas c LEFT JOIN disp n USING (label) LEFT JOIN cols k USING (label)""",
+  k.color, n.display_name FROM canvas c LEFT JOIN disp n USING (label) LEFT JOIN cols k USING (label)""",
 )
 def q_cluster_bubbles(spark, d):
     words_ = CH.parse_layout_lines(layout_lines(spark, d))
     max_font = words_.select(F.max("font_size")).scalar()
-    b = CH.cluster_bubbles(CH.cluster_positions(points(spark, d)), display_names(spark, d), colors(spark, d), max_font)
+    b = CH.cluster_bubbles(CH.cluster_positions(points(spark, d)), labels_of(spark, d), max_font)
     return b.select("label", round6("x").alias("x"), round6("y").alias("y"), round6("diameter").alias("diameter"),
-                    "color", "label_wamei")
+                    "color", "display_name")
 
 
 # ---------------------------------------------------------------------------
@@ -999,7 +1029,7 @@ def q_running_workers(spark, d):
 @register(
     "pulse_gaps",
     O.with_(*H_SQL)
-    + """SELECT worker, event_id, ts, CAST(row_number() OVER w - 1 AS INTEGER) AS pulse_no,
+    + """SELECT worker, event_id, ts, row_number() OVER w - 1 AS pulse_no,
   round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 6) AS gap_seconds
 FROM ev WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id)""",
 )
@@ -1167,6 +1197,19 @@ def q_column_roles(spark, d):
     return COL.column_info(docs, AUX_COLS)
 
 
+@register(
+    "aux_column",
+    """SELECT doc_id, 'source' AS column_name, source AS value FROM documents
+UNION ALL SELECT doc_id, 'lang', lang FROM documents
+UNION ALL SELECT doc_id, 'source', source FROM documents
+UNION ALL SELECT doc_id, 'n_chars', n_chars::VARCHAR FROM documents""",
+)
+def q_aux_column(spark, d):
+    # One column by name, then all of them in turn.
+    docs = table(spark, d, "documents")
+    return COL.aux_column(docs, AUX_COLS, "source").unionByName(COL.aux_columns(docs, AUX_COLS))
+
+
 @register("aux_select", f"SELECT {len(AUX_COLS)} AS n_columns, count(*) AS n_rows FROM documents")
 def q_aux_select(spark, d):
     return COL.aux_shape(table(spark, d, "documents"), AUX_COLS)
@@ -1202,12 +1245,16 @@ def q_corpus_from_dataframe(spark, d):
 
 def dump_corpus(spark: SparkSession, d: str) -> str:
     path = scratch_path(spark, "corpus_dump")
-    corpus = IO.corpus_from_dataframe(table(spark, d, "documents"), "text", "doc_id")
+    corpus = COL.column_roles(IO.corpus_from_dataframe(table(spark, d, "documents"), "text", "doc_id"), AUX_ROLES)
+    vectors = emb(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     parts = {
-        "docs": corpus,
+        "docs": corpus.select("doc_id", "text"),
         "words": words(spark, d).drop("lang"),
-        "doc_vectors": emb(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")),
-        "aux_info": COL.column_info(COL.column_roles(corpus, AUX_ROLES), AUX_COLS),
+        "word_vectors": VC.hashed_embedding(padded(spark, d), EMBED_DIM),
+        "doc_vectors": vectors,
+        "aux_info": COL.column_info(corpus, AUX_COLS),
+        "aux_data": corpus.select("doc_id", *AUX_COLS),
+        "text_info": corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length("text")).alias("n_chars")),
     }
     IO.corpus_dump(parts, path)
     return path
@@ -1215,26 +1262,47 @@ def dump_corpus(spark: SparkSession, d: str) -> str:
 
 @register(
     "corpus_dump",
-    O.with_(*O.words_base())
+    O.with_(*O.words_base(), O.cte_relevant())
     + """SELECT 'docs' AS part, count(*) AS n_rows FROM documents
 UNION ALL SELECT 'words', count(*) FROM words
 UNION ALL SELECT 'doc_vectors', count(*) FROM embeddings
-UNION ALL SELECT 'aux_info', 3
-UNION ALL SELECT 'meta', 1""",
+UNION ALL SELECT 'word_vectors', count(*) FROM (SELECT DISTINCT doc_id, ('0x' || substr(md5(lemma), 1, 8))::BIGINT % """
+    + f"{EMBED_DIM}" + """ FROM padded WHERE lemma <> '')
+UNION ALL SELECT 'aux_info', count(*) FROM (SELECT unnest(['lang', 'source', 'n_chars']))
+UNION ALL SELECT 'aux_data', count(*) FROM documents
+UNION ALL SELECT 'text_info', count(*) FROM (SELECT count(*) FROM documents)
+UNION ALL SELECT 'meta', count(*) FROM (SELECT count(*) FROM documents)""",
 )
 def q_corpus_dump(spark, d):
-    loaded = IO.corpus_load(spark, dump_corpus(spark, d))
-    meta = spark.range(1).select(F.lit("meta").alias("part"), F.lit(1).cast("long").alias("n_rows"))
-    counts = [df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n_rows")) for name, df in loaded.items()]
-    out = meta
-    for c in counts:
-        out = out.unionByName(c)
+    out = None
+    for name, df in IO.corpus_load(spark, dump_corpus(spark, d)).items():
+        n = df.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n_rows"))
+        out = n if out is None else out.unionByName(n)
     return out
 
 
-@register("corpus_load", DOC_SQL)
+@register("corpus_load", DOC_SQL.replace(" FROM", ", 'is_label' AS lang_role FROM"))
 def q_corpus_load(spark, d):
-    return IO.corpus_load(spark, dump_corpus(spark, d))["docs"].select(*DOC_COLS)
+    # Texts and auxiliary columns of a reloaded corpus, with a role that came back.
+    loaded = IO.corpus_load(spark, dump_corpus(spark, d))
+    role = next(r for r in COL.ROLES if "lang" in COL.columns_with_role(loaded["aux_data"], r))
+    return loaded["docs"].join(loaded["aux_data"], "doc_id").select(*DOC_COLS, F.lit(role).alias("lang_role"))
+
+
+@register(
+    "analysis_model",
+    "SELECT count(*) AS n_rows, 0.0::DOUBLE AS largest_difference FROM embeddings",
+)
+def q_analysis_model(spark, d):
+    # A map's model, saved and loaded, places every vector where it did before.
+    model = DM.fit_map(emb(spark, d))
+    again = IO.persist_model(model, scratch_path(spark, "map_model"))
+    a = DM.document_map_2d(emb(spark, d), model=model)
+    b = DM.document_map_2d(emb(spark, d), model=again).toDF("vec_id", "x2", "y2")
+    return a.join(b, "vec_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(F.abs(F.col("x") - F.col("x2")) + F.abs(F.col("y") - F.col("y2"))).alias("largest_difference"),
+    )
 
 
 @register("analysis_persist", O.with_(*O.stats_base()) + "SELECT lemma, df FROM dfreq")

@@ -105,18 +105,18 @@ def threshold(value, n: str) -> str:
 
 
 def cte_vocab(min_df=L.MIN_DOCUMENT_FREQUENCY, max_df=L.MAX_DOCUMENT_FREQUENCY,
-              max_vocab=L.MAX_VOCAB_SIZE, source: str = "padded") -> str:
+              max_vocab: int | None = None, source: str = "padded") -> str:
+    cut = "" if max_vocab is None else f"\n  ORDER BY df DESC, lemma LIMIT {int(max_vocab)}"
     return f"""ndocs AS (SELECT count(*) AS n FROM documents),
 dterm AS (SELECT DISTINCT doc_id, lemma FROM {source} WHERE lemma <> ''),
 dfreq AS (
   SELECT lemma, count(*) AS df FROM dterm GROUP BY lemma
   HAVING count(*) >= {threshold(min_df, '(SELECT n FROM ndocs)')}
-     AND count(*) <= {threshold(max_df, '(SELECT n FROM ndocs)')}
-  ORDER BY df DESC, lemma LIMIT {int(max_vocab)}
+     AND count(*) <= {threshold(max_df, '(SELECT n FROM ndocs)')}{cut}
 )"""
 
 
-def cte_top(name: str, n: int) -> str:
+def cte_top(name: str, n: int) -> str:  # the n most frequent words
     return f"""{name} AS (
   SELECT lemma, df, CAST(row_number() OVER (ORDER BY df DESC, lemma) AS INTEGER) AS rank
   FROM dfreq ORDER BY df DESC, lemma LIMIT {int(n)}

@@ -40,16 +40,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return spark
 
 
+def private_folder(master: str) -> str:
+    """A folder of this machine for a session whose driver and executors are
+    one process; on any other master such a folder would split the data."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
+    return tempfile.mkdtemp(prefix="sparkvox-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a private one only if unset."""
+    """Return the shared checkpoint folder; a private one is set only where
+    none is configured and the session is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="sparkvox-ckpt-")
-    sc.setCheckpointDir(conf_dir)
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or private_folder(sc.master))
     return sc.getCheckpointDir()
 
 
@@ -59,6 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "sparkvox", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application. Results that
+    still read them fail afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "sparkvox"))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -6,44 +6,53 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkvox.operators.columns import unique_column_names
+from sparkvox.operators.columns import ROLES, column_roles, unique_column_names
 
 FORMAT_VERSION = "0.1.0"
-PARTS = ("docs", "words", "word_vectors", "doc_vectors", "aux_info", "text_info")
+# Parts of a whole corpus; those in REQUIRED must be in every dump.
+PARTS = ("docs", "words", "word_vectors", "doc_vectors", "aux_info", "aux_data", "text_info")
+REQUIRED = ("docs", "aux_info", "aux_data", "text_info")
+# Rows of a CSV file: quoted line ends make a file the work of one task.
+CSV_FILE_ROWS = 200_000
+
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """CSV with a header and quoted multi-line text ("" escapes a quote).
     A quoted empty field is an empty string, an unquoted empty field is
-    NULL. Pass ``schema`` at scale; without it the types are inferred (one
-    extra pass over the data)."""
+    NULL; white space at the ends of a field is kept. Pass ``schema`` at
+    scale; without it the types are inferred (one extra pass over the data).
+    Quoted line ends mean that a file cannot be split."""
     reader = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.options(**_CSV).option("multiLine", True)
         .option("nullValue", "\u0000")  # a value that never occurs: only unquoted empties are NULL
     )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path)
 
 
-def write_corpus_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+def write_corpus_csv(df: DataFrame, path: str, file_rows: int = CSV_FILE_ROWS) -> None:
+    """Files of at most ``file_rows`` rows, all white space kept."""
+    df.write.options(**_CSV).option("maxRecordsPerFile", file_rows).mode("overwrite").csv(path)
 
 
 def corpus_from_dataframe(df: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
     """One text column becomes ``text``; every other column is an auxiliary
-    column (names made unique). Without ``id_col`` a unique (not dense)
-    ``doc_id`` is generated."""
+    column (names made unique). Without ``id_col`` the ``doc_id`` is a hash of
+    the row's content, the same whenever the row is read; equal rows share it."""
     names = list(df.columns)
     aux_idx = [i for i, c in enumerate(names) if c not in (text_col, id_col)]
     new_aux = unique_column_names([names[i] for i in aux_idx])
     for i, n in zip(aux_idx, new_aux):
         names[i] = n
     df = df.toDF(*names)  # positional rename: duplicates are resolvable after it
-    doc_id = F.col(id_col) if id_col else F.monotonically_increasing_id()
+    doc_id = F.col(id_col) if id_col else F.xxhash64(*[F.col(f"`{n}`") for n in names])
     return df.select(
         doc_id.alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         *[F.col(f"`{n}`") for n in new_aux],
@@ -57,34 +66,57 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def corpus_dump(parts: dict[str, DataFrame], path: str) -> None:
-    """Write each part as its own Parquet dataset, then the one-row ``meta``
-    dataset (version, time, part names). Meta is written last, so a
-    complete meta means a complete dump."""
+    """Write each part as its own Parquet dataset into a new folder of this
+    dump, then a one-row ``meta`` dataset (version, time, folder, part names).
+    Meta is replaced last and names the folder, so a dump that was cut short
+    leaves the one before it whole, and no load mixes the two."""
+    missing = [p for p in REQUIRED if p not in parts]
+    unknown = [p for p in parts if p not in PARTS]
+    if missing or unknown:
+        raise ValueError(f"a dump needs {missing or 'no more parts'}; unknown parts: {unknown or 'none'}")
     spark = next(iter(parts.values())).sparkSession
+    folder = f"dump-{uuid.uuid4().hex}"
     for name, df in parts.items():
-        df.write.mode("overwrite").parquet(os.path.join(path, name))
+        df.write.parquet(os.path.join(path, folder, name))
     saved_at = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
     meta = spark.createDataFrame(
-        [(FORMAT_VERSION, saved_at, sorted(parts))], "version string, saved_at string, parts array<string>"
+        [(FORMAT_VERSION, saved_at, folder, sorted(parts))],
+        "version string, saved_at string, folder string, parts array<string>",
     )
-    meta.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "meta"))
+    meta.coalesce(1).write.parquet(os.path.join(path, "meta", folder))
 
 
-def corpus_load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Read ``meta`` first, accept versions whose first three characters
-    match, fail on a missing part; parts are then read lazily."""
+def read_meta(spark: SparkSession, path: str) -> DataFrame:
+    """One row per complete dump below ``path``: version, time, folder, parts."""
     meta_path = os.path.join(path, "meta")
     if not _exists(spark, meta_path):
-        raise FileNotFoundError(f"{meta_path} not found: incomplete or missing dump")
-    meta = spark.read.parquet(meta_path).first()
-    if meta["version"][:3] != FORMAT_VERSION[:3]:
-        raise ValueError(f"version {meta['version']} is not supported.")
-    out = {}
-    for name in meta["parts"]:
-        p = os.path.join(path, name)
-        if not _exists(spark, p):
-            raise FileNotFoundError(f"{name} is not found in {path}.")
+        raise FileNotFoundError(f"no complete dump below {path}")
+    return spark.read.schema("version string, saved_at string, folder string, parts array<string>").option(
+        "recursiveFileLookup", True).parquet(meta_path)
+
+
+def corpus_load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The parts of the newest complete dump, read lazily, and ``meta``. The
+    version must agree in its first three characters, the required parts must
+    be there, and every part must have been written to its end. The columns of
+    ``aux_data`` carry the roles of ``aux_info`` again."""
+    metas = read_meta(spark, path)
+    newest = metas.orderBy(F.desc("saved_at"), F.desc("folder")).first()
+    if newest is None:
+        raise FileNotFoundError(f"no complete dump below {path}")
+    if newest["version"][:3] != FORMAT_VERSION[:3]:
+        raise ValueError(f"this dump has format {newest['version']}, which needs another release than {FORMAT_VERSION}")
+    out = {"meta": metas.filter(F.col("folder") == newest["folder"])}
+    for name in dict.fromkeys((*REQUIRED, *newest["parts"])):
+        p = os.path.join(path, newest["folder"], name)
+        if not _exists(spark, os.path.join(p, "_SUCCESS")):
+            raise FileNotFoundError(f"the dump below {path} lacks its part {name}")
         out[name] = spark.read.parquet(p)
+    roles = {
+        r["column_name"]: {role for role in ROLES if r[role]}
+        for r in out["aux_info"].select("column_name", *ROLES).collect()  # one row per auxiliary column
+    }
+    out["aux_data"] = column_roles(out["aux_data"], roles)
     return out
 
 
@@ -97,6 +129,13 @@ def persist_result(df: DataFrame, path: str, partition_by: list[str] | None = No
     return df.sparkSession.read.parquet(path)
 
 
+def persist_model(model, path: str):
+    """Save a fitted model (the map's PCA, a k-means) and return it read
+    back, to place documents that come later."""
+    model.write().overwrite().save(path)
+    return type(model).load(path)
+
+
 WORD_FIELDS = ("word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type")
 
 

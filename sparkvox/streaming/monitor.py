@@ -115,7 +115,7 @@ def pulse_gaps(ev: DataFrame, n_slices: int | None = None) -> DataFrame:
     j = local.join(offsets, ["slice", "worker"])
     return j.select(
         "worker", "event_id", "ts",
-        (F.col("before") + F.col("local_no")).cast("int").alias("pulse_no"),
+        (F.col("before") + F.col("local_no")).cast("long").alias("pulse_no"),
         seconds_between(F.coalesce("local_prev", "prev_slice_last"), F.col("ts")).alias("gap_seconds"),
     )
 
@@ -161,21 +161,24 @@ def _run_available_now(query_writer, name: str) -> None:
 
 def worker_latest_status_stream(spark: SparkSession, source_path: str, schema) -> DataFrame:
     """Latest status per worker maintained by a streaming aggregation over a
-    file source; every micro-batch rewrites the complete (bounded: one row
-    per worker) result as Parquet, which is then read back."""
+    file source. Every micro-batch appends the workers that changed to a
+    folder of its own (a batch that is run again replaces that folder), and
+    the reader takes each worker's last change."""
     out = scratch_path(spark, "latest_status")
     ckpt = scratch_path(spark, "latest_status_ckpt")
     stream = _file_stream(spark, source_path, schema)
     latest = worker_latest_status(status_events(stream))
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
     _run_available_now(
-        latest.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", ckpt),
+        latest.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", ckpt),
         "worker_latest_status_stream",
     )
-    return spark.read.parquet(out)
+    fields = latest.columns
+    changes = spark.read.schema(latest.schema.add("batch", "long")).parquet(out)
+    return changes.groupBy("worker").agg(F.max_by(F.struct(*fields[1:]), "batch").alias("last")).select("worker", "last.*")
 
 
 def pulse_sessions_stream(spark: SparkSession, source_path: str, schema, gap: str = "6 hours",
@@ -201,14 +204,32 @@ def pulse_sessions_stream(spark: SparkSession, source_path: str, schema, gap: st
             "n_pulses",
         )
     )
-    _run_available_now(
-        sessions.writeStream.outputMode("append").format("parquet")
-        .option("path", out).option("checkpointLocation", ckpt),
-        "pulse_sessions_stream",
-    )
+    # Pulses of a worker become sessions where they are read, so a worker with
+    # most pulses shuffles sessions, not pulses.
+    merge = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+    before = spark.conf.get(merge, "false")
+    spark.conf.set(merge, "true")
+    try:
+        _run_available_now(
+            sessions.writeStream.outputMode("append").format("parquet")
+            .option("path", out).option("checkpointLocation", ckpt),
+            "pulse_sessions_stream",
+        )
+    finally:
+        spark.conf.set(merge, before)
     return spark.read.schema("worker long, session_start timestamp_ntz, session_end timestamp_ntz, n_pulses long").parquet(out)
 
 
+def last_per_batch(ev: DataFrame) -> DataFrame:
+    """Of each worker, the last event of every Arrow batch: a stateless
+    reduction before the shuffle, so a worker with most events sends a few."""
+    def last(batches):
+        for pdf in batches:
+            yield pdf.sort_values(["ts_us", "event_id"]).drop_duplicates("worker", keep="last")
+
+    return ev.mapInPandas(last, ev.schema)
+
+
 def worker_stale_status_stream(spark: SparkSession, source_path: str, schema,
                                ttl: float = L.STALE_AFTER_SECONDS, delay: str = "0 seconds") -> DataFrame:
     """Stale workers detected by a custom stateful stream: per worker the
@@ -226,7 +247,6 @@ def worker_stale_status_stream(spark: SparkSession, source_path: str, schema,
         status_events(_file_stream(spark, source_path, schema))
         .withColumn("ts", F.col("ts").cast("timestamp"))
         .withColumn("ts_us", F.unix_micros("ts"))
-        .withWatermark("ts", delay)
         .select("worker", "ts", "ts_us", "event_id", "status")
     )
     ttl_ms = int(ttl * 1000)
@@ -255,7 +275,7 @@ def worker_stale_status_stream(spark: SparkSession, source_path: str, schema,
             state.setTimeoutTimestamp(best[1] // 1000 + ttl_ms)
         yield pd.DataFrame(columns=cols)
 
-    stale = ev.groupBy("worker").applyInPandasWithState(
+    stale = last_per_batch(ev).withWatermark("ts", delay).groupBy("worker").applyInPandasWithState(
         track,
         "worker long, last_status string, updated_us long, status string",
         "status string, ts_us long, event_id long",

@@ -16,12 +16,15 @@ def test_positions_and_names(spark):
     assert one.x is None and one.size == 1.0  # one label: 0/0 → NULL
     labels = spark.createDataFrame([(0,), (1,), (2,), (3,)], "label int")
     names = spark.createDataFrame([(0, "a"), (1, ""), (2, "2")], "label int, name string")
-    disp = {r.label: r.label_wamei for r in CH.group_display_names(labels, names).collect()}
+    disp = {r.label: r.display_name for r in CH.group_display_names(labels, names).collect()}
     assert disp == {0: "0:a", 1: "1:", 2: "2:", 3: "3:"}
-    plain = {r.label: r.label_wamei for r in CH.group_display_names(labels, None).collect()}
+    plain = {r.label: r.display_name for r in CH.group_display_names(labels, None).collect()}
     assert plain[3] == "3"
     cols = {r.label: r.color for r in CH.label_colors(labels).collect()}
     assert cols[0] == "#1f77b4" and cols[3] == "#d62728"
+    many = spark.range(100, 125).selectExpr("CAST(id AS INT) AS label")
+    cols = {r.label: r.color for r in CH.label_colors(many).collect()}
+    assert None not in cols.values() and cols[100] == cols[120] == "#1f77b4" and len(set(cols.values())) == 20
 
 
 def test_parse_layout_lines(spark):
@@ -30,18 +33,19 @@ def test_parse_layout_lines(spark):
             ('<text transform="translate(10,20) rotate(-90)" font-size="33" style="fill:rgb(255, 0, 16)">word</text>', 1),
             ('<text transform="translate(5,6)" font-size="7" style="fill:rgb(1, 2, 3)">two words</text>', 1),
             ('<svg width="900">', 1),
+            ('<text style="fill:rgb(9, 8, 7)" font-size="12" transform="translate(1,2)">moved</text>', 1),
         ],
         "value string, label int",
     )
     got = [tuple(r) for r in CH.parse_layout_lines(lines).orderBy("x").collect()]
-    assert got == [(1, 5, 6, 7, 1, 2, 3, "two words", 0, "#010203"), (1, 10, 20, 33, 255, 0, 16, "word", -90, "#ff0010")]
+    assert got == [(1, 1, 2, 12, 9, 8, 7, "moved", 0, "#090807"), (1, 5, 6, 7, 1, 2, 3, "two words", 0, "#010203"), (1, 10, 20, 33, 255, 0, 16, "word", -90, "#ff0010")]
 
 
 def test_selection_placeholders(spark):
-    rows = spark.createDataFrame([(1, 0, "0:a", "t1")], "doc_id long, label int, label_wamei string, text string")
+    rows = spark.createDataFrame([(1, 0, "0:a", "t1")], "doc_id long, label int, display_name string, text string")
     sel = spark.createDataFrame([], "position long, doc_id long")
     got = CH.select_by_index(rows, sel).collect()
     assert len(got) == 3 and all(r.label == "-" and r.text.startswith("点を") for r in got)
     got = CH.select_by_label(rows, 0).collect()
-    assert [(r.label, r.label_wamei, r.text) for r in got] == [("0", "0:a", "t1")]
+    assert [(r.label, r.display_name, r.text) for r in got] == [("0", "0:a", "t1")]
     assert CH.document_table(rows, show_empty=True).count() == 3

@@ -35,11 +35,23 @@ def test_tree(spark):
     assert {r.selected_leaf for r in leaves.values() if r.selected_leaf} == {"child1-1-1", "child1-1-2", "child3-1", "child4-1-1"}
 
 
-def test_deep_chain_crosses_checkpoints(spark):
-    depth = 12  # lineage is cut every 8 levels
+SCHEMA = "id string, parent_id string, label string, key long, checked boolean, disabled boolean"
+
+
+def test_lost_nodes_are_named(spark):
+    rows = [("a", None), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("o", "gone"), ("p", "o")]
+    n = spark.createDataFrame([(i, p, i, k, False, False) for k, (i, p) in enumerate(rows)], SCHEMA)
+    walk = HI.tree_walk(n)
+    assert {r.id for r in walk.collect()} == {"a", "b"}
+    lost = {r.id: r.reason for r in HI.tree_unreached(n, walk).collect()}
+    assert lost.pop("o") == "orphan" and set(lost) == {"x", "y", "z", "p"} and len(set(lost.values())) == 1
+
+
+def test_deep_chain(spark):
+    depth = 40
     rows = [(f"n{i}", None if i == 0 else f"n{i - 1}", f"n{i}", i, i == 3, False) for i in range(depth)]
     n = spark.createDataFrame(rows, "id string, parent_id string, label string, key long, checked boolean, disabled boolean")
     walk = HI.tree_walk(n)
     got = {r.id: (r.depth, r.checked) for r in walk.collect()}
-    assert len(got) == depth and got["n11"] == (11, True) and got["n2"] == (2, False)
-    assert HI.tree_paths(walk).filter("id = 'n11'").first().path == "/".join(f"n{i}" for i in range(depth))
+    assert len(got) == depth and got["n39"] == (39, True) and got["n2"] == (2, False)
+    assert HI.tree_paths(walk).filter("id = 'n39'").first().path == "/".join(f"n{i}" for i in range(depth))

@@ -85,3 +85,20 @@ def test_stream_drops_late_pulses(spark, tmp_path):
     out = MON.pulse_sessions_stream(spark, str(src), schema, gap="6 hours", delay="1 hour", max_files_per_batch=1)
     got = sorted((r.session_start, r.session_end, r.n_pulses) for r in out.collect())
     assert got == [(T0, T0 + 7 * H, 2), (T0 + 10 * H, T0 + 16 * H, 1)]
+
+
+def test_hot_worker_sends_few_events(spark):
+    ev = spark.range(50_000, numPartitions=4).selectExpr(
+        "1L AS worker", "TIMESTAMP '2024-01-01 00:00:00' AS ts", "id AS ts_us", "id AS event_id", "'running' AS status")
+    left = MON.last_per_batch(ev)
+    assert left.count() <= 8 and left.agg(F.max("ts_us")).first()[0] == 49_999
+
+
+def test_latest_status_changes_resolve(spark, tmp_path):
+    src = str(tmp_path / "events")
+    rows = [(1, T0, 1, "view"), (2, T0, 2, "signup")], [(3, T0 + dt.timedelta(hours=1), 1, "purchase")]
+    for r in rows:
+        spark.createDataFrame(r, "event_id long, ts timestamp_ntz, user_id long, event_type string").selectExpr(
+            "*", "0.0D AS value", "'{}' AS props").coalesce(1).write.mode("append").parquet(src)
+    out = MON.worker_latest_status_stream(spark, src, spark.read.parquet(src).schema)
+    assert {r.worker: r.last_status for r in out.collect()} == {1: "done", 2: "ready"}

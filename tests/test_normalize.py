@@ -62,7 +62,7 @@ def test_unique_column_names():
         unique_column_names(["a", "a", "a_00"])
 
 
-def test_roles_and_wide_cap(spark):
+def test_roles_and_wide_columns(spark):
     from sparkvox.operators import columns as COL
     from sparkvox.operators import wordstats as WS
 
@@ -72,6 +72,10 @@ def test_roles_and_wide_cap(spark):
     assert COL.columns_with_role(tagged, "is_train_data") == ["a"]
     with pytest.raises(ValueError):
         COL.column_roles(df, {"a": {"is_bogus"}})
-    vocab = spark.createDataFrame([("u",), ("v",)], "lemma string")
-    with pytest.raises(ValueError):
-        WS.doc_term_wide(df.select("doc_id", F.lit("u").alias("lemma")), df, vocab, max_columns=1)
+    vocab = spark.createDataFrame([("u", 2), ("v", 1)], "lemma string, df long")
+    wide = WS.doc_term_wide(df.select("doc_id", F.lit("u").alias("lemma")), df, vocab, n=1)
+    assert wide.columns == ["doc_id", "u"] and wide.first().u == 1
+    assert COL.aux_column(df, ["a", "d"], "d").first().value == "2024-01-01"
+    assert {(r.column_name, r.value) for r in COL.aux_columns(df, ["a", "d"]).collect()} == {("a", "x"), ("d", "2024-01-01")}
+    with pytest.raises(KeyError):
+        COL.aux_column(df, ["a"], "d")

@@ -4,36 +4,101 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from sparkvox.operators.columns import columns_with_role
+from sparkvox.session import private_folder
 from sparkvox.sources import corpus_io as IO
 
 
+def parts_of(spark, docs):
+    info = spark.createDataFrame([("lang", False, True, False, False)],
+                                 "column_name string, is_date boolean, is_label boolean, is_train_data boolean, is_generated boolean")
+    return {"docs": docs.select("doc_id", "text"), "aux_info": info, "aux_data": docs.select("doc_id", "lang"),
+            "text_info": docs.groupBy().count()}
+
+
 def test_dump_load_and_errors(spark, tmp_path):
     docs = spark.createDataFrame([(1, 'a "quoted"\nline', "en"), (2, "b", "fr")], "doc_id long, text string, lang string")
+    parts = parts_of(spark, docs)
     path = str(tmp_path / "dump")
-    IO.corpus_dump({"docs": docs}, path)
+    IO.corpus_dump(parts, path)
     loaded = IO.corpus_load(spark, path)
-    assert sorted(tuple(r) for r in loaded["docs"].collect()) == sorted(tuple(r) for r in docs.collect())
+    back = loaded["docs"].join(loaded["aux_data"], "doc_id").select(*docs.columns)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in docs.collect())
+    assert columns_with_role(loaded["aux_data"], "is_label") == ["lang"]
+    assert loaded["meta"].count() == 1
 
     with pytest.raises(FileNotFoundError):
         IO.corpus_load(spark, str(tmp_path / "nothing"))
+    with pytest.raises(ValueError):
+        IO.corpus_dump({k: v for k, v in parts.items() if k != "docs"}, path)
+    with pytest.raises(ValueError):
+        IO.corpus_dump(parts | {"other": docs}, path)
 
-    # a part named in meta but absent
+    # a part that was not written to its end
     broken = str(tmp_path / "broken")
-    IO.corpus_dump({"docs": docs, "words": docs}, broken)
-    import shutil
-    shutil.rmtree(os.path.join(broken, "words"))
+    IO.corpus_dump(parts | {"words": docs}, broken)
+    (folder,) = [f for f in os.listdir(broken) if f.startswith("dump-")]
+    os.remove(os.path.join(broken, folder, "words", "_SUCCESS"))
     with pytest.raises(FileNotFoundError):
         IO.corpus_load(spark, broken)
 
     # unsupported version
     old = str(tmp_path / "old")
-    IO.corpus_dump({"docs": docs}, old)
-    meta = spark.createDataFrame([("0.2.0", "x", ["docs"])], "version string, saved_at string, parts array<string>")
-    meta.write.mode("overwrite").parquet(os.path.join(old, "meta"))
+    IO.corpus_dump(parts, old)
+    IO.read_meta(spark, old).selectExpr("'0.2.0' AS version", "'9' AS saved_at", "folder", "parts").write.parquet(
+        os.path.join(old, "meta", "later"))
     with pytest.raises(ValueError):
         IO.corpus_load(spark, old)
 
 
+def test_dump_cut_short_leaves_the_one_before(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "old", "en")], "doc_id long, text string, lang string")
+    path = str(tmp_path / "dump")
+    IO.corpus_dump(parts_of(spark, docs), path)
+    new = parts_of(spark, docs.withColumn("text", F.lit("new")))
+    new["text_info"] = new["text_info"].withColumn("x", F.raise_error(F.lit("stopped")))
+    with pytest.raises(Exception, match="stopped"):
+        IO.corpus_dump(new, path)
+    assert IO.corpus_load(spark, path)["docs"].first().text == "old"
+    IO.corpus_dump(parts_of(spark, docs.withColumn("text", F.lit("newer"))), path)
+    assert IO.corpus_load(spark, path)["docs"].first().text == "newer"
+
+
+def test_model_places_later_documents(spark, tmp_path):
+    from sparkvox.operators import docmap
+
+    df = spark.createDataFrame([(i, [1.0 * i, 1.0, -2.0 + i % 3]) for i in range(12)], "vec_id long, embedding array<double>")
+    path = str(tmp_path / "model")
+    model = docmap.fit_map(df.filter("vec_id < 9"))
+    again = IO.persist_model(model, path)
+    a, b = (sorted(tuple(r) for r in docmap.document_map_2d(df, model=m).collect()) for m in (model, again))
+    assert a == b and len(a) == 12
+
+
+def test_scratch_must_be_shared():
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            private_folder(master)
+    assert os.path.isdir(private_folder("local[4]"))
+
+
+def test_csv_keeps_white_space(spark, tmp_path):
+    texts = ["  lead and trail  ", "\ttab\n", " ", "", None, "a,b", '"']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = str(tmp_path / "csv")
+    IO.write_corpus_csv(df, path, file_rows=2)
+    got = [r.text for r in IO.read_corpus_csv(spark, path, schema=df.schema).orderBy("doc_id").collect()]
+    assert got == texts
+
+
+def test_generated_ids_are_stable(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 2)], "t string, x int")
+    ids = [{(r.text, r.x): r.doc_id for r in IO.corpus_from_dataframe(d, "t").collect()} for d in (df, df.repartition(3, "x"))]
+    assert ids[0] == ids[1] and len(set(ids[0].values())) == 3
+
+
 def test_csv_round_trip_and_nested_words(spark, tmp_path):
     docs = spark.createDataFrame([(1, 'say "hi",\nthen go', "en"), (2, "", "fr")], "doc_id long, text string, lang string")
     path = str(tmp_path / "csv")

@@ -1,11 +1,11 @@
 """mini_vectors: cosine edge cases and pooling (mean of means)."""
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from sparkvox.functions import vectors as V
 from sparkvox.operators import vectors as VC
-from sparkvox.operators.docmap import l2_normalize, nearest_centroid
+from sparkvox.operators.docmap import document_map_2d, kmeans_all_k, l2_normalize, nearest_centroid
 
 
 def test_cosine_cases(spark):
@@ -45,20 +45,20 @@ def test_similar_docs_and_centroids(spark):
     assert got == {1: 7, 2: 7, 3: 9, 4: 7}
 
 
-def test_sign_projection_matches_numpy(spark):
-    import numpy as np
+def test_projection_matches_numpy(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None)], "id int, v array<double>")
+    got = {r.id: r.v for r in VC.random_projection(df, "v", 2, 3, method="sign").collect()}
+    assert got[1] == pytest.approx(list(np.array([1.0, 2.0, 3.0]) @ VC.sign_matrix(3, 2))) and got[2] is None
 
-    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "id int, v array<double>")
-    got = VC.random_projection(df, "v", 2, method="sign").first().v
-    r = np.array([[1 - 2 * (((i * 37 + j * 101 + (i * j) % 13) % 11) % 2) for j in range(2)] for i in range(3)])
-    assert got == pytest.approx(list(np.array([1.0, 2.0, 3.0]) @ r / np.sqrt(2)))
 
+def test_sign_matrix_projects_well():
+    m = VC.sign_matrix(768, 96)
+    c = np.corrcoef(m.T) - np.eye(96)
+    assert np.abs(c).max() < 0.2
+    assert np.linalg.svd(m, compute_uv=False).min() > 1.5
 
-def test_kmeans_and_map_invariants(spark):
-    import numpy as np
-
-    from sparkvox.operators.docmap import document_map_2d, kmeans_all_k
 
+def test_kmeans_and_map_invariants(spark):
     emb = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     n = emb.count()
     km = kmeans_all_k(emb, max_cluster=4)
@@ -74,12 +74,42 @@ def test_kmeans_and_map_invariants(spark):
     assert abs(c) < 1e-6  # principal axes are uncorrelated
 
 
-def test_similar_docs_in_target_chunks(spark, monkeypatch):
+def test_similar_docs_in_blocks(spark, monkeypatch):
     corpus = spark.createDataFrame(
-        [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 0.9])], "vec_id long, embedding array<double>"
+        [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.1, 0.9]), (5, [0.0, 0.0]), (6, None)],
+        "vec_id long, embedding array<double>",
     )
     whole = sorted(tuple(r) for r in VC.similar_docs(corpus, corpus, 1).collect())
-    monkeypatch.setattr(VC, "TARGET_CHUNK", 1)
-    chunked = sorted(tuple(r) for r in VC.similar_docs(corpus, corpus, 1).collect())
-    assert whole == chunked and len(whole) == 4
+    monkeypatch.setattr(VC, "BLOCK_ROWS", 1)
+    blocks = sorted(tuple(r) for r in VC.similar_docs(corpus, corpus, 1).collect())
+    assert whole == blocks and len(whole) == 4
     assert {(t, i) for t, i, _s, _r in whole} == {(1, 2), (2, 1), (3, 4), (4, 3)}
+    assert VC.similar_docs(corpus, corpus.filter("vec_id > 4"), 1).count() == 0
+
+
+def test_similar_docs_many_targets(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20_000, 4))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.target_id: r.id for r in VC.similar_docs(df.filter("vec_id < 300"), df, 1).collect()}
+    assert len(got) == 20_000
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for t in range(0, 20_000, 997):
+        sims = u[:300] @ u[t]
+        sims[t if t < 300 else []] = -2
+        assert got[t] == int(sims.argmax())
+
+
+def test_vectors_without_direction(spark):
+    rows = [(i, [1.0 + i, 1.0]) for i in range(10)] + [(i, [-1.0, 1.0 * i]) for i in range(10, 20)] + [(90, [0.0, 0.0]), (91, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    labels = kmeans_all_k(df, max_cluster=3).collect()
+    assert len(labels) == 2 * len(rows)
+    assert {r.vec_id for r in labels if r.label is None} == {90, 91}
+    xy = {r.vec_id: (r.x, r.y) for r in document_map_2d(df).collect()}
+    assert len(xy) == len(rows) and xy[90] == xy[91] == (None, None) and xy[3][0] is not None
+    cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "label int, vector array<double>")
+    near = {r.vec_id: r.label for r in nearest_centroid(df, cents).collect()}
+    assert near[90] is None and near[91] is None and near[9] == 0
+    tie = spark.createDataFrame([(1, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert nearest_centroid(tie, cents).first().label == 1

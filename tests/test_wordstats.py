@@ -79,10 +79,10 @@ def test_co_occurrence(spark):
     ]
     words = spark.createDataFrame(rows, WORD)
     vocab = spark.createDataFrame([("x", 2), ("y", 2), ("z", 1)], "lemma string, df long")
-    co = {(r.lemma1, r.lemma2): r.n for r in NW.co_occurrence(words, vocab, 10).collect()}
+    co = {(r.lemma1, r.lemma2): r.n for r in NW.co_occurrence(words, vocab).collect()}
     assert co == {("x", "y"): 2, ("y", "x"): 2, ("y", "z"): 1, ("z", "y"): 1}
     docs = spark.range(3).withColumnRenamed("id", "doc_id")
-    edges = NW.co_occurrence_edges(NW.sentence_pairs(words, vocab, 10), docs, n_edge=1, min_co_occurrence=1)
+    edges = NW.co_occurrence_edges(NW.sentence_pairs(words, vocab), docs, n_edge=1, min_co_occurrence=1)
     e = edges.collect()
     assert [(r.lemma1, r.lemma2, r.weight, r.width) for r in e] == [("x", "y", 1.0, 12.0)]
     pv = spark.createDataFrame([("x", "VERB"), ("y", "NOUN")], "lemma string, pos string")
@@ -94,7 +94,7 @@ def test_empty_network_has_placeholder(spark):
     words = spark.createDataFrame([w(1, 0, 0, "x")], WORD)
     vocab = spark.createDataFrame([("x", 1)], "lemma string, df long")
     docs = spark.range(1).withColumnRenamed("id", "doc_id")
-    edges = NW.co_occurrence_edges(NW.sentence_pairs(words, vocab, 10), docs)
+    edges = NW.co_occurrence_edges(NW.sentence_pairs(words, vocab), docs)
     assert edges.count() == 0
     nodes = NW.co_occurrence_nodes(edges, vocab, spark.createDataFrame([("x", "NOUN")], "lemma string, pos string"))
     r = nodes.collect()
@@ -107,8 +107,9 @@ def test_tfidf_by_label(spark):
             ("B", *w(3, 0, 0, "x")), ("B", *w(3, 0, 1, "z")), ("C", *w(4, 0, 0, "q"))]
     words = spark.createDataFrame(rows, "label string, " + WORD)
     vocab = spark.createDataFrame([("x",), ("y",), ("z",)], "lemma string")
-    got = {(r.label, r.lemma): r.weight for r in WS.tfidf_by_label(words, vocab, "label").collect()}
-    n = 2  # labels holding a vocabulary word
+    labels = spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "C"), (5, None)], "doc_id long, label string")
+    got = {(r.label, r.lemma): r.weight for r in WS.tfidf_by_label(words, vocab, labels).collect()}
+    n = 3  # every label counts, also C, which holds no vocabulary word
     idf = {"x": math.log((1 + n) / (1 + 2)) + 1, "y": math.log((1 + n) / 2) + 1, "z": math.log((1 + n) / 2) + 1}
     a = {"x": 2 * idf["x"], "y": idf["y"]}
     b = {"x": idf["x"], "z": idf["z"]}
@@ -117,9 +118,11 @@ def test_tfidf_by_label(spark):
         for k, v in vec.items():
             assert got[(lab, k)] == pytest.approx(v / norm)
     assert not any(k[0] == "C" for k in got)
+    joined = WS.tfidf_by_label(words.drop("label"), vocab, labels).collect()
+    assert {(r.label, r.lemma): pytest.approx(r.weight) for r in joined} == got
 
 
-def test_heavy_sentence_blocks_match_plain_join(spark):
+def test_long_sentence_blocks_give_every_pair_once(spark):
     import random
 
     rnd = random.Random(3)
@@ -130,9 +133,19 @@ def test_heavy_sentence_blocks_match_plain_join(spark):
             rows.append(w(1, s, i, lem))
     words = spark.createDataFrame(rows, WORD)
     vocab = spark.createDataFrame([(f"w{k}", 1) for k in range(60)], "lemma string, df long")
-    plain = sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, 100, heavy_threshold=10_000).collect())
-    split = sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, 100, heavy_threshold=10, n_blocks=3).collect())
-    assert plain == split and len(plain) > 780
+    plain = sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, block=1000).collect())
+    for block in (1, 7, 10, 39):
+        assert sorted(tuple(r) for r in NW.sentence_pairs(words, vocab, block=block).collect()) == plain
+    assert len(plain) > 780
+
+
+def test_whole_vocabulary_by_default(spark):
+    rows = [w(d, 0, i, f"w{i}") for d in range(2) for i in range(20_500)]
+    docs = spark.createDataFrame([(0,), (1,), (2,)], "doc_id long")
+    words = spark.createDataFrame(rows, WORD)
+    assert WS.doc_frequency(words, docs, 1, 2).count() == 20_500
+    wide = WS.doc_term_wide(words.filter("word_id < 30"), docs, WS.doc_frequency(words, docs, 1, 2), 5)
+    assert wide.columns == ["doc_id", "w0", "w1", "w10", "w100", "w1000"] and wide.filter("w10 = 1").count() == 2
 
 
 def test_pos_vote_tie_breaks_alphabetically(spark):
