@@ -20,6 +20,8 @@ from sparkvox.llm.common import filled, unused, written
 LOG_REGISTERS = 12
 #: Estimates within this share of the threshold (one site at least) are counted exactly: 6 standard errors.
 NEAR = 0.1
+#: Values of the hash that texts are told apart by before any of them moves.
+SLOTS = 1 << 20
 
 
 def line_hash(line: Column) -> Column:
@@ -84,15 +86,27 @@ def dedup_lines(
     Null sites count as no site. Null texts stay null (one empty line); rows
     with the same id and text are treated alike; an empty table stays empty. If
     ``docs`` has columns of the added names, the added ones get underscores."""
-    n_lines, n_removed, doc, h, gone, parts = unused(
-        docs, "n_lines", "n_removed", "_doc", "_text_hash", "_gone", "_parts")
+    n_lines, n_removed, doc, h, gone, parts, slot, hit = unused(
+        docs, "n_lines", "n_removed", "_doc", "_text_hash", "_gone", "_parts", "_slot", "_hit")
     places = boilerplate_places(line_sites(docs, id_col, site_col, text_col, min_chars), min_sites)
     # Of one document's text: bounded by that text.
     marks = written(places.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("pos")), "line_marks")
     marks = marks.toDF(doc, h, gone)
     text = F.col(text_col)
     keyed = docs.withColumn(f"{h}k", F.unhex(F.md5(filled(text).cast("binary"))))
-    joined = keyed.join(marks, keyed[id_col].eqNullSafe(marks[doc]) & (keyed[f"{h}k"] == marks[h]), "left")
+
+    def slot_of(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias(slot)
+
+    # SLOTS rows at most, so it may be broadcast: texts without a mark stay
+    # where they are, only the others are shuffled to their marks.
+    slots = F.broadcast(marks.select(slot_of(h)).distinct().withColumn(hit, F.lit(True)))
+    looked = keyed.withColumn(slot, slot_of(f"{h}k")).join(slots, slot, "left")
+    none = looked.where(F.col(hit).isNull()).withColumn(gone, F.lit(None).cast("array<int>"))
+    some = looked.where(F.col(hit))
+    some = some.join(marks, some[id_col].eqNullSafe(marks[doc]) & (some[f"{h}k"] == marks[h]), "left")
+    kept = [*docs.columns, gone]
+    joined = some.select(*kept).unionByName(none.select(*kept))
     split = joined.withColumn(parts, F.split(filled(text), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     rebuilt = F.when(F.col(gone).isNull(), text).otherwise(
