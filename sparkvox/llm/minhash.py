@@ -146,6 +146,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 #: Bands that a pair must share to be worth comparing on full sets: 12.7 are expected at similarity 0.75.
 LEAST_BANDS = 2
+#: Values of the hash that texts are filtered by before they move.
+SLOTS = 1 << 20
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
@@ -166,12 +168,17 @@ def shared_buckets(reps: DataFrame) -> DataFrame:
     return written(members.join(sizes, "key"), "near_members")
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
+def connectedness(members: DataFrame) -> DataFrame:
+    """``(node, met)``: how many others a document meets in all its buckets together."""
+    return written(members.groupBy("node").agg(F.sum(F.col("m") - 1).alias("met")), "near_met")
+
+
+def star_pairs(members: DataFrame, met: DataFrame) -> DataFrame:
     """``(a, b)``: each member of a bucket with the bucket's centre, the member
-    that meets most others in all its buckets together. The text that a group
-    was copied from is that, as its copies agree with it more than with each
-    other; so one centre serves a group and few different pairs come out."""
-    met = written(members.groupBy("node").agg(F.sum(F.col("m") - 1).alias("met")), "near_met")
+    that meets most others. The text that a group was copied from is that, as
+    its copies agree with it more than with each other; so one centre serves a
+    group, few different pairs come out, and a copy of a copy finds its own
+    original in the buckets that only the two have."""
     centres = (members.join(met, "node").groupBy("key")
                .agg(F.max(F.struct("met", F.xxhash64("node").alias("o"), "node")).alias("c")))
     centres = written(centres.select("key", F.col("c.node").alias("centre")), "near_centres")
@@ -182,9 +189,10 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
-def open_pairs(members: DataFrame, close: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+def open_pairs(members: DataFrame, met: DataFrame, close: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
     """``(a, b)``: documents of ``close`` pairs that are not connected, with
-    another centre of each of their buckets, if they are not connected with it.
+    the most connected member of another component in each of their buckets; a
+    turn has its own order of the components.
 
     A document that is similar to a neighbour of z has a similarity of 0.5 to z
     at least, as distances 1 - J obey the triangle inequality; so where no
@@ -194,15 +202,14 @@ def open_pairs(members: DataFrame, close: DataFrame, roots: DataFrame, turn: int
         return df.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
 
     open_ = rooted(rooted(close, "a"), "b").where("ra <> rb")
-    nodes = open_.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")),
-                                           F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x"))
-    nodes = written(nodes.select("x.*").distinct(), "near_open")
-    asking = written(members.select("key", "node").join(nodes, "node"), "near_asking")
-    order = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("o"), "node")
-    centres = (members.join(asking.select("key").distinct(), "key", "left_semi")
-               .groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.node").alias("centre")))
-    met = rooted(asking.join(centres, "key").where("node <> centre"), "centre").where("root <> rcentre")
-    return _pairs(met)
+    nodes = written(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_open")
+    placed = written(rooted(members.select("key", "node").join(met, "node"), "node"), "near_placed")
+    asking = placed.join(nodes, "node").select("key", "node", "rnode")
+    order = F.struct(F.xxhash64("rnode", F.lit(turn)).alias("o"), "met", "node", "rnode")
+    centres = (placed.join(asking.select("key").distinct(), "key", "left_semi")
+               .groupBy("key").agg(F.max(order).alias("c"))
+               .select("key", F.col("c.node").alias("centre"), F.col("c.rnode").alias("other")))
+    return _pairs(asking.join(centres, "key").where("rnode <> other"))
 
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -227,24 +234,18 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text
     """``(node, root)`` of the classes that links connect with others. Stars
     come first; then turns of open_pairs, until one finds no new link."""
     members = shared_buckets(reps)
-    nodes = members.select("node").distinct()
+    met = connectedness(members)
+    pairs = written(likely(star_pairs(members, met), reps, percent), "near_pairs")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
+    members = written(members.join(nodes, "node"), "near_members")
     some = written(reps.join(nodes, "node"), "near_some")
-    pairs = likely(star_pairs(members), some, percent)
-
-    needed = written(signed.select(F.col("rid").alias("node"), F.col("id").alias("_id"), F.col("th").alias("_th"))
-                     .join(some.select("node"), "node"), "near_needed")
-    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).withColumn(
-        "_h", F.unhex(F.md5(filled(F.col("_t")).cast("binary"))))
-    texts = texts.join(needed, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
-    # Repeated rows match one node together; one of them is enough.
-    texts = texts.select("node", "_t").dropDuplicates(["node"])
-    sets = written(texts.mapInArrow(_sets, "node bigint, found array<bigint>"), "near_sets")
+    sets = written(shingle_table(docs, signed, nodes, id_col, text_col), "near_sets")
 
     close = written(compared(pairs, sets, percent), "near_close")
     roots, turn = written(components(close.where("linked"), "a", "b"), "near_roots"), 0
     while True:
         turn += 1
-        pairs = likely(open_pairs(members, close.where("not linked"), roots, turn), some, percent)
+        pairs = likely(open_pairs(members, met, close.where("not linked"), roots, turn), some, percent)
         more = written(compared(pairs, sets, percent), "near_close")
         if more.where("linked").isEmpty():
             return roots
@@ -254,6 +255,24 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text
         roots = written(components(more.where("linked").select("a", "b").unionByName(stars), "a", "b"), "near_roots")
 
 
+def shingle_table(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(node, found)``: the shingle sets of some nodes, from their texts."""
+    needed = written(signed.select(F.col("rid").alias("node"), F.col("id").alias("_id"), F.col("th").alias("_th"))
+                     .join(nodes, "node"), "near_needed")
+
+    def slot(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(SLOTS)).alias("_slot")
+
+    # SLOTS rows at most, so it may be broadcast: most texts that are not needed stay where they are.
+    slots = F.broadcast(needed.select(slot("_th")).distinct())
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).cast("string").alias("_t")).withColumn(
+        "_h", F.unhex(F.md5(filled(F.col("_t")).cast("binary"))))
+    texts = texts.withColumn("_slot", slot("_h")).join(slots, "_slot", "left_semi")
+    texts = texts.join(needed, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
+    # Repeated rows match one node together; one of them is enough.
+    return texts.select("node", "_t").dropDuplicates(["node"]).mapInArrow(_sets, "node bigint, found array<bigint>")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: id, ``n_shingles``, ``component_id`` (the
     least id that links reach), ``kept`` (the id is that), ``stays`` (as kept,
