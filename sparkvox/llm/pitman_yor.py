@@ -44,7 +44,9 @@ GROUP_BYTES = 24 << 20
 #: Documents looked at to find frequent words, and how many words at most are treated so.
 SAMPLE_DOCS, MAX_FREQUENT = 2_000, 4_096
 #: Sweeps before the first sample of a round, samples, and customers up to which a seating is drawn exactly.
-BURN_IN, SAMPLES, EXACT_UP_TO = 2, 3, 96
+BURN_IN, SAMPLES, EXACT_UP_TO = 2, 3, 256
+#: Seatings of a larger dish of which one is chosen.
+PROPOSALS = 16
 CONCENTRATION = 1.0
 
 END = np.uint64(0x5EED0E9D0F7E27A1)
@@ -214,9 +216,14 @@ def draw_tables(rng: np.random.Generator, n: np.ndarray, mass: np.ndarray, p: np
     discount times the restaurant's other tables; p: the parent's probability.
 
     Up to EXACT_UP_TO customers the number is drawn from its exact conditional
-    distribution given all other seatings. Beyond, customers are seated one
-    after another, and once 64 sit, in steps of 1/64 of those seated, whose new
-    tables are binomial: the work grows with the logarithm of n."""
+    distribution given all other seatings. Beyond, PROPOSALS seatings are
+    made, customer after customer, and once 64 sit, in steps of 1/64 of those
+    seated, whose new tables are binomial: the work grows with the logarithm of
+    n. One is chosen by weight, the product of the masses that each customer
+    chose from. This is an approximation: seating in order makes more tables
+    than the conditional distribution has, and the choice makes up for part of
+    that (a word so frequent in its context has few tables for its customers,
+    so its probability hardly depends on them)."""
     out = np.minimum(n, 1)
     small = np.flatnonzero((n > 1) & (n <= EXACT_UP_TO))
     small = small[np.argsort(n[small], kind="stable")]
@@ -233,14 +240,20 @@ def draw_tables(rng: np.random.Generator, n: np.ndarray, mass: np.ndarray, p: np
             out[rows] = 1 + (total < rng.random(len(rows))[:, None] * total[:, -1:]).sum(axis=1)
     large = np.flatnonzero(n > EXACT_UP_TO)
     if len(large):
-        seated, t = np.ones(len(large), np.int64), np.ones(len(large), np.int64)
-        while len(todo := np.flatnonzero(seated < n[large])):
-            rows = large[todo]
-            step = np.minimum(np.maximum(1, seated[todo] // 64), n[rows] - seated[todo])
-            new = (mass[rows] + discount * t[todo]) * p[rows]
-            t[todo] += rng.binomial(step, new / (new + seated[todo] - discount * t[todo]))
+        rows = np.repeat(large, PROPOSALS)
+        seated, t, weight = np.ones(len(rows), np.int64), np.ones(len(rows), np.int64), np.zeros(len(rows))
+        while len(todo := np.flatnonzero(seated < n[rows])):
+            r = rows[todo]
+            step = np.minimum(np.maximum(1, seated[todo] // 64), n[r] - seated[todo])
+            new = (mass[r] + discount * t[todo]) * p[r]
+            total = new + seated[todo] - discount * t[todo]
+            t[todo] += rng.binomial(step, new / total)
+            weight[todo] += step * np.log(total)
             seated[todo] += step
-        out[large] = t
+        weight = weight.reshape(-1, PROPOSALS)
+        weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+        chosen = (weight < rng.random(len(large))[:, None] * weight[:, -1:]).sum(axis=1)
+        out[large] = t.reshape(-1, PROPOSALS)[np.arange(len(large)), chosen]
     return out
 
 
@@ -280,8 +293,9 @@ _STATS = "kind string, s int, k int, x double, y double"
 def _stats(kind: str, s: int, k: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> pa.RecordBatch:
     n = len(k)
     return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * n), pa.array([s] * n, pa.int32()), pa.array(k, pa.int32()), pa.array(np.asarray(x, float)),
-         pa.array(np.zeros(n) if y is None else np.asarray(y, float))], names=["kind", "s", "k", "x", "y"])
+        [pa.array([kind] * n, pa.string()), pa.array([s] * n, pa.int32()), pa.array(k, pa.int32()),
+         pa.array(np.asarray(x, float), pa.float64()),
+         pa.array(np.zeros(n) if y is None else np.asarray(y, float), pa.float64())], names=["kind", "s", "k", "x", "y"])
 
 
 def _counted(frequent: np.ndarray):

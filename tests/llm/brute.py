@@ -1,4 +1,4 @@
-"""Plain-Python versions of the operators' contracts, for small tables."""
+"""Plain-Python versions of the operators' contracts, and a table of awkward rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,24 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+#: Nulls in every column, empty and blank texts, repeated rows, ties, a long text and one long word.
+MESSY = [
+    (1, "one two three four five six seven", "en", "a", 33),
+    (2, "ONE two\tthree four five  six seven", "en", "b", 33),
+    (3, None, "en", "a", 0),
+    (4, "", None, None, 0),
+    (5, " \n\t \n", "de", "c", None),
+    (None, "one two three four five six seven", None, "a", 33),
+    (6, "word", "fr", None, 4),
+    (6, "word", "fr", None, 4),
+    (7, "uno due\ntre quattro\nuno due\n" * 400, "it", "b", 11200),
+    (8, "x" * 70000, "en", "a", 70000),
+    (9, "l'été à Zürich naïve œuvre 東京 \U0001f600 end", "fr", "c", 33),
+    (10, "one two three four five six seven eight", "en", "a", 39),
+]
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 

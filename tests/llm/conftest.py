@@ -4,32 +4,13 @@ import os
 import sys
 
 import pytest
-from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
-                     T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
-                     T.StructField("n_chars", T.LongType())])
+from brute import DOCS, MESSY  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
-#: Nulls in every column, empty and blank texts, repeated rows, ties, a long text and one long word.
-MESSY = [
-    (1, "one two three four five six seven", "en", "a", 33),
-    (2, "ONE two\tthree four five  six seven", "en", "b", 33),
-    (3, None, "en", "a", 0),
-    (4, "", None, None, 0),
-    (5, " \n\t \n", "de", "c", None),
-    (None, "one two three four five six seven", None, "a", 33),
-    (6, "word", "fr", None, 4),
-    (6, "word", "fr", None, 4),
-    (7, "uno due\ntre quattro\nuno due\n" * 400, "it", "b", 11200),
-    (8, "x" * 70000, "en", "a", 70000),
-    (9, "l'été à Zürich naïve œuvre 東京 \U0001f600 end", "fr", "c", 33),
-    (10, "one two three four five six seven eight", "en", "a", 39),
-]
-
 
 @pytest.fixture(scope="session")
 def messy(spark):
@@ -49,12 +30,3 @@ def small(spark):
 @pytest.fixture(scope="session")
 def small_docs(small):
     return [(r.doc_id, r.text) for r in small.select("doc_id", "text").collect()]
-
-
-def clashing(docs, *names):
-    """``docs`` with extra columns of these names."""
-    from pyspark.sql import functions as F
-
-    for k, name in enumerate(names):
-        docs = docs.withColumn(name, F.lit(f"own {k}"))
-    return docs

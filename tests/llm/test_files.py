@@ -8,7 +8,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import pytest
-from conftest import MESSY
+from brute import MESSY
 from pyspark.sql import functions as F
 
 from sparkvox.llm import dac, packing, warc
