@@ -13,6 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,15 @@ CACHE_WORDS, CACHE_STEMS = 600_000, 800_000
 #: A stem that ends in a letter or digit, and the punctuation behind it. No
 #: apostrophe: tokenizers treat what follows one in ways of their own.
 _TRAIL = re.compile(rb"(.*[0-9A-Za-z])([.,!?;:%&$#*|]+)")
+_MARKS = frozenset(b".,!?;:%&$#*|")
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 class WordEncoder:
@@ -40,7 +50,7 @@ class WordEncoder:
             and self._tokenizer.normalizer.normalize_str("AZ") == "az"
         self._splits = self._tokenizer.pre_tokenizer is not None and all(
             self._pieces(f"ab7{p}") == [*self._pieces("ab7"), p] for p in (".", ",", "!?", ";:", "%&$#*|"))
-        self._number: dict[bytes, int] = {}
+        self._number = _Numbers()
         self._stems: dict[bytes, bytes] = {}  # ids as 32-bit numbers
         self._forget()
 
@@ -54,11 +64,12 @@ class WordEncoder:
         self._ids = np.zeros(1 << 16, np.uint32)
         self._ends = np.zeros(1 << 14, np.int64)  # of the ids of word k: _ends[k] to _ends[k + 1]
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Remembers words: as stem and punctuation where the tokenizer splits there."""
-        parts = []
+    def _learn(self, known: int) -> None:
+        """Remembers the words numbered from ``known`` on: as stem and
+        punctuation where the tokenizer splits there."""
+        new, parts = list(islice(reversed(self._number), len(self._number) - known))[::-1], []
         for w in new:
-            m = _TRAIL.fullmatch(w) if self._splits else None
+            m = _TRAIL.fullmatch(w) if self._splits and w[-1] in _MARKS else None
             parts.append(m.groups() if m else (w,))
         if len(self._stems) > CACHE_STEMS:
             self._stems.clear()
@@ -69,7 +80,6 @@ class WordEncoder:
             for w, e in zip(some, self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 stems[w] = array("I", e.ids).tobytes()
         found = [stems[ps[0]] if len(ps) == 1 else stems[ps[0]] + stems[ps[1]] for ps in parts]
-        known = len(self._number)
         need = known + len(new) + 1
         if need > len(self._ends):
             self._ends = np.concatenate([self._ends, np.zeros(need, np.int64)])
@@ -78,7 +88,6 @@ class WordEncoder:
         if ends[-1] > len(self._ids):
             self._ids = np.concatenate([self._ids, np.zeros(int(ends[-1]), np.uint32)])
         self._ids[self._ends[known]:ends[-1]] = np.frombuffer(b"".join(found), np.uint32)
-        self._number.update(zip(new, range(known, known + len(new)), strict=True))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each row that ``offsets`` bound, in order."""
@@ -89,12 +98,12 @@ class WordEncoder:
             texts = [(t.lower() if self._lowers else t).split() for t in texts]
             if len(self._number) > CACHE_WORDS:
                 self._forget()
-            new = list(set().union(*texts).difference(self._number))
-            if new:
-                self._learn(new)
-            get = self._number.__getitem__
-            for found in texts:
-                codes = np.fromiter(map(get, found), np.int64, len(found))
+            known, get = len(self._number), self._number.__getitem__
+            numbers = [np.fromiter(map(get, found), np.int64, len(found)) for found in texts]
+            del texts
+            if len(self._number) > known:
+                self._learn(known)
+            for codes in numbers:
                 starts = self._ends[codes]
                 counts = self._ends[codes + 1] - starts
                 total = int(counts.sum())
