@@ -10,8 +10,6 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SKIP_EAGER = set()  # queries are built (eager parts run) before explaining
-
 
 def summarize(plan: str) -> dict:
     nodes = re.findall(r"^\(\d+\) (.+?)\s*$", plan, flags=re.M)
@@ -21,7 +19,7 @@ def summarize(plan: str) -> dict:
         "shuffles": sum(1 for n in nodes if n.startswith("Exchange")),
         "kinds": sorted(set(exchanges)),
         "broadcasts": sum(1 for n in nodes if n.startswith("BroadcastExchange")),
-        "python": sorted({n for n in nodes if any(k in n for k in ("ArrowEvalPython", "MapInPandas", "BatchEvalPython", "FlatMapGroupsInPandas"))}),
+        "python": sorted({n for n in nodes if any(k in n for k in ("ArrowEvalPython", "MapInPandas", "MapInArrow", "BatchEvalPython", "FlatMapGroupsIn"))}),
         "scans": [(os.path.basename(loc.split(",")[0]), schema) for loc, schema in scans],
     }
 
@@ -37,10 +35,9 @@ def main() -> None:
         "",
         f"Generated by `python tests/plan_report.py` on {sf} (8 shuffle partitions). Counts are from the",
         "plan before execution; AQE can still coalesce partitions, switch joins to broadcast and split",
-        "skewed partitions at run time. The word tables (`words-…`, `padded-…`) are read from tables",
-        "bucketed by doc_id, so per-document work after them needs no exchange. Small shared results",
-        "(vocabulary, pair counts) are persisted; their own plans are printed nested in the formatted",
-        "plan and their exchanges are included in the counts, although a query reads them from memory.",
+        "skewed partitions at run time. The word table (`words-…`) is read from a table bucketed by",
+        "doc_id, so per-document work after it needs no exchange. Queries with eager stages (fits, written",
+        "intermediates) show the plan of their last stage.",
         "",
         "| Query | Exchanges | Broadcasts | Python stages | Parquet scans (ReadSchema) |",
         "|---|---|---|---|---|",
