@@ -205,7 +205,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     chosen = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("_i")).agg(F.min(label_col).alias("_label"))
               .withColumn("_o", F.xxhash64("_i")).orderBy("_o", "_i").limit(max_labelled))
-    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(chosen, "_i")
+    # max_labelled rows at most, so they may be broadcast and no text moves.
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_i")
     rows = text_statistics(texts, "_t").select(
         *FEATURES, (F.col("_label") == 0).alias("bad"), (F.pmod(F.col("_o"), F.lit(3)) == 0).alias("held")).collect()
     return learned_list([r.asDict() for r in sorted(rows)], **how)
