@@ -27,21 +27,23 @@ def _small(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether the edges (a > b) are stars apart: every a has one b, and no b is an a."""
+    more = edges.groupBy("a").agg(F.count("*").alias("n"), F.lit(True).alias("child"))
+    roots = edges.select(F.col("b").alias("a")).distinct().withColumns({"n": F.lit(0), "child": F.lit(False)})
+    both = more.unionByName(roots).groupBy("a").agg(F.max("n").alias("n"), F.count("*").alias("kinds"))
+    return both.where("n > 1 OR kinds > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)`` for each node with an edge: root is the least node that
-    can be reached. Rounds, logarithmic in the number of nodes in practice, run until no
-    edge changes; each is written to the shared folder. Sums are made per task
-    first, and the joins have one row per node on one side, so a node with a
-    third of the edges does not gather in one task."""
-    now = written(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "cc")
-    # Twice the same sums of hashes: the same edges.
-    mark = None
+    can be reached. Rounds, logarithmic in the number of nodes in practice, run
+    until the edges are stars apart; each is written to the shared folder. Sums
+    are made per task first, and the joins have one row per node on one side,
+    so a node with a third of the edges does not gather in one task."""
+    now = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")), "cc")
     while True:
-        after = written(_small(written(_large(now).distinct(), "cc")).distinct(), "cc")
-        new = after.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        now = after
-        if new == mark:
+        now = written(_small(written(_large(now), "cc")).distinct(), "cc")
+        if _stars(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = new
