@@ -189,26 +189,30 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
 
-def open_pairs(members: DataFrame, met: DataFrame, close: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: documents of ``close`` pairs that are not connected, with
-    the most connected member of another component in each of their buckets; a
-    turn has its own order of the components.
+def _rooted(df: DataFrame, roots: DataFrame, c: str) -> DataFrame:
+    named = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    return df.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+
+
+def open_nodes(close: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node`` of the close pairs that are not connected.
 
     A document that is similar to a neighbour of z has a similarity of 0.5 to z
     at least, as distances 1 - J obey the triangle inequality; so where no
     such close pair is open, no neighbour needs to be met."""
-    def rooted(df: DataFrame, c: str) -> DataFrame:
-        named = roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        return df.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    pairs = _rooted(_rooted(close, roots, "a"), roots, "b").where("ra <> rb")
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_open")
 
-    open_ = rooted(rooted(close, "a"), "b").where("ra <> rb")
-    nodes = written(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_open")
-    placed = written(rooted(members.select("key", "node").join(met, "node"), "node"), "near_placed")
-    asking = placed.join(nodes, "node").select("key", "node", "rnode")
+
+def open_pairs(active: DataFrame, nodes: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """``(a, b)``: open documents with the most connected member of another
+    component in each of their buckets; a turn has its own order of the
+    components. In: ``key, node, met`` of the buckets that open nodes are in."""
+    placed = written(_rooted(active, roots, "node"), "near_placed")
     order = F.struct(F.xxhash64("rnode", F.lit(turn)).alias("o"), "met", "node", "rnode")
-    centres = (placed.join(asking.select("key").distinct(), "key", "left_semi")
-               .groupBy("key").agg(F.max(order).alias("c"))
-               .select("key", F.col("c.node").alias("centre"), F.col("c.rnode").alias("other")))
+    centres = placed.groupBy("key").agg(F.max(order).alias("c")).select(
+        "key", F.col("c.node").alias("centre"), F.col("c.rnode").alias("other"))
+    asking = placed.join(nodes, "node").select("key", "node", "rnode")
     return _pairs(asking.join(centres, "key").where("rnode <> other"))
 
 
@@ -237,22 +241,25 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text
     met = connectedness(members)
     pairs = written(likely(star_pairs(members, met), reps, percent), "near_pairs")
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
-    members = written(members.join(nodes, "node"), "near_members")
     some = written(reps.join(nodes, "node"), "near_some")
     sets = written(shingle_table(docs, signed, nodes, id_col, text_col), "near_sets")
 
     close = written(compared(pairs, sets, percent), "near_close")
     roots, turn = written(components(close.where("linked"), "a", "b"), "near_roots"), 0
+    open_ = open_nodes(close.where("not linked"), roots)
+    members = written(members.select("key", "node").join(met.join(nodes, "node"), "node"), "near_members")
+    keys = members.join(open_, "node").select("key").distinct()
+    active = written(members.join(keys, "key", "left_semi"), "near_active")
     while True:
         turn += 1
-        pairs = likely(open_pairs(members, met, close.where("not linked"), roots, turn), some, percent)
+        pairs = likely(open_pairs(active, open_, roots, turn), some, percent)
         more = written(compared(pairs, sets, percent), "near_close")
         if more.where("linked").isEmpty():
             return roots
-        close = close.unionByName(more)
         # The roots so far are links as good as any: stars of what is connected.
         stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = written(components(more.where("linked").select("a", "b").unionByName(stars), "a", "b"), "near_roots")
+        open_ = open_nodes(close.where("not linked"), roots)
 
 
 def shingle_table(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
