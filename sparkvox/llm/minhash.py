@@ -4,10 +4,13 @@ One pass hashes each word shingle once; the hash's top part names a bin, the
 least hash of a bin is its value, and an empty bin takes the value of a bin
 that its own hash sequence names (optimal densification). Four neighbouring
 values make a band. Documents that share a band's value, and are close enough
-in size to be similar at all, share a bucket; each bucket links its members to
-one centre only, so a bucket of m gives m - 1 candidates. Candidates are
-confirmed on full shingle sets. Equal sets are one class from the start, so
-copies cost nothing.
+in size to be similar at all, share a bucket. First each bucket links its
+members to one centre only, so a bucket of m gives m - 1 candidates, and most
+groups are one component after that. Then, in every bucket that still holds
+several components, all pairs of members from different ones are looked at, so
+that no pair is missed for the choice of centres. Candidates are confirmed on
+full shingle sets. Equal sets are one class from the start, so copies cost
+nothing.
 """
 
 from __future__ import annotations
@@ -148,20 +151,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 LEAST_BANDS = 2
 #: Values of the hash that texts are filtered by before they move.
 SLOTS = 1 << 20
+#: Members of a bucket in one block, and rows that a task takes at once.
+MEET, PART_ROWS = 256, 20_000
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """``(key, node)``: the buckets of each document, 2 per band. In:
+    """``(key, band, node)``: the buckets of each document, 2 per band. In:
     ``node, n, bands`` of one document per class."""
     size = F.log(F.col("n").cast("double")) / math.log(CLASS_WIDTH)
     keyed = reps.select("node", "n", F.posexplode("bands").alias("band", "value")).select(
         "node", "n", "band", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
     cell = F.floor(size + F.col("grid") / 2)
-    return keyed.select(F.xxhash64("band", "value", "grid", cell).alias("key"), "node")
+    return keyed.select(F.xxhash64("band", "value", "grid", cell).alias("key"), "band", "node")
 
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
-    """``(key, node, m)`` of the buckets with m > 1 members. Counted per task
+    """``(key, band, node, m)`` of the buckets with m > 1 members. Counted per task
     first and joined back, so that a hot bucket need not meet in one task."""
     members = bucket_members(reps)
     sizes = written(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near_buckets")
@@ -234,10 +239,76 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counts.where(100 * F.col("s") >= 50 * union).select("a", "b", (100 * F.col("s") >= percent * union).alias("linked"))
 
 
+def _apart(percent: int):
+    """``(a, b)`` from rows ``part, key, i, j, block, band, node, root, n, bands``:
+    the pairs of block i with block j of a bucket that are in different
+    components, near enough in size and share LEAST_BANDS bands at least. A
+    pair comes out in the bucket of the first band that it shares."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, i, j, block, band, node, root, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "node", "root", "n"))
+        values = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        order = np.lexsort((node, block, j, i, key))
+        k, x, y = key[order], i[order], j[order]
+        cuts = np.r_[0, np.flatnonzero((k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1, len(order)]
+        found = [np.zeros((0, 2), np.int64)]
+
+        def meet(left: np.ndarray, right: np.ndarray) -> None:
+            for s in range(0, len(left), 64):  # 64 x MEET x BANDS comparisons at once
+                some = left[s:s + 64]
+                small, large = np.minimum(n[some][:, None], n[right]), np.maximum(n[some][:, None], n[right])
+                a, b = np.nonzero((root[some][:, None] != root[right]) & (100 * small >= percent * large))
+                for t in range(0, len(a), 1 << 15):
+                    u, v = some[a[t:t + (1 << 15)]], right[b[t:t + (1 << 15)]]
+                    same = values[u] == values[v]
+                    good = (same.sum(axis=1) >= LEAST_BANDS) & (same.argmax(axis=1) == band[u])
+                    found.append(np.stack([np.maximum(node[u[good]], node[v[good]]), np.minimum(node[u[good]], node[v[good]])], 1))
+
+        for c, d in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = order[c:d]
+            roots, counts = np.unique(root[rows], return_counts=True)
+            if len(roots) == 1:
+                continue
+            # Members of the largest component need not meet each other.
+            main = root[rows] == roots[counts.argmax()]
+            rest, main = rows[~main], rows[main]
+            if i[rows[0]] == j[rows[0]]:
+                meet(rest, main)
+                for at in range(1, len(rest)):
+                    meet(rest[at:at + 1], rest[:at])
+            else:
+                first = i[rows[0]]
+                meet(rest[block[rest] == first], rows[block[rows] != first])
+                meet(main[block[main] == first], rest[block[rest] != first])
+        return pa.table({"a": np.concatenate(found)[:, 0], "b": np.concatenate(found)[:, 1]})
+
+    return run
+
+
+def pairs_apart(members: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: all likely pairs of a bucket's members in different
+    components. In: ``key, band, node``. Buckets are cut into blocks of about
+    MEET members, and each pair of blocks meets by itself, wherever it is dealt
+    to: memory does not grow with a bucket, and a hot one is spread."""
+    placed = written(_rooted(members, roots, "node").select("key", "band", "node", F.col("rnode").alias("root")), "near_placed")
+    several = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    active = placed.join(written(several.select("key", "m"), "near_several"), "key")
+    blocks = F.ceil(F.col("m") / MEET).cast("int")
+    dealt = active.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).select(
+        "key", "band", "node", "root", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    dealt = written(dealt.select("key", "band", "node", "root", "block", F.least("block", "other").alias("i"),
+                                 F.greatest("block", "other").alias("j")), "near_dealt")
+    parts = max(16, math.ceil(dealt.count() / PART_ROWS))
+    full = dealt.join(reps.select("node", "n", "bands"), "node").withColumn(
+        "part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).cast("int"))
+    return full.groupBy("part").applyInArrow(_apart(percent), "a bigint, b bigint").distinct()
+
+
 def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """``(node, root)`` of the classes that links connect with others. Stars
-    come first; then turns of open_pairs, until one finds no new link."""
-    members = shared_buckets(reps)
+    come first; then turns of open_pairs, while they find links, which leave
+    fewer components; then all pairs that are still apart."""
+    everyone = members = shared_buckets(reps)
     met = connectedness(members)
     pairs = written(likely(star_pairs(members, met), reps, percent), "near_pairs")
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
@@ -255,11 +326,19 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text
         pairs = likely(open_pairs(active, open_, roots, turn), some, percent)
         more = written(compared(pairs, sets, percent), "near_close")
         if more.where("linked").isEmpty():
-            return roots
+            break
         # The roots so far are links as good as any: stars of what is connected.
         stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = written(components(more.where("linked").select("a", "b").unionByName(stars), "a", "b"), "near_roots")
         open_ = open_nodes(close.where("not linked"), roots)
+    pairs = written(pairs_apart(everyone.select("key", "band", "node"), reps, roots, percent), "near_apart")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
+    more = compared(pairs, written(shingle_table(docs, signed, nodes, id_col, text_col), "near_sets"), percent)
+    more = written(more.where("linked").select("a", "b"), "near_more")
+    if more.isEmpty():
+        return roots
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return written(components(more.unionByName(stars), "a", "b"), "near_roots")
 
 
 def shingle_table(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:

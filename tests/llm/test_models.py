@@ -194,6 +194,31 @@ def test_near_duplicates_of_made_groups(spark):
     assert got == brute.near_components(docs)
 
 
+def _edited(rng, words, places):
+    out = list(words)
+    for p in places:
+        out[p] = "".join(rng.choice("abcdefgh") for _ in range(7))
+    return out
+
+
+def test_edits_of_edits_in_a_large_group(spark):
+    """x is near b, b near o, x not near o, and thousands of others are near o."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    slots = range(8, 196, 8)  # far enough apart that each edit changes five shingles
+    docs = [base] + [_edited(rng, base, rng.sample(slots, 4)) for _ in range(2000)]
+    pairs = []
+    for _ in range(40):
+        places = rng.sample(slots, 6)
+        b = _edited(rng, base, places[:1])  # J(b, o) = 0.95
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [b, _edited(rng, b, places[1:])]  # J(x, b) = 0.77, J(x, o) = 0.73
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [p for p in pairs if got[p[0]] != 0 or got[p[1]] != 0] == []
+
+
 def test_near_messy(spark, messy, none):
     docs = messy.withColumn("kept", F.lit("own")).withColumn("_th", F.lit("own")).withColumn("node", F.lit(1))
     rows = minhash.near_duplicates(docs).collect()
