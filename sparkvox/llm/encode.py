@@ -4,8 +4,9 @@ A tokenizer that splits at white space gives a text the ids of its words one
 after another, so a worker encodes a word when it first meets it and remembers
 the ids. If the tokenizer also lower-cases, words are lower-cased before they
 are looked up; if it splits punctuation from letters, a word and the same word
-before a comma share what is remembered. Texts are worked through in groups of
-a few megabytes."""
+before a comma share what is remembered. The few texts that may hold the string
+of an added token, which need not stand between spaces, are encoded whole.
+Texts are worked through in groups of a few megabytes."""
 
 from __future__ import annotations
 
@@ -37,15 +38,16 @@ class _Numbers(dict):
 
 
 class WordEncoder:
-    """Encodes UTF-8 texts word by word. Special tokens' strings in a text are
-    ordinary text."""
+    """Encodes UTF-8 texts word by word, with the library's ids: the string of
+    a special token in a text is that token."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks fill the cores
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        # Folded as texts are before they are searched; what is found too often is only slower.
+        self._added = [t.content.lower().encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._lowers = self._pieces("AbZ x") == self._pieces("abz x") and self._tokenizer.normalizer is not None \
             and self._tokenizer.normalizer.normalize_str("AZ") == "az"
         self._splits = self._tokenizer.pre_tokenizer is not None and all(
@@ -95,7 +97,12 @@ class WordEncoder:
         for i, j in hashing.row_groups(offsets, 4 << 20):
             texts = [bytes(raw[offsets[r]:offsets[r + 1]]) for r in range(i, j)]
             # ASCII letters only: what the tokenizer does to others it does later.
-            texts = [(t.lower() if self._lowers else t).split() for t in texts]
+            folded = [t.lower() for t in texts]
+            whole = {k: self._tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids
+                     for k, t in enumerate(folded) if any(a in t for a in self._added)}
+            texts = [b"" if k in whole else f if self._lowers else t for k, (t, f) in enumerate(zip(texts, folded, strict=True))]
+            texts = [t.split() for t in texts]
+            del folded
             if len(self._number) > CACHE_WORDS:
                 self._forget()
             known, get = len(self._number), self._number.__getitem__
@@ -103,7 +110,10 @@ class WordEncoder:
             del texts
             if len(self._number) > known:
                 self._learn(known)
-            for codes in numbers:
+            for k, codes in enumerate(numbers):
+                if k in whole:
+                    yield np.array(whole[k], np.uint32)
+                    continue
                 starts = self._ends[codes]
                 counts = self._ends[codes + 1] - starts
                 total = int(counts.sum())

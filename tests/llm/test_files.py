@@ -29,6 +29,19 @@ def test_encoder_equals_the_library(small_docs):
     assert got == brute.token_ids(texts, PATH)
 
 
+def test_special_tokens_in_a_text():
+    import pyarrow as pa
+
+    from sparkvox.llm import hashing
+
+    texts = ["end of it <|endoftext|> next", "plain", "a<|startoftext|>b,<|endoftext|>", "<|EndOfText|> <|endoftext|", "",
+             "  <|endoftext|>  <|endoftext|>é\n", "<|endoftext|>"]
+    data, offsets = hashing.text_bytes(pa.array(texts))
+    got = [x.tolist() for x in WordEncoder(PATH).encode(data, offsets)]
+    assert got == brute.token_ids(texts, PATH)
+    assert got[0] == [806, 539, 585, 49407, 1131]
+
+
 @pytest.mark.parametrize("top", [1, 2, 255, 300, 49407, 2**20, 2**32 - 1])
 def test_codes_give_any_token(top):
     rng = np.random.default_rng(top)
