@@ -219,6 +219,25 @@ def test_edits_of_edits_in_a_large_group(spark):
     assert [p for p in pairs if got[p[0]] != 0 or got[p[1]] != 0] == []
 
 
+def test_all_components_of_a_bucket_meet(spark):
+    """One bucket of more members than a block, in many components: every likely pair comes out, and comes out once."""
+    rng = np.random.default_rng(7)
+    count, shape = 2 * minhash.MEET + 90, (2 * minhash.MEET + 90, minhash.BANDS)
+    values = rng.integers(0, 80, shape)
+    values[:, 3] = 5
+    roots = np.where(np.arange(count) < 200, 0, np.arange(count) // 3 * 3)
+    sizes = rng.choice([100, 120, 150], count)
+    reps = spark.createDataFrame([(i, int(sizes[i]), values[i].tolist()) for i in range(count)],
+                                 "node long, n long, bands array<long>")
+    rooted = spark.createDataFrame([(i, int(r)) for i, r in enumerate(roots)], "node long, root long")
+    members = minhash.shared_buckets(reps).select("key", "band", "node")
+    got = [(r.a, r.b) for r in minhash.pairs_apart(members, reps, rooted, 75).collect()]
+    want = {(a, b) for a in range(count) for b in range(a)
+            if roots[a] != roots[b] and 4 * min(sizes[a], sizes[b]) >= 3 * max(sizes[a], sizes[b])
+            and (values[a] == values[b]).sum() >= minhash.LEAST_BANDS}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_near_messy(spark, messy, none):
     docs = messy.withColumn("kept", F.lit("own")).withColumn("_th", F.lit("own")).withColumn("node", F.lit(1))
     rows = minhash.near_duplicates(docs).collect()
