@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkvox.llm import (
     chunk_dedup,
@@ -17,9 +18,11 @@ from sparkvox.llm import (
     packing,
     pitman_yor,
     rules,
+    vector_codes,
     warc,
+    whitening,
 )
-from sparkvox.llm.common import table
+from sparkvox.llm.common import table, written
 
 #: The word tokenizer of the contract, by its file's name among the public tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -101,3 +104,19 @@ def op9(spark, d):
 @query("op10_best_fit")
 def op10(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), tokenizer_path())
+
+
+@query("op12_gnat_codes", vector_codes.oracle_sql())
+def op12(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    books = vector_codes.fit(vectors)
+    codes = written(vector_codes.compress(vectors, books), "vector_codes")
+    return vector_codes.errors_by_label(codes).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op13_qdwh_whitening")
+def op13(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    return whitening.components(whitening.whiten(vectors, model), model)
