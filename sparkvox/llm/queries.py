@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkvox.llm import (
     chunk_dedup,
     dac,
+    factorisation,
     langid,
     line_dedup,
     minhash,
@@ -106,6 +107,15 @@ def op10(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), tokenizer_path())
 
 
+@query("op11_factorisation")
+def op11(spark, d):
+    docs, metadata = table(spark, d, "documents").select("doc_id", "text", "n_chars"), ("n_chars",)
+    held = langid.held_out(modulus=3, residue=1)
+    machine = factorisation.learn(docs, table(spark, d, "labels"), chosen=~held, metadata=metadata)
+    found = factorisation.score(docs, machine, metadata=metadata, keep=["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query("op12_gnat_codes", vector_codes.oracle_sql())
 def op12(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
