@@ -29,7 +29,7 @@ from sparkvox.llm import hashing
 from sparkvox.llm.common import unused, written
 from sparkvox.session import ship_package
 
-#: The bounds of the fit: labelled rows, and slots of these together (some 30 bytes each on the driver).
+#: The bounds of the fit: labelled rows, and slots of these together (some 20 bytes each on the driver).
 MAX_LABELLED, MAX_SLOTS = 20_000, 8_000_000
 WORD_BITS, META_BITS, BIGRAM_BITS = 18, 10, 20
 BINS = 24
@@ -220,7 +220,7 @@ def fitted(documents: list[Sparse], target: np.ndarray, *, factors: int = FACTOR
     for _, slot, _ in documents:
         seen[np.unique(slot)] += 1
     used = np.flatnonzero((seen >= LEAST_DOCUMENTS) | ((np.arange(SLOTS) >= _STATS_AT) & (seen > 0)))
-    place = np.full(SLOTS, -1, np.int64)
+    place = np.full(SLOTS, -1, np.int32)
     place[used] = np.arange(len(used))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), factors))
@@ -232,8 +232,8 @@ def fitted(documents: list[Sparse], target: np.ndarray, *, factors: int = FACTOR
         at = [place[documents[i][1]] for i in own]
         slot = np.concatenate(at)
         kept = slot >= 0
-        row = np.repeat(np.arange(len(own)), [len(a) for a in at])[kept]
-        value = np.concatenate([documents[i][2] for i in own])[kept]
+        row = np.repeat(np.arange(len(own), dtype=np.int32), [len(a) for a in at])[kept]
+        value = np.concatenate([documents[i][2] for i in own])[kept].astype(np.float32)
         by_slot = slot[kept].argsort(kind="stable")
         row, slot, value = row[by_slot], slot[kept][by_slot], value[by_slot]
         first = np.flatnonzero(np.diff(slot, prepend=-1))
@@ -307,8 +307,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, chosen: Column | None = None, i
     found = rows.where(F.col("h") <= sizes[kept - 1][0]).toArrow().combine_chunks().sort_by([("h", "ascending"), ("t", "ascending")])
     found = found.slice(0, kept)
     pairs = zip(_lists(found["slots"]), _lists(found["vals"]), strict=True)
-    return fitted([(None, s.astype(np.int64), v.astype(np.float64)) for s, v in pairs],
-                  found["y"].to_numpy(), **how)
+    return fitted([(None, s, v) for s, v in pairs], found["y"].to_numpy(), **how)
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
