@@ -125,6 +125,10 @@ BUBBLE_SCALE = 1.05
 SENTENCE_SPLIT = "[.!?。！？\n]+"
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 CAPITALISED = r"^\p{Lu}"
+# Scripts written without spaces, with the sound marks that several scripts share.
+UNSPACED_SCRIPTS = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
+UNSPACED_JAVA = "[" + "".join(f"\\p{{Is{s}}}" for s in UNSPACED_SCRIPTS) + "\u30fc\u3099\u309a]"
+UNSPACED_DUCK = "[" + "".join(f"\\p{{{s}}}" for s in UNSPACED_SCRIPTS) + "\u30fc\u3099\u309a]"
 DIGITS_ONLY = "^[0-9]+$"
 
 STOP_WORDS = {

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sparkvox.functions import lexicon as L
 from sparkvox.functions.text import is_capitalised
+from sparkvox.operators.segment import Segmenter
 from sparkvox.session import ship_package
 
 WORD_COLUMNS = ["doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type"]
@@ -62,11 +63,15 @@ def tokenize_docs(
     id_col: str = "doc_id",
     lang_col: str | None = "lang",
     keep_cols: tuple[str, ...] = (),
+    segmenter: Segmenter | None = None,
 ) -> DataFrame:
     """Rule tokeniser: text → sentences → words with lemma/POS/entity/dep.
 
     sentences = pieces between runs of ``[.!?。！？\\n]``; words = runs of
     letters, marks and digits; ``sent_id``/``word_id`` are 0-based ordinals.
+    A ``segmenter`` (see ``operators.segment``) cuts the runs of scripts written
+    without spaces into words, in spaced and unspaced texts alike; without one
+    such a run is one word.
     ``keep_cols`` are document columns carried onto every word (e.g. a group
     label), which saves a join later.
     """
@@ -83,6 +88,9 @@ def tokenize_docs(
         # drop the empty ends (same words as regexp_extract_all, cheaper).
         F.array_remove(F.split(F.col("sent"), f"[^{L.WORD_PATTERN[1:-2]}]+", -1), "").alias("ws"),
     )
+    if segmenter is not None:
+        ship_package(docs.sparkSession)
+        arr = arr.withColumn("ws", segmenter.words(F.col("ws")))
     # Per word, inside one array lambda (once per word, before exploding):
     # text, lemma, capitalisation, and the successor's capitalisation by
     # array index — no window, no shuffle.

@@ -25,6 +25,7 @@ from sparkvox.operators import hierarchy as HI
 from sparkvox.sources import corpus_io as IO
 from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
+from sparkvox.operators import segment as SG
 from sparkvox.operators import vectors as VC
 from sparkvox.session import scratch_path
 from sparkvox.streaming import monitor as MON
@@ -137,6 +138,83 @@ def q_tokenize_docs(spark, d):
     return words(spark, d).select(*WORD_COLS.split(", "))
 
 
+# The corpus has no texts of scripts without spaces, so those of two languages are
+# respelled: a syllable sign per letter, and for unspaced texts no spaces.
+RESPELLED = ("es", "fr")
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyzçèéêíñó", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむ"
+PIECE_LENGTH, UNKNOWN_COST = 12, 50_000_000
+
+
+def respelled(spark: SparkSession, d: str, spaces: bool) -> DataFrame:
+    signs = F.translate(F.lower("text"), LETTERS, SIGNS)
+    return clean_docs(spark, d).withColumn("text", F.when(
+        F.col("lang").isin(*RESPELLED), signs if spaces else F.translate(signs, " ", "")).otherwise(F.col("text")))
+
+
+def known_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the spaced spelling and their cost: a fixed vocabulary."""
+    counts = (TK.tokenize_docs(respelled(spark, d, True).where(F.col("lang").isin(*RESPELLED)))
+              .where((F.length("text") <= PIECE_LENGTH) & F.col("text").rlike(f"^{L.UNSPACED_JAVA}+$"))
+              .groupBy(F.col("text").alias("piece")).agg(F.count("*").alias("n"))
+              .orderBy((F.col("n") * F.length("piece")).desc(), "piece").limit(SG.MAX_PIECES))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.select("piece", F.round(SG.UNIT * F.log(total / F.col("n"))).cast("long").alias("cost"))
+
+
+_RESPELLED_SQL = f"lang IN {O.in_list(RESPELLED)}"
+_SIGNS_SQL = f"translate(lower(text), '{LETTERS}', '{SIGNS}')"
+
+
+@register(
+    "tokenize_unspaced",
+    f"""WITH RECURSIVE {O.cte_docs()},
+spoken AS (SELECT unnest(regexp_extract_all({_SIGNS_SQL}, {O.q('(' + L.WORD_PATTERN + ')')}, 1)) AS piece FROM docs WHERE {_RESPELLED_SQL}),
+counted AS (
+  SELECT piece, count(*) AS n FROM spoken
+  WHERE length(piece) <= {PIECE_LENGTH} AND regexp_matches(piece, '^{L.UNSPACED_DUCK}+$')
+  GROUP BY piece ORDER BY n * length(piece) DESC, piece LIMIT {SG.MAX_PIECES}),
+pieces AS MATERIALIZED (SELECT piece, CAST(round({SG.UNIT} * ln((SELECT sum(n) FROM counted) / n)) AS BIGINT) AS cost FROM counted),
+given AS (SELECT doc_id, lang, CASE WHEN {_RESPELLED_SQL} THEN replace({_SIGNS_SQL}, ' ', '') ELSE text END AS text FROM docs),
+{O.cte_words("given")},
+cut AS MATERIALIZED (
+  SELECT w.doc_id, w.sent_id, w.word_id, w.lang, p.o, p.part
+  FROM words w, unnest(regexp_extract_all(w.text, '({L.UNSPACED_DUCK}+|{L.UNSPACED_DUCK.replace("[", "[^")}+)', 1)) WITH ORDINALITY AS p(part, o)),
+unspaced AS (SELECT part AS run FROM cut WHERE regexp_matches(part, '^{L.UNSPACED_DUCK}')),
+{O.cte_segments("unspaced", "pieces", PIECE_LENGTH, UNKNOWN_COST)},
+formed AS (
+  SELECT doc_id, sent_id, lang, CAST(row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY word_id, o, coalesce(k, 0)) - 1 AS INTEGER) AS word_id,
+    coalesce(word, part) AS text
+  FROM cut LEFT JOIN segs ON segs.run = cut.part)
+SELECT doc_id, sent_id, word_id, text, lower(text) AS lemma, coalesce(lex.pos, {O.pos_case('lower(text)')}) AS pos
+FROM formed LEFT JOIN lex ON lex.k = lang || '|' || lower(text)""",
+)
+def q_tokenize_unspaced(spark, d):
+    """Spaced and unspaced texts through one tokeniser, with a known vocabulary."""
+    segmenter = SG.Segmenter.of(known_pieces(spark, d), UNKNOWN_COST)
+    docs = TK.by_document(respelled(spark, d, False))
+    return TK.tokenize_docs(docs, segmenter=segmenter).select("doc_id", "sent_id", "word_id", "text", "lemma", "pos")
+
+
+def _spans(words: DataFrame) -> DataFrame:
+    """Each word's place among the letters of its sentence."""
+    before = Window.partitionBy("doc_id", "sent_id").orderBy("word_id").rowsBetween(Window.unboundedPreceding, -1)
+    return words.select("doc_id", "sent_id", "lang", "text", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)).alias("at"))
+
+
+@register("segment_learned")
+def q_segment_learned(spark, d):
+    """A vocabulary learned from the unspaced texts alone: per language, words of
+    the spaced spelling, words found, and words found at their very place."""
+    unspaced = respelled(spark, d, False).where(F.col("lang").isin(*RESPELLED))
+    segmenter = SG.learn(SG.runs(unspaced))
+    found = _spans(TK.tokenize_docs(TK.by_document(unspaced), segmenter=segmenter))
+    true = _spans(TK.tokenize_docs(TK.by_document(respelled(spark, d, True).where(F.col("lang").isin(*RESPELLED)))))
+    both = true.withColumn("t", F.lit(1)).join(
+        found.withColumn("f", F.lit(1)), ["doc_id", "sent_id", "lang", "at", "text"], "full")
+    return both.groupBy("lang").agg(F.count("t").alias("n_words"), F.count("f").alias("n_found"),
+                                    F.count(F.col("t") + F.col("f")).alias("n_right"))
+
+
 # ---------------------------------------------------------------------------
 # E. word statistics
 # ---------------------------------------------------------------------------

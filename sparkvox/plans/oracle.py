@@ -133,3 +133,31 @@ def words_base() -> list[str]:
 
 def stats_base(**kw) -> list[str]:
     return [cte_docs(), cte_words(), cte_relevant(), cte_vocab(**kw)]
+
+
+def cte_segments(runs: str, pieces: str, max_length: int, unknown: int) -> str:
+    """The cheapest words of each run (table ``runs(run)``) by pieces (table
+    ``pieces(piece, cost)``): ``segs(run, k, word)``. A recursion over the end
+    position keeps the best cost and number of words of the last positions;
+    a second one walks back."""
+    return f"""rid AS MATERIALIZED (SELECT row_number() OVER () AS r, run FROM (SELECT DISTINCT run FROM {runs})),
+spans AS (
+  SELECT r, CAST(j AS BIGINT) AS j, CAST(l AS BIGINT) AS l, substring(run, j - l + 1, l) AS piece
+  FROM rid, range(1, length(run) + 1) AS js(j), range(1, least({max_length}, j) + 1) AS ls(l)),
+arcs AS MATERIALIZED (
+  SELECT r, list(ends ORDER BY j) AS es FROM (
+    SELECT r, j, list(struct_pack(l := l, c := CAST(coalesce(cost, {unknown}) AS BIGINT))) AS ends
+    FROM spans LEFT JOIN {pieces} USING (piece) WHERE cost IS NOT NULL OR l = 1 GROUP BY r, j) GROUP BY r),
+walk(r, j, win, b) AS (
+  SELECT r, 0, [struct_pack(c := CAST(0 AS BIGINT), w := CAST(0 AS BIGINT))], CAST(0 AS BIGINT) FROM arcs
+  UNION ALL
+  SELECT r, j + 1, list_append(win, struct_pack(c := m.c, w := m.w))[-{max_length}:], m.b FROM (
+    SELECT walk.r, j, win, list_sort(list_transform(es[j + 1], lambda e: struct_pack(
+      c := win[-e.l].c + e.c, w := win[-e.l].w + 1, b := CAST(j + 1 - e.l AS BIGINT))))[1] AS m
+    FROM walk JOIN arcs ON walk.r = arcs.r WHERE j < len(es))),
+backs AS MATERIALIZED (SELECT r, list(b ORDER BY j) AS bs FROM walk WHERE j > 0 GROUP BY r),
+steps(r, j, b) AS (
+  SELECT r, CAST(len(bs) AS BIGINT), bs[len(bs)] FROM backs
+  UNION ALL
+  SELECT steps.r, steps.b, bs[steps.b] FROM steps JOIN backs ON steps.r = backs.r WHERE steps.b > 0),
+segs AS MATERIALIZED (SELECT run, b AS k, substring(run, b + 1, j - b) AS word FROM steps JOIN rid USING (r))"""
