@@ -26,6 +26,7 @@ from sparkvox.sources import corpus_io as IO
 from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
 from sparkvox.operators import segment as SG
+from sparkvox.operators.numbering import join_by_position
 from sparkvox.operators import vectors as VC
 from sparkvox.session import scratch_path
 from sparkvox.streaming import monitor as MON
@@ -1321,14 +1322,37 @@ def q_corpus_from_dataframe(spark, d):
     return IO.corpus_from_dataframe(df, text_col="text", id_col="doc_id")
 
 
+@register(
+    "corpus_row_ids",
+    f"""SELECT row_number() OVER (ORDER BY md5({" || ".join(
+        f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("text", "lang", "source", "n_chars"))})) - 1 AS doc_id,
+  text, lang, source, n_chars FROM (SELECT text, lang, source, n_chars FROM documents
+  UNION ALL SELECT text, lang, source, n_chars FROM documents WHERE lang = 'fr')""",
+)
+def q_corpus_row_ids(spark, d):
+    """A corpus whose rows have no id, those of one language twice: equal rows keep apart."""
+    docs = table(spark, d, "documents").select("text", "lang", "source", "n_chars")
+    return IO.corpus_from_dataframe(docs.unionByName(docs.where("lang = 'fr'")), text_col="text")
+
+
+WORD_DIM = 8
+WORD_VECTOR_SQL = "[" + ", ".join(f"('0x' || substr(md5(lemma), {k + 1}, 1))::INTEGER - 7.5::DOUBLE" for k in range(WORD_DIM)) + "]"
+WORD_NO_SQL = "row_number() OVER (ORDER BY doc_id, sent_id, word_id) - 1 AS word_no"
+
+
+def words_with_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return VC.hashed_word_vectors(words(spark, d), WORD_DIM)
+
+
 def dump_corpus(spark: SparkSession, d: str) -> str:
     path = scratch_path(spark, "corpus_dump")
     corpus = COL.column_roles(IO.corpus_from_dataframe(table(spark, d, "documents"), "text", "doc_id"), AUX_ROLES)
     vectors = emb(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    numbered, word_vectors = IO.split_vectors(words_with_vectors(spark, d).drop("lang"))
     parts = {
         "docs": corpus.select("doc_id", "text"),
-        "words": words(spark, d).drop("lang"),
-        "word_vectors": VC.hashed_embedding(padded(spark, d), EMBED_DIM),
+        "words": numbered,
+        "word_vectors": word_vectors,
         "doc_vectors": vectors,
         "aux_info": COL.column_info(corpus, AUX_COLS),
         "aux_data": corpus.select("doc_id", *AUX_COLS),
@@ -1340,12 +1364,11 @@ def dump_corpus(spark: SparkSession, d: str) -> str:
 
 @register(
     "corpus_dump",
-    O.with_(*O.words_base(), O.cte_relevant())
+    O.with_(*O.words_base())
     + """SELECT 'docs' AS part, count(*) AS n_rows FROM documents
 UNION ALL SELECT 'words', count(*) FROM words
 UNION ALL SELECT 'doc_vectors', count(*) FROM embeddings
-UNION ALL SELECT 'word_vectors', count(*) FROM (SELECT DISTINCT doc_id, ('0x' || substr(md5(lemma), 1, 8))::BIGINT % """
-    + f"{EMBED_DIM}" + """ FROM padded WHERE lemma <> '')
+UNION ALL SELECT 'word_vectors', count(*) FROM words
 UNION ALL SELECT 'aux_info', count(*) FROM (SELECT unnest(['lang', 'source', 'n_chars']))
 UNION ALL SELECT 'aux_data', count(*) FROM documents
 UNION ALL SELECT 'text_info', count(*) FROM (SELECT count(*) FROM documents)
@@ -1401,6 +1424,67 @@ def q_docs_to_word_table(spark, d):
     return IO.docs_to_word_table(nested).select(*WORD_COLS.split(", "))
 
 
+@register(
+    "docs_to_words_and_vectors",
+    O.with_(*O.words_base())
+    + f"""SELECT {WORD_NO_SQL}, doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS INTEGER) AS sent_id,
+  word_id, text, lemma, is_stop, pos, dep, ent_type, {WORD_VECTOR_SQL} AS vector FROM words""",
+)
+def q_docs_to_words_and_vectors(spark, d):
+    """Nested documents with word vectors → numbered words and one table of
+    vectors, put together again by position."""
+    nested = IO.word_table_to_docs(words_with_vectors(spark, d))
+    flat, vectors = IO.split_vectors(IO.docs_to_word_table(nested))
+    return join_by_position(flat, vectors, IO.WORD_NO).select("word_no", *WORD_COLS.split(", "), "vector")
+
+
+@register(
+    "words_and_vectors_to_docs",
+    O.with_(*O.words_base())
+    + f"""SELECT doc_id, list(lemma ORDER BY sent_id, word_id) AS lemmas, list({WORD_VECTOR_SQL} ORDER BY sent_id, word_id) AS vectors,
+  string_agg(text, '' ORDER BY sent_id, word_id) AS text FROM words GROUP BY doc_id""",
+)
+def q_words_and_vectors_to_docs(spark, d):
+    """The words and word vectors of a loaded dump, two parts, as nested documents."""
+    loaded = IO.corpus_load(spark, dump_corpus(spark, d))
+    nested = IO.word_table_to_docs(loaded["words"], loaded["word_vectors"])
+    flat = F.flatten("sentences")
+    return nested.select("doc_id", F.transform(flat, lambda w: w["lemma"]).alias("lemmas"),
+                         F.transform(flat, lambda w: w["vector"]).alias("vectors"), "text")
+
+
+@register(
+    "corpus_load_parts",
+    O.with_(*O.words_base())
+    + f"""SELECT * FROM (
+  SELECT 'words' AS part, {WORD_NO_SQL.replace(" AS word_no", "")} AS id, text || '/' || lemma || '/' || pos || '/' || is_stop AS content,
+    CAST(NULL AS DOUBLE[]) AS vector FROM words
+  UNION ALL SELECT 'word_vectors', {WORD_NO_SQL.replace(" AS word_no", "")}, NULL, {WORD_VECTOR_SQL} FROM words
+  UNION ALL SELECT 'doc_vectors', vec_id, NULL, CAST(embedding AS DOUBLE[]) FROM embeddings
+  UNION ALL SELECT 'text_info', 0, count(*) || '/' || sum(length(text)), NULL FROM documents
+  UNION ALL SELECT 'aux_info', 0, string_agg(c, '/' ORDER BY c), NULL FROM (SELECT unnest(['lang', 'source', 'n_chars']) AS c)
+)""",
+)
+def q_corpus_load_parts(spark, d):
+    """The parts of a loaded dump by value (those that ``corpus_load`` leaves)."""
+    loaded = IO.corpus_load(spark, dump_corpus(spark, d))
+    none, doubles = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
+    info = loaded["text_info"].select(F.concat_ws("/", "n_docs", "n_chars"))
+    shown = [
+        loaded["words"].select(F.lit("words").alias("part"), F.col("word_no").alias("id"),
+                               F.concat_ws("/", "text", "lemma", "pos", F.col("is_stop").cast("string")).alias("content"), doubles.alias("vector")),
+        loaded["word_vectors"].select(F.lit("word_vectors"), "word_no", none, "vector"),
+        loaded["doc_vectors"].select(F.lit("doc_vectors"), "doc_id", none, F.col("vector").cast("array<double>")),
+        info.select(F.lit("text_info"), F.lit(0), info.columns[0], doubles),
+        loaded["aux_info"].agg(F.array_join(F.sort_array(F.collect_list("column_name")), "/").alias("c"))
+        .select(F.lit("aux_info"), F.lit(0), "c", doubles),
+    ]
+    out = shown[0]
+    for df in shown[1:]:
+        out = out.union(df)
+    return out
+
+
 @register(
     "word_table_to_docs",
     O.with_(*O.words_base())

@@ -8,15 +8,17 @@ import datetime as dt
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkvox.operators.columns import ROLES, column_roles, unique_column_names
+from sparkvox.operators.numbering import dense_numbers, join_by_position
 
 FORMAT_VERSION = "0.1.0"
 # Parts of a whole corpus; those in REQUIRED must be in every dump.
 PARTS = ("docs", "words", "word_vectors", "doc_vectors", "aux_info", "aux_data", "text_info")
 REQUIRED = ("docs", "aux_info", "aux_data", "text_info")
+META = "version string, saved_at string, folder string, parts array<string>, number long"
 # Rows of a CSV file: quoted line ends make a file the work of one task.
 CSV_FILE_ROWS = 200_000
 
@@ -42,21 +44,33 @@ def write_corpus_csv(df: DataFrame, path: str, file_rows: int = CSV_FILE_ROWS) -
     df.write.options(**_CSV).option("maxRecordsPerFile", file_rows).mode("overwrite").csv(path)
 
 
+def content_key(columns: list[str]) -> Column:
+    """A short key of a row's content: the same for equal rows only, whatever
+    the columns hold (null and empty differ)."""
+    field = [F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+             for c in (F.col(f"`{n}`") for n in columns)]
+    return F.md5(F.concat(*field))
+
+
 def corpus_from_dataframe(df: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
     """One text column becomes ``text``; every other column is an auxiliary
-    column (names made unique). Without ``id_col`` the ``doc_id`` is a hash of
-    the row's content, the same whenever the row is read; equal rows share it."""
+    column (names made unique).
+
+    Without ``id_col`` the rows are numbered densely from 0 in the order of a
+    key of their content. Equal rows get ids of their own, and the same table
+    gets the same ids whatever its partitioning. Columns must be castable to
+    strings then."""
     names = list(df.columns)
     aux_idx = [i for i, c in enumerate(names) if c not in (text_col, id_col)]
     new_aux = unique_column_names([names[i] for i in aux_idx])
     for i, n in zip(aux_idx, new_aux):
         names[i] = n
     df = df.toDF(*names)  # positional rename: duplicates are resolvable after it
-    doc_id = F.col(id_col) if id_col else F.xxhash64(*[F.col(f"`{n}`") for n in names])
-    return df.select(
-        doc_id.alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        *[F.col(f"`{n}`") for n in new_aux],
-    )
+    rest = [F.col(text_col).cast("string").alias("text"), *[F.col(f"`{n}`") for n in new_aux]]
+    if id_col:
+        return df.select(F.col(id_col).alias("doc_id"), *rest)
+    numbered = dense_numbers(df, [content_key(names)], "_doc_no")
+    return numbered.select(F.col("_doc_no").alias("doc_id"), *rest)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -67,9 +81,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def corpus_dump(parts: dict[str, DataFrame], path: str) -> None:
     """Write each part as its own Parquet dataset into a new folder of this
-    dump, then a one-row ``meta`` dataset (version, time, folder, part names).
-    Meta is replaced last and names the folder, so a dump that was cut short
-    leaves the one before it whole, and no load mixes the two."""
+    dump, then a one-row ``meta`` dataset (version, time, folder, part names,
+    and a number one above that of the last dump). Meta is replaced last and
+    names the folder, so a dump that was cut short leaves the one before it
+    whole, and no load mixes the two."""
     missing = [p for p in REQUIRED if p not in parts]
     unknown = [p for p in parts if p not in PARTS]
     if missing or unknown:
@@ -79,20 +94,18 @@ def corpus_dump(parts: dict[str, DataFrame], path: str) -> None:
     for name, df in parts.items():
         df.write.parquet(os.path.join(path, folder, name))
     saved_at = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-    meta = spark.createDataFrame(
-        [(FORMAT_VERSION, saved_at, folder, sorted(parts))],
-        "version string, saved_at string, folder string, parts array<string>",
-    )
+    last = read_meta(spark, path).agg(F.max("number")).first()[0] if _exists(spark, os.path.join(path, "meta")) else None
+    meta = spark.createDataFrame([(FORMAT_VERSION, saved_at, folder, sorted(parts), (last or 0) + 1)], META)
     meta.coalesce(1).write.parquet(os.path.join(path, "meta", folder))
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    """One row per complete dump below ``path``: version, time, folder, parts."""
+    """One row per complete dump below ``path``: version, time, folder, parts,
+    number (null where a dump has none)."""
     meta_path = os.path.join(path, "meta")
     if not _exists(spark, meta_path):
         raise FileNotFoundError(f"no complete dump below {path}")
-    return spark.read.schema("version string, saved_at string, folder string, parts array<string>").option(
-        "recursiveFileLookup", True).parquet(meta_path)
+    return spark.read.schema(META).option("recursiveFileLookup", True).parquet(meta_path)
 
 
 def corpus_load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -101,7 +114,7 @@ def corpus_load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     be there, and every part must have been written to its end. The columns of
     ``aux_data`` carry the roles of ``aux_info`` again."""
     metas = read_meta(spark, path)
-    newest = metas.orderBy(F.desc("saved_at"), F.desc("folder")).first()
+    newest = metas.orderBy(F.desc_nulls_last("number"), F.desc("saved_at"), F.desc("folder")).first()
     if newest is None:
         raise FileNotFoundError(f"no complete dump below {path}")
     if newest["version"][:3] != FORMAT_VERSION[:3]:
@@ -137,14 +150,23 @@ def persist_model(model, path: str):
 
 
 WORD_FIELDS = ("word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type")
+# Number of a word among all words of a corpus, in document order.
+WORD_NO = "word_no"
 
 
-def word_table_to_docs(words: DataFrame) -> DataFrame:
+def word_table_to_docs(words: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     """Flat words → ``docs(doc_id, sentences ARRAY<ARRAY<word>>, text)`` in
     document order; the text is rebuilt by concatenating word texts.
-    One group is one document, bounded by its input row."""
+    One group is one document, bounded by its input row.
+
+    With ``vectors(word_no, vector)`` every word gets the vector of its number
+    (``words`` must be numbered, see ``split_vectors``); a ``vector`` column of
+    ``words`` goes into the nested words as well."""
+    if vectors is not None:
+        words = join_by_position(words, vectors, WORD_NO)
+    fields = [*WORD_FIELDS, *(c for c in ("vector",) if c in words.columns)]
     sents = words.groupBy("doc_id", "sent_id").agg(
-        F.sort_array(F.collect_list(F.struct(*WORD_FIELDS))).alias("words")
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("words")
     )
     docs = sents.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_id", "words"))).alias("s"))
     return docs.select(
@@ -156,7 +178,17 @@ def word_table_to_docs(words: DataFrame) -> DataFrame:
 
 
 def docs_to_word_table(docs: DataFrame) -> DataFrame:
-    """Nested documents → flat words in document order (two posexplodes)."""
+    """Nested documents → flat words in document order (two posexplodes), with
+    their ``vector`` where the nested words have one."""
     s = docs.select("doc_id", F.posexplode("sentences").alias("sent_id", "words"))
     w = s.select("doc_id", "sent_id", F.explode("words").alias("w"))
-    return w.select("doc_id", "sent_id", *[F.col(f"w.{f}").alias(f) for f in WORD_FIELDS])
+    fields = [f for f in (*WORD_FIELDS, "vector") if f in w.schema["w"].dataType.names]
+    return w.select("doc_id", "sent_id", *[F.col(f"w.{f}").alias(f) for f in fields])
+
+
+def split_vectors(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A word table with vectors → the words without them and one table
+    ``(word_no, vector)`` of all vectors. Both have the words' numbers in
+    document order; the split is undone by ``join_by_position`` on these."""
+    numbered = dense_numbers(words, ["doc_id", "sent_id", "word_id"], WORD_NO)
+    return numbered.drop("vector"), numbered.select(WORD_NO, "vector")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvox.operators.columns import columns_with_role
+from sparkvox.operators.numbering import dense_numbers, join_by_position
 from sparkvox.session import private_folder
 from sparkvox.sources import corpus_io as IO
 
@@ -47,7 +48,7 @@ def test_dump_load_and_errors(spark, tmp_path):
     # unsupported version
     old = str(tmp_path / "old")
     IO.corpus_dump(parts, old)
-    IO.read_meta(spark, old).selectExpr("'0.2.0' AS version", "'9' AS saved_at", "folder", "parts").write.parquet(
+    IO.read_meta(spark, old).selectExpr("'0.2.0' AS version", "'9' AS saved_at", "folder", "parts", "number + 1 AS number").write.parquet(
         os.path.join(old, "meta", "later"))
     with pytest.raises(ValueError):
         IO.corpus_load(spark, old)
@@ -93,10 +94,15 @@ def test_csv_keeps_white_space(spark, tmp_path):
     assert got == texts
 
 
-def test_generated_ids_are_stable(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 2)], "t string, x int")
-    ids = [{(r.text, r.x): r.doc_id for r in IO.corpus_from_dataframe(d, "t").collect()} for d in (df, df.repartition(3, "x"))]
-    assert ids[0] == ids[1] and len(set(ids[0].values())) == 3
+def test_generated_ids(spark):
+    rows = [("a", 1), ("b", 2), ("a", 2), ("a", 1), (None, 1), ("", None), ("1", 11), ("11", 1), ("a", 1)]
+    df = spark.createDataFrame(rows, "t string, x int")
+    ids = [sorted(((str(r.text), str(r.x)), r.doc_id) for r in IO.corpus_from_dataframe(d, "t").collect())
+           for d in (df, df.repartition(3, "x"), df.coalesce(1))]
+    assert ids[0] == ids[1] == ids[2]
+    assert sorted(i for _, i in ids[0]) == list(range(len(rows)))  # dense, equal rows apart
+    assert sorted(c for c, _ in ids[0]) == sorted((str(t), str(x)) for t, x in rows)
+    assert IO.corpus_from_dataframe(df.limit(0), "t").collect() == []
 
 
 def test_csv_round_trip_and_nested_words(spark, tmp_path):
@@ -109,3 +115,59 @@ def test_csv_round_trip_and_nested_words(spark, tmp_path):
     corpus = IO.corpus_from_dataframe(dup, "text", "doc_id")
     assert corpus.columns == ["doc_id", "text", "Lang_00", "lang_01"]
     assert corpus.count() == 2
+
+
+def test_numbers_are_dense_and_spread(spark):
+    """A third of all rows share a key, some have none."""
+    rows = [(k, "hot" if k % 3 == 0 else None if k % 7 == 0 else f"w{k % 50:02d}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, w string").repartition(6)
+    out = dense_numbers(df, ["w"])
+    got = out.collect()
+    assert sorted(r.row_no for r in got) == list(range(3000)) and sorted((r.id, r.w) for r in got if r.w) == sorted(r for r in rows if r[1])
+    words = [r.w for r in sorted(got, key=lambda r: r.row_no)]
+    assert words == sorted((w for _, w in rows), key=lambda w: (w is not None, w))
+    assert max(out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 1500
+    falling = dense_numbers(df, [F.col("id").desc()], "n").collect()
+    assert all(r.n == 2999 - r.id for r in falling)
+    assert dense_numbers(df.limit(0), ["w"]).collect() == []
+    with pytest.raises(ValueError):
+        dense_numbers(df, ["w"], "ID")
+
+
+def test_joins_by_position_need_partners(spark):
+    left, right = (spark.createDataFrame([(k, f"{s}{k}") for k in range(n)], f"row_no long, {s} string") for s, n in (("l", 5), ("r", 4)))
+    got = join_by_position(left.where("row_no < 4"), right).collect()
+    assert sorted((r.row_no, r.l, r.r) for r in got) == [(k, f"l{k}", f"r{k}") for k in range(4)]
+    for a, b in ((left, right), (left.where("row_no < 3"), right)):
+        with pytest.raises(Exception, match="only one of the tables has a row_no"):
+            join_by_position(a, b).collect()
+
+
+def test_vectors_leave_and_come_back(spark):
+    words = spark.createDataFrame(
+        [(d, s, w, f"t{w}", f"l{w}", False, "NOUN", "dep", None, [float(d), float(s), float(w)]) for d in (3, 1) for s in range(2) for w in range(3)],
+        "doc_id long, sent_id int, word_id int, text string, lemma string, is_stop boolean, pos string, dep string, ent_type string, vector array<double>")
+    nested = IO.word_table_to_docs(words)
+    flat, vectors = IO.split_vectors(IO.docs_to_word_table(nested))
+    assert vectors.columns == ["word_no", "vector"] and "vector" not in flat.columns
+    assert [r.vector for r in vectors.orderBy("word_no").collect()] == [[d, s, w] for d in (1., 3.) for s in (0., 1.) for w in (0., 1., 2.)]
+    again = IO.word_table_to_docs(flat, vectors)
+    key = lambda r: r.doc_id
+    assert sorted(again.collect(), key=key) == sorted(nested.collect(), key=key)
+    back = IO.docs_to_word_table(again).select(words.columns)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, words.collect()), key=str)
+
+
+def test_newest_dump_has_the_greatest_number(spark, tmp_path):
+    """Many dumps within a second, and one of before dumps had numbers."""
+    docs = spark.createDataFrame([(1, "0", "en")], "doc_id long, text string, lang string")
+    path = str(tmp_path / "dump")
+    IO.corpus_dump(parts_of(spark, docs), path)
+    meta = os.path.join(path, "meta")
+    (only,) = os.listdir(meta)
+    old = spark.read.parquet(os.path.join(meta, only)).drop("number")
+    old.withColumn("saved_at", F.lit("2999-01-01 00:00:00")).write.parquet(os.path.join(meta, "old"))
+    for k in range(1, 5):
+        IO.corpus_dump(parts_of(spark, docs.withColumn("text", F.lit(str(k)))), path)
+        loaded = IO.corpus_load(spark, path)
+        assert loaded["docs"].first().text == str(k) and loaded["meta"].first().number == k + 1
