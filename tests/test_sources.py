@@ -127,7 +127,7 @@ def test_numbers_are_dense_and_spread(spark):
     words = [r.w for r in sorted(got, key=lambda r: r.row_no)]
     assert words == sorted((w for _, w in rows), key=lambda w: (w is not None, w))
     assert max(out.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 1500
-    falling = dense_numbers(df, [F.col("id").desc()], "n").collect()
+    falling = dense_numbers(df, [-F.col("id")], "n").collect()
     assert all(r.n == 2999 - r.id for r in falling)
     assert dense_numbers(df.limit(0), ["w"]).collect() == []
     with pytest.raises(ValueError):
