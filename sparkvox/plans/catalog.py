@@ -1500,6 +1500,24 @@ def q_word_table_to_docs(spark, d):
     )
 
 
+PULSE_SLICE_S = 3600
+
+
+@register(
+    "pulse_gaps_stream",
+    O.with_(*H_SQL, """g AS (SELECT worker, event_id, ts, row_number() OVER w - 1 AS pulse_no,
+  round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 6) AS gap_seconds
+FROM ev WINDOW w AS (PARTITION BY worker ORDER BY ts, event_id))""")
+    + f"""SELECT * FROM g WHERE (epoch_us(ts) // {PULSE_SLICE_S * 1_000_000} + 1) * {PULSE_SLICE_S * 1_000_000}
+  <= epoch_us((SELECT max(ts) FROM events)) - {WATERMARK_DELAY_H} * 3600000000""",
+)
+def q_pulse_gaps_stream(spark, d):
+    """Equal to ``pulse_gaps`` on the pulses of the slices that the watermark has passed."""
+    schema = table(spark, d, "events").schema
+    g = MON.pulse_gaps_stream(spark, f"{d}/events.parquet", schema, f"{WATERMARK_DELAY_H} hour", PULSE_SLICE_S)
+    return g.withColumn("gap_seconds", round6("gap_seconds"))
+
+
 @register(
     "worker_stale_status_stream",
     O.with_(*H_SQL) + f"SELECT worker, last_status, updated_at, status FROM stale WHERE status = {O.q(L.STALE_STATUS)}",

@@ -8,8 +8,14 @@ the ``*_stream`` functions run the streaming form end to end with an
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sparkvox.functions import lexicon as L
 from sparkvox.session import ensure_checkpoint_dir, scratch_path, ship_package
@@ -230,66 +236,184 @@ def last_per_batch(ev: DataFrame) -> DataFrame:
     return ev.mapInPandas(last, ev.schema)
 
 
-def worker_stale_status_stream(spark: SparkSession, source_path: str, schema,
-                               ttl: float = L.STALE_AFTER_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """Stale workers detected by a custom stateful stream: per worker the
-    state keeps the latest (status, time, event id) and an event-time
-    timeout at ``updated_at + ttl``. When the watermark passes it without a
-    newer event, the worker is emitted as ``error at worker`` — unless its
-    last status is final. State per worker is bounded (one small tuple) and
-    is removed once the worker is reported."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class StaleWorkers(StatefulProcessor):
+    """Per worker the latest (status, time, event id) and one event-time timer
+    behind the time it lives without news. When the timer fires the worker is
+    reported unless its last status is final, and its state goes."""
+
+    def __init__(self, ttl: float):
+        self._ttl_ms = int(ttl * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._last = handle.getValueState("last", "status string, ts_us long, event_id long")
+
+    def _deadline(self, ts_us: int) -> int:
+        return ts_us // 1000 + self._ttl_ms + 1  # a timer fires when the watermark reaches it, stale is later than the ttl
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = self._last.get()
+        known = best
+        for pdf in rows:
+            top = pdf.sort_values(["ts_us", "event_id"]).iloc[-1]
+            found = (str(top["status"]), int(top["ts_us"]), int(top["event_id"]))
+            if best is None or found[1:] > tuple(best[1:]):
+                best = found
+        if best is not None and best is not known:
+            if known is not None:
+                self._handle.deleteTimer(self._deadline(known[1]))
+            self._last.update(tuple(best))
+            self._handle.registerTimer(self._deadline(best[1]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        status, ts_us, _ = self._last.get()
+        self._last.clear()
+        if status not in L.FINAL_STATUSES:
+            yield pd.DataFrame({"worker": [key[0]], "last_status": [status], "updated_us": [ts_us], "status": [L.STALE_STATUS]})
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of custom processors is kept in RocksDB, on disk, with changes logged to the checkpoint."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
+
+def _to_files(out: DataFrame, folder: str, name: str) -> None:
+    """Append a stream's rows to ``folder/name``; a later call goes on from its checkpoint."""
+    _run_available_now(
+        out.writeStream.outputMode("append").format("parquet")
+        .option("path", os.path.join(folder, name)).option("checkpointLocation", os.path.join(folder, f"{name}_ckpt")), name)
+
+
+def worker_stale_status_stream(spark: SparkSession, source_path: str, schema, ttl: float = L.STALE_AFTER_SECONDS,
+                               delay: str = "0 seconds", folder: str | None = None,
+                               max_files_per_batch: int | None = None) -> DataFrame:
+    """Stale workers detected by a custom stateful stream (``StaleWorkers``): a
+    worker is emitted as ``error at worker`` when the watermark passes its last
+    event by ``ttl``. State per worker is one small row and a timer. With a
+    ``folder`` (sink and checkpoint) a later call goes on where one ended."""
     ship_package(spark)
-    out = scratch_path(spark, "stale_workers")
-    ckpt = scratch_path(spark, "stale_workers_ckpt")
+    folder = folder or scratch_path(spark, "stale_workers")
     ev = (
-        status_events(_file_stream(spark, source_path, schema))
+        status_events(_file_stream(spark, source_path, schema, max_files_per_batch))
         .withColumn("ts", F.col("ts").cast("timestamp"))
         .withColumn("ts_us", F.unix_micros("ts"))
         .select("worker", "ts", "ts_us", "event_id", "status")
     )
-    ttl_ms = int(ttl * 1000)
-    finals = set(L.FINAL_STATUSES)
-
-    def track(key, pdfs, state):
-        import pandas as pd
-
-        cols = ["worker", "last_status", "updated_us", "status"]
-        if state.hasTimedOut:
-            status, ts_us, _eid = state.get
-            state.remove()
-            if status not in finals:
-                yield pd.DataFrame([[key[0], status, ts_us, L.STALE_STATUS]], columns=cols)
-            return
-        best = tuple(state.get) if state.exists else None  # (status, ts_us, event_id)
-        for pdf in pdfs:
-            if pdf.empty:
-                continue
-            top = pdf.sort_values(["ts_us", "event_id"]).iloc[-1]
-            cand = (str(top["status"]), int(top["ts_us"]), int(top["event_id"]))
-            if best is None or (cand[1], cand[2]) > (best[1], best[2]):
-                best = cand
-        if best is not None:
-            state.update(best)
-            state.setTimeoutTimestamp(best[1] // 1000 + ttl_ms)
-        yield pd.DataFrame(columns=cols)
-
-    stale = last_per_batch(ev).withWatermark("ts", delay).groupBy("worker").applyInPandasWithState(
-        track,
-        "worker long, last_status string, updated_us long, status string",
-        "status string, ts_us long, event_id long",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-    _run_available_now(
-        stale.writeStream.outputMode("append").format("parquet")
-        .option("path", out).option("checkpointLocation", ckpt),
-        "worker_stale_status_stream",
-    )
-    res = spark.read.schema("worker long, last_status string, updated_us long, status string").parquet(out)
+    fields = "worker long, last_status string, updated_us long, status string"
+    with _rocksdb(spark):
+        stale = last_per_batch(ev).withWatermark("ts", delay).groupBy("worker").transformWithStateInPandas(
+            statefulProcessor=StaleWorkers(ttl), outputStructType=fields, outputMode="append", timeMode="eventTime")
+        _to_files(stale, folder, "stale")
+    res = spark.read.schema(fields).parquet(os.path.join(folder, "stale"))
     return res.select(
         "worker", "last_status",
         F.timestamp_micros("updated_us").cast("timestamp_ntz").alias("updated_at"),
         "status",
     )
+
+
+class PulseSlices(StatefulProcessor):
+    """Pulses of one (worker, slice of time) are kept until the watermark
+    passes the slice's end, however late and in whatever order they come; then
+    they are numbered within the slice. The last one carries the slice's count."""
+
+    def __init__(self, slice_us: int):
+        self._slice_us = slice_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._pulses = handle.getListState("pulses", "ts_us long, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        end_ms = -(-(key[1] + 1) * self._slice_us // 1000)
+        if end_ms > timerValues.getCurrentWatermarkInMs():  # a pulse of a closed slice is too late
+            for pdf in rows:
+                self._pulses.appendList(list(zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), strict=True)))
+            self._handle.registerTimer(end_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        pulses = sorted(tuple(p) for p in self._pulses.get())
+        self._pulses.clear()
+        for s in range(0, len(pulses), 10_000):
+            part = pulses[s:s + 10_000]
+            yield pd.DataFrame({
+                "worker": key[0], "slice": key[1], "event_id": [e for _, e in part], "ts_us": [t for t, _ in part],
+                "local_no": range(s, s + len(part)),
+                "local_prev": pd.array([pulses[k - 1][0] if k else None for k in range(s, s + len(part))], dtype="Int64"),
+                "n": pd.array([len(pulses) if k == len(pulses) - 1 else None for k in range(s, s + len(part))], dtype="Int64"),
+            })
+
+    def close(self) -> None:
+        pass
+
+
+class PulseCounter(StatefulProcessor):
+    """Per worker the number of pulses of all closed slices and the time of the
+    last one; a closed slice is told what came before it. Slices close in the
+    order of time, those that close together are sorted."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._seen = handle.getValueState("seen", "n long, last_us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        closed = pd.concat(list(rows)).sort_values("slice")
+        n, last = self._seen.get() or (0, None)
+        before, previous = [], []
+        for count, ts_us in zip(closed["n"].tolist(), closed["ts_us"].tolist(), strict=True):
+            before.append(n)
+            previous.append(last)
+            n, last = n + int(count), int(ts_us)
+        self._seen.update((n, last))
+        yield pd.DataFrame({"worker": key[0], "slice": closed["slice"].tolist(), "before": before,
+                            "previous": pd.array(previous, dtype="Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def pulse_gaps_stream(spark: SparkSession, source_path: str, schema, delay: str = "1 hour", slice_seconds: int = 3600,
+                      folder: str | None = None, max_files_per_batch: int | None = None) -> DataFrame:
+    """``pulse_gaps`` over a stream: numbers and gaps of the pulses of all time
+    slices that the watermark (greatest event time less ``delay``) has passed.
+
+    Two stateful streams. The first holds pulses per (worker, slice of
+    ``slice_seconds``) until the slice closes and numbers them there, so a
+    worker with most pulses is spread over its slices; pulses that come late
+    but before the watermark are put in order, later ones are dropped. The
+    second reads one row per closed slice and keeps each worker's counter. Both
+    write to Parquet; the result joins a pulse with what came before its slice.
+    With a ``folder`` a later call goes on from both checkpoints."""
+    ship_package(spark)
+    folder = folder or scratch_path(spark, "pulse_gaps")
+    slice_us = slice_seconds * 1_000_000
+    ev = status_events(_file_stream(spark, source_path, schema, max_files_per_batch)).select(
+        "worker", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    ev = ev.withColumn("ts_us", F.unix_micros("ts")).withColumn("slice", F.floor(F.col("ts_us") / F.lit(slice_us)))
+    fields = "worker long, slice long, event_id long, ts_us long, local_no long, local_prev long, n long"
+    offset_fields = "worker long, slice long, before long, previous long"
+    with _rocksdb(spark):
+        local = ev.withWatermark("ts", delay).groupBy("worker", "slice").transformWithStateInPandas(
+            statefulProcessor=PulseSlices(slice_us), outputStructType=fields, outputMode="append", timeMode="eventTime")
+        _to_files(local, folder, "pulses")
+        closed = spark.readStream.schema(fields).parquet(os.path.join(folder, "pulses")).where(F.col("n").isNotNull())
+        offsets = closed.select("worker", "slice", "n", "ts_us").groupBy("worker").transformWithStateInPandas(
+            statefulProcessor=PulseCounter(), outputStructType=offset_fields, outputMode="append", timeMode="none")
+        _to_files(offsets, folder, "offsets")
+    pulses = spark.read.schema(fields).parquet(os.path.join(folder, "pulses"))
+    before = spark.read.schema(offset_fields).parquet(os.path.join(folder, "offsets"))
+    previous = F.coalesce("local_prev", "previous")
+    return pulses.join(before, ["worker", "slice"]).select(
+        "worker", "event_id", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"),
+        (F.col("before") + F.col("local_no")).alias("pulse_no"), ((F.col("ts_us") - previous) / 1e6).alias("gap_seconds"))

@@ -1,6 +1,7 @@
 """mini_status: staleness at the ttl boundary, unparsable times, batch = stream."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,61 @@ def test_latest_status_changes_resolve(spark, tmp_path):
             "*", "0.0D AS value", "'{}' AS props").coalesce(1).write.mode("append").parquet(src)
     out = MON.worker_latest_status_stream(spark, src, spark.read.parquet(src).schema)
     assert {r.worker: r.last_status for r in out.collect()} == {1: "done", 2: "ready"}
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def add_file(spark, folder, rows):
+    """Events (id, seconds after T0, worker, type) as one more file of a stream."""
+    import time
+
+    time.sleep(1.1)  # files are read in the order of their time
+    spark.createDataFrame([(i, T0 + dt.timedelta(seconds=s), w, kind, 0.0, "{}") for i, s, w, kind in rows], EVENTS).coalesce(1).write.mode("append").parquet(folder)
+
+
+def closed_pulses(spark, folder, last_s, delay_s, slice_s, dropped=()):
+    """The batch form, restricted to slices that end before the watermark."""
+    ev = MON.status_events(spark.read.schema(EVENTS).parquet(folder)).where(~F.col("event_id").isin(*dropped or (-1,)))
+    first = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
+    end = (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / slice_s) + 1) * slice_s
+    return sorted(map(tuple, MON.pulse_gaps(ev).where(end <= first + last_s - delay_s).collect()))
+
+
+def test_pulse_gaps_of_a_stream(spark, tmp_path):
+    """Late and disordered pulses in several micro-batches, one too late, a
+    worker with most pulses, equal times, and a second run from the checkpoint."""
+    src, at = str(tmp_path / "events"), str(tmp_path / "stream")
+    rng = random.Random(2)
+
+    def pulses(first_id, start, stop, n):
+        return [(first_id + k, rng.randrange(start, stop), 1 if k % 3 else rng.randrange(2, 6), "view") for k in range(n)]
+
+    add_file(spark, src, pulses(0, 0, 400, 60))
+    add_file(spark, src, pulses(100, 300, 700, 60) + [(190, 650, 1, "view"), (191, 650, 1, "view")])  # from 300 on is not too late
+    add_file(spark, src, pulses(200, 600, 900, 40))
+    run = lambda: MON.pulse_gaps_stream(spark, src, EVENTS, "200 seconds", 60, folder=at, max_files_per_batch=1)
+    newest = spark.read.parquet(src).agg(F.max("ts")).first()[0]
+    last = int((newest - T0).total_seconds())
+    one = sorted(map(tuple, run().collect()))
+    assert one == closed_pulses(spark, src, last, 200, 60) and len(one) > 100
+    assert {n for w, *_, n, _ in one if w == 1} == set(range(sum(w == 1 for w, *_ in one)))
+    add_file(spark, src, pulses(300, 880, 1200, 40) + [(399, 10, 1, "view")])  # 399 is behind the watermark
+    two = sorted(map(tuple, run().collect()))
+    last = int((spark.read.parquet(src).agg(F.max("ts")).first()[0] - T0).total_seconds())
+    assert two == closed_pulses(spark, src, last, 200, 60, dropped=(399,)) and set(one) < set(two)
+
+
+def test_stale_workers_after_a_restart(spark, tmp_path):
+    src, at = str(tmp_path / "events"), str(tmp_path / "stream")
+    run = lambda: {(r.worker, r.last_status, (r.updated_at - T0).total_seconds()) for r in
+                   MON.worker_stale_status_stream(spark, src, EVENTS, ttl=300, folder=at, max_files_per_batch=1).collect()}
+    add_file(spark, src, [(1, 0, 1, "view"), (2, 0, 2, "view"), (3, 10, 3, "purchase"), (4, 100, 4, "view")])
+    add_file(spark, src, [(5, 200, 2, "view"), (6, 300, 9, "signup")])
+    assert run() == set()  # worker 1 is 300 seconds old, not older
+    add_file(spark, src, [(7, 301, 9, "view")])
+    assert run() == {(1, "running", 0)}
+    add_file(spark, src, [(8, 390, 4, "error"), (9, 502, 9, "view")])  # 2 is stale by now; 3 and 4 are final
+    assert run() == {(1, "running", 0), (2, "running", 200)}
+    add_file(spark, src, [(10, 5000, 8, "view")])
+    assert run() == {(1, "running", 0), (2, "running", 200), (9, "running", 502)}
