@@ -26,6 +26,7 @@ from sparkvox.sources import corpus_io as IO
 from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
 from sparkvox.operators import segment as SG
+from sparkvox.operators import similarity as SI
 from sparkvox.operators.numbering import join_by_position
 from sparkvox.operators import vectors as VC
 from sparkvox.session import scratch_path
@@ -687,6 +688,55 @@ def q_similar_docs(spark, d):
     return top.select("target_id", "id", round6("score").alias("score"), "rank")
 
 
+# Noisy copies of all vectors: many targets whose nearest rows are known.
+NOISE, COPY_ID, LINK_AT = 0.01, 1_000_000_000, 0.9
+NOISY_SQL = f"""noisy AS (SELECT {COPY_ID} + vec_id AS vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE)
+  + CASE WHEN md5(vec_id || '|' || (i - 1)) < '8' THEN {NOISE} ELSE -{NOISE} END) AS embedding FROM embeddings)"""
+UNIT_SQL = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))"
+
+
+def noisy_copies(spark: SparkSession, d: str) -> DataFrame:
+    def moved(x, i):
+        key = F.concat(F.col("vec_id").cast("string"), F.lit("|"), i.cast("string"))
+        return x.cast("double") + F.when(F.md5(key) < "8", F.lit(NOISE)).otherwise(F.lit(-NOISE))
+
+    noisy = emb(spark, d).select("vec_id", F.transform("embedding", moved).alias("embedding"))
+    return noisy.withColumn("vec_id", F.col("vec_id") + COPY_ID)
+
+
+@register(
+    "similar_docs_many",
+    f"""WITH {NOISY_SQL}, a AS (SELECT vec_id, {UNIT_SQL} AS u FROM (SELECT vec_id, embedding AS v FROM noisy)),
+b AS (SELECT vec_id, {UNIT_SQL} AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)),
+s AS (SELECT a.vec_id AS target_id, b.vec_id AS id, list_dot_product(a.u, b.u) AS score FROM a, b)
+SELECT target_id, id, round(score, 6) AS score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE score >= {LINK_AT})
+WHERE rank <= {SIM_K}""",
+)
+def q_similar_docs_many(spark, d):
+    """As many targets as corpus rows, by hyperplane buckets."""
+    top = SI.similar_docs_many(emb(spark, d), noisy_copies(spark, d), SIM_K, LINK_AT, exclude_self=False)
+    return top.select("target_id", "id", round6("score").alias("score"), "rank")
+
+
+@register(
+    "similar_links",
+    f"""WITH {NOISY_SQL}, r AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings UNION ALL SELECT * FROM noisy
+  UNION ALL SELECT 2 * {COPY_ID} + vec_id, CAST(embedding AS DOUBLE[]) FROM embeddings WHERE label = 1),
+a AS (SELECT vec_id, v, {UNIT_SQL} AS u FROM r)
+SELECT x.vec_id AS id, min(CASE WHEN x.v = y.v THEN y.vec_id END) AS class_id,
+  count(*) FILTER (WHERE x.vec_id <> y.vec_id AND (x.v = y.v OR list_dot_product(x.u, y.u) >= {LINK_AT})) AS n_links
+FROM a x, a y GROUP BY x.vec_id""",
+)
+def q_similar_links(spark, d):
+    """All vectors, a noisy copy of each and an exact one of those of a label: links of every row."""
+    copies = emb(spark, d).where("label = 1").select((F.col("vec_id") + 2 * COPY_ID).alias("vec_id"), "embedding")
+    e = emb(spark, d).select("vec_id", "embedding").unionByName(copies)
+    e = e.withColumn("embedding", V.as_double(F.col("embedding"))).unionByName(noisy_copies(spark, d))
+    return SI.similar_links(e, LINK_AT)
+
+
 # ---------------------------------------------------------------------------
 # F. document map and clusters
 # ---------------------------------------------------------------------------
