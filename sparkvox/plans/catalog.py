@@ -1279,7 +1279,33 @@ def q_tree_inherit_flags(spark, d):
 FROM walk w LEFT JOIN opened o USING (id)""",
 )
 def q_tree_open_nodes(spark, d):
-    return HI.tree_open_nodes(walk(spark, d))
+    return HI.tree_open_nodes(walk(spark, d), HI.tree_marks(tree_nodes(spark, d)))
+
+
+FLAT_SQL = TREE_SQL + """, flat AS (
+  SELECT w.id, row_number() OVER (ORDER BY w.preorder_key) - 1 AS position, w.depth, w.checked, w.disabled,
+    (w.checked OR o.id IS NOT NULL) AS open FROM walk w LEFT JOIN opened o USING (id)),
+sizes AS (SELECT unnest(lineage) AS id, own_checked FROM walk),
+held AS (SELECT id, count(*) AS n_nodes, count(*) FILTER (WHERE own_checked) AS n_checked FROM sizes GROUP BY id)
+"""
+
+
+@register("tree_positions", FLAT_SQL + "SELECT * FROM flat JOIN held USING (id)")
+def q_tree_positions(spark, d):
+    """Every node's place in the flattened tree and what its subtree holds."""
+    return HI.tree_positions(tree_nodes(spark, d)).drop("own_checked")
+
+
+@register(
+    "tree_flat_marks",
+    FLAT_SQL + """SELECT 'checked' AS mark, position, id FROM flat WHERE checked
+UNION ALL SELECT 'open', position, id FROM flat WHERE open""",
+)
+def q_tree_flat_marks(spark, d):
+    """Checked and open places in the flattened tree."""
+    places = HI.tree_positions(tree_nodes(spark, d))
+    checked, opened = (HI.flat_positions(places, m).select(F.lit(m).alias("mark"), "position", "id") for m in ("checked", "open"))
+    return checked.unionByName(opened)
 
 
 @register(

@@ -65,11 +65,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "sparkvox", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table of this application. Results that
     still read them fail afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(ensure_checkpoint_dir(spark), "sparkvox"))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, os.path.join(ensure_checkpoint_dir(spark), "sparkvox"))
 
 
 _SHIPPED: set[str] = set()
