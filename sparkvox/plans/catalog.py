@@ -27,6 +27,8 @@ from sparkvox.operators import docmap as DM
 from sparkvox.operators import network as NW
 from sparkvox.operators import segment as SG
 from sparkvox.operators import similarity as SI
+from sparkvox.operators import spans as SP
+from sparkvox.operators import sparse as SR
 from sparkvox.operators.numbering import join_by_position
 from sparkvox.operators import vectors as VC
 from sparkvox.session import scratch_path
@@ -256,6 +258,19 @@ def q_doc_term(spark, d):
     return WS.doc_term(padded(spark, d))
 
 
+@register(
+    "doc_term_vectors",
+    O.with_(*O.words_base(), O.cte_relevant()) + f""", dt AS (SELECT DISTINCT doc_id, lemma FROM padded WHERE lemma <> ''),
+vocab AS (SELECT lemma FROM dt GROUP BY lemma HAVING count(*) >= 1 ORDER BY count(*) DESC, lemma LIMIT {L.MAX_VOCAB_SIZE})
+SELECT doc_id, lemma FROM dt JOIN vocab USING (lemma)""",
+)
+def q_doc_term_vectors(spark, d):
+    """The fitted vocabulary, saved and loaded, gives sparse vectors; their long form."""
+    docs = table(spark, d, "documents").select("doc_id")
+    model = IO.persist_model(SR.fit_doc_term(padded(spark, d), docs), scratch_path(spark, "vocabulary_model"))
+    return SR.vectors_to_doc_term(SR.doc_term_vectors(padded(spark, d), docs, model), model)
+
+
 @register("doc_frequency", O.with_(*O.stats_base()) + "SELECT lemma, df FROM dfreq")
 def q_doc_frequency(spark, d):
     return dfreq(spark, d)
@@ -577,6 +592,40 @@ def q_subtoken_pool(spark, d):
     return long_vec(pooled, "word_id", "vector", "word_id")
 
 
+SUB_CHARS, SUB_DIM = 4, 4
+
+
+@register(
+    "subtoken_pool_aligned",
+    f"""WITH {O.cte_docs()}, parts AS (
+  SELECT doc_id, CAST(u.o - 1 AS INTEGER) AS word_id, u.t AS text FROM docs, unnest(string_split(text, ' ')) WITH ORDINALITY AS u(t, o)),
+placed AS (
+  SELECT doc_id, word_id, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY word_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM parts),
+w AS (SELECT doc_id, word_id, CAST(start AS BIGINT) AS start, CAST(start + length(text) AS BIGINT) AS stop FROM placed WHERE text <> ''),
+sub AS (
+  SELECT doc_id, k, md5(substring(text, {SUB_CHARS} * k + 1, {SUB_CHARS})) AS h
+  FROM docs, unnest(range((length(text) + {SUB_CHARS - 1}) // {SUB_CHARS})) AS r(k) WHERE k % 5 <> 4),
+reach AS (
+  SELECT doc_id, word_id, start, stop, unnest(range(start // {SUB_CHARS}, (stop - 1) // {SUB_CHARS} + 1)) AS k FROM w)
+SELECT doc_id, word_id, start, stop, {", ".join(
+    f"round(coalesce(avg(('0x' || substr(h, {i + 1}, 1))::INTEGER - 7.5::DOUBLE), 0.0), 6) AS v{i}" for i in range(SUB_DIM))}
+FROM reach LEFT JOIN sub USING (doc_id, k) GROUP BY doc_id, word_id, start, stop""",
+)
+def q_subtoken_pool_aligned(spark, d):
+    """Words between spaces and a model's sub-tokens, here pieces of four
+    characters of which every fifth is missing, aligned by their places."""
+    docs = clean_docs(spark, d)
+    pieces = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.length("text") - 1) / SUB_CHARS), F.lit(0)))).alias("k"))
+    h = F.md5(F.substring("text", F.col("k") * SUB_CHARS + 1, F.lit(SUB_CHARS)))
+    digits = [F.conv(F.substring("h", i + 1, 1), 16, 10).cast("double") - 7.5 for i in range(SUB_DIM)]
+    sub = pieces.where((F.col("k") % 5 != 4) & (F.length("text") > 0)).withColumn("h", h).select(
+        "doc_id", (F.col("k") * SUB_CHARS).alias("start"), F.least((F.col("k") + 1) * SUB_CHARS, F.length("text")).alias("stop"),
+        F.array(*digits).alias("vector"))
+    pooled = SP.subtoken_pool_aligned(SP.word_spans(docs).drop("text"), sub, SUB_DIM)
+    return pooled.select("doc_id", "word_id", "start", "stop", *[round6(F.col("vector")[i]).alias(f"v{i}") for i in range(SUB_DIM)])
+
+
 @register(
     "pool_vectors",
     O.with_(UNNEST_EMB)
@@ -642,6 +691,16 @@ def q_embed_docs(spark, d):
     return e.select("doc_id", "dim", round6("value").alias("value"))
 
 
+@register("embed_docs_svd")
+def q_embed_docs_svd(spark, d):
+    """Document embeddings by truncated SVD of TF-IDF, placed by the saved model."""
+    docs = table(spark, d, "documents").select("doc_id")
+    path = scratch_path(spark, "svd_model")
+    SR.fit_text_svd(padded(spark, d), docs).save(spark, path)
+    placed = SR.place_docs(padded(spark, d), docs, SR.TextSvd.load(spark, path))
+    return placed.select("doc_id", F.posexplode("embedding").alias("dim", "value"))
+
+
 @register(
     "cosine_similarity",
     """WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
