@@ -86,6 +86,31 @@ def kmeans_all_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     return kmeans_labels(df, kmeans_fits(df, id_col, vec_col, max_cluster, seed, parallelism), id_col, vec_col)
 
 
+def nearest_of_all(df: DataFrame, models: dict[int, object], id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(id, k, closest)``: the labels of the centres of every model that are
+    closest to a row, several where they are equally near up to rounding. One
+    pass: one matrix product per batch with the centres of all models."""
+    ship_package(df.sparkSession)
+    ks = list(models)
+    centres = [np.array(models[k].clusterCenters(), dtype=np.float64) for k in ks]
+    every = np.vstack(centres)
+    ends = np.cumsum([0, *map(len, centres)])
+
+    @F.pandas_udf("array<struct<k:int,closest:array<int>>>")
+    def closest(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()).astype(np.float64)
+        d = (x * x).sum(axis=1)[:, None] - 2 * x @ every.T + (every * every).sum(axis=1)
+        out = [[] for _ in range(len(x))]
+        for k, s, e in zip(ks, ends[:-1], ends[1:], strict=True):
+            near = d[:, s:e] <= d[:, s:e].min(axis=1, keepdims=True) + 1e-9
+            for row, flags in zip(out, near, strict=True):
+                row.append({"k": k, "closest": np.flatnonzero(flags).tolist()})
+        return pd.Series(out)
+
+    unit = l2_normalize(df.filter(_directed(vec_col)).select(id_col, vec_col), vec_col)
+    return unit.select(id_col, F.explode(closest(F.col(vec_col))).alias("c")).select(id_col, "c.k", "c.closest")
+
+
 def nearest_centroid(df: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
                      vec_col: str = "embedding") -> DataFrame:
     """Assign every row to its closest centroid (squared Euclidean; the least

@@ -99,10 +99,9 @@ def co_occurrence_nodes(edges: DataFrame, vocab: DataFrame, pos_vote: DataFrame)
         F.try_element_at(F.create_map(*[F.lit(x) for kv in L.POS_COLORS.items() for x in kv]), F.col("pos")),
         F.lit(L.OTHER_POS_COLOR),
     )
+    shown = vocab.select("lemma", "df").join(on_edge, "lemma", "left_semi")
     nodes = (
-        vocab.select("lemma", "df")
-        .join(on_edge, "lemma", "left_semi")
-        .join(pos_vote, "lemma", "left")
+        shown.join(pos_vote.join(on_edge, "lemma", "left_semi"), "lemma", "left")
         .select(
             "lemma",
             (F.col("df") / max_df).alias("size"),

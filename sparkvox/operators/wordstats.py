@@ -199,7 +199,7 @@ def tfidf_by_label(
             .agg(F.sum("n").alias("tf"))
         )
     counts = counts.filter(F.col(label_col).isNotNull())
-    n_labels = labels.select(F.count_distinct(F.col(label_col))).scalar()
+    n_labels = labels.select(F.size(F.collect_set(F.col(label_col)))).scalar()  # as many as there are result groups
     # Rows per word are bounded by the labels, rows per label by the vocabulary.
     lf = F.count(F.lit(1)).over(Window.partitionBy("lemma"))
     weighted = counts.withColumn(

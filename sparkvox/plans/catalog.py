@@ -31,7 +31,7 @@ from sparkvox.operators import spans as SP
 from sparkvox.operators import sparse as SR
 from sparkvox.operators.numbering import join_by_position
 from sparkvox.operators import vectors as VC
-from sparkvox.session import scratch_path
+from sparkvox.session import drop_folder, scratch_path
 from sparkvox.streaming import monitor as MON
 from sparkvox.operators import wordstats as WS
 from sparkvox.plans import oracle as O
@@ -64,41 +64,74 @@ def clean_docs(spark: SparkSession, d: str) -> DataFrame:
     return N.normalize_text(table(spark, d, "documents").select("doc_id", "lang", "text"))
 
 
-# The word table of a corpus is written once per application; every later
-# query plan reads it instead of tokenising the texts again.
-_WORDS: dict[tuple, str] = {}
+# Tables that many queries read (the word table, document frequencies, the table
+# of labels, layouts) are written once per application and state of the corpus.
+_SHARED: dict[tuple, str] = {}
 
-# Bytes of text per bucket of the word table (about five times that as words).
-BUCKET_TEXT_BYTES = 64 << 20
+# Bytes of documents on disk per bucket of the word table (some ten times that as
+# words), and the most buckets that Spark takes.
+BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 100_000
 
 
-def n_buckets(spark: SparkSession, docs: DataFrame) -> int:
-    """Buckets by the measured bytes of the texts, at least one per core."""
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_TEXT_BYTES))
+def corpus_files(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
+    """Length and time of change of every file of a corpus."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = {}
+    while files.hasNext():
+        f = files.next()
+        out[f.getPath().toString()] = (f.getLen(), f.getModificationTime())
+    return out
+
+
+def shared(spark: SparkSession, d: str, name: str, write: Callable[[], str]) -> str:
+    """What ``write`` returned (a path or a table's name) when this table of the
+    corpus was first asked for; written anew when the corpus' files have changed."""
+    key = (spark.sparkContext.applicationId, d, name, tuple(sorted(corpus_files(spark, d).items())))
+    if key not in _SHARED:
+        _SHARED[key] = write()
+    return _SHARED[key]
+
+
+def shared_table(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def write() -> str:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        return path
+
+    return spark.read.parquet(shared(spark, d, name, write))
+
+
+def n_buckets(spark: SparkSession, d: str) -> int:
+    """Buckets by the bytes of the documents' files, at least one per core."""
+    size = sum(n for f, (n, _) in corpus_files(spark, d).items() if "/documents.parquet" in f)
+    return min(max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)), MAX_BUCKETS)
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
     """The word table, as a table bucketed by doc_id under the shared
     checkpoint folder. Reads keep the doc_id co-location (no exchange for
     per-document work), prune columns, cut lineage, and survive executor
-    loss. ``release_words`` drops it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _WORDS:
-        docs = clean_docs(spark, d)
-        n = n_buckets(spark, docs)
+    loss. ``release`` drops it."""
+    def write() -> str:
+        n = n_buckets(spark, d)
         name = f"sparkvox_words_{uuid.uuid4().hex[:12]}"
-        (TK.tokenize_docs(TK.by_document(docs, n_partitions=n)).write.bucketBy(n, "doc_id")
+        (TK.tokenize_docs(TK.by_document(clean_docs(spark, d), n_partitions=n)).write.bucketBy(n, "doc_id")
          .option("path", scratch_path(spark, "words")).format("parquet").saveAsTable(name))
-        _WORDS[key] = name
-    return spark.table(_WORDS[key])
+        return name
+
+    return spark.table(shared(spark, d, "words", write))
 
 
-def release_words(spark: SparkSession, d: str) -> None:
-    """Forget the word table of a corpus; the next query builds it anew."""
-    name = _WORDS.pop((spark.sparkContext.applicationId, d), None)
-    if name:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+def release(spark: SparkSession, d: str, name: str | None = None) -> None:
+    """Forget the shared tables of a corpus, or the one of a name; the next
+    query builds them anew."""
+    for key in [k for k in _SHARED if k[:2] == (spark.sparkContext.applicationId, d) and name in (None, k[2])]:
+        at = _SHARED.pop(key)
+        if key[2] == "words":
+            spark.sql(f"DROP TABLE IF EXISTS {at}")
+        else:
+            drop_folder(spark, at)
 
 
 def padded(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +139,8 @@ def padded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dfreq(spark: SparkSession, d: str) -> DataFrame:
-    return WS.doc_frequency(padded(spark, d), table(spark, d, "documents"))
+    """The vocabulary with its document frequencies, counted once."""
+    return shared_table(spark, d, "dfreq", lambda: WS.doc_frequency(padded(spark, d), table(spark, d, "documents")))
 
 
 N_WORDS_WIDE = 20
@@ -273,7 +307,7 @@ def q_doc_term_vectors(spark, d):
 
 @register("doc_frequency", O.with_(*O.stats_base()) + "SELECT lemma, df FROM dfreq")
 def q_doc_frequency(spark, d):
-    return dfreq(spark, d)
+    return WS.doc_frequency(padded(spark, d), table(spark, d, "documents"))
 
 
 @register(
@@ -326,19 +360,14 @@ def q_tfidf_by_label(spark, d):
 @register(
     "label_vectors",
     O.with_(*tfidf_sql())
-    + """SELECT label, CAST(count(*) AS INTEGER) AS n_terms,
-  string_agg(lemma, ' ' ORDER BY lemma) AS terms, round(sum(weight * weight), 6) AS sq_norm
-FROM tfidf WHERE weight > 0 GROUP BY label""",
+    + """SELECT label, CAST(count(*) OVER (PARTITION BY label) AS INTEGER) AS n_terms,
+  CAST(row_number() OVER (PARTITION BY label ORDER BY lemma) - 1 AS INTEGER) AS place, lemma, round(weight, 6) AS weight
+FROM tfidf WHERE weight > 0""",
 )
 def q_label_vectors(spark, d):
     v = WS.label_vectors(tfidf(spark, d))
-    return v.select(
-        "label",
-        F.size("vector").alias("n_terms"),
-        F.array_join(F.transform("vector", lambda x: x["lemma"]), " ").alias("terms"),
-        round6(F.aggregate(F.transform("vector", lambda x: x["weight"] * x["weight"]), F.lit(0.0),
-                           lambda a, b: a + b)).alias("sq_norm"),
-    )
+    return v.select("label", F.size("vector").alias("n_terms"), F.posexplode("vector").alias("place", "term")).select(
+        "label", "n_terms", "place", "term.lemma", round6("term.weight").alias("weight"))
 
 
 @register(
@@ -821,20 +850,12 @@ def q_kmeans_all_k(spark, d):
     e = emb(spark, d)
     models = DM.kmeans_fits(e, max_cluster=L.MAX_CLUSTER)
     found = IO.persist_result(DM.kmeans_labels(e, models), scratch_path(spark, "clusters"), ["k"])
-    unit = DM.l2_normalize(e, "embedding")
-    out = None
-    for k, model in models.items():
-        centres = spark.createDataFrame(
-            [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "label int, vector array<double>"
-        )
-        near = DM.nearest_centroid(unit, centres).withColumnRenamed("label", "near")
-        one = DM.labels_for_k(found, k).join(near, "vec_id").agg(
-            F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_rows"),
-            F.count_if((F.col("label") < 0) | (F.col("label") >= k)).alias("n_out_of_range"),
-            F.count_if(F.col("label") != F.col("near")).alias("n_not_closest"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    near = DM.nearest_of_all(e, models)
+    own = F.col("label").isNotNull()
+    return found.join(near, ["vec_id", "k"]).groupBy(F.col("k").cast("int").alias("k")).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(own & ((F.col("label") < 0) | (F.col("label") >= F.col("k")))).alias("n_out_of_range"),
+        F.count_if(own & ~F.array_contains("closest", F.col("label"))).alias("n_not_closest"))
 
 
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -915,7 +936,8 @@ def label_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labels_of(spark: SparkSession, d: str) -> DataFrame:
-    return CH.label_table(label_set(spark, d), names_df(spark))
+    """The table of labels, a handful of rows, made once: its size is known, so joins broadcast it."""
+    return shared_table(spark, d, "labels", lambda: CH.label_table(label_set(spark, d), names_df(spark)))
 
 
 def chart_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -1036,34 +1058,30 @@ def cluster_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return WS.tfidf_by_label(padded(spark, d), dfreq(spark, d), labels)
 
 
-# Folder of the rendered lines per application and corpus.
-_LAYOUTS: dict[tuple, str] = {}
-
 SVG_HEADER = '<svg xmlns="http://www.w3.org/2000/svg" width="900" height="900">'
 
 
 def layout_lines(spark: SparkSession, d: str) -> DataFrame:
     """Rendered lines per group, written once as text files partitioned by
     label (one directory per word cloud) and read back as a text source."""
-    key = (spark.sparkContext.applicationId, d)
-    if key in _LAYOUTS:
-        return spark.read.text(_LAYOUTS[key])
-    top = WS.top_words_by_label(cluster_tfidf(spark, d), N_CLOUD_WORDS)
-    r, lab = F.col("rank"), F.col("label")
-    line = F.format_string(
-        '<text transform="translate(%d,%d)%s" font-size="%d" style="fill:rgb(%d, %d, %d)">%s</text>',
-        F.lit(50) + F.pmod(r * 137, F.lit(800)), F.lit(50) + F.pmod(r * 71, F.lit(800)),
-        F.when(r % 4 == 0, F.lit(" rotate(-90)")).otherwise(F.lit("")),
-        F.lit(8) + F.lit(4) * (F.lit(21) - r),
-        F.pmod(r * 50, F.lit(256)), F.pmod(lab * 25, F.lit(256)), F.pmod(r * 13 + lab * 7, F.lit(256)),
-        F.col("lemma"),
-    )
-    body = top.select("label", line.alias("value"))
-    header = top.select("label").distinct().select("label", F.lit(SVG_HEADER).alias("value"))
-    path = scratch_path(spark, "layout")
-    body.unionByName(header).write.partitionBy("label").text(path)
-    _LAYOUTS[key] = path
-    return spark.read.text(path)
+    def write() -> str:
+        top = WS.top_words_by_label(cluster_tfidf(spark, d), N_CLOUD_WORDS)
+        r, lab = F.col("rank"), F.col("label")
+        line = F.format_string(
+            '<text transform="translate(%d,%d)%s" font-size="%d" style="fill:rgb(%d, %d, %d)">%s</text>',
+            F.lit(50) + F.pmod(r * 137, F.lit(800)), F.lit(50) + F.pmod(r * 71, F.lit(800)),
+            F.when(r % 4 == 0, F.lit(" rotate(-90)")).otherwise(F.lit("")),
+            F.lit(8) + F.lit(4) * (F.lit(21) - r),
+            F.pmod(r * 50, F.lit(256)), F.pmod(lab * 25, F.lit(256)), F.pmod(r * 13 + lab * 7, F.lit(256)),
+            F.col("lemma"),
+        )
+        # Of every label the first word's row also gives the header line.
+        both = F.when(r == 1, F.array(F.lit(SVG_HEADER), line)).otherwise(F.array(line))
+        path = scratch_path(spark, "layout")
+        top.select("label", F.explode(both).alias("value")).write.partitionBy("label").text(path)
+        return path
+
+    return spark.read.text(shared(spark, d, "layout", write))
 
 
 def cloud_sql() -> list[str]:
@@ -1471,14 +1489,19 @@ def q_corpus_row_ids(spark, d):
 
 
 WORD_DIM = 8
-WORD_VECTOR_SQL = "[" + ", ".join(f"('0x' || substr(md5(lemma), {k + 1}, 1))::INTEGER - 7.5::DOUBLE" for k in range(WORD_DIM)) + "]"
-WORD_NO_SQL = "row_number() OVER (ORDER BY doc_id, sent_id, word_id) - 1 AS word_no"
+# A word's vector, component k being digit k of the lemma's md5 less 7.5, is compared by its digits.
+DIGITS_SQL = "concat_ws(',', " + ", ".join(f"('0x' || substr(md5(lemma), {k + 1}, 1))::INTEGER" for k in range(WORD_DIM)) + ")"
+WORD_NO_SQL = "row_number() OVER (ORDER BY doc_id, sent_id, word_id) - 1"
 
 
 def words_with_vectors(spark: SparkSession, d: str) -> DataFrame:
     return VC.hashed_word_vectors(words(spark, d), WORD_DIM)
 
 
+def digits(vector) -> F.Column:
+    return F.array_join(F.transform(vector, lambda x: (x + 7.5).cast("int").cast("string")), ",")
+
+
 def dump_corpus(spark: SparkSession, d: str) -> str:
     path = scratch_path(spark, "corpus_dump")
     corpus = COL.column_roles(IO.corpus_from_dataframe(table(spark, d, "documents"), "text", "doc_id"), AUX_ROLES)
@@ -1562,57 +1585,56 @@ def q_docs_to_word_table(spark, d):
 @register(
     "docs_to_words_and_vectors",
     O.with_(*O.words_base())
-    + f"""SELECT {WORD_NO_SQL}, doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS INTEGER) AS sent_id,
-  word_id, text, lemma, is_stop, pos, dep, ent_type, {WORD_VECTOR_SQL} AS vector FROM words""",
+    + f"""SELECT {WORD_NO_SQL} AS word_no, doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS INTEGER) AS sent_id,
+  word_id, text, lemma, is_stop, pos, dep, ent_type, {DIGITS_SQL} AS digits FROM words""",
 )
 def q_docs_to_words_and_vectors(spark, d):
     """Nested documents with word vectors → numbered words and one table of
     vectors, put together again by position."""
     nested = IO.word_table_to_docs(words_with_vectors(spark, d))
     flat, vectors = IO.split_vectors(IO.docs_to_word_table(nested))
-    return join_by_position(flat, vectors, IO.WORD_NO).select("word_no", *WORD_COLS.split(", "), "vector")
+    return join_by_position(flat, vectors, IO.WORD_NO).select("word_no", *WORD_COLS.split(", "), digits(F.col("vector")).alias("digits"))
 
 
 @register(
     "words_and_vectors_to_docs",
     O.with_(*O.words_base())
-    + f"""SELECT doc_id, list(lemma ORDER BY sent_id, word_id) AS lemmas, list({WORD_VECTOR_SQL} ORDER BY sent_id, word_id) AS vectors,
-  string_agg(text, '' ORDER BY sent_id, word_id) AS text FROM words GROUP BY doc_id""",
+    + f"""SELECT doc_id, string_agg(lemma, ' ' ORDER BY sent_id, word_id) AS lemmas,
+  string_agg({DIGITS_SQL}, ';' ORDER BY sent_id, word_id) AS digits, string_agg(text, '' ORDER BY sent_id, word_id) AS text
+FROM words GROUP BY doc_id""",
 )
 def q_words_and_vectors_to_docs(spark, d):
     """The words and word vectors of a loaded dump, two parts, as nested documents."""
     loaded = IO.corpus_load(spark, dump_corpus(spark, d))
     nested = IO.word_table_to_docs(loaded["words"], loaded["word_vectors"])
     flat = F.flatten("sentences")
-    return nested.select("doc_id", F.transform(flat, lambda w: w["lemma"]).alias("lemmas"),
-                         F.transform(flat, lambda w: w["vector"]).alias("vectors"), "text")
+    return nested.select("doc_id", F.array_join(F.transform(flat, lambda w: w["lemma"]), " ").alias("lemmas"),
+                         F.array_join(F.transform(flat, lambda w: digits(w["vector"])), ";").alias("digits"), "text")
 
 
 @register(
     "corpus_load_parts",
     O.with_(*O.words_base())
-    + f"""SELECT * FROM (
-  SELECT 'words' AS part, {WORD_NO_SQL.replace(" AS word_no", "")} AS id, text || '/' || lemma || '/' || pos || '/' || is_stop AS content,
-    CAST(NULL AS DOUBLE[]) AS vector FROM words
-  UNION ALL SELECT 'word_vectors', {WORD_NO_SQL.replace(" AS word_no", "")}, NULL, {WORD_VECTOR_SQL} FROM words
-  UNION ALL SELECT 'doc_vectors', vec_id, NULL, CAST(embedding AS DOUBLE[]) FROM embeddings
-  UNION ALL SELECT 'text_info', 0, count(*) || '/' || sum(length(text)), NULL FROM documents
-  UNION ALL SELECT 'aux_info', 0, string_agg(c, '/' ORDER BY c), NULL FROM (SELECT unnest(['lang', 'source', 'n_chars']) AS c)
-)""",
+    + f"""SELECT 'words' AS part, {WORD_NO_SQL} AS id, text || '/' || lemma || '/' || pos || '/' || is_stop AS content,
+  CAST(NULL AS DOUBLE) AS total FROM words
+UNION ALL SELECT 'word_vectors', {WORD_NO_SQL}, {DIGITS_SQL}, NULL FROM words
+UNION ALL SELECT 'doc_vectors', vec_id, CAST(len(embedding) AS VARCHAR), round(list_sum(list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) * i)), 6) FROM embeddings
+UNION ALL SELECT 'text_info', 0, count(*) || '/' || sum(length(text)), NULL FROM documents
+UNION ALL SELECT 'aux_info', 0, string_agg(c, '/' ORDER BY c), NULL FROM (SELECT unnest(['lang', 'source', 'n_chars']) AS c)""",
 )
 def q_corpus_load_parts(spark, d):
-    """The parts of a loaded dump by value (those that ``corpus_load`` leaves)."""
+    """The parts of a loaded dump by value (those that ``corpus_load`` leaves);
+    of a document's vector its length and the sum of component times place."""
     loaded = IO.corpus_load(spark, dump_corpus(spark, d))
-    none, doubles = F.lit(None).cast("string"), F.lit(None).cast("array<double>")
-    info = loaded["text_info"].select(F.concat_ws("/", "n_docs", "n_chars"))
+    no = F.lit(None).cast("double")
+    placed = F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     shown = [
         loaded["words"].select(F.lit("words").alias("part"), F.col("word_no").alias("id"),
-                               F.concat_ws("/", "text", "lemma", "pos", F.col("is_stop").cast("string")).alias("content"), doubles.alias("vector")),
-        loaded["word_vectors"].select(F.lit("word_vectors"), "word_no", none, "vector"),
-        loaded["doc_vectors"].select(F.lit("doc_vectors"), "doc_id", none, F.col("vector").cast("array<double>")),
-        info.select(F.lit("text_info"), F.lit(0), info.columns[0], doubles),
-        loaded["aux_info"].agg(F.array_join(F.sort_array(F.collect_list("column_name")), "/").alias("c"))
-        .select(F.lit("aux_info"), F.lit(0), "c", doubles),
+                               F.concat_ws("/", "text", "lemma", "pos", F.col("is_stop").cast("string")).alias("content"), no.alias("total")),
+        loaded["word_vectors"].select(F.lit("word_vectors"), "word_no", digits(F.col("vector")), no),
+        loaded["doc_vectors"].select(F.lit("doc_vectors"), "doc_id", F.size("vector").cast("string"), F.round(placed, 6)),
+        loaded["text_info"].select(F.lit("text_info"), F.lit(0), F.concat_ws("/", "n_docs", "n_chars"), no),
+        loaded["aux_info"].agg(F.array_join(F.sort_array(F.collect_list("column_name")), "/").alias("c")).select(F.lit("aux_info"), F.lit(0), "c", no),
     ]
     out = shown[0]
     for df in shown[1:]:

@@ -49,3 +49,19 @@ def test_selection_placeholders(spark):
     got = CH.select_by_label(rows, 0).collect()
     assert [(r.label, r.display_name, r.text) for r in got] == [("0", "0:a", "t1")]
     assert CH.document_table(rows, show_empty=True).count() == 3
+
+
+def test_shared_tables_follow_the_files(spark, tmp_path):
+    """A corpus whose files change is read anew within one application."""
+    from sparkvox.plans import catalog
+
+    d = str(tmp_path)
+    row = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "Cats sleep.", "en", "a", 11)], row).coalesce(1).write.parquet(f"{d}/documents.parquet")
+    assert sorted(r.lemma for r in catalog.words(spark, d).collect()) == ["cats", "sleep"]
+    first = catalog.words(spark, d)
+    assert first.inputFiles() == catalog.words(spark, d).inputFiles()
+    spark.createDataFrame([(2, "Dogs run.", "en", "a", 9)], row).coalesce(1).write.mode("append").parquet(f"{d}/documents.parquet")
+    assert sorted(r.lemma for r in catalog.words(spark, d).collect()) == ["cats", "dogs", "run", "sleep"]
+    catalog.release(spark, d)
+    assert catalog.words(spark, d).count() == 4
