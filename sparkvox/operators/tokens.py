@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from sparkvox.functions import lexicon as L
 from sparkvox.functions.text import is_capitalised
 from sparkvox.operators.segment import Segmenter
+from sparkvox.operators.tagger import Tagger
 from sparkvox.session import ship_package
 
 WORD_COLUMNS = ["doc_id", "sent_id", "word_id", "text", "lemma", "is_stop", "pos", "dep", "ent_type"]
@@ -64,6 +65,7 @@ def tokenize_docs(
     lang_col: str | None = "lang",
     keep_cols: tuple[str, ...] = (),
     segmenter: Segmenter | None = None,
+    tagger: Tagger | None = None,
 ) -> DataFrame:
     """Rule tokeniser: text → sentences → words with lemma/POS/entity/dep.
 
@@ -71,7 +73,8 @@ def tokenize_docs(
     letters, marks and digits; ``sent_id``/``word_id`` are 0-based ordinals.
     A ``segmenter`` (see ``operators.segment``) cuts the runs of scripts written
     without spaces into words, in spaced and unspaced texts alike; without one
-    such a run is one word.
+    such a run is one word. A ``tagger`` (see ``operators.tagger``) gives the
+    parts of speech from whole sentences instead of word by word.
     ``keep_cols`` are document columns carried onto every word (e.g. a group
     label), which saves a join later.
     """
@@ -91,6 +94,9 @@ def tokenize_docs(
     if segmenter is not None:
         ship_package(docs.sparkSession)
         arr = arr.withColumn("ws", segmenter.words(F.col("ws")))
+    if tagger is not None:
+        ship_package(docs.sparkSession)
+        arr = arr.withColumn("tags", tagger.tags(F.col("lang"), F.transform("ws", F.lower)))
     # Per word, inside one array lambda (once per word, before exploding):
     # text, lemma, capitalisation, and the successor's capitalisation by
     # array index — no window, no shuffle.
@@ -98,6 +104,7 @@ def tokenize_docs(
     paired = F.transform(ws, lambda w, i: F.struct(
         w.alias("text"), F.lower(w).alias("lemma"), is_capitalised(w).alias("cap"),
         is_capitalised(F.try_element_at(ws, i + 2)).alias("next_cap"),
+        *([F.get("tags", i).alias("tag")] if tagger is not None else []),
     ))
     words = arr.select("doc_id", "lang", *keep_cols, "sent_id", F.posexplode(paired).alias("word_id", "w"))
     words = words.select("doc_id", "lang", *keep_cols, "sent_id", "word_id", "w.*").withColumn(
@@ -110,7 +117,7 @@ def tokenize_docs(
     return words.select(
         "doc_id", "sent_id", "word_id", "text", "lemma",
         F.coalesce(F.col("_key").isin(L.stop_keys()), F.lit(False)).alias("is_stop"),
-        F.coalesce(F.col("_lex_pos"), _suffix_pos(F.col("lemma"))).alias("pos"),
+        (F.col("tag") if tagger is not None else F.coalesce(F.col("_lex_pos"), _suffix_pos(F.col("lemma")))).alias("pos"),
         F.when(F.col("cap") & F.col("next_cap"), F.lit(L.COMPOUND_DEP)).otherwise(F.lit(L.OTHER_DEP)).alias("dep"),
         F.when(F.col("cap") & (F.col("word_id") > 0), F.lit(L.ENTITY_TYPE)).alias("ent_type"),
         "lang", *keep_cols,

@@ -8,6 +8,7 @@ them) in full. Doubles that are value-compared are rounded to 6 places.
 from __future__ import annotations
 
 import uuid
+import zlib
 from typing import Callable
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from sparkvox.functions import lexicon as L
 from sparkvox.functions.vectors import round6
 from sparkvox.operators import normalize as N
+from sparkvox.operators import tagger as TG
 from sparkvox.operators import tokens as TK
 from sparkvox.functions import vectors as V
 from sparkvox.operators import charts as CH
@@ -253,6 +255,20 @@ def q_segment_learned(spark, d):
                                     F.count(F.col("t") + F.col("f")).alias("n_right"))
 
 
+@register("tag_words")
+def q_tag_words(spark, d):
+    """Tags of whole sentences from a model that knows half of the lexicon: per
+    language the words, those of the other half, and how many of them have the
+    lexicon's tag."""
+    known = {k: v for k, v in L.lexicon_items() if zlib.crc32(k.encode()) % 2 == 0}
+    tagger = TG.learn(words(spark, d), lexicon=known)
+    tagged = TK.tokenize_docs(TK.by_document(clean_docs(spark, d)), tagger=tagger)
+    hidden = spark.createDataFrame([(k, v) for k, v in L.lexicon_items() if k not in known], "key string, tag string")
+    both = tagged.withColumn("key", F.concat("lang", F.lit("|"), "lemma")).join(F.broadcast(hidden), "key", "left")
+    return both.groupBy("lang").agg(F.count("*").alias("n_words"), F.count("tag").alias("n_hidden"),
+                                    F.count_if(F.col("pos") == F.col("tag")).alias("n_right"))
+
+
 # ---------------------------------------------------------------------------
 # E. word statistics
 # ---------------------------------------------------------------------------

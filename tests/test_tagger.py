@@ -1,0 +1,136 @@
+"""Sequence tagger (mini_tagger)."""
+
+import itertools
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from sparkvox.operators import tagger as TG
+from sparkvox.operators.tokens import tokenize_docs
+
+K = len(TG.TAGS)
+WORDS = "doc_id long, sent_id int, word_id int, lemma string, lang string"
+
+
+def random_model(rng, classes=6):
+    start, move, emit = rng.dirichlet(np.ones(K)), rng.dirichlet(np.ones(K), K), rng.dirichlet(np.ones(classes), K).T
+    emit[rng.random(emit.shape) < 0.6] = 0  # few tags a class, so that all paths can be listed
+    emit[np.arange(classes), rng.integers(0, K, classes)] = 0.1
+    return start, move, emit
+
+
+def every_path(codes, start, move, emit):
+    for tags in itertools.product(*[np.flatnonzero(emit[c]) for c in codes]):
+        p = start[tags[0]] * emit[codes[0], tags[0]]
+        for a, b, c in zip(tags, tags[1:], codes[1:], strict=False):
+            p *= move[a, b] * emit[c, b]
+        yield tags, p
+
+
+def test_expected_counts_by_enumeration():
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        start, move, emit = random_model(rng)
+        sentences = [rng.integers(0, 6, n) for n in (1, 4, 2, 5, 0, 4)]
+        first, pairs, held = np.zeros(K), np.zeros((K, K)), np.zeros_like(emit)
+        for codes in sentences:
+            found = list(every_path(codes, start, move, emit)) if len(codes) else []
+            total = sum(p for _, p in found)
+            for tags, p in found:
+                first[tags[0]] += p / total
+                for a, b in zip(tags, tags[1:], strict=False):
+                    pairs[a, b] += p / total
+                for c, t in zip(codes, tags, strict=True):
+                    held[c, t] += p / total
+        for got, want in zip(TG.expected(sentences, start, move, emit), (first, pairs, held), strict=True):
+            assert np.abs(got - want).max() < 1e-9
+
+
+def test_paths_by_enumeration():
+    """The cheapest path; of equal ones the first of the last tag, then of the one before."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        emit = np.where(rng.random((6, K)) < 0.7, TG.NEVER, rng.integers(0, 4, (6, K)))
+        emit[np.arange(6), rng.integers(0, K, 6)] = 1
+        start, move = rng.integers(0, 3, K), rng.integers(0, 3, (K, K))
+        tagger = TG.Tagger({}, start, move, emit)
+        sentences = [rng.integers(0, 6, n) for n in (3, 0, 1, 4, 3)]
+        for codes, path in zip(sentences, tagger.paths(sentences), strict=True):
+            assert len(path) == len(codes)
+            if not len(codes):
+                continue
+            def cost(t, codes=codes):
+                return (start[t[0]] + emit[codes[0], t[0]]
+                        + sum(move[a, b] + emit[c, b] for a, b, c in zip(t, t[1:], codes[1:], strict=False)))
+            possible = list(itertools.product(*[np.flatnonzero(emit[c] < TG.NEVER) for c in codes]))
+            least = min(map(cost, possible))
+            assert tuple(path) == min((t for t in possible if cost(t) == least), key=lambda t: t[::-1])
+
+
+def grammar(rng, n):
+    """Sentences DET (ADJ) NOUN VERB ADP DET NOUN of made words."""
+    words = {t: [f"{t.lower()[:3]}{w}" for w in "abcdefgh"[:size]] for t, size in (("DET", 3), ("ADJ", 8), ("NOUN", 8), ("VERB", 8), ("ADP", 4))}
+    out = []
+    for s in range(n):
+        tags = ["DET", *(["ADJ"] if rng.random() < 0.5 else []), "NOUN", "VERB", "ADP", "DET", "NOUN"]
+        out += [(s // 3, s % 3, k, rng.choice(words[t]), "xx", t) for k, t in enumerate(tags)]
+    return words, out
+
+
+def test_hidden_words_get_their_tags(spark):
+    """In texts with an order of words, two thirds of the lexicon teach the rest."""
+    words, rows = grammar(random.Random(3), 900)
+    lexicon = {f"xx|{w}": t for t, ws in words.items() for k, w in enumerate(ws) if k % 3 or t == "DET" and k}
+    table = spark.createDataFrame([r[:5] for r in rows], WORDS).repartition(6)
+    tagger = TG.learn(table, lexicon=lexicon)
+    sentences = {}
+    for d, s, _, w, _, t in rows:
+        sentences.setdefault((d, s), []).append((w, t))
+    paths = tagger.paths([np.array([tagger.code("xx", w) for w, _ in s]) for s in sentences.values()])
+    hidden = Counter()
+    for s, path in zip(sentences.values(), paths, strict=True):
+        for (w, t), k in zip(s, path, strict=True):
+            if f"xx|{w}" not in lexicon:
+                hidden[TG.TAGS[k] == t] += 1
+            else:
+                assert TG.TAGS[k] == t
+    assert hidden[True] >= 0.9 * hidden.total() > 500
+
+
+def test_learning_does_not_depend_on_the_partitioning(spark):
+    _, rows = grammar(random.Random(4), 200)
+    table = spark.createDataFrame([r[:5] for r in rows], WORDS)
+    one, two = (TG.learn(table.repartition(p), lexicon={"xx|deta": "DET"}, rounds=3) for p in (1, 7))
+    assert one.classes == two.classes
+    for a, b in ((one.start, two.start), (one.move, two.move), (one.emit, two.emit)):
+        assert np.abs(a - b).max() <= 2
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    docs = spark.createDataFrame([(k, f"The old cat sat on a mat {k}. He saw 12 of them!", "en") for k in range(40)], "doc_id long, text string, lang string")
+    return TG.learn(tokenize_docs(docs))
+
+
+def test_tagged_words(spark, tagger, tmp_path):
+    docs = spark.createDataFrame([(1, "The cat sat. 12 cats!", "en"), (2, None, "en"), (3, "", "en"), (4, "Zzz 粲", None), (5, "...", "en")],
+                                 "doc_id long, text string, lang string")
+    plain = {(r.doc_id, r.sent_id, r.word_id): r for r in tokenize_docs(docs).collect()}
+    rows = tokenize_docs(docs, tagger=tagger)
+    assert rows.columns == tokenize_docs(docs).columns
+    got = {(r.doc_id, r.sent_id, r.word_id): r for r in rows.collect()}
+    assert got.keys() == plain.keys() and all(r.pos in TG.TAGS for r in got.values())
+    assert got[1, 0, 0].pos == "DET" and got[1, 1, 0].pos == "NUM"
+    assert all(got[k].asDict() | {"pos": ""} == plain[k].asDict() | {"pos": ""} for k in got)
+    tagger.save(spark, f"{tmp_path}/tagger")
+    again = TG.Tagger.load(spark, f"{tmp_path}/tagger")
+    assert {k: r.pos for k, r in got.items()} == {(r.doc_id, r.sent_id, r.word_id): r.pos for r in tokenize_docs(docs, tagger=again).collect()}
+
+
+def test_nothing_to_learn(spark):
+    tagger = TG.learn(spark.createDataFrame([], WORDS))
+    assert [len(p) for p in tagger.paths([np.array([tagger.code("en", "cat")] * 3)])] == [3]
+    assert math.isfinite(float(tagger.emit.min()))
