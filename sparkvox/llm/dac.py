@@ -34,6 +34,8 @@ MAGIC = b"DAC1"
 SHARD_TOKENS = 2 << 20
 #: Bits between two entries of a rank directory.
 RANK_STEP = 512
+#: Tokens that a sequential reader takes at a time, about.
+READ_TOKENS = 1 << 18
 
 
 def level_widths(counts_by_length: np.ndarray) -> list[int]:
@@ -49,15 +51,54 @@ def level_widths(counts_by_length: np.ndarray) -> list[int]:
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bits of each value, one after another."""
-    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :(width + 7) // 8], axis=1, bitorder="little")
-    return np.packbits(bits[:, :width], bitorder="little").tobytes()
+    """The low ``width`` bits of each value, one after another. Eight values
+    fill ``width`` bytes: up to 16 bits they are put together in two 64-bit
+    words, four values in each, without a byte per bit."""
+    if width > 16:
+        bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :(width + 7) // 8], axis=1, bitorder="little")
+        return np.packbits(bits[:, :width], bitorder="little").tobytes()
+    groups = np.zeros(-(-len(values) // 8) * 8, np.uint64)
+    groups[:len(values)] = values
+    groups = groups.reshape(-1, 2, 4)
+    halves = groups[:, :, 0].copy()
+    for k in range(1, 4):
+        halves |= groups[:, :, k] << np.uint64(k * width)
+    words = np.zeros((len(halves), 2), "<u8")
+    words[:, 0], words[:, 1] = halves[:, 0], halves[:, 1]
+    if width < 16:
+        words[:, 0] |= halves[:, 1] << np.uint64(4 * width)
+        words[:, 1] >>= np.uint64(64 - 4 * width)
+    return words.view(np.uint8)[:, :width].tobytes()[:(len(values) * width + 7) // 8]
+
+
+def _unpacked(chunks: np.ndarray, width: int, first: int, n: int) -> np.ndarray:
+    """``n`` values of ``width`` bits from place ``first`` on."""
+    if width > 16:
+        bit = first * width
+        bits = np.unpackbits(chunks[bit >> 3:(bit + n * width + 7) >> 3], bitorder="little")[bit & 7:(bit & 7) + n * width]
+        value = np.zeros((n, 4), np.uint8)
+        value[:, :(width + 7) // 8] = np.packbits(bits.reshape(n, width), axis=1, bitorder="little")
+        return value.view("<u4")[:, 0]
+    start, stop = first // 8, -(-(first + n) // 8)
+    raw = np.zeros((stop - start) * width, np.uint8)
+    part = chunks[start * width:stop * width]
+    raw[:len(part)] = part
+    words = np.zeros((stop - start, 16), np.uint8)
+    words[:, :width] = raw.reshape(-1, width)
+    words = words.view("<u8")
+    halves = words.copy()
+    if width < 16:
+        halves[:, 1] = words[:, 0] >> np.uint64(4 * width) | words[:, 1] << np.uint64(64 - 4 * width)
+    out = np.empty((len(words), 2, 4), np.uint32)
+    for k in range(4):
+        out[:, :, k] = halves >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+    return out.reshape(-1)[first - 8 * start:first - 8 * start + n]
 
 
 def encode_shard(docs: list[np.ndarray], ids: list[int | None]) -> bytes:
     """A shard: header, document ids, their starts, then each level's chunks, bitmap and directory."""
     tokens = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
-    lengths = np.searchsorted(1 << np.arange(33, dtype=np.int64), tokens, "right")  # bits of each id
+    lengths = np.frexp(tokens.astype(np.float64))[1]  # bits of each id
     widths = level_widths(np.bincount(np.maximum(lengths, 1), minlength=2))
     starts = np.cumsum([0, *map(len, docs)]).astype("<u8")
     known = np.array([i is not None for i in ids], np.uint8)
@@ -122,17 +163,26 @@ class Shard:
             n = len(places)
             if not n:
                 break
-            bit = first * width
-            bits = np.unpackbits(chunks[bit >> 3:(bit + n * width + 7) >> 3], bitorder="little")[bit & 7:(bit & 7) + n * width]
-            value = np.zeros((n, 4), np.uint8)
-            value[:, :(width + 7) // 8] = np.packbits(bits.reshape(n, width), axis=1, bitorder="little")
-            out[places] |= value.view("<u4")[:, 0] << np.uint32(shift)
+            value = _unpacked(chunks, width, first, n) << np.uint32(shift)
+            if k:
+                out[places] |= value
+            else:
+                out[:] = value
             if k == len(self.widths) - 1:
                 break
             bits = np.unpackbits(bitmap[first // 8:(first + n + 7) // 8], bitorder="little")[first % 8:first % 8 + n]
-            first, places, shift = self._rank(k, first), places[bits > 0], shift + width
+            first, places, shift = self._rank(k, first), places[bits.view(bool)], shift + width
         return out
 
+    def documents(self) -> Iterator[np.ndarray]:
+        """All documents in order, a run of at least READ_TOKENS tokens (or the rest) at a time."""
+        k, n = 0, len(self.ids)
+        while k < n:
+            end = min(n, max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + READ_TOKENS, "left"))))
+            run = self.slice(int(self.starts[k]), int(self.starts[end])).astype("<u4", copy=False)
+            yield from np.split(run, self.starts[k + 1:end] - self.starts[k])
+            k = end
+
     def __getitem__(self, i: int) -> int:
         return int(self.slice(i, i + 1)[0])
 
@@ -179,13 +229,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = 2, id_col: st
     place (part, number), n_docs, n_tokens, start (tokens of all shards before).
 
     A null or empty text is its end id alone; repeated rows are written as
-    often as they occur; no rows give no shards."""
+    often as they occur; rows of one id follow a hash of their text, so their
+    order is fixed; no rows give no shards.
+    Other columns of ``docs``, whatever their names, take no part."""
     spark = docs.sparkSession
     ship_package(spark)
     folder = folder or files.shared_folder(spark, "tokens")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = d.repartitionByRange(n, F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last())
+    by_id = F.col("id").asc_nulls_last()
+    ordered = d.repartitionByRange(n, by_id).sortWithinPartitions(by_id, F.xxhash64("text"))
     shards = written(ordered.mapInArrow(_writes(folder, tokenizer, end_id, shard_tokens),
                                         "name string, part int, number int, n_docs long, n_tokens long"), "token_shards")
     # One row per SHARD_TOKENS tokens: few enough for one running sum.
@@ -199,11 +252,10 @@ def _reads(folder: str):
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.opening(folder, name) as source:
                     shard = Shard(source.read())
-                found = [shard.document(k).astype("<u4") for k in range(len(shard.ids))]
+                sums = [zlib.crc32(x) for x in shard.documents()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard.ids, pa.int64()), pa.array(shard.starts[:-1] + base),
-                     pa.array([len(x) for x in found], pa.int64()),
-                     pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64())],
+                     pa.array(np.diff(shard.starts)), pa.array(sums, pa.int64())],
                     names=["id", "start", "n_tokens", "ids_crc32"])
 
     return run

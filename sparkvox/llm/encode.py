@@ -22,7 +22,9 @@ import pyarrow as pa
 from sparkvox.llm import hashing
 
 #: Words and word stems that a worker remembers at once; then it forgets them and goes on.
-CACHE_WORDS, CACHE_STEMS = 600_000, 800_000
+CACHE_WORDS, CACHE_STEMS = 1_000_000, 1_000_000
+#: Words that are encoded as one text.
+JOINED = 50
 #: A stem that ends in a letter or digit, and the punctuation behind it. No
 #: apostrophe: tokenizers treat what follows one in ways of their own.
 _TRAIL = re.compile(rb"(.*[0-9A-Za-z])([.,!?;:%&$#*|]+)")
@@ -52,6 +54,7 @@ class WordEncoder:
             and self._tokenizer.normalizer.normalize_str("AZ") == "az"
         self._splits = self._tokenizer.pre_tokenizer is not None and all(
             self._pieces(f"ab7{p}") == [*self._pieces("ab7"), p] for p in (".", ",", "!?", ";:", "%&$#*|"))
+        self._comma = self._comma_id()
         self._number = _Numbers()
         self._stems: dict[bytes, bytes] = {}  # ids as 32-bit numbers
         self._forget()
@@ -78,9 +81,7 @@ class WordEncoder:
         stems = self._stems
         unknown = list({p for ps in parts for p in ps if p not in stems})
         for s in range(0, len(unknown), 10_000):  # encodings are large objects
-            some = unknown[s:s + 10_000]
-            for w, e in zip(some, self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                stems[w] = array("I", e.ids).tobytes()
+            stems.update(self._encoded(unknown[s:s + 10_000]))
         found = [stems[ps[0]] if len(ps) == 1 else stems[ps[0]] + stems[ps[1]] for ps in parts]
         need = known + len(new) + 1
         if need > len(self._ends):
@@ -91,6 +92,37 @@ class WordEncoder:
             self._ids = np.concatenate([self._ids, np.zeros(int(ends[-1]), np.uint32)])
         self._ids[self._ends[known]:ends[-1]] = np.frombuffer(b"".join(found), np.uint32)
 
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not remembered. Where the tokenizer takes a
+        comma between spaces as one token that no other word holds, many words
+        are encoded as one text with commas between them."""
+        out, single = {}, words
+        if self._comma is not None:
+            joined = [w for w in words if b"," not in w]
+            single = [w for w in words if b"," in w]
+            runs = [joined[k:k + JOINED] for k in range(0, len(joined), JOINED)]
+            texts = [b" , ".join([*run, b""]).decode() for run in runs]
+            for run, e in zip(runs, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.flatnonzero(ids == self._comma).tolist()
+                if len(ends) != len(run):
+                    single += run
+                    continue
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(run, ends, strict=True):
+                    out[w], at = raw[4 * at:4 * end], end + 1
+        for w, e in zip(single, self._tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False), strict=True):
+            out[w] = array("I", e.ids).tobytes()
+        return out
+
+    def _comma_id(self) -> int | None:
+        def ids(text: str) -> list[int]:
+            return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+        comma = ids("ab , cd")[len(ids("ab")):-len(ids("cd")) or None]
+        alone = len(comma) == 1 and ids("ab , cd , ") == [*ids("ab"), *comma, *ids("cd"), *comma]
+        return comma[0] if self._splits and alone else None
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
         """The ids of each row that ``offsets`` bound, in order."""
         raw = data.data

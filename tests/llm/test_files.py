@@ -7,11 +7,12 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import MESSY
 from pyspark.sql import functions as F
 
-from sparkvox.llm import dac, packing, warc
+from sparkvox.llm import dac, hashing, packing, warc
 from sparkvox.llm.encode import WordEncoder
 from sparkvox.llm.queries import tokenizer_path
 
@@ -19,21 +20,23 @@ PATH = tokenizer_path()
 
 
 def test_encoder_equals_the_library(small_docs):
-    import pyarrow as pa
-
-    from sparkvox.llm import hashing
-
     texts = [t for _, t in small_docs] + [t for _, t, *_ in MESSY] + ["ΣΑΣ é ́ x y", "it's we'LL 12,5 <b>&amp;</b>"]
     data, offsets = hashing.text_bytes(pa.array(texts))
     got = [x.tolist() for x in WordEncoder(PATH).encode(data, offsets)]
     assert got == brute.token_ids(texts, PATH)
 
 
-def test_special_tokens_in_a_text():
-    import pyarrow as pa
+def test_words_with_every_kind_of_character():
+    """Punctuation, commas inside words, marks, odd spaces and controls, many words at a time."""
+    rng = random.Random(9)
+    letters = "abcxyzABC0129.,!?;:'%&$#*|<>()-_/\\\"éüñçß東京かな한글ไทยاع\u0301\u200d\xa0\u3000\x00\x01\x7f\U0001f600"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) + " " + ",".join(rng.choice(letters) for _ in range(3)) for _ in range(3000)]
+    texts += [" ".join(rng.sample(texts, 30)) for _ in range(100)]
+    data, offsets = hashing.text_bytes(pa.array(texts))
+    assert [x.tolist() for x in WordEncoder(PATH).encode(data, offsets)] == brute.token_ids(texts, PATH)
 
-    from sparkvox.llm import hashing
 
+def test_special_tokens_in_a_text():
     texts = ["end of it <|endoftext|> next", "plain", "a<|startoftext|>b,<|endoftext|>", "<|EndOfText|> <|endoftext|", "",
              "  <|endoftext|>  <|endoftext|>é\n", "<|endoftext|>"]
     data, offsets = hashing.text_bytes(pa.array(texts))
@@ -53,6 +56,28 @@ def test_codes_give_any_token(top):
     assert all(shard[i] == flat[i] for i in rng.integers(0, len(flat), 300))
 
 
+@pytest.mark.parametrize("width", range(1, 33))
+def test_bits_of_any_width(width):
+    rng = np.random.default_rng(width)
+    for n in (0, 1, 7, 8, 9, 1000):
+        values = rng.integers(0, 1 << width, n, dtype=np.uint64).astype(np.uint32)
+        packed = dac._packed(values, width)
+        assert len(packed) == (n * width + 7) // 8
+        chunks = np.frombuffer(packed, np.uint8)
+        for first, stop in ((0, n), (n // 3, n), (n // 2, n // 2), (min(n, 5), max(n - 3, min(n, 5)))):
+            assert (dac._unpacked(chunks, width, first, stop - first) == values[first:stop]).all()
+
+
+def test_documents_in_runs(monkeypatch):
+    monkeypatch.setattr(dac, "READ_TOKENS", 100)
+    rng = np.random.default_rng(3)
+    docs = [rng.geometric(0.001, n).astype(np.uint32) for n in (0, 30, 0, 500, 99, 1, 1, 0, 250, 0)]
+    shard = dac.Shard(dac.encode_shard(docs, list(range(10))))
+    found = list(shard.documents())
+    assert len(found) == 10 and all((a == b).all() and a.dtype == np.dtype("<u4") for a, b in zip(found, docs, strict=True))
+    assert list(dac.Shard(dac.encode_shard([], [])).documents()) == []
+
+
 def test_codes_are_small():
     ids = np.random.default_rng(1).geometric(0.01, 50_000).astype(np.uint32)
     assert len(dac.encode_shard([ids], [1])) < 50_000 * 1.5
