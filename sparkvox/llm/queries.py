@@ -70,7 +70,7 @@ def op4(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, ~langid.held_out())
     found = langid.identify(docs.select("doc_id", "text"), model)
-    return found.withColumn("held_out", langid.held_out()).drop("text")
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 @query("op5_chunk_recipes", chunk_dedup.ORACLE_SQL)

@@ -153,6 +153,83 @@ def test_held_out_accuracy(spark):
     assert right >= 0.98 * n
 
 
+def test_language_query_against_plain_version(spark):
+    """The registered query, and its predictions by a plain computation on one text at a time."""
+    import math
+    import zlib
+    from collections import Counter
+
+    from sparkvox.llm.queries import QUERIES
+
+    got = QUERIES["op4_output_codes"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "ambiguous"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    held = {d.doc_id: zlib.crc32(str(d.doc_id).encode()) % 4 == 2 for d in docs}
+
+    def grams(text):
+        letters = [chr(b) if b >= 0x80 or chr(b).isalpha() else " " for b in (text or "").lower().encode()]
+        runs = " " + " ".join("".join(letters).split(" ")) + " "
+        while "  " in runs:
+            runs = runs.replace("  ", " ")
+        data = np.frombuffer(runs.encode("latin-1"), np.uint8).astype(np.uint32)
+        h = data[:-2] * np.uint32(langid._FACTORS[0]) + data[1:-1] * np.uint32(langid._FACTORS[1]) + data[2:] * np.uint32(langid._FACTORS[2])
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        return (h >> np.uint32(18)).tolist()
+
+    counts = {}
+    for d in docs:
+        if not held[d.doc_id] and d.lang is not None and d.text is not None:
+            counts.setdefault(d.lang, Counter()).update(grams(d.text))
+    languages = sorted(counts)
+    share = [[(counts[x][g] + 0.5) / (counts[x].total() + 0.5 * langid.BUCKETS) for g in range(langid.BUCKETS)] for x in languages]
+    code = langid.codebook(len(languages)).tolist()
+    bits = range(len(code[0]))
+
+    def mean(g, b, side):
+        own = [s[g] for s, c in zip(share, code, strict=True) if c[b] == side]
+        return sum(own) / len(own)
+
+    weight = [[float(np.float32(math.log(mean(g, b, 1)) - math.log(mean(g, b, -1)))) for b in bits] for g in range(langid.BUCKETS)]
+
+    def margins(text):
+        own = grams(text)
+        return [sum(weight[g][b] for g in own) / len(own) for b in bits]
+
+    wrong, seen = {}, Counter()
+    for d in docs:
+        if not held[d.doc_id] and d.lang is not None and d.text is not None:
+            k = languages.index(d.lang)
+            seen[k] += 1
+            for b, m in zip(bits, margins(d.text) if grams(d.text) else [0.0] * len(code[0]), strict=True):
+                wrong[k, b] = wrong.get((k, b), 0) + (m * code[k][b] <= 0)
+    trust = []
+    for b in bits:
+        rate = sum((wrong[k, b] + 0.5) / (seen[k] + 1) for k in range(len(languages))) / len(languages)
+        trust.append(max(0.5 * math.log((1 - rate) / rate), 0.05))
+    for d, r in zip(sorted(docs, key=lambda d: d.doc_id), sorted(got.collect(), key=lambda r: r.doc_id), strict=True):
+        m = margins(d.text)
+        loss = [sum(math.log1p(math.exp(-m[b] * c[b] * langid.STEEPNESS)) * trust[b] for b in bits) * langid.BELIEF * len(c) / sum(trust) for c in code]
+        belief = [math.exp(min(loss) - x) for x in loss]
+        top = sorted((x / sum(belief) for x in belief), reverse=True)
+        assert r.held_out == held[d.doc_id] and r.lang_pred == languages[loss.index(min(loss))]
+        assert math.isclose(r.score, top[0], rel_tol=1e-4) and r.ambiguous == (top[0] < langid.AMBIGUOUS_BELOW * (top[0] + top[1]))
+
+
+def test_every_query_keeps_its_contracts_columns(spark):
+    from sparkvox.llm.queries import QUERIES
+
+    first = {
+        "op2_pitman_yor": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        "op6_one_permutation": ["doc_id", "n_shingles", "component_id", "kept"],
+        "op7_decision_list": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op8_token_codes": ["doc_id", "start", "n_tokens", "ids_crc32"],
+        "op10_best_fit": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    }
+    for name, columns in first.items():
+        got = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert got.columns[:len(columns)] == columns and got.count() >= 200
+
+
 def test_languages_messy(spark, messy, none):
     docs = messy.withColumn("score", F.lit("own")).withColumn("LANG_PRED", F.lit("own"))
     model = langid.train(docs, F.lit(True))
