@@ -15,11 +15,10 @@ from __future__ import annotations
 # fixed values — behaviour
 # ---------------------------------------------------------------------------
 
-# Text normalisation limits (characters processed / characters stored) and
-# the document cap. All three are off by default in this library; see README.
+# Text normalisation limits (characters processed / characters stored), off by
+# default in this library; see README.
 MAX_CHARS_TO_PROCESS = 2000
 MAX_CHARS_TO_STORE = 1200
-MAX_DOCUMENTS = 3000
 
 # Characters replaced by a single space before collapsing runs of spaces:
 # ideographic space, group separator, tab, carriage return.
@@ -51,13 +50,12 @@ KEPT_AUX_LEMMA = "ない"
 MIN_DOCUMENT_FREQUENCY = 0.02
 MAX_DOCUMENT_FREQUENCY = 0.98
 MAX_VOCAB_SIZE = 20000
-TFIDF_N_WORDS = 3000
 N_WIDE_WORDS = 1000
 N_EDGE = 100
 MIN_CO_OCCURRENCE = 0.01
 
 # Co-occurrence network display: node colour by POS, fallback colour, and
-# the node/edge display scale factors; edge colour.
+# the node/edge display scale factors.
 POS_COLORS = {
     "VERB": "#4e79a7",
     "NOUN": "#f28e2b",
@@ -68,7 +66,6 @@ POS_COLORS = {
 OTHER_POS_COLOR = "#bab0ac"
 NODE_SIZE_SCALE = 30
 EDGE_WIDTH_SCALE = 12
-EDGE_COLOR = "#41a1ada0"
 EMPTY_NETWORK_LABEL = "表示できる共起表現がありません。\n\n表示する対象の条件を緩めてください"
 EMPTY_NETWORK_COLOR = "#ffffff00"
 
@@ -90,7 +87,6 @@ EMPTY_TABLE_LABEL = "-"
 N_EMPTY_ROWS = 3
 
 # Worker status values, staleness limits and worker board symbols.
-WORKER_STATUSES = ["not initiated", "ready", "running", "done", "error at app", "error at worker"]
 FINAL_STATUSES = ["done", "error at app", "error at worker"]
 STALE_STATUS = "error at worker"
 STALE_AFTER_SECONDS = 300
@@ -100,9 +96,8 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 ALIVE_SYMBOL = "🚗"
 NOT_ALIVE_SYMBOL = "－"
 
-# Tree paths and leaf marker.
+# Tree paths.
 TREE_DELIMITER = "/"
-LEAF_MARKER = "::LEAF::"
 
 # Cluster sweep and word-cloud canvas constants.
 MAX_CLUSTER = 14

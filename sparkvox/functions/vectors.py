@@ -31,10 +31,5 @@ def l2_normalize(v: Column) -> Column:
     return F.transform(as_double(v), lambda x: F.try_divide(x, n))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    diffs = F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def round6(c: Column) -> Column:
     return F.round(c, 6)
