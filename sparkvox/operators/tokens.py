@@ -97,17 +97,13 @@ def tokenize_docs(
     if tagger is not None:
         ship_package(docs.sparkSession)
         arr = arr.withColumn("tags", tagger.tags(F.col("lang"), F.transform("ws", F.lower)))
-    # Per word, inside one array lambda (once per word, before exploding):
-    # text, lemma, capitalisation, and the successor's capitalisation by
-    # array index — no window, no shuffle.
+    # Every word next to its successor, by a second array that starts one word
+    # later: no window, no shuffle, and the work per word is compiled.
     ws = F.col("ws")
-    paired = F.transform(ws, lambda w, i: F.struct(
-        w.alias("text"), F.lower(w).alias("lemma"), is_capitalised(w).alias("cap"),
-        is_capitalised(F.try_element_at(ws, i + 2)).alias("next_cap"),
-        *([F.get("tags", i).alias("tag")] if tagger is not None else []),
-    ))
+    after = F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))
+    paired = F.arrays_zip(ws.alias("text"), after.alias("next"), *([F.col("tags").alias("tag")] if tagger is not None else []))
     words = arr.select("doc_id", "lang", *keep_cols, "sent_id", F.posexplode(paired).alias("word_id", "w"))
-    words = words.select("doc_id", "lang", *keep_cols, "sent_id", "word_id", "w.*").withColumn(
+    words = words.select("doc_id", "lang", *keep_cols, "sent_id", "word_id", "w.*").withColumn("lemma", F.lower("text")).withColumn(
         "_key", F.concat(F.col("lang"), F.lit("|"), F.col("lemma"))
     )
     # The lexicon is a fixed table of about a hundred rows: a broadcast hash
@@ -118,8 +114,8 @@ def tokenize_docs(
         "doc_id", "sent_id", "word_id", "text", "lemma",
         F.coalesce(F.col("_key").isin(L.stop_keys()), F.lit(False)).alias("is_stop"),
         (F.col("tag") if tagger is not None else F.coalesce(F.col("_lex_pos"), _suffix_pos(F.col("lemma")))).alias("pos"),
-        F.when(F.col("cap") & F.col("next_cap"), F.lit(L.COMPOUND_DEP)).otherwise(F.lit(L.OTHER_DEP)).alias("dep"),
-        F.when(F.col("cap") & (F.col("word_id") > 0), F.lit(L.ENTITY_TYPE)).alias("ent_type"),
+        F.when(is_capitalised(F.col("text")) & is_capitalised(F.col("next")), F.lit(L.COMPOUND_DEP)).otherwise(F.lit(L.OTHER_DEP)).alias("dep"),
+        F.when(is_capitalised(F.col("text")) & (F.col("word_id") > 0), F.lit(L.ENTITY_TYPE)).alias("ent_type"),
         "lang", *keep_cols,
     )
 
@@ -156,9 +152,10 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
     word of a chain starts its own span up to the chain end (A B C → ABC,
     BC, C), which is what a per-token loop without skipping produces.
 
-    Plan: one window per sentence finds chain starts (a running sum), then
-    a group-by per chain; the group-by reuses the window's partitioning on
-    (doc_id, sent_id), so the words are read and sorted once.
+    Plan: one window per sentence finds chain starts (a running sum). Most
+    words are a chain by themselves and go straight to the result; the words of
+    longer chains are grouped per chain, which reuses the window's partitioning
+    on (doc_id, sent_id).
     """
     if mode not in ("merged", "overlapping"):
         raise ValueError("mode must be 'merged' or 'overlapping'")
@@ -172,7 +169,13 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
               F.col("ent_type"), F.col("dep")]
     if has_vec:
         fields.append(F.col("vector"))
-    chains = seg.groupBy("doc_id", "sent_id", "chain").agg(
+    alone = ~F.col("_prev_c") & ~F.coalesce(F.col("dep") == L.COMPOUND_DEP, F.lit(False))
+    single = seg.where(alone).select(
+        "doc_id", "sent_id", "word_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lemma", F.lit("")).alias("lemma"),
+        "is_stop", "pos", "ent_type", F.lit(1).alias("n_tokens"),
+        *([F.transform("vector", lambda x: F.lit(0.0) + x).alias("vector")] if has_vec else []),
+    )
+    chains = seg.where(~alone).groupBy("doc_id", "sent_id", "chain").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("ws")
     )
     n = F.size("ws")
@@ -207,4 +210,4 @@ def merge_compounds(words: DataFrame, mode: str = "merged") -> DataFrame:
             "doc_id", "sent_id",
             F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda s: span(s))).alias("m"),
         )
-    return out.select("doc_id", "sent_id", "m.*")
+    return single.unionByName(out.select("doc_id", "sent_id", "m.*"))

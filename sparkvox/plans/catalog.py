@@ -33,7 +33,7 @@ from sparkvox.operators import spans as SP
 from sparkvox.operators import sparse as SR
 from sparkvox.operators.numbering import join_by_position
 from sparkvox.operators import vectors as VC
-from sparkvox.session import drop_folder, scratch_path
+from sparkvox.session import bucketed, drop_folder, scratch_path
 from sparkvox.streaming import monitor as MON
 from sparkvox.operators import wordstats as WS
 from sparkvox.plans import oracle as O
@@ -70,9 +70,9 @@ def clean_docs(spark: SparkSession, d: str) -> DataFrame:
 # of labels, layouts) are written once per application and state of the corpus.
 _SHARED: dict[tuple, str] = {}
 
-# Bytes of documents on disk per bucket of the word table (some ten times that as
-# words), and the most buckets that Spark takes.
-BUCKET_BYTES, MAX_BUCKETS = 32 << 20, 100_000
+# Bytes of text per bucket of the word table (some thirty times that as sorted
+# words in a task's memory), and the most buckets that Spark takes.
+BUCKET_BYTES, MAX_BUCKETS = 4 << 20, 100_000
 
 
 def corpus_files(spark: SparkSession, d: str) -> dict[str, tuple[int, int]]:
@@ -105,8 +105,9 @@ def shared_table(spark: SparkSession, d: str, name: str, build: Callable[[], Dat
 
 
 def n_buckets(spark: SparkSession, d: str) -> int:
-    """Buckets by the bytes of the documents' files, at least one per core."""
-    size = sum(n for f, (n, _) in corpus_files(spark, d).items() if "/documents.parquet" in f)
+    """Buckets by the bytes of the documents' texts, whatever their files'
+    compression, at least one per core."""
+    size = table(spark, d, "documents").select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return min(max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)), MAX_BUCKETS)
 
 
@@ -118,8 +119,7 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     def write() -> str:
         n = n_buckets(spark, d)
         name = f"sparkvox_words_{uuid.uuid4().hex[:12]}"
-        (TK.tokenize_docs(TK.by_document(clean_docs(spark, d), n_partitions=n)).write.bucketBy(n, "doc_id")
-         .option("path", scratch_path(spark, "words")).format("parquet").saveAsTable(name))
+        bucketed(TK.tokenize_docs(TK.by_document(clean_docs(spark, d), n_partitions=n)), n, "doc_id", name, scratch_path(spark, "words"))
         return name
 
     return spark.table(shared(spark, d, "words", write))

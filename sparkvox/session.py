@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings applied only when the session does not define them already.
 _DEFAULTS = {
@@ -71,6 +71,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bucketed(df: DataFrame, n: int, col: str, name: str, path: str) -> None:
+    """Write ``df``, whose rows are dealt to ``n`` partitions by ``col`` already,
+    as a table bucketed the same way. A task has the rows of one bucket, so they
+    are written as they come; Spark would sort them by bucket otherwise."""
+    spark, key = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, "0")
+    spark.conf.set(key, "4")
+    try:
+        df.write.bucketBy(n, col).option("path", path).format("parquet").saveAsTable(name)
+    finally:
+        spark.conf.set(key, before)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every intermediate table of this application. Results that
     still read them fail afterwards."""

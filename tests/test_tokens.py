@@ -95,3 +95,27 @@ def test_merge_compounds_averages_vectors(spark):
     words = spark.createDataFrame(rows, WORD + ", vector array<double>")
     got = {r.word_id: (r.text, r.vector) for r in merge_compounds(words).collect()}
     assert got == {0: ("New York", [2.0, 4.0]), 2: ("now", [0.0, 1.0])}
+
+
+def test_words_without_a_chain_are_not_grouped(spark):
+    """Words alone go straight to the result, those without a text too; equal keys stay apart."""
+    rows = [(1, 0, 0, "a", "a", True, "DET", "dep", None), (1, 0, 1, None, None, None, None, None, None),
+            (1, 0, 2, "B", "b", False, "PROPN", "compound", None), (1, 0, 3, "C", "c", False, "NOUN", "dep", "PROPER"),
+            (2, 0, 0, "x", "x", False, "NOUN", "dep", None), (2, 0, 0, "x", "x", False, "NOUN", "dep", None),
+            (None, None, 0, "y", "y", False, "NOUN", "dep", None)]
+    df = spark.createDataFrame(rows, WORD)
+    for mode, more in (("merged", []), ("overlapping", [(1, 0, 3, "C", "c", False, "NOUN", "PROPER", 1)])):
+        out = merge_compounds(df, mode)
+        want = [(1, 0, 0, "a", "a", True, "DET", None, 1), (1, 0, 1, "", "", None, None, None, 1), (1, 0, 2, "B C", "b c", False, "NOUN", "PROPER", 2),
+                *[(2, 0, 0, "x", "x", False, "NOUN", None, 1)] * 2, (None, None, 0, "y", "y", False, "NOUN", None, 1), *more]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_buckets_follow_the_text_not_the_file(spark, tmp_path):
+    """Copies of a text take few bytes of a file but as many words."""
+    from sparkvox.plans import catalog as C
+
+    d = str(tmp_path)
+    spark.range(12000).selectExpr("id AS doc_id", "repeat('some words again. ', 500) AS text", "'en' AS lang").coalesce(1).write.parquet(f"{d}/documents.parquet")
+    assert C.n_buckets(spark, d) == max(spark.sparkContext.defaultParallelism, -(-12000 * 9000 // C.BUCKET_BYTES))
