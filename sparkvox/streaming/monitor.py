@@ -323,37 +323,44 @@ def worker_stale_status_stream(spark: SparkSession, source_path: str, schema, tt
     )
 
 
+PULSE = ("worker", "ts_us", "event_id")
+
+
 class PulseSlices(StatefulProcessor):
-    """Pulses of one (worker, slice of time) are kept until the watermark
-    passes the slice's end, however late and in whatever order they come; then
-    they are numbered within the slice. The last one carries the slice's count."""
+    """Pulses of one (group of workers, slice of time) are kept until the
+    watermark passes the slice's end, however late and in whatever order they
+    come; then they are numbered per worker within the slice. A worker's last
+    one carries its count. The pulses of a call are one entry of the state."""
 
     def __init__(self, slice_us: int):
         self._slice_us = slice_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._pulses = handle.getListState("pulses", "ts_us long, event_id long")
+        self._pulses = handle.getListState("pulses", "worker array<long>, ts_us array<long>, event_id array<long>")
 
     def handleInputRows(self, key, rows, timerValues):
         end_ms = -(-(key[1] + 1) * self._slice_us // 1000)
         if end_ms > timerValues.getCurrentWatermarkInMs():  # a pulse of a closed slice is too late
             for pdf in rows:
-                self._pulses.appendList(list(zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), strict=True)))
+                self._pulses.appendValue(tuple(
+                    [None if pd.isna(x) else int(x) for x in pdf[c]] if pdf[c].hasnans else pdf[c].tolist() for c in PULSE))
             self._handle.registerTimer(end_ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        pulses = sorted(tuple(p) for p in self._pulses.get())
+        parts = list(self._pulses.get())
         self._pulses.clear()
+        columns = [pd.array([x for p in parts for x in p[k]], dtype="Int64") for k in range(len(PULSE))]
+        pulses = pd.DataFrame(dict(zip(PULSE, columns, strict=True))).sort_values(list(PULSE), ignore_index=True, na_position="first")
+        same = pulses.groupby("worker", dropna=False, sort=False)
+        pulses["slice"] = key[1]
+        pulses["local_no"] = same.cumcount()
+        pulses["local_prev"] = same["ts_us"].shift()
+        n = same["ts_us"].transform("size").astype("Int64")
+        pulses["n"] = n.where(pulses["local_no"] == n - 1)
         for s in range(0, len(pulses), 10_000):
-            part = pulses[s:s + 10_000]
-            yield pd.DataFrame({
-                "worker": key[0], "slice": key[1], "event_id": [e for _, e in part], "ts_us": [t for t, _ in part],
-                "local_no": range(s, s + len(part)),
-                "local_prev": pd.array([pulses[k - 1][0] if k else None for k in range(s, s + len(part))], dtype="Int64"),
-                "n": pd.array([len(pulses) if k == len(pulses) - 1 else None for k in range(s, s + len(part))], dtype="Int64"),
-            })
+            yield pulses[s:s + 10_000][["worker", "slice", "event_id", "ts_us", "local_no", "local_prev", "n"]]
 
     def close(self) -> None:
         pass
@@ -384,13 +391,14 @@ class PulseCounter(StatefulProcessor):
 
 
 def pulse_gaps_stream(spark: SparkSession, source_path: str, schema, delay: str = "1 hour", slice_seconds: int = 3600,
-                      folder: str | None = None, max_files_per_batch: int | None = None) -> DataFrame:
+                      folder: str | None = None, max_files_per_batch: int | None = None, worker_groups: int = 16) -> DataFrame:
     """``pulse_gaps`` over a stream: numbers and gaps of the pulses of all time
     slices that the watermark (greatest event time less ``delay``) has passed.
 
-    Two stateful streams. The first holds pulses per (worker, slice of
+    Two stateful streams. The first holds pulses per (group of workers, slice of
     ``slice_seconds``) until the slice closes and numbers them there, so a
-    worker with most pulses is spread over its slices; pulses that come late
+    worker with most pulses is spread over its slices and the number of calls
+    and timers depends on the time that passes only; pulses that come late
     but before the watermark are put in order, later ones are dropped. The
     second reads one row per closed slice and keeps each worker's counter. Both
     write to Parquet; the result joins a pulse with what came before its slice.
@@ -401,10 +409,12 @@ def pulse_gaps_stream(spark: SparkSession, source_path: str, schema, delay: str
     ev = status_events(_file_stream(spark, source_path, schema, max_files_per_batch)).select(
         "worker", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     ev = ev.withColumn("ts_us", F.unix_micros("ts")).withColumn("slice", F.floor(F.col("ts_us") / F.lit(slice_us)))
+    part = F.when(F.col("worker").isNull(), -1).otherwise(F.pmod(F.xxhash64("worker"), F.lit(worker_groups)))
+    ev = ev.withColumn("part", part.cast("long"))
     fields = "worker long, slice long, event_id long, ts_us long, local_no long, local_prev long, n long"
     offset_fields = "worker long, slice long, before long, previous long"
     with _rocksdb(spark):
-        local = ev.withWatermark("ts", delay).groupBy("worker", "slice").transformWithStateInPandas(
+        local = ev.withWatermark("ts", delay).groupBy("part", "slice").transformWithStateInPandas(
             statefulProcessor=PulseSlices(slice_us), outputStructType=fields, outputMode="append", timeMode="eventTime")
         _to_files(local, folder, "pulses")
         closed = spark.readStream.schema(fields).parquet(os.path.join(folder, "pulses")).where(F.col("n").isNotNull())

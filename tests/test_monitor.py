@@ -161,3 +161,11 @@ def test_stale_workers_after_a_restart(spark, tmp_path):
     assert run() == {(1, "running", 0), (2, "running", 200)}
     add_file(spark, src, [(10, 5000, 8, "view")])
     assert run() == {(1, "running", 0), (2, "running", 200), (9, "running", 502)}
+
+
+def test_pulses_of_many_workers_share_calls(spark, tmp_path):
+    """A thousand workers: rows are numbered per (group of workers, slice of time), not per worker."""
+    src, at = str(tmp_path / "events"), str(tmp_path / "stream")
+    add_file(spark, src, [(k, k % 500, k % 1000, "view") for k in range(4000)])
+    got = sorted(map(tuple, MON.pulse_gaps_stream(spark, src, EVENTS, "100 seconds", 100, folder=at, worker_groups=3).collect()))
+    assert got == closed_pulses(spark, src, 499, 100, 100) and len(got) > 2000
