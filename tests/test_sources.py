@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvox.operators.columns import columns_with_role
-from sparkvox.operators.numbering import dense_numbers, join_by_position
+from sparkvox.operators.numbering import dense_numbers, join_by_position, numbers_in_groups
 from sparkvox.session import private_folder
 from sparkvox.sources import corpus_io as IO
 
@@ -171,3 +171,18 @@ def test_newest_dump_has_the_greatest_number(spark, tmp_path):
         IO.corpus_dump(parts_of(spark, docs.withColumn("text", F.lit(str(k)))), path)
         loaded = IO.corpus_load(spark, path)
         assert loaded["docs"].first().text == str(k) and loaded["meta"].first().number == k + 1
+
+
+def test_words_are_numbered_where_they_are(spark, monkeypatch):
+    """Groups of many sizes, one without a key, equal rows; the rows are not dealt anew by range."""
+    rows = [(None if g == 3 else g * 7, k // 2, "x" * g) for g in range(40) for k in range(g)]
+    df = spark.createDataFrame(rows, "g long, at int, t string").repartition(5, "g")
+    got = numbers_in_groups(df, "g", ["at"], "no").orderBy("no").collect()
+    assert [r.no for r in got] == list(range(len(rows)))
+    assert [(r.g, r.at, r.t) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    with pytest.raises(ValueError):
+        numbers_in_groups(df, "g", ["at"], "T")
+    words = df.select(F.col("g").alias("doc_id"), F.lit(0).alias("sent_id"), F.col("at").alias("word_id"), F.array(F.lit(1.0)).alias("vector"))
+    monkeypatch.setattr(IO, "dense_numbers", None)  # deals all rows by range
+    flat, vectors = IO.split_vectors(words)
+    assert flat.count() == vectors.select("word_no").distinct().count() == len(rows)
