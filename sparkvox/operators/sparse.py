@@ -85,7 +85,9 @@ def _weighted(words: DataFrame, docs: DataFrame, lemmas: list[str], idf: np.ndar
     counts = words.join(F.broadcast(vocab), "lemma").groupBy("doc_id", "i").agg(F.count("*").alias("n"), F.first("idf").alias("idf"))
     rows = counts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("n") * F.col("idf")).alias("w")))).alias("r"))
     length = F.sqrt(F.aggregate("r", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    rows = rows.select("doc_id", F.col("r.i").alias("idx"), F.transform("r.w", lambda w: w / length).alias("w"))
+    # The length stands outside the function per word, so it is worked out once per document.
+    lengths = F.array_repeat(length, F.size("r"))
+    rows = rows.select("doc_id", F.col("r.i").alias("idx"), F.zip_with("r.w", lengths, lambda w, n: w / n).alias("w"))
     return docs.select("doc_id").join(rows, "doc_id", "left").select(
         "doc_id", F.coalesce("idx", F.array().cast("array<int>")).alias("idx"), F.coalesce("w", F.array().cast("array<double>")).alias("w"))
 
