@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkvox.operators.vectors import mean_vectors
-
 #: Characters of a block.
 BLOCK = 64
 
@@ -49,8 +47,41 @@ def overlapping(words: DataFrame, subtokens: DataFrame, block: int = BLOCK) -> D
 def subtoken_pool_aligned(words: DataFrame, subtokens: DataFrame, dim: int, block: int = BLOCK) -> DataFrame:
     """``words(doc_id, word_id, start, stop)`` with ``vector``, the mean of the
     vectors of the sub-tokens ``(doc_id, start, stop, vector)`` that overlap the
-    word; the zero vector where none does. Means are partially aggregated per task."""
-    key = F.struct("doc_id", "word_id")
-    pooled = mean_vectors(overlapping(words, subtokens, block).withColumn("_key", key), "_key", "vector").select("_key.*", "vector")
-    return words.join(pooled, ["doc_id", "word_id"], "left").withColumn(
-        "vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dim)))
+    word; the zero vector where none does.
+
+    Words and sub-tokens of a block of text are gathered by one aggregate, and
+    the sums of a word's blocks by a window. Inputs that are dealt to the same
+    partitions by ``doc_id`` stay where they are; none of their rows moves."""
+    whole = F.col("start") < F.col("stop")
+    first, last = (F.floor(c / block) for c in (F.col("start"), F.col("stop") - 1))
+    w = words.select("doc_id", F.struct(*words.columns).alias("_w"), F.explode_outer(F.when(whole, F.sequence(first, last))).alias("_block"))
+    s = subtokens.where(whole & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"),
+                           F.transform("vector", lambda x: x.cast("double")).alias("vector")).alias("_s"),
+        F.explode(F.sequence(first, last)).alias("_block"))
+    both = w.select("doc_id", "_block", "_w", F.lit(None).cast(s.schema["_s"].dataType).alias("_s")).unionAll(
+        s.select("doc_id", "_block", F.lit(None).cast(w.schema["_w"].dataType).alias("_w"), "_s"))
+    met = (both.groupBy("doc_id", "_block").agg(F.collect_list("_w").alias("_ws"), F.collect_list("_s").alias("_ss"))
+           .select("doc_id", "_block", "_ss", F.explode("_ws").alias("_w")))
+
+    def counts(t: Column) -> Column:
+        """Whether a sub-token of the block overlaps the word and counts here: the later of the two begins here."""
+        start, stop = F.col("_w.start"), F.col("_w.stop")
+        once = F.floor(F.greatest(start, t["start"]) / block) == F.col("_block")
+        return (start < t["stop"]) & (t["start"] < stop) & once & t["vector"].isNotNull()
+
+    def added(vectors: Column) -> Column:
+        zero = F.array_repeat(F.lit(0.0), F.size(vectors[0]))
+        return F.aggregate(vectors, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+
+    keyed = F.col("doc_id").isNotNull() & F.col("_w.word_id").isNotNull()
+    met = met.select("doc_id", "_w", "_block", F.when(keyed, F.transform(F.filter("_ss", counts), lambda t: t["vector"])).alias("_hits"))
+    some = F.size("_hits") > 0
+    met = met.select("doc_id", "_w", "_block", F.when(some, F.size("_hits")).alias("_n"), F.when(some, added(F.col("_hits"))).alias("_sum"))
+    word = Window.partitionBy("doc_id", "_word")
+    met = met.withColumn("_word", F.col("_w.word_id")).select("_w", "_block", F.sum("_n").over(word).alias("_n"), F.collect_list("_sum").over(word).alias("_sums"))
+    # A word's row of its first block stands for it.
+    met = met.where(F.col("_block").isNull() | (F.col("_block") == F.floor(F.col("_w.start") / block)))
+    counts_ = F.array_repeat(F.col("_n"), F.size(F.col("_sums")[0]))
+    mean = F.when(F.size("_sums") > 0, F.zip_with(added(F.col("_sums")), counts_, lambda x, n: x / n))
+    return met.select("_w.*", F.coalesce(mean, F.array_repeat(F.lit(0.0), dim)).alias("vector"))

@@ -2,11 +2,13 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import functions as F
 
 from sparkvox.operators import spans as SP
 from sparkvox.operators import sparse as SR
@@ -44,6 +46,24 @@ def test_overlaps_by_range_predicate(spark, block):
         assert pooled[d, k] == pytest.approx(list(np.mean(own, axis=0)) if own else [0.0] * 3)
 
 
+def test_pooling_moves_no_rows_of_inputs_dealt_by_document(spark):
+    docs = spark.createDataFrame([(d, k, 3 * k, 3 * k + 3) for d in range(9) for k in range(9)], "doc_id long, word_id int, start long, stop long")
+    docs = docs.repartition(5, "doc_id")
+    subs = docs.select("doc_id", "start", "stop", F.array(F.col("start").cast("double")).alias("vector"))
+    out = SP.subtoken_pool_aligned(docs, subs, 1)
+    assert {(r.word_id, r.vector[0]) for r in out.collect()} == {(k, 3.0 * k) for k in range(9)}
+    moved = re.findall(r"hashpartitioning\(([^)]*)\)", out._jdf.queryExecution().toString())
+    assert moved and all(re.fullmatch(r"doc_id#\d+L, 5", m) for m in moved), moved
+
+
+def test_pooling_keeps_words_without_keys_places_or_characters(spark):
+    words = [(None, 0, 0, 4), (1, None, 0, 4), (1, 0, None, 4), (1, 1, 2, 2), (1, 2, 0, 130), (1, 2, 0, 130)]
+    w = spark.createDataFrame(words, "doc_id long, word_id int, start long, stop long")
+    s = spark.createDataFrame([(1, 0, 130, [3.0]), (None, 0, 130, [9.0]), (1, 129, 131, [6.0]), (1, 3, 5, None)], "doc_id long, start long, stop long, vector array<double>")
+    got = Counter((r.doc_id, r.word_id, r.start, r.stop, tuple(r.vector)) for r in SP.subtoken_pool_aligned(w, s, 1).collect())
+    assert got == Counter([(*r, (0.0,)) for r in words[:4]] + [(*r, (4.5,)) for r in words[4:]])
+
+
 def test_places_of_words(spark):
     docs = spark.createDataFrame([(1, "ab  c é東 x"), (2, ""), (3, None), (4, "   ")], "doc_id long, text string")
     got = sorted((r.doc_id, r.word_id, r.text, r.start, r.stop) for r in SP.word_spans(docs).collect())
@@ -128,3 +148,11 @@ def test_svd_of_nothing(spark):
     assert SR.place_docs(words, docs.limit(0), model).collect() == []
     same = spark.createDataFrame([(d, "a") for d in range(9)], WORDS)  # rank one
     assert SR.fit_text_svd(same, same.select("doc_id")).singular == pytest.approx([3.0])
+
+
+def test_a_row_has_its_length_worked_out_once(spark):
+    words = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b")], WORDS)
+    rows = SR._weighted(words, words.select("doc_id").distinct(), ["a", "b"], np.array([1.0, 2.0]))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in re.findall(r"lambdafunction\((.*?), lambda", plan) if "aggregate(" in x]
+    assert {r.doc_id: (r.idx, r.w) for r in rows.collect()} == {1: ([0, 1], pytest.approx([0.5 ** 0.5] * 2)), 2: ([1], [1.0])}
