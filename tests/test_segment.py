@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,40 @@ def test_segmenting_shuffles_nothing(spark, segmenter):
     docs = spark.createDataFrame([(k, "東京都 cat", "ja") for k in range(50)], DOCS)
     plan = tokenize_docs(docs, segmenter=segmenter)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "ArrowEvalPython" in plan
+
+
+def some_runs(rng, letters, many=400):
+    return ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 17, 60]))) for _ in range(many)] + [letters * 3000]
+
+
+def test_many_runs_split_like_single_ones():
+    rng = random.Random(11)
+    for trial in range(12):
+        letters = "あいう\U00020000x"
+        costs = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))): rng.randint(1, 6) for _ in range(rng.choice([0, 1, 9, 200]))}
+        seg = SG.Segmenter(costs, rng.choice([2, 9, 50_000_000, 1 << 45]), max(map(len, costs), default=1))
+        runs = some_runs(rng, letters + "え")
+        assert seg.split_all(runs, seg.pieces()) == [seg.split(run) for run in runs], trial
+
+
+def test_expected_counts_of_many_runs_are_those_of_single_ones():
+    rng = random.Random(12)
+    for _ in range(8):
+        letters = "かきく\U00020000"
+        probability = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))): rng.random() for _ in range(rng.choice([1, 5, 60]))}
+        names, runs = list(probability), some_runs(rng, letters + "け")
+        pieces, values = SG.Pieces(names, 4), np.array(list(probability.values()))
+        for own, lengths, going in SG._together(runs):
+            got = defaultdict(dict)
+            of, piece, x = SG._expected_together(pieces.found([runs[i] for i in own], lengths), values, 0.01, lengths, going)
+            for r, k, v in zip(of, piece, x, strict=True):
+                got[own[r]][names[k]] = v
+            for i in own:
+                want = SG.expected_counts(runs[i], probability, 4, 0.01)
+                assert got[i] == {w: v for w, v in want.items() if w in probability}
+
+
+def test_runs_of_a_batch_take_no_step_of_python_per_character(spark, monkeypatch):
+    seg = SG.Segmenter({"あい": 1, "う": 2}, 9, 2)
+    monkeypatch.setattr(SG.Segmenter, "split", lambda *_: pytest.fail("one run at a time"))
+    assert seg.split_all(["あいう" + "あ" * k for k in range(40)], seg.pieces())[2] == ["あい", "う", "あ", "あ"]
