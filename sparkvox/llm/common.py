@@ -16,10 +16,15 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts
     lineage, survives lost executors, and gives Catalyst the true size, so a
-    later join broadcasts it only when it really is small."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
+    later join broadcasts it only when it really is small. What was shuffled
+    for it is deleted as soon as it is written, as nothing reads that again."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = scratch_path(spark, name), spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,9 @@ in size to be similar at all, share a bucket. First each bucket links its
 members to one centre only, so a bucket of m gives m - 1 candidates, and most
 groups are one component after that. Then, in every bucket that still holds
 several components, all pairs of members from different ones are looked at, so
-that no pair is missed for the choice of centres. Candidates are confirmed on
+that no pair is missed for the choice of centres. In large buckets only those
+pairs come out of it that can be similar by the counts of their shingles per
+slot, an upper bound of what they have in common. Candidates are confirmed on
 full shingle sets. Equal sets are one class from the start, so copies cost
 nothing.
 """
@@ -17,11 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +139,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made()
 
 
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = hashing.text_bytes(batch.column(1))
+        out = []
+        for _, found in shingle_sets(data, offsets):
+            counts = np.bincount((found & np.uint64(PROFILE - 1)).astype(np.int64), minlength=PROFILE)
+            out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "profile"])
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(rid, id, th, n, digest, bands)`` per row: the text's hash, the size and digest of its shingle set, the band values."""
     ship_package(docs.sparkSession)
@@ -153,24 +165,35 @@ LEAST_BANDS = 2
 SLOTS = 1 << 20
 #: Members of a bucket in one block, and rows that a task takes at once.
 MEET, PART_ROWS = 256, 20_000
+#: Slots that the shingles of a text are counted by, a power of 2.
+PROFILE = 256
+
+
+def _cell(n: Column, grid: Column | int = 0) -> Column:
+    """The size class of a document in a grid."""
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS_WIDTH) + grid / 2)
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
-    """``(key, band, node)``: the buckets of each document, 2 per band. In:
+    """``(key, band, node, cell)``: the buckets of each document, 2 per band; a
+    key's last bit is the grid, the cell is that of the first grid. In:
     ``node, n, bands`` of one document per class."""
-    size = F.log(F.col("n").cast("double")) / math.log(CLASS_WIDTH)
     keyed = reps.select("node", "n", F.posexplode("bands").alias("band", "value")).select(
         "node", "n", "band", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("grid"))
-    cell = F.floor(size + F.col("grid") / 2)
-    return keyed.select(F.xxhash64("band", "value", "grid", cell).alias("key"), "band", "node")
+    key = F.xxhash64("band", "value", "grid", _cell(F.col("n"), F.col("grid")))
+    return keyed.select(key.bitwiseAND(F.lit(-2)).bitwiseOR(F.col("grid")).alias("key"), "band", "node", _cell(F.col("n")).alias("cell"))
 
 
 def shared_buckets(reps: DataFrame) -> DataFrame:
     """``(key, band, node, m)`` of the buckets with m > 1 members. Counted per task
-    first and joined back, so that a hot bucket need not meet in one task."""
+    first and joined back, so that a hot bucket need not meet in one task. A
+    bucket of the second grid whose members are all in one cell of the first is
+    part of a bucket there, so it is left out."""
     members = bucket_members(reps)
-    sizes = written(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "near_buckets")
-    return written(members.join(sizes, "key"), "near_members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("cell").alias("lo"), F.max("cell").alias("hi"))
+    first = F.col("key").bitwiseAND(F.lit(1)) == 0
+    sizes = written(sizes.where((F.col("m") > 1) & (first | (F.col("lo") < F.col("hi")))).select("key", "m"), "near_buckets")
+    return written(members.drop("cell").join(sizes, "key"), "near_members")
 
 
 def connectedness(members: DataFrame) -> DataFrame:
@@ -240,13 +263,21 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _apart(percent: int):
-    """``(a, b)`` from rows ``part, key, i, j, block, band, node, root, n, bands``:
-    the pairs of block i with block j of a bucket that are in different
-    components, near enough in size and share LEAST_BANDS bands at least. A
-    pair comes out in the bucket of the first band that it shares."""
+    """``(a, b)`` from rows ``part, key, i, j, block, band, node, root, n, cell,
+    bands, profile``: the pairs of block i with block j of a bucket that are in
+    different components, near enough in size, share LEAST_BANDS bands at least
+    and can be similar by their profiles, if both have one: the lesser counts
+    of all slots add up to no less than what the two have in common. A pair
+    comes out in the bucket of the first band that it shares, and in the second
+    grid only if the first keeps it apart."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, i, j, block, band, node, root, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "node", "root", "n"))
+        key, i, j, block, band, node, root, n, cell = (
+            table.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "node", "root", "n", "cell"))
+        profile = table.column("profile").combine_chunks()
+        known = profile.is_valid().to_numpy(zero_copy_only=False)
+        counts = np.frombuffer(b"".join(profile.drop_null().to_pylist()), np.uint8).reshape(-1, PROFILE)
+        at = np.cumsum(known) - 1
         values = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         order = np.lexsort((node, block, j, i, key))
         k, x, y = key[order], i[order], j[order]
@@ -262,20 +293,25 @@ def _apart(percent: int):
                     u, v = some[a[t:t + (1 << 15)]], right[b[t:t + (1 << 15)]]
                     same = values[u] == values[v]
                     good = (same.sum(axis=1) >= LEAST_BANDS) & (same.argmax(axis=1) == band[u])
+                    good &= (key[u] & 1 == 0) | (cell[u] != cell[v])
+                    u, v = u[good], v[good]
+                    most, both = np.minimum(n[u], n[v]), known[u] & known[v]
+                    most[both] = np.minimum(counts[at[u[both]]], counts[at[v[both]]]).sum(axis=1, dtype=np.int64)
+                    good = (100 + percent) * most >= percent * (n[u] + n[v])
                     found.append(np.stack([np.maximum(node[u[good]], node[v[good]]), np.minimum(node[u[good]], node[v[good]])], 1))
 
         for c, d in zip(cuts[:-1], cuts[1:], strict=True):
             rows = order[c:d]
-            roots, counts = np.unique(root[rows], return_counts=True)
+            roots, sizes = np.unique(root[rows], return_counts=True)
             if len(roots) == 1:
                 continue
             # Members of the largest component need not meet each other.
-            main = root[rows] == roots[counts.argmax()]
+            main = root[rows] == roots[sizes.argmax()]
             rest, main = rows[~main], rows[main]
             if i[rows[0]] == j[rows[0]]:
                 meet(rest, main)
-                for at in range(1, len(rest)):
-                    meet(rest[at:at + 1], rest[:at])
+                for r in range(1, len(rest)):
+                    meet(rest[r:r + 1], rest[:r])
             else:
                 first = i[rows[0]]
                 meet(rest[block[rest] == first], rows[block[rows] != first])
@@ -285,22 +321,39 @@ def _apart(percent: int):
     return run
 
 
-def pairs_apart(members: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def pairs_apart(members: DataFrame, reps: DataFrame, roots: DataFrame, percent: int,
+                profiled: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``(a, b)``: all likely pairs of a bucket's members in different
     components. In: ``key, band, node``. Buckets are cut into blocks of about
     MEET members, and each pair of blocks meets by itself, wherever it is dealt
-    to: memory does not grow with a bucket, and a hot one is spread."""
+    to: memory does not grow with a bucket, and a hot one is spread. The blocks
+    of a large bucket's largest component do not meet each other. The members
+    of buckets of more than one block get ``profiled(nodes)``, their profiles,
+    so that a large group of texts that are alike, but not similar, does not
+    give as many pairs as it has."""
     placed = written(_rooted(members, roots, "node").select("key", "band", "node", F.col("rnode").alias("root")), "near_placed")
     several = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    active = placed.join(written(several.select("key", "m"), "near_several"), "key")
-    blocks = F.ceil(F.col("m") / MEET).cast("int")
-    dealt = active.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).select(
-        "key", "band", "node", "root", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    active = written(placed.join(written(several.select("key", "m"), "near_several"), "key"), "near_active")
+    large = active.where(F.col("m") > MEET)
+    main = large.groupBy("key", "root").agg(F.count("*").alias("most")).groupBy("key").agg(F.max(F.struct("most", "root")).alias("main"))
+    active = active.join(written(main.select("key", "main.most", F.col("main.root").alias("main")), "near_main"), "key", "left")
+    # Blocks of the others come first; those of the largest component meet these only.
+    inner = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
+    first = F.ceil((F.col("m") - F.coalesce("most", F.lit(0))) / MEET).cast("int")
+    more = F.ceil(F.coalesce("most", F.lit(0)) / MEET).cast("int")
+    block = F.when(inner, first + F.pmod(F.xxhash64("node"), more)).otherwise(F.pmod(F.xxhash64("node"), first)).cast("int")
+    dealt = active.select("key", "band", "node", "root", block.alias("block"),
+                          F.explode(F.sequence(F.lit(0), F.when(inner, first).otherwise(first + more) - 1)).alias("other"))
     dealt = written(dealt.select("key", "band", "node", "root", "block", F.least("block", "other").alias("i"),
                                  F.greatest("block", "other").alias("j")), "near_dealt")
     parts = max(16, math.ceil(dealt.count() / PART_ROWS))
-    full = dealt.join(reps.select("node", "n", "bands"), "node").withColumn(
+    full = dealt.join(reps.select("node", "n", _cell(F.col("n")).alias("cell"), "bands"), "node").withColumn(
         "part", F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).cast("int"))
+    hot = large.select("node").distinct()
+    if profiled is None or hot.isEmpty():
+        full = full.withColumn("profile", F.lit(None).cast("binary"))
+    else:
+        full = full.join(written(profiled(written(hot, "near_hot")), "near_profiles"), "node", "left")
     return full.groupBy("part").applyInArrow(_apart(percent), "a bigint, b bigint").distinct()
 
 
@@ -331,7 +384,9 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text
         stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = written(components(more.where("linked").select("a", "b").unionByName(stars), "a", "b"), "near_roots")
         open_ = open_nodes(close.where("not linked"), roots)
-    pairs = written(pairs_apart(everyone.select("key", "band", "node"), reps, roots, percent), "near_apart")
+    pairs = written(pairs_apart(
+        everyone.select("key", "band", "node"), reps, roots, percent,
+        lambda hot: shingle_table(docs, signed, hot, id_col, text_col, _profiles, "node bigint, profile binary")), "near_apart")
     nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
     more = compared(pairs, written(shingle_table(docs, signed, nodes, id_col, text_col), "near_sets"), percent)
     more = written(more.where("linked").select("a", "b"), "near_more")
@@ -341,8 +396,10 @@ def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text
     return written(components(more.unionByName(stars), "a", "b"), "near_roots")
 
 
-def shingle_table(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(node, found)``: the shingle sets of some nodes, from their texts."""
+def shingle_table(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
+                  made=_sets, schema: str = "node bigint, found array<bigint>") -> DataFrame:
+    """``(node, found)``: the shingle sets of some nodes, from their texts; or
+    what else ``made`` makes of them."""
     needed = written(signed.select(F.col("rid").alias("node"), F.col("id").alias("_id"), F.col("th").alias("_th"))
                      .join(nodes, "node"), "near_needed")
 
@@ -356,7 +413,7 @@ def shingle_table(docs: DataFrame, signed: DataFrame, nodes: DataFrame, id_col:
     texts = texts.withColumn("_slot", slot("_h")).join(slots, "_slot", "left_semi")
     texts = texts.join(needed, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")))
     # Repeated rows match one node together; one of them is enough.
-    return texts.select("node", "_t").dropDuplicates(["node"]).mapInArrow(_sets, "node bigint, found array<bigint>")
+    return texts.select("node", "_t").dropDuplicates(["node"]).mapInArrow(made, schema)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:

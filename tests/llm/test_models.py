@@ -9,7 +9,7 @@ import pytest
 from brute import MESSY
 from pyspark.sql import functions as F
 
-from sparkvox.llm import components, hashing, langid, minhash, pitman_yor
+from sparkvox.llm import common, components, hashing, langid, minhash, pitman_yor
 
 
 def test_words_are_hashed_alike():
@@ -315,6 +315,36 @@ def test_all_components_of_a_bucket_meet(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_a_large_group_without_links_gives_few_pairs(spark, monkeypatch):
+    """Hundreds of texts that are alike but not similar enough, and some pairs of them that are."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    slots = range(8, 196, 8)
+    docs = [_edited(rng, base, rng.sample(slots, 5)) for _ in range(600)]  # J of two is 0.6 mostly
+    docs += [_edited(rng, docs[k], rng.sample(slots, 1)) for k in range(20)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    counts, write = {}, minhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "MEET", 64)
+    monkeypatch.setattr(minhash, "written", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_components(rows)
+    assert counts["near_apart"][0] < 20 * len(rows)
+
+
+def test_written_leaves_no_shuffled_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = disk.getAllFiles().size()
+    out = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "cleaned")
+    assert disk.getAllFiles().size() <= before and out.count() == 7
+
+
 def test_near_messy(spark, messy, none):
     docs = messy.withColumn("kept", F.lit("own")).withColumn("_th", F.lit("own")).withColumn("node", F.lit(1))
     rows = minhash.near_duplicates(docs).collect()
