@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkvox.operators import tagger as TG
@@ -70,6 +71,34 @@ def test_paths_by_enumeration():
             assert tuple(path) == min((t for t in possible if cost(t) == least), key=lambda t: t[::-1])
 
 
+def test_codes_of_many_words_at_once():
+    """The classes of all words of a batch are those of each word, whatever it holds."""
+    names = ["unknown", "digits", "w|en|cat", "s|en|cat", "s|en|at", "w||cat", "s||粲粲粲", "s|xx|é"]
+    tagger = TG.Tagger({n: (3 * i) % len(names) for i, n in enumerate(names)}, None, None, None)
+    rows = [("en", ["cat", "bobcat", "at", "12", "x", "١٢", "12\n"]), (None, ["cat", "a粲粲粲", ""]), ("xx", []), ("xx", ["é", "ab", "007"])]
+    for some in (rows, rows[1:], rows[2:3]):
+        table = pa.array([r[1] for r in some], pa.list_(pa.string()))
+        flat, offsets = tagger.codes(pa.array([r[0] for r in some], pa.string()), table)
+        assert flat.tolist() == [tagger.code(lang, w) for lang, ws in some for w in ws]
+        assert offsets.tolist() == [0, *itertools.accumulate(len(ws) for _, ws in some)]
+    flat, offsets = tagger.codes(pa.array([r[0] for r in rows])[1:], pa.array([r[1] for r in rows])[1:])
+    assert flat.tolist() == [tagger.code(lang, w) for lang, ws in rows[1:] for w in ws]
+
+
+def test_words_are_coded_once(spark, monkeypatch):
+    """Rounds read numbers: the lemmas are looked up before the first only."""
+    read, run = [], TG._counted
+
+    def counted(*args):
+        read.append(args)
+        return run(*args)
+
+    monkeypatch.setattr(TG, "_counted", counted)
+    _, rows = grammar(random.Random(6), 60)
+    TG.learn(spark.createDataFrame([r[:5] for r in rows], WORDS), rounds=2)
+    assert len(read) == 2 and not any(isinstance(a, dict) for args in read for a in args)
+
+
 def grammar(rng, n):
     """Sentences DET (ADJ) NOUN VERB ADP DET NOUN of made words."""
     words = {t: [f"{t.lower()[:3]}{w}" for w in "abcdefgh"[:size]] for t, size in (("DET", 3), ("ADJ", 8), ("NOUN", 8), ("VERB", 8), ("ADP", 4))}
