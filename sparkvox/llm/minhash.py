@@ -222,28 +222,6 @@ def _rooted(df: DataFrame, roots: DataFrame, c: str) -> DataFrame:
     return df.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
 
 
-def open_nodes(close: DataFrame, roots: DataFrame) -> DataFrame:
-    """``node`` of the close pairs that are not connected.
-
-    A document that is similar to a neighbour of z has a similarity of 0.5 to z
-    at least, as distances 1 - J obey the triangle inequality; so where no
-    such close pair is open, no neighbour needs to be met."""
-    pairs = _rooted(_rooted(close, roots, "a"), roots, "b").where("ra <> rb")
-    return written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_open")
-
-
-def open_pairs(active: DataFrame, nodes: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """``(a, b)``: open documents with the most connected member of another
-    component in each of their buckets; a turn has its own order of the
-    components. In: ``key, node, met`` of the buckets that open nodes are in."""
-    placed = written(_rooted(active, roots, "node"), "near_placed")
-    order = F.struct(F.xxhash64("rnode", F.lit(turn)).alias("o"), "met", "node", "rnode")
-    centres = placed.groupBy("key").agg(F.max(order).alias("c")).select(
-        "key", F.col("c.node").alias("centre"), F.col("c.rnode").alias("other"))
-    asking = placed.join(nodes, "node").select("key", "node", "rnode")
-    return _pairs(asking.join(centres, "key").where("rnode <> other"))
-
-
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs close enough in size that share LEAST_BANDS bands at least."""
     left = pairs.join(reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ba")), "a")
@@ -253,13 +231,12 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, linked)`` of pairs with half of their shingles in common at
-    least. Sets move once per pair, never all sets of a group to one place."""
+    """``(a, b)`` of the pairs that are similar enough. Sets move once per
+    pair, never all sets of a group to one place."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
     counts = both.select("a", "b", F.size(F.array_intersect("fa", "fb")).alias("s"), (F.size("fa") + F.size("fb")).alias("t"))
-    union = F.col("t") - F.col("s")
-    return counts.where(100 * F.col("s") >= 50 * union).select("a", "b", (100 * F.col("s") >= percent * union).alias("linked"))
+    return counts.where(100 * F.col("s") >= percent * (F.col("t") - F.col("s"))).select("a", "b")
 
 
 def _apart(percent: int):
@@ -359,39 +336,23 @@ def pairs_apart(members: DataFrame, reps: DataFrame, roots: DataFrame, percent:
 
 def links(docs: DataFrame, signed: DataFrame, reps: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """``(node, root)`` of the classes that links connect with others. Stars
-    come first; then turns of open_pairs, while they find links, which leave
-    fewer components; then all pairs that are still apart."""
-    everyone = members = shared_buckets(reps)
-    met = connectedness(members)
-    pairs = written(likely(star_pairs(members, met), reps, percent), "near_pairs")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
-    some = written(reps.join(nodes, "node"), "near_some")
-    sets = written(shingle_table(docs, signed, nodes, id_col, text_col), "near_sets")
-
-    close = written(compared(pairs, sets, percent), "near_close")
-    roots, turn = written(components(close.where("linked"), "a", "b"), "near_roots"), 0
-    open_ = open_nodes(close.where("not linked"), roots)
-    members = written(members.select("key", "node").join(met.join(nodes, "node"), "node"), "near_members")
-    keys = members.join(open_, "node").select("key").distinct()
-    active = written(members.join(keys, "key", "left_semi"), "near_active")
-    while True:
-        turn += 1
-        pairs = likely(open_pairs(active, open_, roots, turn), some, percent)
-        more = written(compared(pairs, sets, percent), "near_close")
-        if more.where("linked").isEmpty():
-            break
-        # The roots so far are links as good as any: stars of what is connected.
-        stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = written(components(more.where("linked").select("a", "b").unionByName(stars), "a", "b"), "near_roots")
-        open_ = open_nodes(close.where("not linked"), roots)
-    pairs = written(pairs_apart(
-        everyone.select("key", "band", "node"), reps, roots, percent,
-        lambda hot: shingle_table(docs, signed, hot, id_col, text_col, _profiles, "node bigint, profile binary")), "near_apart")
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
-    more = compared(pairs, written(shingle_table(docs, signed, nodes, id_col, text_col), "near_sets"), percent)
-    more = written(more.where("linked").select("a", "b"), "near_more")
+    come first, then all pairs that are still apart: a fixed number of passes,
+    however the groups are made."""
+    members = shared_buckets(reps)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near_nodes")
+        sets = written(shingle_table(docs, signed, nodes, id_col, text_col), "near_sets")
+        return written(compared(pairs, sets, percent), "near_linked")
+
+    found = linked(written(likely(star_pairs(members, connectedness(members)), reps, percent), "near_pairs"))
+    roots = written(components(found, "a", "b"), "near_roots")
+    more = linked(written(pairs_apart(
+        members.select("key", "band", "node"), reps, roots, percent,
+        lambda hot: shingle_table(docs, signed, hot, id_col, text_col, _profiles, "node bigint, profile binary")), "near_apart"))
     if more.isEmpty():
         return roots
+    # The roots so far are links as good as any: stars of what is connected.
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return written(components(more.unionByName(stars), "a", "b"), "near_roots")
 

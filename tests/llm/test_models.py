@@ -338,6 +338,30 @@ def test_a_large_group_without_links_gives_few_pairs(spark, monkeypatch):
     assert counts["near_apart"][0] < 20 * len(rows)
 
 
+def test_pairs_are_compared_twice_only(spark, monkeypatch):
+    """Once for the stars, once for what they leave apart, whether or not a further look would find links."""
+    rng = random.Random(13)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    slots = range(8, 196, 8)
+    docs, doc = [], base
+    for _ in range(120):  # each near the one before, few near the first
+        doc = _edited(rng, doc, rng.sample(slots, 3))
+        docs.append(doc)
+    docs += [_edited(rng, base, rng.sample(slots, 6)) for _ in range(200)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    calls, compare = [], minhash.compared
+
+    def counted(pairs, *rest):
+        calls.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "compared", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_components(rows)
+    assert len(calls) == 2
+
+
 def test_written_leaves_no_shuffled_files(spark):
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     before = disk.getAllFiles().size()
