@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvox.llm import hashing
+from sparkvox.llm import encode, hashing
 from sparkvox.llm.common import unused
 from sparkvox.session import ship_package
 
@@ -127,6 +127,7 @@ def _counts(languages: list[str]):
     place = {lang: k for k, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode.release()
         counts = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             data, offsets = hashing.text_bytes(batch.column(1))
@@ -142,6 +143,7 @@ def _counts(languages: list[str]):
 
 def _errors(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode.release()
         place = {lang: k for k, lang in enumerate(model.languages)}
         wrong = np.zeros((len(model.languages), model.code.shape[1]), np.int64)
         seen = np.zeros(len(model.languages), np.int64)
@@ -191,6 +193,7 @@ def train(docs: DataFrame, chosen: Column, *, text_col: str = "text", lang_col:
 
 def _predicted(model: Model, text_at: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode.release()
         for batch in batches:
             column = batch.column(text_at)
             data, offsets = hashing.text_bytes(column)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvox.llm import hashing
+from sparkvox.llm import encode, hashing
 from sparkvox.llm.common import filled, unused, words, written
 from sparkvox.llm.components import components
 from sparkvox.session import ship_package
@@ -101,6 +101,7 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encode.release()
     for batch in batches:
         data, offsets = hashing.text_bytes(batch.column(2))
         n, digests, values, ends = [], [], [], [0]
@@ -118,6 +119,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encode.release()
     for batch in batches:
         data, offsets = hashing.text_bytes(batch.column(1))
         rows, parts, ends = [], [], [0]
@@ -140,6 +142,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    encode.release()
     for batch in batches:
         data, offsets = hashing.text_bytes(batch.column(1))
         out = []
@@ -249,6 +252,7 @@ def _apart(percent: int):
     grid only if the first keeps it apart."""
 
     def run(table: pa.Table) -> pa.Table:
+        encode.release()
         key, i, j, block, band, node, root, n, cell = (
             table.column(c).to_numpy() for c in ("key", "i", "j", "block", "band", "node", "root", "n", "cell"))
         profile = table.column("profile").combine_chunks()

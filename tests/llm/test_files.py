@@ -12,7 +12,7 @@ import pytest
 from brute import MESSY
 from pyspark.sql import functions as F
 
-from sparkvox.llm import dac, hashing, packing, warc
+from sparkvox.llm import dac, encode, hashing, langid, minhash, packing, warc
 from sparkvox.llm.encode import WordEncoder
 from sparkvox.llm.queries import tokenizer_path
 
@@ -45,6 +45,25 @@ def test_special_tokens_in_a_text():
     assert got[0] == [806, 539, 585, 49407, 1131]
 
 
+def test_steps_that_encode_nothing_hold_no_words():
+    """A worker that has encoded runs the tasks of another step without what it remembered."""
+    texts = pa.array([" ".join(f"w{k}x{i}" for i in range(500)) for k in range(20)])
+    ids = pa.array(range(20), pa.int64())
+    model = langid.Model([], langid.codebook(0), np.zeros((langid.BUCKETS, langid.codebook(0).shape[1]), np.float32), np.ones(1))
+    tasks = [lambda: minhash._signed(iter([pa.record_batch([ids, ids, texts], ["id", "th", "text"])])),
+             lambda: minhash._sets(iter([pa.record_batch([ids, texts], ["node", "text"])])),
+             lambda: minhash._profiles(iter([pa.record_batch([ids, texts], ["node", "text"])])),
+             lambda: langid._counts(["en"])(iter([pa.record_batch([pa.array(["en"] * 20), texts], ["lang", "text"])])),
+             lambda: langid._predicted(model, 1, ["id", "text", "a", "b", "c"])(iter([pa.record_batch([ids, texts], ["id", "text"])]))]
+    want = [x.tolist() for x in WordEncoder(tokenizer_path()).encode(*hashing.text_bytes(texts))]
+    for task in tasks:
+        batch = pa.record_batch([texts], ["text"])
+        assert [x.tolist() for x in encode.ids_of(batch, 0, tokenizer_path())] == want
+        assert encode._encoders
+        assert sum(b.num_rows for b in task())
+        assert not encode._encoders
+
+
 @pytest.mark.parametrize("top", [1, 2, 255, 300, 49407, 2**20, 2**32 - 1])
 def test_codes_give_any_token(top):
     rng = np.random.default_rng(top)
