@@ -1,6 +1,7 @@
 """Dump/load contract and CSV round trip."""
 
 import os
+import uuid
 
 import pytest
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkvox.operators.columns import columns_with_role
 from sparkvox.operators.numbering import dense_numbers, join_by_position, numbers_in_groups
-from sparkvox.session import private_folder
+from sparkvox.session import bucketed, private_folder, scratch_path
 from sparkvox.sources import corpus_io as IO
 
 
@@ -186,3 +187,70 @@ def test_words_are_numbered_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(IO, "dense_numbers", None)  # deals all rows by range
     flat, vectors = IO.split_vectors(words)
     assert flat.count() == vectors.select("word_no").distinct().count() == len(rows)
+
+
+def words_in_buckets(spark, rows, n):
+    df = spark.createDataFrame([(d, s, w, t, t.lower(), False, "NOUN", "dep", None, [float(len(t)), float(ord(t[0]))]) for d, s, w, t in rows],
+                               "doc_id long, sent_id int, word_id int, text string, lemma string, is_stop boolean, pos string, dep string, ent_type string, vector array<double>")
+    name = f"words_{uuid.uuid4().hex}"
+    bucketed(df.repartition(n, "doc_id"), n, "doc_id", name, scratch_path(spark, name))
+    return spark.table(name)
+
+
+def exchanges(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+WORDS = [(d, s, w, f"{'abc'[w]}{d}") for d in (9, 2, 5, 40, 11) for s in range(3) for w in range(d % 3 + 1)]
+
+
+def test_words_and_vectors_meet_where_they_lie(spark, no_broadcast):
+    """Split and put together again, words in buckets by document are not shuffled; the nested documents are made once."""
+    words = words_in_buckets(spark, WORDS, 3)
+    flat, vectors = IO.split_vectors(IO.docs_to_word_table(IO.word_table_to_docs(words)), buckets=3)
+    again = join_by_position(flat, vectors, "word_no")
+    assert again.columns == [*flat.columns, "vector"]
+    assert not [e for e in exchanges(again) if "doc_id" in e or "word_no" in e]
+    got = again.orderBy("word_no").collect()
+    assert [r.word_no for r in got] == list(range(len(WORDS)))
+    assert [(r.doc_id, r.sent_id, r.word_id, r.text) for r in got] == sorted(WORDS)
+    assert all(r.vector == [float(len(r.text)), float(ord(r.text[0]))] for r in got)
+    for a, b in ((flat, vectors.where("word_no <> 4")), (flat.where("word_no <> 4"), vectors),
+                 (flat, vectors.withColumn("doc_id", F.when(F.col("word_no") == 4, -1).otherwise(F.col("doc_id"))))):
+        with pytest.raises(Exception, match="only one of the tables has a word_no"):
+            join_by_position(a, b, "word_no").collect()
+
+
+def test_words_of_documents_without_an_id_meet(spark):
+    words = words_in_buckets(spark, [*WORDS, (None, 0, 0, "x"), (None, 0, 1, "yy")], 3)
+    flat, vectors = IO.split_vectors(words, buckets=3)
+    got = join_by_position(flat, vectors, "word_no").orderBy("word_no").collect()
+    assert len(got) == len(WORDS) + 2 and [r.doc_id for r in got[:2]] == [None, None]
+    assert all(r.vector == [float(len(r.text)), float(ord(r.text[0]))] for r in got)
+
+
+def test_a_dump_keeps_its_buckets(spark, tmp_path, no_broadcast):
+    """Words and vectors of a loaded dump become documents without a shuffle; no table is stored besides the dump's parts."""
+    docs = spark.createDataFrame([(d, "t", "en") for d in (9, 2)], "doc_id long, text string, lang string")
+    rows = [*WORDS, *WORDS[:5]]  # a word that comes twice keeps its vector
+    words = words_in_buckets(spark, rows, 3)
+    numbered, vectors = IO.split_vectors(words, buckets=3, follows="lemma")
+    assert not [f for f in numbered.inputFiles() if "numbered-" in f]
+    path = str(tmp_path / "it's a dump")
+    IO.corpus_dump(parts_of(spark, docs) | {"words": numbered, "word_vectors": vectors}, path, {"words": 3, "word_vectors": 3})
+    loaded = IO.corpus_load(spark, path)
+    assert loaded["words"].agg(F.count_distinct("word_no"), F.max("word_no")).first()[:] == (len(rows), len(rows) - 1)
+    nested = IO.word_table_to_docs(loaded["words"], loaded["word_vectors"])
+    assert exchanges(nested) == []
+    key = lambda r: r.doc_id
+    assert sorted(nested.collect(), key=key) == sorted(IO.word_table_to_docs(words).collect(), key=key)
+    assert IO.corpus_load(spark, path)["words"].count() == len(rows)  # loaded twice
