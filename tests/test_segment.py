@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkvox.operators import segment as SG
+from sparkvox.operators.numbering import first_rows
 from sparkvox.operators.tokens import tokenize_docs
 
 DOCS = "doc_id long, text string, lang string"
@@ -175,3 +176,30 @@ def test_runs_of_a_batch_take_no_step_of_python_per_character(spark, monkeypatch
     seg = SG.Segmenter({"あい": 1, "う": 2}, 9, 2)
     monkeypatch.setattr(SG.Segmenter, "split", lambda *_: pytest.fail("one run at a time"))
     assert seg.split_all(["あいう" + "あ" * k for k in range(40)], seg.pieces())[2] == ["あい", "う", "あ", "あ"]
+
+
+def test_the_driver_gets_the_kept_pieces_only(spark):
+    """Pieces are chosen where they are counted: no task sends its first ``max_pieces`` to the driver."""
+    rng = random.Random(13)
+    rows = [("".join(rng.choice("あいうえお") for _ in range(rng.randint(1, 4))), rng.choice([1, 2, 2, 2, 3, 9, 70])) for _ in range(900)]
+    rows = list(dict(rows).items())
+    df = spark.createDataFrame(rows, "piece string, n long").repartition(7)
+    for limit in (0, 1, 5, 40, 150, len(rows) - 1, len(rows), 10_000):
+        weight = F.col("n") * F.length("piece") + F.when(F.length("piece") == 1, SG.ALONE).otherwise(0)
+        got = first_rows(df, limit, weight, ["piece"])
+        assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+        want = sorted(rows, key=lambda r: (len(r[0]) > 1, -r[1] * len(r[0]), r[0]))[:limit]
+        assert sorted(map(tuple, got.collect())) == sorted(want), limit
+
+
+def test_learning_takes_no_sorted_limit(spark, monkeypatch):
+    asked = []
+
+    def limited(df, *args):
+        asked.append(df)
+        return first_rows(df, *args)
+
+    monkeypatch.setattr(SG, "first_rows", limited)
+    monkeypatch.setattr(type(spark.range(0)), "limit", lambda *_: pytest.fail("a sorted limit"))
+    seg = SG.learn(spark.createDataFrame([("あいうえお" * 4, 5), ("かきくけこ", 1)], "run string, n long"), max_pieces=12)
+    assert asked and len(seg.costs) <= 12 and set("あいうえおかきくけこ") <= set(seg.costs)
