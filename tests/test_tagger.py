@@ -163,3 +163,45 @@ def test_nothing_to_learn(spark):
     tagger = TG.learn(spark.createDataFrame([], WORDS))
     assert [len(p) for p in tagger.paths([np.array([tagger.code("en", "cat")] * 3)])] == [3]
     assert math.isfinite(float(tagger.emit.min()))
+
+
+def test_a_word_is_looked_up_once_in_a_batch(monkeypatch):
+    """Languages and lemmas are told apart whatever they hold; words that come again are not looked up again."""
+    names = ["unknown", "digits", "w|a|b|c", "s|a|b|c", "s|a|b|c|", "s|a|cat"]
+    tagger = TG.Tagger({n: i for i, n in enumerate(names)}, None, None, None)
+    rows = [("a|b", ["c", "12"]), ("a", ["b|c", "xb|c"]), (None, [None, "12"]), ("a", ["cat", "bobcat", "12"])] * 50
+    seen, joined = [], TG.pc.index_in
+    monkeypatch.setattr(TG.pc, "index_in", lambda values, **k: seen.append(len(values)) or joined(values, **k))
+    flat, offsets = tagger.codes(pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string())))
+    assert flat.tolist() == [0 if w is None else tagger.code(lang, w) for lang, ws in rows for w in ws]
+    assert max(seen) <= 9
+
+
+def test_long_sentences_and_what_cannot_be():
+    """Costs of whole sentences do not run out of the arrays' numbers."""
+    rng = np.random.default_rng(8)
+    k = len(TG.TAGS)
+    emit = rng.integers(0, 30 * TG.UNIT, (40, k))
+    emit[rng.random((40, k)) < 0.5] = TG.NEVER
+    emit[:, 3] = 25 * TG.UNIT
+    tagger = TG.Tagger({}, rng.integers(0, 9, k), rng.integers(0, 20 * TG.UNIT, (k, k)), emit)
+    codes = rng.integers(0, 40, 20_000)
+    cost, back = tagger.start + emit[codes[0]], []
+    for c in codes[1:]:
+        ways = cost[:, None] + tagger.move
+        back.append(ways.argmin(axis=0))
+        cost = np.minimum(ways.min(axis=0) + emit[c], 1 << 60)
+    want = [int(cost.argmin())]
+    for b in reversed(back):
+        want.append(int(b[want[-1]]))
+    assert tagger.paths([codes[:7], codes])[1].tolist() == want[::-1]
+
+
+def test_classes_are_counted_by_distinct_word(spark, monkeypatch):
+    """The driver gets the kept classes only, those of the lexicon before any others."""
+    monkeypatch.setattr(type(spark.range(0)), "limit", lambda *_: pytest.fail("a sorted limit"))
+    _, rows = grammar(random.Random(9), 60)
+    tagger = TG.learn(spark.createDataFrame([r[:5] for r in rows], WORDS), lexicon={"xx|adph": "DET", "xx|deta": "DET"}, max_classes=5, rounds=1)
+    counts = Counter(n for *_, w, lang, _ in ((*r[:5], None) for r in rows) for n in (f"w|{lang}|{w}", f"s|{lang}|{w[-3:]}"))
+    want = sorted(counts, key=lambda c: (c != "w|xx|deta", -counts[c], c))[:5]
+    assert set(tagger.classes) == {*want, TG.UNKNOWN}
