@@ -113,3 +113,16 @@ def test_vectors_without_direction(spark):
     assert near[90] is None and near[91] is None and near[9] == 0
     tie = spark.createDataFrame([(1, [0.0, 2.0])], "vec_id long, embedding array<double>")
     assert nearest_centroid(tie, cents).first().label == 1
+
+
+def test_digits_of_a_word_are_read_together(spark):
+    """Every component is a digit of the md5, whatever their number; eight digits take one conversion."""
+    import hashlib
+
+    words = spark.createDataFrame([(w,) for w in ("cat", "", "粲", "Ünï", None)], "lemma string")
+    for dim in (1, 7, 8, 9, 32):
+        out = VC.hashed_word_vectors(words, dim)
+        want = {w: [int(c, 16) - 7.5 for c in hashlib.md5(w.encode()).hexdigest()[:dim]] for w in ("cat", "", "粲", "Ünï")} | {None: [None] * dim}
+        assert {r.lemma: r.vector for r in out.collect()} == want
+        pieces = out._jdf.queryExecution().analyzed().toString().split("substring(")
+        assert len({p.split(",")[1] for p in pieces[1:]}) == -(-dim // 8)
